@@ -57,8 +57,8 @@ def _cols(table):
     }[table]
 
 
-def _round_doubles(df: DataFrame) -> DataFrame:
-    return df.select(*[r6(F.col(f.name)).alias(f.name) if f.dataType.simpleString() in ("double", "float")
+def _round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
+    return df.select(*[F.round(F.col(f.name), digits).alias(f.name) if f.dataType.simpleString() in ("double", "float")
                        else F.col(f.name) for f in df.schema.fields])
 
 
@@ -104,3 +104,145 @@ def _flagship_sql():
 
 
 register("flagship_placeholder_profile", _flagship_sql())(flagship)
+
+
+# ---------------------------------------------------------------- ERR2-ERR9: one query per error type
+
+def sql_derangement_map(table_sql: str, column: str, seed, tag: str) -> str:
+    """DuckDB twin of :func:`corrupt.derangement_map`: (old, new) successor in hash order."""
+    return (f"(WITH v AS (SELECT DISTINCT {column} AS old FROM {table_sql} WHERE {column} IS NOT NULL), "
+            f"o AS (SELECT old, row_number() OVER (ORDER BY {sql_hash(seed, tag, 'old')}) AS rn, "
+            f"count(*) OVER () AS m FROM v) "
+            f"SELECT a.old AS old, b.old AS new FROM o a JOIN o b ON b.rn = (a.rn % a.m) + 1)")
+
+
+def sql_corrupt(table: str, kind: str, frac: float, colfrac: float, seed=SEED) -> str:
+    from tabtaint.functions.rng import sql_normal
+    from tabtaint.functions.strings import sql_typo
+    from tabtaint.spec import INTEGRAL_TYPES  # noqa: F401
+    spec = SPECS[table]
+    cols = C.choose_columns(spec, kind, colfrac, seed)
+    ints = _INTEGRAL[table]
+    hits = sql_hits(table, frac, seed)
+    sel = []
+    for c in _cols(table) + ["row_key"]:
+        if c not in cols:
+            sel.append(c)
+            continue
+        is_cat = c in spec.categorical or (kind == "LER")
+        if kind == "PLC":
+            e = (f"CASE WHEN _hit THEN 'UNKNOWN' ELSE CAST({c} AS VARCHAR) END" if is_cat and c not in _STRINGS[table]
+                 else (f"CASE WHEN _hit THEN 'UNKNOWN' ELSE {c} END" if is_cat else f"CASE WHEN _hit THEN -1 ELSE {c} END"))
+        elif kind == "EMV":
+            e = f"CASE WHEN _hit THEN NULL ELSE {c} END"
+        elif kind == "OUT":
+            f = py_sample(C.OUTLIER_FACTORS, 1, seed, f"out:{c}")[0]
+            e = (f"CASE WHEN _hit THEN CAST({c} AS BIGINT) * {f} ELSE CAST({c} AS BIGINT) END" if c in ints
+                 else f"CASE WHEN _hit THEN {c} * CAST({f} AS DOUBLE) ELSE {c} END")
+        elif kind == "NOI":
+            s = C.NOISE_SCALE_MIN + py_uniform(seed, f"noi-scale:{c}", "") * (C.NOISE_SCALE_MAX - C.NOISE_SCALE_MIN)
+            noise = f"({sql_normal(seed, f'noi:{c}', 'row_key')} * ({s!r} * (SELECT stddev_pop({c}) FROM {table})))"
+            e = (f"CASE WHEN _hit THEN CAST({c} AS BIGINT) + greatest(CAST(trunc({noise}) AS BIGINT), 1) "
+                 f"ELSE CAST({c} AS BIGINT) END" if c in ints
+                 else f"CASE WHEN _hit THEN CAST({c} AS DOUBLE) + {noise} ELSE CAST({c} AS DOUBLE) END")
+        elif kind in ("SFT", "LER"):
+            mp = sql_derangement_map(table, c, seed, f"sft:{c}")
+            e = f"CASE WHEN _hit THEN coalesce((SELECT mp.new FROM {mp} mp WHERE mp.old = h.{c}), {c}) ELSE {c} END"
+        elif kind == "INC":
+            e = f"CASE WHEN _hit THEN {sql_typo(c, seed, f'inc:{c}')} ELSE CAST({c} AS VARCHAR) END"
+        elif kind == "DUP":
+            e = f"CAST({c} AS VARCHAR)" if c in spec.categorical else c
+        else:
+            raise ValueError(kind)
+        sel.append(f"{e} AS {c}")
+    body = f"SELECT {', '.join(sel)} FROM {hits} h"
+    if kind != "DUP":
+        return body
+    dsel = []
+    for c in _cols(table):
+        if c not in cols:
+            dsel.append(c)
+        elif c in spec.categorical:
+            dsel.append(f"{sql_typo(c, seed, f'inc:{c}')} AS {c}")
+        else:
+            dsel.append(f"-1 AS {c}")
+    dsel.append("row_key || '#dup' AS row_key")
+    return f"{body} UNION ALL SELECT {', '.join(dsel)} FROM {hits} h WHERE _hit"
+
+
+_INTEGRAL = {"customer": {"c_custkey", "c_nationkey"}, "part": {"p_partkey", "p_size"},
+             "orders": {"o_orderkey", "o_custkey"}, "lineitem": {"l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"},
+             "supplier": {"s_suppkey", "s_nationkey"}, "events": {"event_id", "user_id"}}
+_STRINGS = {"customer": {"c_name", "c_mktsegment"}, "part": {"p_name", "p_brand", "p_type"},
+            "orders": {"o_orderstatus", "o_orderpriority"}, "lineitem": {"l_returnflag", "l_linestatus"},
+            "supplier": {"s_name"}, "events": {"event_type", "props"}}
+
+CORRUPT_CASES = {
+    "corrupt_placeholder_part": ("part", "PLC", 0.1, 0.5),
+    "corrupt_missing_customer": ("customer", "EMV", 0.2, 0.7),
+    "corrupt_outlier_part": ("part", "OUT", 0.1, 0.4),
+    "corrupt_noise_part": ("part", "NOI", 0.2, 0.4),
+    "corrupt_noise_lineitem": ("lineitem", "NOI", 0.1, 0.5),
+    "corrupt_shift_customer": ("customer", "SFT", 0.2, 0.7),
+    "corrupt_label_customer": ("customer", "LER", 0.2, 0.2),
+    "corrupt_typo_part": ("part", "INC", 0.2, 0.6),
+    "corrupt_duplicate_customer": ("customer", "DUP", 0.1, 0.7),
+    "corrupt_shift_lineitem": ("lineitem", "SFT", 0.05, 0.5),
+}
+
+
+def _digits(kind):
+    # Gaussian noise goes through ln/cos/sqrt and a std aggregate whose last bits differ between
+    # engines; 4 decimals keeps the comparison away from rounding boundaries.
+    return 4 if kind == "NOI" else 6
+
+
+def _corrupt_query(table, kind, frac, colfrac):
+    def q(spark, sf_dir):
+        res = C.corrupt(keyed(spark, sf_dir, table), SPECS[table], kind, frac, colfrac, seed=SEED, audit=False)
+        return _round_doubles(res.df, _digits(kind))
+    return q
+
+
+def _sql_round(sql: str, table: str, kind: str, colfrac: float) -> str:
+    spec = SPECS[table]
+    cols = C.choose_columns(spec, kind, colfrac, SEED)
+    dbl = _DOUBLES[table] | ({c for c in cols if kind == "NOI" and c not in _INTEGRAL[table]})
+    sel = [f"round({c}, {_digits(kind)}) AS {c}" if c in dbl else c for c in _cols(table) + ["row_key"]]
+    return f"SELECT {', '.join(sel)} FROM ({sql}) z"
+
+
+_DOUBLES = {"customer": {"c_acctbal"}, "part": {"p_retailprice"}, "orders": {"o_totalprice"},
+            "lineitem": {"l_quantity", "l_extendedprice", "l_discount", "l_tax"}, "supplier": {"s_acctbal"},
+            "events": {"value"}}
+
+for _name, (_t, _k, _f, _cf) in CORRUPT_CASES.items():
+    register(_name, _sql_round(sql_corrupt(_t, _k, _f, _cf), _t, _k, _cf))(_corrupt_query(_t, _k, _f, _cf))
+
+
+def audit_typo_part(spark, sf_dir):
+    """ERR1 audit log: every changed cell of a typo corruption."""
+    res = C.corrupt(keyed(spark, sf_dir, "part"), SPECS["part"], "INC", 0.2, 0.6, seed=SEED)
+    return res.changes
+
+
+def _audit_sql():
+    from tabtaint.functions.strings import sql_typo
+    cols = C.choose_columns(SPECS["part"], "INC", 0.6, SEED)
+    parts = [f"SELECT row_key, '{c}' AS column, CAST({c} AS VARCHAR) AS old_value, "
+             f"{sql_typo(c, SEED, f'inc:{c}')} AS new_value FROM {sql_hits('part', 0.2)} h WHERE _hit" for c in cols]
+    return f"SELECT * FROM ({' UNION ALL '.join(parts)}) z WHERE old_value IS DISTINCT FROM new_value"
+
+
+register("corrupt_audit_log", _audit_sql())(audit_typo_part)
+
+
+def semiperfect_customer(spark, sf_dir):
+    """FLT4: the table without the rows chosen for corruption (left anti join)."""
+    res = C.corrupt(keyed(spark, sf_dir, "customer"), SPECS["customer"], "PLC", 0.1, 0.5, seed=SEED, audit=False)
+    return _round_doubles(C.drop_corrupted(keyed(spark, sf_dir, "customer"), res.rows))
+
+
+register("semiperfect_customer",
+         f"SELECT {', '.join(_cols('customer'))}, row_key FROM {sql_hits('customer', 0.1)} h WHERE NOT _hit")(
+    semiperfect_customer)
