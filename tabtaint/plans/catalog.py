@@ -246,3 +246,231 @@ def semiperfect_customer(spark, sf_dir):
 register("semiperfect_customer",
          f"SELECT {', '.join(_cols('customer'))}, row_key FROM {sql_hits('customer', 0.1)} h WHERE NOT _hit")(
     semiperfect_customer)
+
+
+# ---------------------------------------------------------------- curation, filters, imputation, profiles
+from tabtaint.operators import clean as CL  # noqa: E402
+from tabtaint.operators import split as SP  # noqa: E402
+from tabtaint.operators import sampling as SA  # noqa: E402
+from tabtaint.functions.rng import sql_normal, sql_uniform, hash_hex, uniform, normal  # noqa: E402,F401
+
+# nulls injected from the data itself (the test tables have none): negative balances and
+# the names of three market segments
+_NULLY_CUSTOMER_SQL = ("(SELECT c_custkey, CASE WHEN c_mktsegment IN ('BUILDING','AUTOMOBILE','MACHINERY') THEN NULL "
+                       "ELSE c_name END AS c_name, c_nationkey, CASE WHEN c_acctbal < 0 THEN NULL ELSE c_acctbal END "
+                       "AS c_acctbal, CASE WHEN c_nationkey IN (1, 2, 3) THEN NULL ELSE c_mktsegment END AS c_mktsegment "
+                       "FROM customer)")
+
+
+def nully_customer(spark, sf_dir):
+    c = load(spark, sf_dir, "customer")
+    return c.select(
+        "c_custkey",
+        F.when(F.col("c_mktsegment").isin("BUILDING", "AUTOMOBILE", "MACHINERY"), F.lit(None)).otherwise(F.col("c_name")).alias("c_name"),
+        "c_nationkey",
+        F.when(F.col("c_acctbal") < 0, F.lit(None)).otherwise(F.col("c_acctbal")).alias("c_acctbal"),
+        F.when(F.col("c_nationkey").isin(1, 2, 3), F.lit(None)).otherwise(F.col("c_mktsegment")).alias("c_mktsegment"))
+
+
+def q_null_profile(spark, sf_dir):
+    return P.null_profile(nully_customer(spark, sf_dir), "customer")
+
+
+register("null_profile_table", f"""
+SELECT 'customer' AS dataset, count(*) AS n_rows, CAST(5 AS BIGINT) AS n_columns, count(*) * 5 AS n_cells,
+  CAST(sum((c_custkey IS NULL)::INT + (c_name IS NULL)::INT + (c_nationkey IS NULL)::INT + (c_acctbal IS NULL OR isnan(c_acctbal))::INT
+      + (c_mktsegment IS NULL)::INT) AS BIGINT) AS n_nulls,
+  round(sum((c_custkey IS NULL)::INT + (c_name IS NULL)::INT + (c_nationkey IS NULL)::INT + (c_acctbal IS NULL OR isnan(c_acctbal))::INT
+      + (c_mktsegment IS NULL)::INT) * 100.0 / (count(*) * 5), 6) AS null_pct,
+  CAST(count(*) FILTER (WHERE c_custkey IS NULL OR c_name IS NULL OR c_nationkey IS NULL OR c_acctbal IS NULL OR c_mktsegment IS NULL) AS BIGINT) AS rows_with_nulls,
+  sum((c_name IS NULL)::INT + (c_acctbal IS NULL)::INT + (c_mktsegment IS NULL)::INT) > 0 AS has_nulls
+FROM {_NULLY_CUSTOMER_SQL} t""")(q_null_profile)
+
+
+def q_column_nulls(spark, sf_dir):
+    return P.column_null_profile(nully_customer(spark, sf_dir))
+
+
+def _colnull_sql():
+    types = {"c_custkey": "bigint", "c_name": "string", "c_nationkey": "int", "c_acctbal": "double", "c_mktsegment": "string"}
+    parts = [f"SELECT '{c}' AS column, '{t}' AS dtype, CAST(count(*) FILTER (WHERE {c} IS NULL) AS BIGINT) AS null_count, "
+             f"round(count(*) FILTER (WHERE {c} IS NULL) * 100.0 / count(*), 6) AS null_pct FROM {_NULLY_CUSTOMER_SQL} t"
+             for c, t in types.items()]
+    return f"SELECT * FROM ({' UNION ALL '.join(parts)}) z WHERE null_count > 0"
+
+
+register("null_profile_columns", _colnull_sql())(q_column_nulls)
+
+
+def q_profile_many(spark, sf_dir):
+    tables = {"customer_nulls": nully_customer(spark, sf_dir), "part": load(spark, sf_dir, "part"),
+              "orders": load(spark, sf_dir, "orders"), "events": load(spark, sf_dir, "events")}
+    return P.profile_summary(P.profile_many(tables))
+
+
+register("null_profile_summary", f"""
+SELECT CAST(4 AS BIGINT) AS datasets_checked,
+  CAST((SELECT count(*) FILTER (WHERE c_name IS NULL OR c_acctbal IS NULL OR c_mktsegment IS NULL) > 0 FROM {_NULLY_CUSTOMER_SQL} t)::INT
+   + (SELECT count(*) FILTER (WHERE p_partkey IS NULL OR p_name IS NULL OR p_brand IS NULL OR p_type IS NULL OR p_size IS NULL OR p_retailprice IS NULL) > 0 FROM part)::INT
+   + (SELECT count(*) FILTER (WHERE o_orderkey IS NULL OR o_custkey IS NULL OR o_orderstatus IS NULL OR o_totalprice IS NULL OR o_orderdate IS NULL OR o_orderpriority IS NULL) > 0 FROM orders)::INT
+   + (SELECT count(*) FILTER (WHERE event_id IS NULL OR ts IS NULL OR user_id IS NULL OR event_type IS NULL OR value IS NULL OR props IS NULL) > 0 FROM events)::INT AS BIGINT) AS datasets_with_nulls,
+  CAST(0 AS BIGINT) AS datasets_with_errors""")(q_profile_many)
+
+
+def q_curate(spark, sf_dir):
+    spec = SPECS["customer"]
+    df, spec2, dropped = CL.curate(with_key(nully_customer(spark, sf_dir), "c_custkey"), spec)
+    return _round_doubles(df)
+
+
+def with_key(df, key):
+    from tabtaint.spec import with_row_key
+    return with_row_key(df, key)
+
+
+register("curate_table", f"""
+SELECT c_custkey, CAST(c_nationkey AS VARCHAR) AS c_nationkey, round(c_acctbal, 6) AS c_acctbal,
+  c_mktsegment, CAST(c_custkey AS VARCHAR) AS row_key
+FROM {_NULLY_CUSTOMER_SQL} t WHERE c_acctbal IS NOT NULL AND c_mktsegment IS NOT NULL""")(q_curate)
+
+
+def q_curate_report(spark, sf_dir):
+    raw = nully_customer(spark, sf_dir)
+    df, _, dropped = CL.curate(raw, SPECS["customer"])
+    return CL.curation_report(raw, df, "customer", dropped)
+
+
+register("curate_report", f"""
+SELECT 'customer' AS dataset, CAST((SELECT count(*) FROM customer) AS BIGINT) AS initial_rows, CAST(5 AS BIGINT) AS initial_columns,
+  CAST((SELECT count(*) FROM {_NULLY_CUSTOMER_SQL} t WHERE c_acctbal IS NOT NULL AND c_mktsegment IS NOT NULL) AS BIGINT) AS final_rows,
+  CAST(4 AS BIGINT) AS final_columns, 'c_name' AS dropped_columns""")(q_curate_report)
+
+
+def q_dates(spark, sf_dir):
+    o = load(spark, sf_dir, "orders")
+    txt = F.when(F.col("o_orderstatus") == "P", F.lit("not-a-date")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
+    return o.select("o_orderkey", txt.alias("o_date_text"), CL.date_to_epoch(txt).alias("o_epoch"))
+
+
+register("curate_date_epoch", """
+SELECT o_orderkey, o_date_text, coalesce(CAST(epoch(try_strptime(o_date_text, '%Y-%m-%d')) AS BIGINT), 0) AS o_epoch
+FROM (SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'not-a-date' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS o_date_text
+      FROM orders)""")(q_dates)
+
+
+def q_binary(spark, sf_dir):
+    return CL.narrow_binary(load(spark, sf_dir, "labels"), exclude=("doc_id",))
+
+
+register("curate_binary_narrow", "SELECT doc_id, CAST(quality AS TINYINT) AS quality, CAST(toxic AS TINYINT) AS toxic FROM labels")(q_binary)
+
+
+def _plc_df(spark, sf_dir):
+    return C.corrupt(keyed(spark, sf_dir, "customer"), SPECS["customer"], "PLC", 0.1, 0.5, seed=SEED, audit=False).df
+
+
+def q_drop_placeholders(spark, sf_dir):
+    return _round_doubles(CL.drop_placeholder_rows(_plc_df(spark, sf_dir), [-1, "UNKNOWN"]))
+
+
+def _plc_sql():
+    return f"({_flagship_after_sql()})"
+
+
+def _flagship_after_sql():
+    spec = SPECS["customer"]
+    cols = C.choose_columns(spec, "PLC", 0.5, SEED)
+    sel = []
+    for c in _cols("customer") + ["row_key"]:
+        if c in cols:
+            if c in spec.categorical:
+                sel.append(f"CASE WHEN _hit THEN 'UNKNOWN' ELSE CAST({c} AS VARCHAR) END AS {c}")
+            else:
+                sel.append(f"CASE WHEN _hit THEN -1 ELSE {c} END AS {c}")
+        else:
+            sel.append(c)
+    return f"SELECT {', '.join(sel)} FROM {sql_hits('customer', 0.1)}"
+
+
+def _plc_cond():
+    spec = SPECS["customer"]
+    cols = C.choose_columns(spec, "PLC", 0.5, SEED)
+    conds = []
+    for c in _cols("customer"):
+        numeric = c in ("c_custkey", "c_nationkey", "c_acctbal") and not (c in cols and c in spec.categorical)
+        conds.append(f"coalesce({c} = -1, false)" if numeric else f"coalesce({c} = 'UNKNOWN', false)")
+    return " OR ".join(conds)
+
+
+register("filter_placeholder_rows",
+         f"SELECT c_custkey, c_name, c_nationkey, round(c_acctbal, 6) AS c_acctbal, c_mktsegment, row_key "
+         f"FROM {_plc_sql()} t WHERE NOT ({_plc_cond()})")(q_drop_placeholders)
+
+
+def q_placeholders_null(spark, sf_dir):
+    return _round_doubles(CL.placeholders_to_null(_plc_df(spark, sf_dir), [-1, "UNKNOWN"]))
+
+
+def _ph_null_sql():
+    spec = SPECS["customer"]
+    cols = C.choose_columns(spec, "PLC", 0.5, SEED)
+    sel = []
+    for c in _cols("customer"):
+        numeric = c in ("c_custkey", "c_nationkey", "c_acctbal") and not (c in cols and c in spec.categorical)
+        v = "-1" if numeric else "'UNKNOWN'"
+        e = f"CASE WHEN coalesce({c} = {v}, false) THEN NULL ELSE {c} END"
+        sel.append(f"round({e}, 6) AS {c}" if c == "c_acctbal" else f"{e} AS {c}")
+    return f"SELECT {', '.join(sel)}, row_key FROM {_plc_sql()} t"
+
+
+register("filter_placeholder_to_null", _ph_null_sql())(q_placeholders_null)
+
+
+def q_impute(spark, sf_dir):
+    df = nully_customer(spark, sf_dir)
+    filled, _, _ = CL.impute(df, None, ["c_acctbal"], ["c_name", "c_mktsegment"])
+    return _round_doubles(filled)
+
+
+register("impute_median_missing", f"""
+SELECT c_custkey, coalesce(CAST(c_name AS VARCHAR), 'missing_value') AS c_name, c_nationkey,
+  round(coalesce(c_acctbal, (SELECT quantile_cont(c_acctbal, 0.5) FROM {_NULLY_CUSTOMER_SQL} s)), 6) AS c_acctbal,
+  coalesce(CAST(c_mktsegment AS VARCHAR), 'missing_value') AS c_mktsegment
+FROM {_NULLY_CUSTOMER_SQL} t""")(q_impute)
+
+
+def q_value_counts(spark, sf_dir):
+    return P.value_counts(load(spark, sf_dir, "orders"), "o_orderpriority")
+
+
+register("value_counts", "SELECT o_orderpriority, count(*) AS count FROM orders GROUP BY 1")(q_value_counts)
+
+
+def q_minority(spark, sf_dir):
+    return P.minority_label(load(spark, sf_dir, "customer"), "c_mktsegment")
+
+
+register("minority_label", """
+SELECT arg_min(c_mktsegment, n * 1000000 + 0) AS minority_label, min(n) AS minority_count
+FROM (SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY 1)""")(q_minority)
+
+
+def q_stats(spark, sf_dir):
+    o = load(spark, sf_dir, "orders")
+    return o.agg(r6(F.stddev_pop("o_totalprice")).alias("std_pop"), r6(F.stddev_samp("o_totalprice")).alias("std_samp"),
+                 r6(F.median("o_totalprice")).alias("median"), F.count_distinct("o_orderstatus").alias("n_status"))
+
+
+register("column_stats", """
+SELECT round(stddev_pop(o_totalprice), 6) AS std_pop, round(stddev_samp(o_totalprice), 6) AS std_samp,
+  round(quantile_cont(o_totalprice, 0.5), 6) AS median, count(DISTINCT o_orderstatus) AS n_status FROM orders""")(q_stats)
+
+
+def q_vocab(spark, sf_dir):
+    """AGG10: distinct union vocabulary of two tables."""
+    a = load(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("value"))
+    b = load(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("value"))
+    return a.union(b).distinct()
+
+
+register("union_vocabulary", "SELECT DISTINCT c_mktsegment AS value FROM customer UNION SELECT DISTINCT l_returnflag FROM lineitem")(q_vocab)
