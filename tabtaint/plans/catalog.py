@@ -474,3 +474,162 @@ def q_vocab(spark, sf_dir):
 
 
 register("union_vocabulary", "SELECT DISTINCT c_mktsegment AS value FROM customer UNION SELECT DISTINCT l_returnflag FROM lineitem")(q_vocab)
+
+
+# ---------------------------------------------------------------- sampling (RND*) and splits (SPL*)
+
+def _keyed_cols(table):
+    return ", ".join(_cols(table) + ["row_key"])
+
+
+def q_sample_exact(spark, sf_dir):
+    return _round_doubles(SA.sample_rows(keyed(spark, sf_dir, "orders"), "row_key", 1000, SEED, "sample"))
+
+
+register("sample_exact_k", f"""
+SELECT o_orderkey, o_custkey, o_orderstatus, round(o_totalprice, 6) AS o_totalprice, o_orderdate, o_orderpriority, row_key
+FROM (SELECT *, row_number() OVER (ORDER BY {sql_hash(SEED, 'sample', 'row_key')}) AS rn FROM {sql_keyed('orders')}) WHERE rn <= 1000
+""")(q_sample_exact)
+
+
+def q_sample_fraction(spark, sf_dir):
+    df = keyed(spark, sf_dir, "lineitem")
+    flag, n = SA.sample_flag(df, "row_key", SA.row_count_k(0.1), SEED, "sample")
+    return df.filter(flag).select("row_key", "l_orderkey", "l_linenumber")
+
+
+register("sample_fraction_lineitem", f"""
+SELECT row_key, l_orderkey, l_linenumber FROM (
+  SELECT *, row_number() OVER (ORDER BY {sql_hash(SEED, 'sample', 'row_key')}) AS rn FROM {sql_keyed('lineitem')})
+WHERE rn <= (SELECT CAST(floor(greatest(0.1::DOUBLE * count(*), 1)) AS BIGINT) FROM lineitem)""")(q_sample_fraction)
+
+
+def q_shuffle_index(spark, sf_dir):
+    df, _ = SA.number_by_hash(keyed(spark, sf_dir, "orders"), "row_key", SEED, "shuffle")
+    return df.select("row_key", F.col("_pos").alias("new_index"))
+
+
+register("shuffle_reindex", f"""
+SELECT row_key, row_number() OVER (ORDER BY {sql_hash(SEED, 'shuffle', 'row_key')}) - 1 AS new_index FROM {sql_keyed('orders')}""")(
+    q_shuffle_index)
+
+
+def q_derangement(spark, sf_dir):
+    kind, mp = C.derangement_map(load(spark, sf_dir, "part"), "p_brand", SEED, "sft:p_brand")
+    if kind == "literal":
+        return spark.createDataFrame(sorted(mp.items()), "old string, new string")
+    return mp
+
+
+register("derangement_map", f"SELECT old, new FROM {sql_derangement_map('part', 'p_brand', SEED, 'sft:p_brand')}")(q_derangement)
+
+
+def q_draws(spark, sf_dir):
+    o = keyed(spark, sf_dir, "orders")
+    return o.select("row_key", r6(F.lit(2.0) + F.lit(3.0) * uniform(SEED, "u", "row_key")).alias("u_2_5"),
+                    F.round(F.lit(10.0) + F.lit(2.0) * normal(SEED, "n", "row_key"), 4).alias("n_10_2"))
+
+
+register("random_draws", f"""
+SELECT row_key, round(2.0 + 3.0 * {sql_uniform(SEED, 'u', 'row_key')}, 6) AS u_2_5,
+  round(10.0 + 2.0 * {sql_normal(SEED, 'n', 'row_key')}, 4) AS n_10_2 FROM {sql_keyed('orders')}""")(q_draws)
+
+
+def q_bootstrap(spark, sf_dir):
+    out = SA.sample_with_replacement(keyed(spark, sf_dir, "customer"), "row_key", 2000, SEED, "boot")
+    return _round_doubles(out.select("draw_id", *_cols("customer"), "row_key"))
+
+
+register("bootstrap_sample", f"""
+WITH b AS (SELECT *, row_number() OVER (ORDER BY {sql_hash(SEED, 'boot:order', 'row_key')}) - 1 AS pos FROM {sql_keyed('customer')}),
+d AS (SELECT range AS draw_id, CAST(floor({sql_uniform(SEED, 'boot:draw', 'range')} * (SELECT count(*) FROM customer)) AS BIGINT) AS pos
+      FROM range(2000))
+SELECT draw_id, c_custkey, c_name, c_nationkey, round(c_acctbal, 6) AS c_acctbal, c_mktsegment, row_key FROM d JOIN b USING (pos)""")(
+    q_bootstrap)
+
+
+def q_blocks(spark, sf_dir):
+    """RND10: disjoint 10% row blocks for five error types from one hash permutation."""
+    df, n = SA.number_by_hash(keyed(spark, sf_dir, "orders"), "row_key", SEED, "blocks")
+    per = int(n * 0.1)
+    return (df.where(F.col("_pos") < 5 * per)
+            .select("row_key", F.floor(F.col("_pos") / per).cast("bigint").alias("block")))
+
+
+register("disjoint_blocks", f"""
+SELECT row_key, CAST(floor(pos / (SELECT CAST(floor(count(*) * 0.1::DOUBLE) AS BIGINT) FROM orders)) AS BIGINT) AS block FROM (
+  SELECT row_key, row_number() OVER (ORDER BY {sql_hash(SEED, 'blocks', 'row_key')}) - 1 AS pos FROM {sql_keyed('orders')})
+WHERE pos < 5 * (SELECT CAST(floor(count(*) * 0.1::DOUBLE) AS BIGINT) FROM orders)""")(q_blocks)
+
+
+def _sql_lr_quota(groups_sql: str, total_sql: str) -> str:
+    """Largest-remainder quotas: groups_sql gives (g, n); total_sql a scalar."""
+    return f"""(WITH c AS ({groups_sql}), t AS (SELECT sum(n) AS tot, {total_sql} AS nt FROM c),
+q0 AS (SELECT g, n, nt * n / CAST(tot AS DOUBLE) AS ex, floor(nt * n / CAST(tot AS DOUBLE)) AS fl, nt FROM c, t)
+SELECT g, CAST(fl + CASE WHEN row_number() OVER (ORDER BY ex - fl DESC, CAST(g AS VARCHAR)) <= nt - (SELECT sum(fl) FROM q0)
+  THEN 1 ELSE 0 END AS BIGINT) AS q FROM q0)"""
+
+
+def q_split_strat(spark, sf_dir):
+    df = SP.stratified_split(keyed(spark, sf_dir, "customer"), "row_key", "c_mktsegment", 0.25, seed=SEED)
+    return df.select("row_key", "c_mktsegment", "split")
+
+
+register("split_stratified", f"""
+WITH b AS (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY {sql_hash(SEED, 'split', 'row_key')}) AS rn
+           FROM {sql_keyed('customer')}),
+q AS {_sql_lr_quota("SELECT c_mktsegment AS g, count(*) AS n FROM customer GROUP BY 1", "CAST(ceil(0.25::DOUBLE * sum(n)) AS BIGINT)")}
+SELECT row_key, c_mktsegment, CASE WHEN rn <= q THEN 'test' ELSE 'train' END AS split FROM b JOIN q ON b.c_mktsegment = q.g""")(
+    q_split_strat)
+
+
+def q_split_random(spark, sf_dir):
+    return SP.random_split(keyed(spark, sf_dir, "orders"), "row_key", 0.3, seed=SEED).select("row_key", "split")
+
+
+register("split_random", f"""
+SELECT row_key, CASE WHEN row_number() OVER (ORDER BY {sql_hash(SEED, 'split', 'row_key')})
+  <= (SELECT CAST(ceil(0.3::DOUBLE * count(*)) AS BIGINT) FROM orders) THEN 'test' ELSE 'train' END AS split
+FROM {sql_keyed('orders')}""")(q_split_random)
+
+
+def q_split_abs(spark, sf_dir):
+    df = SP.stratified_split(keyed(spark, sf_dir, "orders"), "row_key", "o_orderstatus", test_size=9000,
+                             train_size=3000, seed=SEED)
+    return df.select("row_key", "o_orderstatus", "split")
+
+
+register("split_absolute", f"""
+WITH b AS (SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY {sql_hash(SEED, 'split', 'row_key')}) AS rn
+           FROM {sql_keyed('orders')}),
+qt AS {_sql_lr_quota("SELECT o_orderstatus AS g, count(*) AS n FROM orders GROUP BY 1", "CAST(9000 AS BIGINT)")},
+qr AS {_sql_lr_quota("SELECT o_orderstatus AS g, count(*) AS n FROM orders GROUP BY 1", "CAST(3000 AS BIGINT)")}
+SELECT row_key, o_orderstatus, CASE WHEN rn <= qt.q THEN 'test' WHEN rn <= qt.q + qr.q THEN 'train' ELSE 'unused' END AS split
+FROM b JOIN qt ON b.o_orderstatus = qt.g JOIN qr ON b.o_orderstatus = qr.g""")(q_split_abs)
+
+
+def _sql_bin(x, lo, hi, nb):
+    w = f"(({hi}) - ({lo})) / {nb}"
+    return (f"(CASE WHEN ({hi}) = ({lo}) THEN 0 WHEN {x} <= ({lo}) THEN 0 ELSE "
+            f"least(greatest(CAST(ceil(({x} - ({lo})) / ({w})) AS INTEGER) - 1, 0), {nb} - 1) END)")
+
+
+def q_split_reg(spark, sf_dir):
+    df = SP.regression_split(keyed(spark, sf_dir, "orders"), "row_key", "o_totalprice", 0.25, seed=SEED)
+    return df.select("row_key", "split")
+
+
+def _split_reg_sql():
+    lo, hi = "(SELECT min(o_totalprice) FROM orders)", "(SELECT max(o_totalprice) FROM orders)"
+    cases = " ".join(f"WHEN {nb} THEN {_sql_bin('o_totalprice', lo, hi, nb)}" for nb in range(2, 11))
+    return f"""
+WITH nb AS (SELECT max(k) AS k FROM (SELECT k, min(cnt) AS mc FROM (
+    SELECT k, b, count(*) AS cnt FROM (SELECT k, CASE k {cases} END AS b FROM orders, range(2, 11) r(k)) GROUP BY k, b)
+  GROUP BY k) WHERE mc >= 2),
+x AS (SELECT *, CASE (SELECT k FROM nb) {cases} END AS bin FROM {sql_keyed('orders')}),
+r AS (SELECT *, row_number() OVER (PARTITION BY bin ORDER BY {sql_hash(SEED, 'split', 'row_key')}) AS rn FROM x),
+q AS {_sql_lr_quota("SELECT bin AS g, count(*) AS n FROM x GROUP BY 1", "CAST(ceil(0.25::DOUBLE * sum(n)) AS BIGINT)")}
+SELECT row_key, CASE WHEN rn <= q THEN 'test' ELSE 'train' END AS split FROM r JOIN q ON r.bin = q.g"""
+
+
+register("split_regression_bins", _split_reg_sql())(q_split_reg)
