@@ -156,29 +156,32 @@ def sample_with_replacement(df: DataFrame, key: str, how_many: int, seed, tag: s
     return out
 
 
-def number_by_hash(df: DataFrame, key: str, seed, tag: str) -> tuple[DataFrame, int]:
-    """RND6: contiguous 0-based ``_pos`` in hash order, by two-phase numbering.
-
-    Phase 1: rows are bucketed by the first 4 hex chars of the hash (balanced by md5),
-    counted per bucket (<= 65,536 rows to the driver) and prefix-summed there.
-    Phase 2: rank inside each bucket (a window partitioned by bucket) plus the bucket
-    offset, given as a literal-free broadcast of the bounded bucket table.
+def number_by_hash(df: DataFrame, key: str, seed, tag: str, group: str | None = None):
+    """RND6: contiguous 0-based ``_pos`` in hash order (within ``group`` when given).
+
+    Two-phase numbering: rows are bucketed by (group, first 4 hex chars of the hash) — md5
+    makes the buckets even, so a hot group is spread over up to 65,536 buckets — bucket sizes
+    go to the driver (bounded: groups x 65,536), are prefix-summed there, and each bucket is
+    ranked by a window partitioned by (group, bucket).  Returns ``(df, n)``; with a group,
+    ``n`` is the dict of group sizes.
     """
     spark = df.sparkSession
     h = hash_hex(seed, tag, key)
-    x = df.withColumn("_h", h).withColumn("_bk", F.substring("_h", 1, 4))
-    hist = sorted((r["_bk"], r["count"]) for r in x.groupBy("_bk").count().collect())
-    offs, cum = [], 0
-    for b, c in hist:
-        offs.append((b, cum))
-        cum += c
-    off_df = spark.createDataFrame(offs, "_bk string, _off long") if offs else \
-        spark.createDataFrame([], "_bk string, _off long")
-    w = Window.partitionBy("_bk").orderBy("_h")
-    out = (x.join(F.broadcast(off_df), "_bk")   # <= 65,536 rows: size bounded by construction
+    g = F.col(group) if group else F.lit(0)
+    x = df.withColumn("_h", h).withColumn("_bk", F.substring("_h", 1, 4)).withColumn("_g", g)
+    hist = sorted(((r["_g"], r["_bk"]), r["count"]) for r in x.groupBy("_g", "_bk").count().collect())
+    offs, cum = [], {}
+    for (gv, b), c in hist:
+        offs.append((gv, b, cum.get(gv, 0)))
+        cum[gv] = cum.get(gv, 0) + c
+    gtype = x.schema["_g"].dataType.simpleString()
+    off_df = spark.createDataFrame(offs, f"_g {gtype}, _bk string, _off long")
+    w = Window.partitionBy("_g", "_bk").orderBy("_h")
+    off_join = F.broadcast(off_df) if len(offs) <= 1_000_000 else off_df   # groups x 65,536 rows at most
+    out = (x.join(off_join, ["_g", "_bk"])
            .withColumn("_pos", F.col("_off") + F.row_number().over(w) - 1)
-           .drop("_bk", "_off", "_h"))
-    return out, cum
+           .drop("_bk", "_off", "_h", "_g"))
+    return out, (cum if group else cum.get(0, 0))
 
 
 def py_derangement_order(values, seed, tag: str) -> dict:

@@ -633,3 +633,255 @@ SELECT row_key, CASE WHEN rn <= q THEN 'test' ELSE 'train' END AS split FROM r J
 
 
 register("split_regression_bins", _split_reg_sql())(q_split_reg)
+
+
+# ---------------------------------------------------------------- generators (GEN1, GEN4, GEN5, GEN6)
+from tabtaint.operators import generate as G  # noqa: E402
+from tabtaint.operators import quality as Q  # noqa: E402
+from tabtaint.operators import privacy as PV  # noqa: E402
+from tabtaint.functions import metrics as M  # noqa: E402
+
+GEN_COLS = ["c_nationkey", "c_acctbal", "c_mktsegment"]
+
+
+def q_gen_marginal(spark, sf_dir):
+    return _round_doubles(G.marginal(keyed(spark, sf_dir, "customer"), GEN_COLS, 1000, SEED))
+
+
+def _gen_marginal_sql():
+    n = "(SELECT count(*) FROM customer)"
+    joins, sel = [], []
+    for i, c in enumerate(GEN_COLS):
+        joins.append(f"JOIN b b{i} ON b{i}.pos = CAST(floor({sql_uniform(SEED, f'gen1:{c}', 'd.draw_id')} * {n}) AS BIGINT)")
+        sel.append(f"round(b{i}.{c}, 6) AS {c}" if c == "c_acctbal" else f"b{i}.{c} AS {c}")
+    return (f"WITH b AS (SELECT *, row_number() OVER (ORDER BY {sql_hash(SEED, 'gen:order', 'row_key')}) - 1 AS pos "
+            f"FROM {sql_keyed('customer')}), d AS (SELECT range AS draw_id FROM range(1000)) "
+            f"SELECT d.draw_id, {', '.join(sel)} FROM d {' '.join(joins)}")
+
+
+register("gen_marginal", _gen_marginal_sql())(q_gen_marginal)
+
+
+def q_gen_uniform(spark, sf_dir):
+    return _round_doubles(G.uniform_sampler(load(spark, sf_dir, "customer"), GEN_COLS, 1000, SEED,
+                                            categorical=("c_mktsegment",)))
+
+
+def _gen_uniform_sql():
+    u = {c: sql_uniform(SEED, f"gen4:{c}", "draw_id") for c in GEN_COLS}
+    return f"""
+WITH v AS (SELECT c_mktsegment AS val, row_number() OVER (ORDER BY {sql_hash(SEED, 'gen4:c_mktsegment:order', 'c_mktsegment')}) AS rn
+           FROM (SELECT DISTINCT c_mktsegment FROM customer WHERE c_mktsegment IS NOT NULL)),
+mm AS (SELECT min(c_nationkey) AS lo1, max(c_nationkey) AS hi1, min(c_acctbal) AS lo2, max(c_acctbal) AS hi2,
+       (SELECT count(*) FROM v) AS m FROM customer)
+SELECT range AS draw_id, CAST(least(floor(lo1 + {u['c_nationkey']} * (hi1 - lo1 + 1)), hi1) AS INTEGER) AS c_nationkey,
+  round(lo2 + {u['c_acctbal']} * (hi2 - lo2), 6) AS c_acctbal,
+  (SELECT val FROM v WHERE rn = CAST(floor({u['c_mktsegment']} * m) AS BIGINT) + 1) AS c_mktsegment
+FROM range(1000), mm"""
+
+
+register("gen_uniform", _gen_uniform_sql())(q_gen_uniform)
+
+
+def q_gen_bootstrap(spark, sf_dir):
+    return _round_doubles(G.bootstrap(keyed(spark, sf_dir, "customer"), GEN_COLS, 1000, SEED))
+
+
+register("gen_bootstrap", f"""
+WITH b AS (SELECT *, row_number() OVER (ORDER BY {sql_hash(SEED, 'boot:order', 'row_key')}) - 1 AS pos FROM {sql_keyed('customer')}),
+d AS (SELECT range AS draw_id, CAST(floor({sql_uniform(SEED, 'boot:draw', 'range')} * (SELECT count(*) FROM customer)) AS BIGINT) AS pos
+      FROM range(1000))
+SELECT draw_id, c_nationkey, round(c_acctbal, 6) AS c_acctbal, c_mktsegment FROM d JOIN b USING (pos)""")(q_gen_bootstrap)
+
+
+def q_gen_per_class(spark, sf_dir):
+    return _round_doubles(G.per_class(keyed(spark, sf_dir, "customer"), ["c_nationkey", "c_acctbal"], "c_mktsegment",
+                                      1000, SEED))
+
+
+def _gen_per_class_sql():
+    cols = ["c_nationkey", "c_acctbal"]
+    joins, sel = [], []
+    for i, c in enumerate(cols):
+        joins.append(f"JOIN b b{i} ON b{i}.c_mktsegment = d.c_mktsegment AND b{i}.pos = "
+                     f"CAST(floor({sql_uniform(SEED, f'gen6:{c}', 'd.draw_id')} * d.n) AS BIGINT)")
+        sel.append(f"round(b{i}.{c}, 6) AS {c}" if c == "c_acctbal" else f"b{i}.{c} AS {c}")
+    return f"""
+WITH b AS (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY {sql_hash(SEED, 'gen6:order', 'row_key')}) - 1 AS pos
+           FROM {sql_keyed('customer')}),
+cl AS (SELECT c_mktsegment, count(*) AS n, row_number() OVER (ORDER BY {sql_hash(SEED, 'gen6:classes', 'c_mktsegment')}) - 1 AS ci
+       FROM customer GROUP BY 1),
+per AS (SELECT greatest(2, 1000 // count(*)) AS per, count(*) AS k FROM cl),
+d AS (SELECT range AS draw_id, cl.c_mktsegment, cl.n FROM range((SELECT per * k FROM per)) r
+      JOIN cl ON cl.ci = r.range // (SELECT per FROM per))
+SELECT d.draw_id, {', '.join(sel)}, d.c_mktsegment FROM d {' '.join(joins)}"""
+
+
+register("gen_per_class", _gen_per_class_sql())(q_gen_per_class)
+
+
+# ---------------------------------------------------------------- quality (QLT*), privacy (DPR1), metrics (ML6)
+
+def _halves(spark, sf_dir, table):
+    df = keyed(spark, sf_dir, table)
+    u = uniform(SEED, "half", "row_key")
+    return df.where(u < 0.5), df.where(u >= 0.5)
+
+
+def _sql_half(table, real=True):
+    op = "<" if real else ">="
+    return f"(SELECT * FROM {sql_keyed(table)} WHERE {sql_uniform(SEED, 'half', 'row_key')} {op} 0.5)"
+
+
+Q_NUM = ["o_totalprice", "o_custkey"]
+Q_CAT = ["o_orderstatus", "o_orderpriority"]
+
+
+def q_quality_shapes(spark, sf_dir):
+    r, s = _halves(spark, sf_dir, "orders")
+    return Q.column_shapes(r, s, Q_NUM, Q_CAT).withColumn("score", r6(F.col("score")))
+
+
+def _sql_ks(c):
+    R, S = _sql_half("orders"), _sql_half("orders", False)
+    return f"""SELECT '{c}' AS column, 'KSComplement' AS metric, round(1 - max(abs(cum)) / (n * m), 6) AS score FROM (
+  SELECT sum(step) OVER (ORDER BY v ROWS UNBOUNDED PRECEDING) AS cum, n, m FROM (
+    SELECT v, sum(sr) * (SELECT count({c}) FROM {S} s2) - sum(ss) * (SELECT count({c}) FROM {R} r2) AS step,
+      (SELECT count({c}) FROM {R} r3) AS n, (SELECT count({c}) FROM {S} s3) AS m
+    FROM (SELECT CAST({c} AS DOUBLE) AS v, 1 AS sr, 0 AS ss FROM {R} r WHERE {c} IS NOT NULL
+          UNION ALL SELECT CAST({c} AS DOUBLE), 0, 1 FROM {S} s WHERE {c} IS NOT NULL) GROUP BY v)) GROUP BY n, m"""
+
+
+def _sql_tv(c):
+    R, S = _sql_half("orders"), _sql_half("orders", False)
+    return f"""SELECT '{c}' AS column, 'TVComplement' AS metric, round(1 - 0.5 * sum(abs(coalesce(pr, 0) - coalesce(ps, 0))), 6) AS score
+FROM (SELECT CAST({c} AS VARCHAR) AS v, count(*) / sum(count(*)) OVER () AS pr FROM {R} GROUP BY 1) a
+FULL JOIN (SELECT CAST({c} AS VARCHAR) AS v, count(*) / sum(count(*)) OVER () AS ps FROM {S} GROUP BY 1) b USING (v)"""
+
+
+register("quality_column_shapes", " UNION ALL ".join([_sql_ks(c) for c in Q_NUM] + [_sql_tv(c) for c in Q_CAT]))(
+    q_quality_shapes)
+
+
+def q_quality_pairs(spark, sf_dir):
+    r, s = _halves(spark, sf_dir, "orders")
+    return Q.column_pair_trends(r, s, Q_NUM, Q_CAT).withColumn("score", r6(F.col("score")))
+
+
+def _sql_pairs():
+    from itertools import combinations
+    R, S = _sql_half("orders"), _sql_half("orders", False)
+    parts = [f"SELECT '{a}' AS col_a, '{b}' AS col_b, round(1 - abs((SELECT corr({a}, {b}) FROM {R}) - "
+             f"(SELECT corr({a}, {b}) FROM {S})) / 2, 6) AS score, 'CorrelationSimilarity' AS metric"
+             for a, b in combinations(Q_NUM, 2)]
+    cols = Q_NUM + Q_CAT
+
+    def disc(c, t):
+        if c in Q_NUM:
+            lo, hi = f"(SELECT CAST(min({c}) AS DOUBLE) FROM {R})", f"(SELECT CAST(max({c}) AS DOUBLE) FROM {R})"
+            return f"CAST({_sql_bin(f'CAST({t}.{c} AS DOUBLE)', lo, hi, 10)} AS VARCHAR)"
+        return f"CAST({t}.{c} AS VARCHAR)"
+    for a, b in combinations(cols, 2):
+        if a not in Q_CAT and b not in Q_CAT:
+            continue
+        parts.append(f"""SELECT '{a}' AS col_a, '{b}' AS col_b, round(1 - 0.5 * sum(abs(coalesce(pr, 0) - coalesce(ps, 0))), 6) AS score,
+  'ContingencySimilarity' AS metric FROM
+ (SELECT {disc(a, 'r')} AS va, {disc(b, 'r')} AS vb, count(*) / sum(count(*)) OVER () AS pr FROM {R} r GROUP BY 1, 2) x
+ FULL JOIN (SELECT {disc(a, 's')} AS va, {disc(b, 's')} AS vb, count(*) / sum(count(*)) OVER () AS ps FROM {S} s GROUP BY 1, 2) y
+ ON x.va IS NOT DISTINCT FROM y.va AND x.vb IS NOT DISTINCT FROM y.vb""")
+    return " UNION ALL ".join(parts)
+
+
+register("quality_pair_trends", _sql_pairs())(q_quality_pairs)
+
+
+def q_quality_overall(spark, sf_dir):
+    r, s = _halves(spark, sf_dir, "orders")
+    rep = Q.quality_report(r, s, Q_NUM, Q_CAT)
+    return rep.select(*[F.round(c, 4).alias(c) for c in rep.columns])
+
+
+register("quality_overall", f"""
+WITH sh AS ({' UNION ALL '.join([_sql_ks(c) for c in Q_NUM] + [_sql_tv(c) for c in Q_CAT])}),
+pt AS ({_sql_pairs()})
+SELECT round(((SELECT avg(score) FROM sh) + (SELECT avg(score) FROM pt)) / 2, 4) AS score,
+  round((SELECT avg(score) FROM sh), 4) AS column_shapes, round((SELECT avg(score) FROM pt), 4) AS column_pair_trends""")(
+    q_quality_overall)
+
+
+def q_disclosure(spark, sf_dir):
+    r, s = _halves(spark, sf_dir, "customer")
+    out = PV.disclosure_protection(r, s, ["c_nationkey"], ["c_mktsegment"])
+    return out.select(*[r6(F.col(c)).alias(c) for c in out.columns])
+
+
+def _dpr_sql():
+    R, S = _sql_half("customer"), _sql_half("customer", False)
+    return f"""
+WITH r AS (SELECT c_nationkey AS k, c_mktsegment AS s, count(*) AS nr FROM {R} GROUP BY 1, 2),
+sks AS (SELECT c_nationkey AS k, c_mktsegment AS s, count(*) AS ns FROM {S} GROUP BY 1, 2),
+sk AS (SELECT k, sum(ns) AS nk FROM sks GROUP BY 1),
+j AS (SELECT nr, coalesce(ns, 0) / nk AS share FROM r JOIN sk USING (k) LEFT JOIN sks USING (k, s)),
+cap AS (SELECT 1 - sum(nr * share) / sum(nr) AS cap FROM j),
+base AS (SELECT 1 - 1.0 / count(DISTINCT c_mktsegment) AS base FROM {R})
+SELECT round(least(1.0, cap / base), 6) AS score, round(cap, 6) AS cap_protection, round(base, 6) AS baseline_protection FROM cap, base"""
+
+
+register("disclosure_protection", _dpr_sql())(q_disclosure)
+
+
+def _pred_table(spark, sf_dir):
+    o = load(spark, sf_dir, "orders")
+    means = o.groupBy("o_orderpriority").agg(F.avg("o_totalprice").alias("prediction"))
+    return o.join(F.broadcast(means), "o_orderpriority").select(F.col("o_totalprice").alias("label"), "prediction")
+
+
+def q_reg_metrics(spark, sf_dir):
+    m = M.regression_metrics(_pred_table(spark, sf_dir))
+    # the squared error is ~1e10: 1 decimal keeps the check off summation-order ulps
+    return m.select(r6(F.col("r2")).alias("r2"), F.round("mse", 1).alias("mse"), r6(F.col("mae")).alias("mae"))
+
+
+register("regression_metrics", """
+WITH p AS (SELECT o_totalprice AS label, avg(o_totalprice) OVER (PARTITION BY o_orderpriority) AS prediction FROM orders)
+SELECT round(1 - sum((label - prediction) ^ 2) / sum((label - (SELECT avg(label) FROM p)) ^ 2), 6) AS r2,
+  round(avg((label - prediction) ^ 2), 1) AS mse, round(avg(abs(label - prediction)), 6) AS mae FROM p""")(q_reg_metrics)
+
+
+def _cls_table(spark, sf_dir):
+    o = load(spark, sf_dir, "orders")
+    mode = (o.groupBy("o_orderpriority", "o_orderstatus").count()
+            .groupBy("o_orderpriority").agg(F.max_by("o_orderstatus", F.struct("count", F.col("o_orderstatus"))).alias("prediction")))
+    return o.join(F.broadcast(mode), "o_orderpriority").select(F.col("o_orderstatus").alias("label"), "prediction")
+
+
+def q_f1(spark, sf_dir):
+    m = M.f1_scores(_cls_table(spark, sf_dir), positive="F")
+    return m.select(*[r6(F.col(c)).alias(c) for c in m.columns])
+
+
+register("classification_f1", """
+WITH c AS (SELECT o_orderpriority, o_orderstatus, count(*) AS n FROM orders GROUP BY 1, 2),
+mode AS (SELECT o_orderpriority, arg_max(o_orderstatus, n * 100 + ascii(o_orderstatus)) AS prediction FROM c GROUP BY 1),
+p AS (SELECT o_orderstatus AS label, prediction FROM orders JOIN mode USING (o_orderpriority)),
+cls AS (SELECT label AS class FROM p UNION SELECT prediction FROM p),
+s AS (SELECT class, (SELECT count(*) FROM p WHERE label = class) AS support, (SELECT count(*) FROM p WHERE prediction = class) AS predicted,
+      (SELECT count(*) FROM p WHERE label = class AND prediction = class) AS tp FROM cls),
+f AS (SELECT class, support, CASE WHEN predicted > 0 THEN tp / predicted ELSE 0 END AS pr,
+      CASE WHEN support > 0 THEN tp / support ELSE 0 END AS rc FROM s),
+g AS (SELECT class, support, CASE WHEN pr + rc > 0 THEN 2 * pr * rc / (pr + rc) ELSE 0 END AS f1 FROM f)
+SELECT round(sum(f1 * support) / sum(support), 6) AS f1_weighted, round(avg(f1), 6) AS f1_macro,
+  round((SELECT max(f1) FROM g WHERE class = 'F'), 6) AS f1_binary FROM g""")(q_f1)
+
+
+def q_auc(spark, sf_dir):
+    o = load(spark, sf_dir, "orders").select((F.col("o_orderstatus") == "F").cast("int").alias("label"),
+                                              F.col("o_totalprice").alias("score"))
+    return spark.createDataFrame([(round(M.roc_auc(o, "label", "score", 1), 6),)], "auc double")
+
+
+register("roc_auc", """
+WITH c AS (SELECT o_totalprice AS s, count(*) FILTER (WHERE o_orderstatus = 'F') AS pos,
+           count(*) FILTER (WHERE o_orderstatus <> 'F') AS neg FROM orders GROUP BY 1),
+w AS (SELECT pos, neg, coalesce(sum(neg) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM c)
+SELECT round(sum(pos * (below + neg / 2.0)) / ((SELECT sum(pos) FROM c) * (SELECT sum(neg) FROM c)), 6) AS auc FROM w""")(q_auc)
