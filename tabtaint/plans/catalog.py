@@ -885,3 +885,162 @@ WITH c AS (SELECT o_totalprice AS s, count(*) FILTER (WHERE o_orderstatus = 'F')
            count(*) FILTER (WHERE o_orderstatus <> 'F') AS neg FROM orders GROUP BY 1),
 w AS (SELECT pos, neg, coalesce(sum(neg) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM c)
 SELECT round(sum(pos * (below + neg / 2.0)) / ((SELECT sum(pos) FROM c) * (SELECT sum(neg) FROM c)), 6) AS auc FROM w""")(q_auc)
+
+
+# ---------------------------------------------------------------- worked-example scenarios (ERR10-ERR15)
+from tabtaint.operators import scenarios as SC  # noqa: E402
+from tabtaint.functions import encoders as EN  # noqa: E402
+
+SC_NUM, SC_CAT, SC_TARGET = ["o_custkey", "o_totalprice"], ["o_orderpriority"], "o_orderstatus"
+
+
+def _scenario_corruptor(spark, sf_dir):
+    return SC.ScenarioCorruptor(keyed(spark, sf_dir, "orders"), "row_key", SC_TARGET, SC_NUM, SC_CAT, SEED)
+
+
+def q_scenario_all(spark, sf_dir):
+    sc = _scenario_corruptor(spark, sf_dir)
+    return _round_doubles(sc.corrupted(SC.SCENARIOS["No cleaning"]), 4).drop("o_orderdate")
+
+
+def _scenario_sql():
+    allc = SC_NUM + SC_CAT
+
+    def pick(tag, cands):
+        return py_sample(sorted(cands), min(len(cands), 3), SEED, f"pick:{tag}") if cands else []
+    cols = {"scale": pick("scale", SC_NUM), "shift": pick("shift", SC_CAT), "missing": pick("missing", allc),
+            "noise": pick("noise", SC_NUM)}
+    keep = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority", "row_key"]
+    n = "(SELECT count(*) FROM orders)"
+    per = f"CAST(floor({n} * 0.1) AS BIGINT)"
+    b0 = (f"SELECT {', '.join(keep)}, CASE WHEN pos < 5 * {per} THEN CAST(floor(pos / {per}) AS INTEGER) END AS blk FROM "
+          f"(SELECT *, row_number() OVER (ORDER BY {sql_hash(SEED, 'blocks', 'row_key')}) - 1 AS pos FROM {sql_keyed('orders')})")
+
+    def stage(prev, exprs):
+        sel = [exprs.get(c, c) + (f" AS {c}" if c in exprs else "") for c in keep] + ["blk"]
+        return f"SELECT {', '.join(sel)} FROM ({prev})"
+    s1 = stage(b0, {c: (f"CASE WHEN blk = 0 THEN CAST({c} AS BIGINT) * 100 ELSE CAST({c} AS BIGINT) END" if c in _INTEGRAL["orders"]
+                        else f"CASE WHEN blk = 0 THEN {c} * 100.0 ELSE {c} END") for c in cols["scale"]})
+    sh = {}
+    for c in cols["shift"]:
+        m_vals = f"(SELECT DISTINCT {c} AS v FROM orders WHERE {c} IS NOT NULL)"
+        off = 1 + int(py_uniform(SEED, f"shift-offset:{c}", "") * (5 - 1))  # 5 priorities (checked below)
+        sh[c] = (f"CASE WHEN blk = 1 THEN (SELECT b.v FROM (SELECT v, row_number() OVER (ORDER BY {sql_hash(SEED, f'vals:{c}', 'v')}) - 1 AS i, "
+                 f"count(*) OVER () AS m FROM {m_vals}) a JOIN (SELECT v, row_number() OVER (ORDER BY {sql_hash(SEED, f'vals:{c}', 'v')}) - 1 AS i "
+                 f"FROM {m_vals}) b ON b.i = (a.i + {off}) % a.m WHERE a.v = z.{c}) ELSE {c} END")
+    s2 = stage(s1, {}) if not sh else \
+        f"SELECT {', '.join([sh.get(c, c) + (f' AS {c}' if c in sh else '') for c in keep])}, blk FROM ({s1}) z"
+    nz = {}
+    for c in cols["noise"]:
+        s = SC.NOISE_RANGE[0] + py_uniform(SEED, f"noise-scale:{c}", "") * (SC.NOISE_RANGE[1] - SC.NOISE_RANGE[0])
+        nz[c] = (f"CASE WHEN blk = 3 THEN CAST({c} AS DOUBLE) + {sql_normal(SEED, f'ex-noise:{c}', 'row_key')} * "
+                 f"({s!r} * (SELECT stddev_samp({c}) FROM ({s2}))) ELSE CAST({c} AS DOUBLE) END")
+    s3 = stage(s2, nz)
+    ms = {c: (f"CASE WHEN blk = 2 THEN -1 ELSE {c} END" if c in SC_NUM else f"CASE WHEN blk = 2 THEN '?' ELSE CAST({c} AS VARCHAR) END")
+          for c in cols["missing"]}
+    s4 = stage(s3, ms)
+    labels = (f"(SELECT list(v ORDER BY {sql_hash(SEED, f'vals:{SC_TARGET}', 'v')}) FROM "
+              f"(SELECT DISTINCT {SC_TARGET} AS v FROM orders WHERE {SC_TARGET} IS NOT NULL))")
+    flip = (f"CASE WHEN blk = 4 THEN list_filter({labels}, lambda x: x <> {SC_TARGET})"
+            f"[CAST(floor({sql_uniform(SEED, 'flip', 'row_key')} * (len({labels}) - 1)) AS INTEGER) + 1] ELSE {SC_TARGET} END")
+    s5 = stage(s4, {SC_TARGET: flip})
+    out = [f"round({c}, 4) AS {c}" if c in ("o_totalprice", "o_custkey") else c for c in keep]
+    return f"SELECT {', '.join(out)} FROM ({s5})"
+
+
+register("scenario_all_errors", _scenario_sql())(q_scenario_all)
+
+
+def q_scenarios(spark, sf_dir):
+    """ERR15: row counts changed per scenario (one job per scenario against the clean table)."""
+    sc = _scenario_corruptor(spark, sf_dir)
+    clean = sc.corrupted([])
+    rows = []
+    for name, active in SC.SCENARIOS.items():
+        d = sc.corrupted(active)
+        cmp = d.alias("d").join(clean.alias("c"), "row_key")
+        diff = None
+        for c in SC_NUM + SC_CAT + [SC_TARGET]:
+            e = ~F.col(f"d.{c}").cast("string").eqNullSafe(F.col(f"c.{c}").cast("string"))
+            diff = e if diff is None else diff | e
+        rows.append(cmp.agg(F.lit(name).alias("scenario"), F.count_if(diff).alias("changed_rows")))
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out
+
+
+register("scenario_changed_rows", None)(q_scenarios)
+
+
+# ---------------------------------------------------------------- encoders (ENC1-ENC7)
+
+def q_onehot(spark, sf_dir):
+    p = load(spark, sf_dir, "part")
+    return EN.one_hot(p, ["p_type"], {"p_type": EN.vocabulary(p, "p_type")}, keep=["p_partkey"])
+
+
+register("encode_onehot", """
+PIVOT (SELECT p_partkey, 'p_type_' || p_type AS k FROM part) ON k USING CAST(count(*) AS INTEGER) GROUP BY p_partkey""")(q_onehot)
+
+
+def q_ordinal(spark, sf_dir):
+    p = load(spark, sf_dir, "part")
+    return p.select("p_partkey", EN.ordinal(F.col("p_brand"), EN.vocabulary(p, "p_brand")).alias("p_brand_code"),
+                    EN.ordinal(F.col("p_type"), EN.vocabulary(p, "p_type")).alias("p_type_code"))
+
+
+register("encode_ordinal", """
+SELECT p_partkey, CAST(dense_rank() OVER (ORDER BY p_brand) - 1 AS INTEGER) AS p_brand_code,
+  CAST(dense_rank() OVER (ORDER BY p_type) - 1 AS INTEGER) AS p_type_code FROM part""")(q_ordinal)
+
+
+def q_factorize(spark, sf_dir):
+    return EN.factorize(load(spark, sf_dir, "orders"), "o_orderpriority", "o_orderkey")
+
+
+register("encode_factorize", """
+SELECT o_orderpriority, CAST(row_number() OVER (ORDER BY min(o_orderkey)) - 1 AS INTEGER) AS code FROM orders GROUP BY 1""")(
+    q_factorize)
+
+
+def q_union_encode(spark, sf_dir):
+    """ENC5: label encoding fitted on the union vocabulary of two tables, applied to both."""
+    a = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("v"),
+                                                F.lit("customer").alias("src"))
+    b = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_returnflag").alias("v"),
+                                                F.lit("lineitem").alias("src"))
+    vocab = EN.vocabulary(a, b, "v")
+    return a.unionByName(b).groupBy("src", "v").agg(F.count(F.lit(1)).alias("n")).withColumn("code", EN.ordinal(F.col("v"), vocab))
+
+
+register("encode_union_vocabulary", """
+WITH u AS (SELECT 'customer' AS src, c_mktsegment AS v FROM customer UNION ALL SELECT 'lineitem', l_returnflag FROM lineitem),
+voc AS (SELECT v, CAST(row_number() OVER (ORDER BY v) - 1 AS INTEGER) AS code FROM (SELECT DISTINCT v FROM u))
+SELECT src, v, count(*) AS n, code FROM u JOIN voc USING (v) GROUP BY src, v, code""")(q_union_encode)
+
+
+def q_decode(spark, sf_dir):
+    p = load(spark, sf_dir, "part")
+    vocab = EN.vocabulary(p, "p_type")
+    x = (F.col("p_size") / F.lit(8.0)) - F.lit(0.7)
+    return p.select("p_partkey", EN.decode_ordinal(x, vocab).alias("p_type_decoded"))
+
+
+register("encode_decode_clip", """
+WITH voc AS (SELECT list(p_type ORDER BY p_type) AS l FROM (SELECT DISTINCT p_type FROM part))
+SELECT p_partkey, l[least(greatest(CAST(round(p_size / 8.0 - 0.7) AS INTEGER), 0), len(l) - 1) + 1] AS p_type_decoded
+FROM part, voc""")(q_decode)
+
+
+def q_discretise(spark, sf_dir):
+    p = load(spark, sf_dir, "part").withColumn("p_size_small", F.col("p_size") % 7)
+    return EN.discretise(p, ["p_type", "p_size_small", "p_size", "p_retailprice"], 10, keep=["p_partkey"])
+
+
+register("encode_discretise", f"""
+SELECT p_partkey, CAST(dense_rank() OVER (ORDER BY p_type) - 1 AS INTEGER) AS p_type,
+  CAST(dense_rank() OVER (ORDER BY p_size % 7) - 1 AS INTEGER) AS p_size_small,
+  {_sql_bin('CAST(p_size AS DOUBLE)', '(SELECT CAST(min(p_size) AS DOUBLE) FROM part)', '(SELECT CAST(max(p_size) AS DOUBLE) FROM part)', 10)} AS p_size,
+  {_sql_bin('p_retailprice', '(SELECT min(p_retailprice) FROM part)', '(SELECT max(p_retailprice) FROM part)', 10)} AS p_retailprice
+FROM part""")(q_discretise)
