@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from itertools import combinations
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -1044,3 +1046,72 @@ SELECT p_partkey, CAST(dense_rank() OVER (ORDER BY p_type) - 1 AS INTEGER) AS p_
   {_sql_bin('CAST(p_size AS DOUBLE)', '(SELECT CAST(min(p_size) AS DOUBLE) FROM part)', '(SELECT CAST(max(p_size) AS DOUBLE) FROM part)', 10)} AS p_size,
   {_sql_bin('p_retailprice', '(SELECT min(p_retailprice) FROM part)', '(SELECT max(p_retailprice) FROM part)', 10)} AS p_retailprice
 FROM part""")(q_discretise)
+
+
+# ---------------------------------------------------------------- functional dependencies (FD1-FD3)
+from tabtaint.operators import fd as FD  # noqa: E402
+
+FD_PART = ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"]
+FD_NATION = ["n_nationkey", "n_name", "n_regionkey"]
+
+
+def _sql_fd(table_sql: str, cols, max_lhs: int) -> str:
+    """Minimal FDs up to ``max_lhs`` by exhaustive distinct counts (the oracle's brute force)."""
+    def card(s):
+        if not s:
+            return f"(SELECT CASE WHEN count(*) > 0 THEN 1 ELSE 0 END FROM {table_sql} t)"
+        return f"(SELECT count(*) FROM (SELECT DISTINCT {', '.join(s)} FROM {table_sql} t))"
+
+    def holds(X, A):
+        xa = tuple(sorted(X + (A,), key=cols.index))
+        return f"({card(X)} = {card(xa)})"
+    parts = []
+    for level in range(0, max_lhs + 1):
+        for X in combinations(cols, level):
+            for A in cols:
+                if A in X:
+                    continue
+                conds = [holds(X, A)]
+                if level > 0:
+                    conds.append(f"NOT {holds((), A)}")
+                for k in range(1, level):
+                    for Y in combinations(X, k):
+                        conds.append(f"NOT {holds(Y, A)}")
+                parts.append(f"SELECT '{','.join(X)}' AS lhs, '{A}' AS rhs, '{','.join(X)} -> {A}' AS fd WHERE {' AND '.join(conds)}")
+    return " UNION ALL ".join(parts)
+
+
+def q_fd_level1(spark, sf_dir):
+    return FD.fd_table(spark, [f for f in FD.discover(load(spark, sf_dir, "part"), FD_PART, max_lhs=1) if len(f[0]) == 1])
+
+
+register("fd_level1", f"SELECT * FROM ({_sql_fd('part', FD_PART, 1)}) z WHERE lhs <> ''")(q_fd_level1)
+
+
+def q_fd_discovery(spark, sf_dir):
+    p = keyed(spark, sf_dir, "part")
+    return FD.fd_table(spark, FD.discover(p, FD_PART, max_lhs=2, sample_size=500, seed=SEED, key="row_key"))
+
+
+register("fd_discovery", _sql_fd("part", FD_PART, 2))(q_fd_discovery)
+
+
+def q_fd_nation(spark, sf_dir):
+    return FD.fd_table(spark, FD.discover(load(spark, sf_dir, "nation"), FD_NATION, max_lhs=2))
+
+
+register("fd_nation", _sql_fd("nation", FD_NATION, 2))(q_fd_nation)
+
+
+def q_fd_sample(spark, sf_dir):
+    """FD3: FD discovery over 100 hash-sampled rows, reported as one JSON record."""
+    o = keyed(spark, sf_dir, "orders")
+    cols = ["o_custkey", "o_orderstatus", "o_orderpriority"]
+    small = SA.sample_rows(o, "row_key", 100, SEED, "fd-batch")
+    fds = FD.discover(small, cols, max_lhs=2)
+    return FD.fd_table(spark, fds)
+
+
+register("fd_sample_batch", _sql_fd(
+    f"(SELECT * FROM (SELECT *, row_number() OVER (ORDER BY {sql_hash(SEED, 'fd-batch', 'row_key')}) AS rn "
+    f"FROM {sql_keyed('orders')}) WHERE rn <= 100)", ["o_custkey", "o_orderstatus", "o_orderpriority"], 2))(q_fd_sample)
