@@ -1115,3 +1115,72 @@ def q_fd_sample(spark, sf_dir):
 register("fd_sample_batch", _sql_fd(
     f"(SELECT * FROM (SELECT *, row_number() OVER (ORDER BY {sql_hash(SEED, 'fd-batch', 'row_key')}) AS rn "
     f"FROM {sql_keyed('orders')}) WHERE rn <= 100)", ["o_custkey", "o_orderstatus", "o_orderpriority"], 2))(q_fd_sample)
+
+
+# ---------------------------------------------------------------- neighbours: DCR1, OUT2 (LOF)
+from tabtaint.operators import neighbors as NB  # noqa: E402
+
+
+def q_dcr(spark, sf_dir):
+    r, s = _halves(spark, sf_dir, "supplier")
+    out = NB.dcr(r, s, ["s_acctbal"], ["s_nationkey"], SEED)
+    return out.select(*[r6(F.col(c)).alias(c) for c in out.columns])
+
+
+def _dcr_sql():
+    R, S = _sql_half("supplier"), _sql_half("supplier", False)
+    u_a = sql_uniform(SEED, "gen4:s_acctbal", "range")
+    u_n = sql_uniform(SEED, "gen4:s_nationkey", "range")
+    return f"""
+WITH r AS (SELECT * FROM {R}), s AS (SELECT * FROM {S}),
+mm AS (SELECT CAST(min(s_acctbal) AS DOUBLE) AS lo, CAST(max(s_acctbal) AS DOUBLE) AS hi FROM r),
+v AS (SELECT val, row_number() OVER (ORDER BY {sql_hash(SEED, 'gen4:s_nationkey:order', 'val')}) AS rn
+      FROM (SELECT DISTINCT s_nationkey AS val FROM r WHERE s_nationkey IS NOT NULL)),
+rnd AS (SELECT range AS k, lo + {u_a} * (hi - lo) AS s_acctbal,
+        (SELECT val FROM v WHERE rn = CAST(floor({u_n} * (SELECT count(*) FROM v)) AS BIGINT) + 1) AS s_nationkey
+        FROM range((SELECT count(*) FROM s)), mm),
+dist_s AS (SELECT s.row_key AS k, min((least(abs(s.s_acctbal / (mm.hi - mm.lo) - r.s_acctbal / (mm.hi - mm.lo)), 1.0)
+             + CASE WHEN s.s_nationkey = r.s_nationkey THEN 0.0 ELSE 1.0 END) / 2) AS d FROM s, r, mm GROUP BY 1),
+dist_r AS (SELECT x.k, min((least(abs(x.s_acctbal / (mm.hi - mm.lo) - r.s_acctbal / (mm.hi - mm.lo)), 1.0)
+             + CASE WHEN x.s_nationkey = r.s_nationkey THEN 0.0 ELSE 1.0 END) / 2) AS d FROM rnd x, r, mm GROUP BY 1),
+m AS (SELECT (SELECT median(d) FROM dist_s) AS ms, (SELECT median(d) FROM dist_r) AS mr)
+SELECT round(CASE WHEN mr = 0 THEN 1.0 ELSE least(1.0, ms / mr) END, 6) AS score, round(ms, 6) AS median_dcr_synthetic,
+  round(mr, 6) AS median_dcr_random FROM m"""
+
+
+register("dcr_score", _dcr_sql())(q_dcr)
+
+
+def q_lof(spark, sf_dir):
+    out = NB.lof(keyed(spark, sf_dir, "supplier"), ["s_acctbal"], ["s_nationkey"], k=20)
+    return out.select("row_key", r6(F.col("lof")).alias("lof"), "is_outlier")
+
+
+register("lof_scores", f"""
+WITH f AS (SELECT row_key, s_acctbal AS a, s_nationkey AS n FROM {sql_keyed('supplier')}),
+d AS (SELECT p.row_key AS q, o.row_key AS nk,
+      CASE WHEN p.n = o.n THEN sqrt((p.a - o.a) * (p.a - o.a)) ELSE sqrt(((p.a - o.a) * (p.a - o.a) + 1.0) + 1.0) END AS dist
+      FROM f p JOIN f o ON p.row_key <> o.row_key),
+nn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY dist, nk) AS rk FROM d) WHERE rk <= 20),
+kd AS (SELECT q AS nk, dist AS kd FROM nn WHERE rk = 20),
+reach AS (SELECT nn.q, greatest(kd.kd, nn.dist) AS r FROM nn JOIN kd USING (nk)),
+lrd AS (SELECT q, 1.0 / (avg(r) + 1e-10) AS lrd FROM reach GROUP BY q),
+lf AS (SELECT nn.q, avg(l2.lrd / l1.lrd) AS lof FROM nn JOIN lrd l2 ON l2.q = nn.nk JOIN lrd l1 ON l1.q = nn.q GROUP BY nn.q)
+SELECT q AS row_key, round(lof, 6) AS lof, lof > 1.5 AS is_outlier FROM lf""")(q_lof)
+
+
+def q_lof_embeddings(spark, sf_dir):
+    """LOF on the 64-dim embedding vectors (k=20), outlier count per label."""
+    e = load(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("row_key"), "label",
+                                                  F.col("embedding").cast("array<double>").alias("_f"))
+    nn = NB.knn(e, e, 20, exclude_self=True)
+    kd = nn.where(F.col("rank") == 20).select(F.col("qkey").alias("nkey"), F.col("dist").alias("kd"))
+    reach = nn.join(kd, "nkey").withColumn("reach", F.greatest("kd", "dist"))
+    lrd = reach.groupBy("qkey").agg((F.lit(1.0) / (F.avg("reach") + F.lit(1e-10))).alias("lrd"))
+    lof = (nn.join(lrd.select(F.col("qkey").alias("nkey"), F.col("lrd").alias("lo")), "nkey").join(lrd, "qkey")
+           .groupBy("qkey").agg(F.avg(F.col("lo") / F.col("lrd")).alias("lof")))
+    return (lof.join(e.select(F.col("row_key").alias("qkey"), "label"), "qkey")
+            .groupBy("label").agg(F.count_if(F.col("lof") > 1.5).alias("outliers"), F.count(F.lit(1)).alias("rows")))
+
+
+register("lof_embeddings", None)(q_lof_embeddings)
