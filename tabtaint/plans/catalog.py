@@ -1184,3 +1184,28 @@ def q_lof_embeddings(spark, sf_dir):
 
 
 register("lof_embeddings", None)(q_lof_embeddings)
+
+
+# ---------------------------------------------------------------- OUT1 isolation forest (rows-only check)
+from tabtaint.operators import iforest as IF  # noqa: E402
+
+
+def q_iforest(spark, sf_dir):
+    ev = keyed(spark, sf_dir, "events")
+    return IF.isolation_forest(ev, ["value", "user_id"], ["event_type"], 100, 256, SEED).select(
+        "row_key", F.round("score", 6).alias("score"), "is_outlier")
+
+
+register("iforest_scores", None)(q_iforest)
+
+
+def q_outlier_counts(spark, sf_dir):
+    """OUT3: outlier counts of both detectors per dataset, as one report table."""
+    sup = keyed(spark, sf_dir, "supplier")
+    lof_n = NB.lof(sup, ["s_acctbal"], ["s_nationkey"]).agg(F.count_if("is_outlier").alias("result"))
+    if_n = IF.isolation_forest(sup, ["s_acctbal"], ["s_nationkey"], 100, 256, SEED).agg(F.count_if("is_outlier").alias("result"))
+    return (lof_n.select(F.lit("supplier").alias("dataset"), F.lit("LOF").alias("method"), "result")
+            .unionByName(if_n.select(F.lit("supplier").alias("dataset"), F.lit("IFO").alias("method"), "result")))
+
+
+register("outlier_discovery_report", None)(q_outlier_counts)
