@@ -1209,3 +1209,107 @@ def q_outlier_counts(spark, sf_dir):
 
 
 register("outlier_discovery_report", None)(q_outlier_counts)
+
+
+# ---------------------------------------------------------------- model evaluators (rows-only checks)
+from tabtaint.operators import models as MD  # noqa: E402
+
+
+def q_detect_logistic(spark, sf_dir):
+    r, s = _halves(spark, sf_dir, "customer")
+    return MD.detection(r, s, ["c_acctbal"], ["c_nationkey", "c_mktsegment"], SEED, "logistic")
+
+
+def q_detect_svc(spark, sf_dir):
+    r, s = _halves(spark, sf_dir, "customer")
+    return MD.detection(r, s, ["c_acctbal"], ["c_nationkey", "c_mktsegment"], SEED, "svc")
+
+
+register("detect_logistic", None)(q_detect_logistic)
+register("detect_svc", None)(q_detect_svc)
+
+
+def _doc_features(spark, sf_dir):
+    d = load(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
+    lab = load(spark, sf_dir, "labels")
+    return keyed(spark, sf_dir, "labels").join(d, "doc_id").select("row_key", "lang", "source", "n_chars", "quality", "toxic")
+
+
+def q_eff_binary(spark, sf_dir):
+    """ML1 binary: AdaBoost stumps trained on a synthetic table (GEN6 per-class), tested on real."""
+    real = _doc_features(spark, sf_dir)
+    syn = G.per_class(real, ["lang", "source", "n_chars"], "quality", 400, SEED)
+    return MD.efficacy(syn, real, ["n_chars"], ["lang", "source"], "quality", "classification", SEED, ada_rounds=50)
+
+
+def q_eff_multiclass(spark, sf_dir):
+    r, s = _halves(spark, sf_dir, "customer")
+    syn = G.marginal(s, ["c_nationkey", "c_acctbal", "c_mktsegment"], 700, SEED)
+    return MD.efficacy(syn, r, ["c_acctbal"], ["c_nationkey"], "c_mktsegment", "classification", SEED)
+
+
+def q_eff_regression(spark, sf_dir):
+    r, s = _halves(spark, sf_dir, "orders")
+    return MD.efficacy(s, r, ["o_custkey"], ["o_orderstatus", "o_orderpriority"], "o_totalprice", "regression", SEED)
+
+
+register("ml_efficacy_binary", None)(q_eff_binary)
+register("ml_efficacy_multiclass", None)(q_eff_multiclass)
+register("ml_efficacy_regression", None)(q_eff_regression)
+
+
+def _aug_inputs(spark, sf_dir):
+    real = _doc_features(spark, sf_dir)
+    sp = SP.stratified_split(real, "row_key", "quality", 0.3, seed=SEED)
+    train, valid = sp.where("split = 'train'").drop("split"), sp.where("split = 'test'").drop("split")
+    syn = G.per_class(train, ["lang", "source", "n_chars"], "quality", 300, SEED).withColumn("toxic", F.lit(0)) \
+        .withColumn("row_key", F.concat(F.lit("syn-"), F.col("draw_id").cast("string"))).drop("draw_id")
+    minority = P.minority_label(train, "quality").first()["minority_label"]
+    return train, syn.select(*train.columns), valid, minority
+
+
+def q_aug_precision(spark, sf_dir):
+    t, s, v, mino = _aug_inputs(spark, sf_dir)
+    return MD.augmentation_classification(t, s, v, ["n_chars"], ["lang", "source"], "quality", mino, "recall", 0.9, SEED)
+
+
+def q_aug_recall(spark, sf_dir):
+    t, s, v, mino = _aug_inputs(spark, sf_dir)
+    return MD.augmentation_classification(t, s, v, ["n_chars"], ["lang", "source"], "quality", mino, "precision", 0.9, SEED)
+
+
+register("ml_aug_precision", None)(q_aug_precision)
+register("ml_aug_recall", None)(q_aug_recall)
+
+
+def q_aug_regression(spark, sf_dir):
+    o = keyed(spark, sf_dir, "orders")
+    sp = SP.regression_split(o, "row_key", "o_totalprice", 0.25, seed=SEED)
+    train, valid = sp.where("split = 'train'").drop("split"), sp.where("split = 'test'").drop("split")
+    cols = ["o_custkey", "o_orderstatus", "o_orderpriority", "o_totalprice"]
+    syn = G.marginal(train, cols, 2000, SEED)
+    return MD.augmentation_regression(train.select(*cols), syn.select(*cols), valid.select(*cols), ["o_custkey"],
+                                      ["o_orderstatus", "o_orderpriority"], "o_totalprice", SEED, num_trees=100)
+
+
+register("ml_aug_regression", None)(q_aug_regression)
+
+
+def q_utility(spark, sf_dir):
+    """ML5: weighted F1 of RF(50) trained on a synthetic table from the corrupted 'No cleaning'
+    scenario, scored on the held-out split, for every scenario (the worked example's loop)."""
+    o = keyed(spark, sf_dir, "orders")
+    sp = SP.stratified_split(o, "row_key", SC_TARGET, test_size=0.5, seed=SEED)
+    src, held = sp.where("split = 'train'").drop("split"), sp.where("split = 'test'").drop("split")
+    sc = SC.ScenarioCorruptor(src, "row_key", SC_TARGET, SC_NUM, SC_CAT, SEED)
+    rows = []
+    cols = SC_NUM + SC_CAT + [SC_TARGET]
+    for name, active in SC.SCENARIOS.items():
+        dirty = sc.corrupted(active)
+        syn = G.marginal(dirty, cols, 1000, SEED)
+        f1 = MD.utility_f1(syn.select(*cols), held.select(*cols), SC_NUM, SC_CAT, SC_TARGET)
+        rows.append(("marginal_distributions", name, float(f1)))
+    return spark.createDataFrame(rows, "model string, scenario string, score double")
+
+
+register("ml_utility_scenarios", None)(q_utility)
