@@ -1313,3 +1313,179 @@ def q_utility(spark, sf_dir):
 
 
 register("ml_utility_scenarios", None)(q_utility)
+
+
+# ---------------------------------------------------------------- grid, ledger, ids, results (GRD*, JN1/2/8, STR*, RES*)
+from tabtaint.plans import grid as GR  # noqa: E402
+from tabtaint.functions.strings import decode_experiment_id  # noqa: E402
+
+
+def _datasets(spark, sf_dir):
+    return load(spark, sf_dir, "region").select(F.col("r_name").alias("dataset_name"))
+
+
+def _problem_types(spark, sf_dir):
+    return load(spark, sf_dir, "region").select(
+        F.col("r_name").alias("dataset_name"),
+        F.when(F.col("r_regionkey") % 2 == 0, "classification").otherwise("regression").alias("problem_type"))
+
+
+def _sql_list(vals):
+    return "[" + ", ".join(f"'{v}'" if isinstance(v, str) else repr(v) for v in vals) + "]"
+
+
+def _sql_eid(t, d, seed, perf, err, rate, gen):
+    return (f"concat_ws('#', {t}, {d}, CAST({seed} AS VARCHAR), {perf}, coalesce({err}, 'NULL'), "
+            f"coalesce(CAST(CAST(round({rate} * 100) AS INTEGER) AS VARCHAR), 'NULL'), {gen})")
+
+
+_SQL_PERFECT = f"""SELECT {_sql_eid("'NOR'", 'r_name', 'seed', "'PERF'", 'NULL', 'NULL', 'gen')} AS experiment_id,
+  'NOR' AS experiment_type, r_name AS dataset_name, CAST(seed AS BIGINT) AS random_seed, 'PERF' AS data_perfectness,
+  CAST(NULL AS VARCHAR) AS data_error, CAST(NULL AS DOUBLE) AS error_rate, gen AS generator
+FROM region, unnest({_sql_list(GR.DEFAULT_SEEDS)}) s(seed), unnest({_sql_list(GR.models())}) m(gen)"""
+
+_SQL_IMPERFECT = f"""SELECT {_sql_eid("'NOR'", 'r_name', 'seed', 'lvl', 'err', 'rate', 'gen')} AS experiment_id,
+  'NOR' AS experiment_type, r_name AS dataset_name, CAST(seed AS BIGINT) AS random_seed, lvl AS data_perfectness,
+  err AS data_error, CAST(rate AS DOUBLE) AS error_rate, gen AS generator
+FROM region, unnest({_sql_list(GR.DEFAULT_SEEDS)}) s(seed), unnest({_sql_list(GR.models())}) m(gen),
+  unnest({_sql_list(GR.ERROR_TYPES)}) e(err), unnest([0.1::DOUBLE, 0.2::DOUBLE, 0.4::DOUBLE]) r(rate), unnest(['IMP', 'SEMI']) l(lvl)
+WHERE NOT (lvl = 'SEMI' AND (abs(rate - 0.4) > 1e-9 OR err = 'DUP'))"""
+
+
+def q_grid_perfect(spark, sf_dir):
+    return GR.perfect_grid(_datasets(spark, sf_dir))
+
+
+def q_grid_imperfect(spark, sf_dir):
+    return GR.imperfect_grid(_datasets(spark, sf_dir))
+
+
+register("grid_perfect", _SQL_PERFECT)(q_grid_perfect)
+register("grid_imperfect", _SQL_IMPERFECT)(q_grid_imperfect)
+
+
+def _sql_tasks(skipped=False):
+    single = [m for m in GR.QUALITY_METHODS + GR.ML_METHODS if m in GR.SINGULAR_METHODS]
+    dual = [m for m in GR.QUALITY_METHODS + GR.ML_METHODS if m in GR.DUAL_METHODS]
+    vals = [f"('{m}', '{t[0]}', NULL)" for m in single for t in GR.SINGULAR_TARGETS] + \
+           [f"('{m}', '{t[0]}', '{t[1]}')" for m in dual for t in GR.DUAL_TARGETS]
+    base = f"""WITH g AS ({_SQL_IMPERFECT}),
+pt AS (SELECT r_name AS dataset_name, CASE WHEN r_regionkey % 2 = 0 THEN 'classification' ELSE 'regression' END AS problem_type FROM region),
+t AS (SELECT * FROM (VALUES {', '.join(vals)}) v(method, first_target, second_target)),
+x AS (SELECT g.*, pt.problem_type, t.*, concat_ws('#', t.method, t.first_target, coalesce(t.second_target, 'NULL')) AS evaluation_id,
+        (g.data_error IS NOT NULL AND t.first_target IN ('R', 'S') AND coalesce(t.second_target IN ('R', 'S'), true)
+         AND abs(g.error_rate - 0.1) > 1e-9) AS rep
+      FROM g LEFT JOIN pt USING (dataset_name), t
+      WHERE NOT ((t.method IN ('APR', 'ARC') AND pt.problem_type <> 'classification') OR (t.method = 'AR2' AND pt.problem_type <> 'regression')))"""
+    if skipped:
+        return base + f" SELECT evaluation_id || '/' || experiment_id AS computation_id, '{GR.BASELINE_REASON.format(rate=0.1)}' AS reason FROM x WHERE rep"
+    return base + " SELECT evaluation_id, experiment_id, method, first_target, second_target FROM x WHERE NOT rep"
+
+
+def q_tasks(spark, sf_dir):
+    return GR.evaluation_tasks(GR.imperfect_grid(_datasets(spark, sf_dir)), _problem_types(spark, sf_dir))[0]
+
+
+def q_tasks_skipped(spark, sf_dir):
+    return GR.evaluation_tasks(GR.imperfect_grid(_datasets(spark, sf_dir)), _problem_types(spark, sf_dir))[1]
+
+
+register("grid_evaluation_tasks", _sql_tasks())(q_tasks)
+register("grid_skipped_baselines", _sql_tasks(True))(q_tasks_skipped)
+
+
+def q_pending(spark, sf_dir):
+    """JN1 / GRD5: ledgers derived from the grid itself (seed 100 done, 'great' at 200 failed, 'ddpm' at 300 skipped)."""
+    g = GR.perfect_grid(_datasets(spark, sf_dir))
+    exp = g.where("random_seed = 100").select("experiment_id")
+    err = g.where("random_seed = 200 AND generator = 'great'").select("experiment_id")
+    skp = g.where("random_seed = 300 AND generator = 'ddpm'").select(F.col("experiment_id").alias("computation_id"))
+    return GR.pending_experiments(g, exp, err, skp)
+
+
+register("ledger_pending_experiments", f"""
+WITH g AS ({_SQL_PERFECT})
+SELECT * FROM g WHERE experiment_id NOT IN (
+  SELECT experiment_id FROM g WHERE random_seed = 100 UNION ALL
+  SELECT experiment_id FROM g WHERE random_seed = 200 AND generator = 'great' UNION ALL
+  SELECT experiment_id FROM g WHERE random_seed = 300 AND generator = 'ddpm')""")(q_pending)
+
+
+def q_pending_evals(spark, sf_dir):
+    tasks = q_tasks(spark, sf_dir)
+    done = tasks.where("method = 'QLT' OR first_target = 'RH'").select("evaluation_id", "experiment_id")
+    return GR.pending_evaluations(tasks, done)
+
+
+register("ledger_pending_evaluations", f"""
+WITH tk AS ({_sql_tasks()}) SELECT * FROM tk WHERE NOT (method = 'QLT' OR first_target = 'RH')""")(q_pending_evals)
+
+
+def q_counterparts(spark, sf_dir):
+    d = _datasets(spark, sf_dir)
+    return GR.perfect_counterparts(GR.perfect_grid(d).unionByName(GR.imperfect_grid(d)))
+
+
+register("experiment_counterparts", f"""
+WITH a AS ({_SQL_PERFECT} UNION ALL {_SQL_IMPERFECT})
+SELECT i.experiment_id, p.experiment_id AS perfect_experiment_id FROM a i LEFT JOIN a p
+  ON p.data_perfectness = 'PERF' AND p.experiment_type = i.experiment_type AND p.dataset_name = i.dataset_name
+  AND p.random_seed = i.random_seed AND p.generator = i.generator
+WHERE i.data_perfectness <> 'PERF'""")(q_counterparts)
+
+
+def q_id_codec(spark, sf_dir):
+    g = GR.imperfect_grid(_datasets(spark, sf_dir))
+    return g.select("experiment_id", *decode_experiment_id(F.col("experiment_id")))
+
+
+register("id_codec", f"""
+SELECT experiment_id, nullif(split_part(experiment_id, '#', 1), 'NULL') AS experiment_type,
+  nullif(split_part(experiment_id, '#', 2), 'NULL') AS dataset_name, CAST(nullif(split_part(experiment_id, '#', 3), 'NULL') AS BIGINT) AS random_seed,
+  nullif(split_part(experiment_id, '#', 4), 'NULL') AS data_perfectness, nullif(split_part(experiment_id, '#', 5), 'NULL') AS data_error,
+  CAST(nullif(split_part(experiment_id, '#', 6), 'NULL') AS INTEGER) / 100.0 AS error_rate, nullif(split_part(experiment_id, '#', 7), 'NULL') AS generator
+FROM ({_SQL_IMPERFECT})""")(q_id_codec)
+
+
+# results ledger stand-in read from the data: model = order status, scenario = priority
+def _results(spark, sf_dir):
+    return (load(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("model"), F.col("o_orderpriority").alias("scenario"))
+            .agg(F.round(F.avg("o_totalprice") / 100000.0, 6).alias("score")))
+
+
+_SQL_RESULTS = ("SELECT o_orderstatus AS model, o_orderpriority AS scenario, round(avg(o_totalprice) / 100000.0, 6) AS score "
+                "FROM orders GROUP BY 1, 2")
+
+
+def q_pivot(spark, sf_dir):
+    return GR.score_matrix(_results(spark, sf_dir))
+
+
+register("result_pivot", f"PIVOT ({_SQL_RESULTS}) ON scenario USING first(score) GROUP BY model")(q_pivot)
+
+
+def q_best(spark, sf_dir):
+    return GR.best_scenario(_results(spark, sf_dir), exclude=("3-MEDIUM",))
+
+
+register("best_scenario", f"""SELECT model, arg_max(scenario, score) AS best_scenario, max(score) AS best_score
+FROM ({_SQL_RESULTS}) WHERE scenario <> '3-MEDIUM' GROUP BY model""")(q_best)
+
+
+def q_gap(spark, sf_dir):
+    return GR.baseline_gap(_results(spark, sf_dir), baseline="3-MEDIUM").withColumn("gap", r6(F.col("gap")))
+
+
+register("baseline_gap", f"""WITH r AS ({_SQL_RESULTS})
+SELECT a.model, a.scenario, a.score, round(a.score - b.score, 6) AS gap FROM r a JOIN r b ON a.model = b.model AND b.scenario = '3-MEDIUM'
+WHERE a.scenario <> '3-MEDIUM'""")(q_gap)
+
+
+def q_task_json(spark, sf_dir):
+    t = q_tasks(spark, sf_dir).where("method = 'LOF'")
+    return GR.task_json(t).select("evaluation_id", "experiment_id", "task")
+
+
+register("task_json", f"""WITH tk AS ({_sql_tasks()})
+SELECT evaluation_id, experiment_id, '{{"evaluation_id":"' || evaluation_id || '","experiment_id":"' || experiment_id || '","params":{{}}}}' AS task
+FROM tk WHERE method = 'LOF'""")(q_task_json)
