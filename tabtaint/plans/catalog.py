@@ -1489,3 +1489,63 @@ def q_task_json(spark, sf_dir):
 register("task_json", f"""WITH tk AS ({_sql_tasks()})
 SELECT evaluation_id, experiment_id, '{{"evaluation_id":"' || evaluation_id || '","experiment_id":"' || experiment_id || '","params":{{}}}}' AS task
 FROM tk WHERE method = 'LOF'""")(q_task_json)
+
+
+# ---------------------------------------------------------------- streaming (STM1, STM2)
+from tabtaint.streaming import tasks as ST  # noqa: E402
+from tabtaint.streaming import corrupt_stream as CS  # noqa: E402
+
+
+def q_stream_tasks(spark, sf_dir):
+    """STM1: LOF tasks of the grid published twice (duplicates), QLT-free ledger of RH tasks;
+    the stream dedups, marks done/pending and the result is read back from the sink."""
+    tasks = q_tasks(spark, sf_dir).where("method = 'LOF'")
+    src = ST.scratch(spark, "task-source")
+    recs = tasks.select("evaluation_id", "experiment_id", F.create_map().cast("map<string,string>").alias("params"))
+    recs.write.mode("overwrite").json(f"{src}/a")
+    recs.write.mode("overwrite").json(f"{src}/b")   # every task published twice
+    ledger = tasks.where("first_target = 'RH'").select("evaluation_id", "experiment_id")
+    out, ck = ST.scratch(spark, "task-sink"), ST.scratch(spark, "task-ckpt")
+    ST.run_task_stream(spark, f"{src}/*", ledger, out, ck)
+    return spark.read.parquet(out).select("evaluation_id", "experiment_id", "state")
+
+
+register("stream_tasks_dedup", f"""WITH tk AS ({_sql_tasks()})
+SELECT DISTINCT evaluation_id, experiment_id, CASE WHEN first_target = 'RH' THEN 'done' ELSE 'pending' END AS state
+FROM tk WHERE method = 'LOF'""")(q_stream_tasks)
+
+
+def q_stream_corrupt(spark, sf_dir):
+    """STM2: Gaussian noise on the events stream (rate 0.1) with a plan frozen on the table."""
+    spec = SPECS["events"]
+    batch = keyed(spark, sf_dir, "events")
+    plan = CS.fit_plan(batch, spec, "NOI", 0.1, 1.0, seed=SEED)
+    stream = (spark.readStream.schema(load(spark, sf_dir, "events").schema)
+              .option("pathGlobFilter", "events.parquet").parquet(sf_dir))
+    stream = stream.withColumn("row_key", F.col("event_id").cast("string"))
+    out, ck = ST.scratch(spark, "stream-out"), ST.scratch(spark, "stream-ckpt")
+    q = (CS.apply_plan(stream, plan).writeStream.format("parquet").option("path", out)
+         .option("checkpointLocation", ck).trigger(availableNow=True).start())
+    q.awaitTermination()
+    res = spark.read.parquet(out)
+    return res.select("event_id", F.round("value", 4).alias("value"), "user_id", "event_type", "row_key")
+
+
+def _stream_corrupt_sql():
+    spec = SPECS["events"]
+    cols = C.choose_columns(spec, "NOI", 1.0, SEED)
+    sel = {}
+    for c in cols:
+        s = C.NOISE_SCALE_MIN + py_uniform(SEED, f"noi-scale:{c}", "") * (C.NOISE_SCALE_MAX - C.NOISE_SCALE_MIN)
+        noise = f"({sql_normal(SEED, f'noi:{c}', 'row_key')} * ({s!r} * (SELECT stddev_pop({c}) FROM events)))"
+        hit = f"{sql_uniform(SEED, 'rows', 'row_key')} < 0.1"
+        if c in _INTEGRAL["events"]:
+            sel[c] = f"CASE WHEN {hit} THEN CAST({c} AS BIGINT) + greatest(CAST(trunc({noise}) AS BIGINT), 1) ELSE CAST({c} AS BIGINT) END"
+        else:
+            sel[c] = f"CASE WHEN {hit} THEN CAST({c} AS DOUBLE) + {noise} ELSE CAST({c} AS DOUBLE) END"
+    v = f"round({sel.get('value', 'value')}, 4)"
+    u = sel.get("user_id", "user_id")
+    return f"SELECT event_id, {v} AS value, {u} AS user_id, event_type, row_key FROM {sql_keyed('events')}"
+
+
+register("stream_corrupt", _stream_corrupt_sql())(q_stream_corrupt)
