@@ -1549,3 +1549,81 @@ def _stream_corrupt_sql():
 
 
 register("stream_corrupt", _stream_corrupt_sql())(q_stream_corrupt)
+
+
+# ---------------------------------------------------------------- sources and sinks (SRC*, SNK*)
+from tabtaint.sources import readers as RD  # noqa: E402
+from tabtaint.sources import sinks as SK  # noqa: E402
+
+
+def q_csv_roundtrip(spark, sf_dir):
+    """SNK1/SRC2: customer written as CSV with a header, read back with supplied names/types."""
+    path = ST.scratch(spark, "csv")
+    load(spark, sf_dir, "customer").write.option("header", True).csv(path)
+    names = [("c_custkey", "bigint"), ("c_name", "string"), ("c_nationkey", "int"), ("c_acctbal", "double"),
+             ("c_mktsegment", "string")]
+    return RD.read_csv_named(spark, path, names, header=True)
+
+
+register("source_csv_named", "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")(q_csv_roundtrip)
+
+
+def q_name_list(spark, sf_dir):
+    """SRC7: a list file with comments and blank lines, from the region names."""
+    path = ST.scratch(spark, "names")
+    r = load(spark, sf_dir, "region")
+    lines = r.select(F.explode(F.array(F.concat(F.lit("  "), F.col("r_name")), F.lit(""), F.concat(F.lit("# "), F.col("r_name"))))
+                     .alias("value"))
+    lines.write.text(path)
+    return RD.read_name_list(spark, path)
+
+
+register("source_name_list", "SELECT r_name AS name FROM region")(q_name_list)
+
+
+def q_discover(spark, sf_dir):
+    """SRC6: dataset discovery by file listing (contents never read)."""
+    return RD.discover_datasets(spark, sf_dir).select("name")
+
+
+register("source_discovery", None)(q_discover)
+
+
+def q_json_tasks(spark, sf_dir):
+    """SNK3/SRC8: task records written as JSON and read back with the task schema."""
+    path = ST.scratch(spark, "json")
+    t = q_tasks(spark, sf_dir).where("method = 'QLT'").select("evaluation_id", "experiment_id",
+                                                                F.create_map(F.lit("method"), F.col("method")).alias("params"))
+    SK.write_json(t, path)
+    return RD.read_json_records(spark, path, ST.TASK_SCHEMA, multiline=False).select(
+        "evaluation_id", "experiment_id", F.col("params")["method"].alias("method"))
+
+
+register("source_json_records", f"WITH tk AS ({_sql_tasks()}) SELECT evaluation_id, experiment_id, method FROM tk WHERE method = 'QLT'")(
+    q_json_tasks)
+
+
+def q_metadata(spark, sf_dir):
+    """SNK6 + SRC5: per-dataset metadata as key/value rows, pivoted back."""
+    n = load(spark, sf_dir, "nation").select(SK.safe_table_name(F.col("n_name")).alias("dataset"), "n_regionkey")
+    kv = n.select("dataset", F.explode(F.array(
+        F.struct(F.lit("name").alias("key"), F.col("dataset").alias("value")),
+        F.struct(F.lit("problem_type").alias("key"),
+                 F.when(F.col("n_regionkey") % 2 == 0, "classification").otherwise("regression").alias("value")),
+        F.struct(F.lit("target_feature").alias("key"), F.lit("target").alias("value")))).alias("kv")).select("dataset", "kv.*")
+    return RD.metadata_table(kv)
+
+
+register("metadata_pivot", """
+SELECT lower(translate(n_name, '- ', '__')) AS dataset, NULL::VARCHAR AS categorical_features, lower(translate(n_name, '- ', '__')) AS name,
+  CASE WHEN n_regionkey % 2 = 0 THEN 'classification' ELSE 'regression' END AS problem_type, 'target' AS target_feature FROM nation""")(q_metadata)
+
+
+def q_object_path(spark, sf_dir):
+    g = GR.imperfect_grid(_datasets(spark, sf_dir))
+    parts = F.split("experiment_id", "#")
+    return g.select("experiment_id", SK.object_path(*[parts.getItem(i) for i in range(7)]).alias("path"))
+
+
+register("object_path", f"""SELECT experiment_id, replace(replace(experiment_id, '#NULL', ''), '#', '/') AS path FROM ({_SQL_IMPERFECT})""")(
+    q_object_path)
