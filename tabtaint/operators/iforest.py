@@ -93,21 +93,22 @@ def score(df: DataFrame, forest: pd.DataFrame, psi: int, numeric, categorical, k
     spark = df.sparkSession
     X = onehot_features(df, numeric, categorical, vocab).select(F.col(key).cast("string").alias(key), "_f")
     trees = {t: g.sort_values("node") for t, g in forest.groupby("tree")}
+    # path length of a leaf = its depth + c(size): precomputed per node
     packed = {t: (g["feature"].to_numpy(), g["threshold"].to_numpy(), g["left"].to_numpy(), g["right"].to_numpy(),
-                  g["size"].to_numpy(), g["depth"].to_numpy()) for t, g in trees.items()}
+                  g["depth"].to_numpy() + np.array([c_factor(float(v)) for v in g["size"]]))
+              for t, g in trees.items()}
     bc = spark.sparkContext.broadcast(packed)
     cpsi = c_factor(psi)
     n_trees = len(packed)
 
     def run(it):
         forest_ = bc.value
-        cvec = np.vectorize(c_factor)
         for pdf in it:
             if len(pdf) == 0:
                 continue
             Xb = np.array(pdf["_f"].tolist(), dtype=float)
             total = np.zeros(len(pdf))
-            for f, th, l, r, s, d in forest_.values():
+            for f, th, l, r, adj in forest_.values():
                 node = np.zeros(len(pdf), dtype=int)
                 active = f[node] >= 0
                 while active.any():
@@ -116,7 +117,7 @@ def score(df: DataFrame, forest: pd.DataFrame, psi: int, numeric, categorical, k
                     go_left = Xb[idx, fi] < th[node[idx]]
                     node[idx] = np.where(go_left, l[node[idx]], r[node[idx]])
                     active = f[node] >= 0
-                total += d[node] + cvec(s[node].astype(float))
+                total += adj[node]
             mean_h = total / max(n_trees, 1)
             sc = np.power(2.0, -mean_h / cpsi) if cpsi > 0 else np.full(len(pdf), 0.5)
             yield pd.DataFrame({key: pdf[key], "score": sc})

@@ -68,3 +68,29 @@ def auc_from_counts(df: DataFrame, score_col: str, pos_col: str, neg_col: str) -
         P += r["pos"]
         N += r["neg"]
     return acc / (P * N) if P > 0 and N > 0 else float("nan")
+
+
+def max_abs_prefix_by_group(df: DataFrame, group_col: str, order_col: str, step_col: str) -> dict:
+    """:func:`max_abs_prefix` for every group at once (one range-partitioned pass)."""
+    parts = df.select(group_col, order_col, step_col).repartitionByRange(_partitions(df), group_col, order_col) \
+        .sortWithinPartitions(group_col, order_col)
+
+    def fold(it):
+        for pdf in it:
+            if len(pdf) == 0:
+                continue
+            for g, sub in pdf.groupby(group_col, sort=False):
+                c = sub[step_col].astype("int64").cumsum()
+                yield pd.DataFrame({"g": [g], "first": [sub[order_col].iloc[0]], "total": [int(c.iloc[-1])],
+                                    "hi": [int(c.max())], "lo": [int(c.min())]})
+    schema = (f"g {df.schema[group_col].dataType.simpleString()}, first {df.schema[order_col].dataType.simpleString()}, "
+              "total long, hi long, lo long")
+    rows = parts.mapInPandas(fold, schema).collect()       # a few records per partition and group
+    out: dict = {}
+    for g in {r["g"] for r in rows}:
+        best, off = 0, 0
+        for r in sorted((r for r in rows if r["g"] == g), key=lambda r: r["first"]):
+            best = max(best, abs(off + r["hi"]), abs(off + r["lo"]))
+            off += r["total"]
+        out[g] = best
+    return out

@@ -16,7 +16,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabtaint.operators.ordered import max_abs_prefix
+from tabtaint.operators.ordered import max_abs_prefix, max_abs_prefix_by_group
 from tabtaint.operators.profile import equal_width_bin
 
 N_BINS = 10
@@ -104,9 +104,33 @@ def contingency_similarity(real: DataFrame, syn: DataFrame, numeric, categorical
         (F.lit(1.0) - F.lit(0.5) * F.sum(F.abs(F.col("nr") / F.col("tr") - F.col("ns") / F.col("ts")))).alias("score"))
 
 
+def ks_complements(real: DataFrame, syn: DataFrame, columns) -> dict:
+    """QLT2 for several numeric columns: one count job and one range-partitioned fold."""
+    columns = list(columns)
+    if not columns:
+        return {}
+    def long(df, tag):
+        return df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v"))
+                                             for c in columns])).alias("x")).select("x.*", F.lit(tag).alias("src")) \
+            .where(F.col("v").isNotNull())
+    u = long(real, "r").unionByName(long(syn, "s"))
+    cnt = {r["column"]: (r["n"], r["m"]) for r in u.groupBy("column").agg(
+        F.count_if(F.col("src") == "r").alias("n"), F.count_if(F.col("src") == "s").alias("m")).collect()}
+    nm = {c: cnt.get(c, (0, 0)) for c in columns}
+    nmap = F.create_map(*[x for c in columns for x in (F.lit(c), F.lit(nm[c][0]))])
+    mmap = F.create_map(*[x for c in columns for x in (F.lit(c), F.lit(nm[c][1]))])
+    per = u.groupBy("column", "v").agg(
+        (F.count_if(F.col("src") == "r") * F.element_at(mmap, F.col("column"))
+         - F.count_if(F.col("src") == "s") * F.element_at(nmap, F.col("column"))).alias("step"))
+    d = max_abs_prefix_by_group(per, "column", "v", "step")
+    return {c: (1.0 - d.get(c, 0) / float(nm[c][0] * nm[c][1])) if nm[c][0] and nm[c][1] else float("nan")
+            for c in columns}
+
+
 def column_shapes(real: DataFrame, syn: DataFrame, numeric, categorical) -> DataFrame:
     spark = real.sparkSession
-    rows = [(c, "KSComplement", ks_complement(real, syn, c)) for c in numeric]
+    ks = ks_complements(real, syn, numeric)
+    rows = [(c, "KSComplement", ks[c]) for c in numeric]
     num = spark.createDataFrame(rows, "column string, metric string, score double")
     if categorical:
         cat = tv_complement(real, syn, categorical).select("column", F.lit("TVComplement").alias("metric"), "score")

@@ -90,30 +90,48 @@ def content_text(df: DataFrame, cols=None):
     return F.concat_ws("␟", *parts)
 
 
+DUP_BROADCAST_LIMIT = 1_000_000
+
+
 def with_row_key(df: DataFrame, key_cols=None, name: str = ROW_KEY) -> DataFrame:
     """Attach ``row_key``.
 
     With ``key_cols`` (declared unique key): the key's text (``a|b`` for several columns).
-    Without: ``md5(row content) || '-' || ordinal among exact copies``.  The ordinal is
-    computed per input split first and then offset per split, so a group of copies that
-    holds a third of the table is numbered by many tasks, not one.
+    Without: ``md5(row content) || '-' || ordinal among exact copies``.
+
+    Only the 32-byte content hash is shuffled to find the hashes that occur more than once
+    (map-side combined).  When that set is bounded (checked) it is broadcast: unique rows get
+    ordinal 0 with no shuffle of the wide rows, and only copies are numbered — per input
+    split first and then offset per split, so a group of copies holding a third of the table
+    is numbered by many tasks, not one.
     """
     if key_cols:
         key_cols = [key_cols] if isinstance(key_cols, str) else list(key_cols)
         key = F.concat_ws("|", *[F.col(c).cast("string") for c in key_cols])
         return df.withColumn(name, key)
-    x = (df.withColumn("_ch", F.md5(content_text(df)))
-           .withColumn("_sp", F.spark_partition_id())
-           .withColumn("_mi", F.monotonically_increasing_id()))
+    x = df.withColumn("_ch", F.md5(content_text(df)))
+    dups = x.groupBy("_ch").agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") > 1).select("_ch")
+    n_dups = dups.count()
+    if n_dups == 0:
+        return x.withColumn(name, F.concat(F.col("_ch"), F.lit("-0"))).drop("_ch").select(*df.columns, name)
+    if n_dups <= DUP_BROADCAST_LIMIT:
+        flagged = x.join(F.broadcast(dups.withColumn("_dup", F.lit(True))), "_ch", "left")
+        uniq = flagged.where(F.col("_dup").isNull()).withColumn(name, F.concat(F.col("_ch"), F.lit("-0")))
+        copies = flagged.where(F.col("_dup").isNotNull())
+        return uniq.select(*df.columns, name).unionByName(_number_copies(copies, df.columns, name))
+    return _number_copies(x, df.columns, name)
+
+
+def _number_copies(x: DataFrame, columns, name: str) -> DataFrame:
+    x = x.withColumn("_sp", F.spark_partition_id()).withColumn("_mi", F.monotonically_increasing_id())
     local = x.withColumn("_lo", F.row_number().over(Window.partitionBy("_ch", "_sp").orderBy("_mi")) - 1)
     per_split = local.groupBy("_ch", "_sp").agg(F.count(F.lit(1)).alias("_n"))
     offs = per_split.withColumn(
         "_off", F.coalesce(F.sum("_n").over(Window.partitionBy("_ch").orderBy("_sp")
                                             .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     out = (local.join(offs.select("_ch", "_sp", "_off"), ["_ch", "_sp"])
-           .withColumn(name, F.concat(F.col("_ch"), F.lit("-"), (F.col("_off") + F.col("_lo")).cast("string")))
-           .drop("_ch", "_sp", "_mi", "_lo", "_off"))
-    return out.select(*df.columns, name)
+           .withColumn(name, F.concat(F.col("_ch"), F.lit("-"), (F.col("_off") + F.col("_lo")).cast("string"))))
+    return out.select(*columns, name)
 
 
 def sql_content_key(cols) -> str:
