@@ -1627,3 +1627,19 @@ def q_object_path(spark, sf_dir):
 
 register("object_path", f"""SELECT experiment_id, replace(replace(experiment_id, '#NULL', ''), '#', '/') AS path FROM ({_SQL_IMPERFECT})""")(
     q_object_path)
+
+
+# ---------------------------------------------------------------- GEN2 / GEN3 (rows-only)
+from tabtaint.operators import bayes as BN  # noqa: E402
+
+
+def q_chow_liu(spark, sf_dir):
+    return BN.chow_liu(load(spark, sf_dir, "orders"), ["o_totalprice"], ["o_orderstatus", "o_orderpriority"], 2000, SEED)
+
+
+def q_privbayes(spark, sf_dir):
+    return BN.privbayes(load(spark, sf_dir, "orders"), ["o_totalprice"], ["o_orderstatus", "o_orderpriority"], 2000, SEED, 1.0)
+
+
+register("gen_chow_liu", None)(q_chow_liu)
+register("gen_privbayes", None)(q_privbayes)
