@@ -1643,3 +1643,28 @@ def q_privbayes(spark, sf_dir):
 
 register("gen_chow_liu", None)(q_chow_liu)
 register("gen_privbayes", None)(q_privbayes)
+
+
+# ---------------------------------------------------------------- experiment run and evaluation replay (GRD8, GRD9, EV*)
+from tabtaint.plans import experiment as EX  # noqa: E402
+
+
+def q_experiment(spark, sf_dir):
+    """GRD8: one imperfect experiment on customer (placeholders at 20%, marginal generator)."""
+    exp = EX.Experiment("customer", "marginal_distributions", 100, "IMP", "PLC", 0.2)
+    syn, row, reason = EX.run_experiment(keyed(spark, sf_dir, "customer"), SPECS["customer"], exp)
+    return row.drop("execution_time", "created_at")
+
+
+register("experiment_run", None)(q_experiment)
+
+
+def q_replay(spark, sf_dir):
+    """GRD9: replay quality evaluations R-S and R-SH of an experiment from the id strings."""
+    eid = "NOR#customer#100#IMP#PLC#20#marginal_distributions"
+    a = EX.replay("QLT#R#S", eid, keyed(spark, sf_dir, "customer"), SPECS["customer"])
+    b = EX.replay("QLT#R#SH", eid, keyed(spark, sf_dir, "customer"), SPECS["customer"])
+    return a.unionByName(b)
+
+
+register("evaluation_replay", None)(q_replay)
