@@ -1668,3 +1668,77 @@ def q_replay(spark, sf_dir):
 
 
 register("evaluation_replay", None)(q_replay)
+
+
+# ---------------------------------------------------------------- projections, pairing, FD records, describe
+from tabtaint.operators import columns as CO  # noqa: E402
+
+
+def q_reattach(spark, sf_dir):
+    df = keyed(spark, sf_dir, "customer")
+    x, y = CO.split_x_y(df, "c_mktsegment")
+    return _round_doubles(CO.concat_x_y(CO.cast_categorical(x, ["c_nationkey"]), y, df.columns))
+
+
+register("reattach_target", f"""SELECT c_custkey, c_name, CAST(c_nationkey AS VARCHAR) AS c_nationkey, round(c_acctbal, 6) AS c_acctbal,
+  c_mktsegment, row_key FROM {sql_keyed('customer')}""")(q_reattach)
+
+
+def q_restore(spark, sf_dir):
+    o = load(spark, sf_dir, "orders")
+    drifted = o.select((F.col("o_orderkey") + F.lit(0.4)).alias("o_orderkey"), (F.col("o_custkey") - F.lit(0.3)).alias("o_custkey"),
+                       F.col("o_totalprice").cast("string").alias("o_totalprice"))
+    return _round_doubles(CO.restore_types(drifted, o.select("o_orderkey", "o_custkey", "o_totalprice").schema))
+
+
+register("restore_types", """SELECT CAST(round(o_orderkey + 0.4) AS BIGINT) AS o_orderkey, CAST(round(o_custkey - 0.3) AS BIGINT) AS o_custkey,
+  round(o_totalprice, 6) AS o_totalprice FROM orders""")(q_restore)
+
+
+def q_pairing(spark, sf_dir):
+    """CUR5: a folder with a CSV per region and a YAML only for even region keys."""
+    root = ST.scratch(spark, "datasets")
+    r = load(spark, sf_dir, "region")
+    for rk, name in [(x["r_regionkey"], x["r_name"]) for x in r.collect()]:   # 5 rows: the region table
+        spark.createDataFrame([(name,)], "name string").write.csv(f"{root}/{name}.csv")
+        if rk % 2 == 0:
+            spark.createDataFrame([(f"name: {name}",)], "v string").write.text(f"{root}/{name}.yaml")
+    files = spark.createDataFrame([(p,) for p in _list_dir(spark, root)], "path string")   # a directory listing
+    return CO.pair_dataset_files(files)
+
+
+def _list_dir(spark, root):
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    p = jvm.org.apache.hadoop.fs.Path(root)
+    fs = p.getFileSystem(conf)
+    return [s.getPath().toString() for s in fs.listStatus(p)]
+
+
+register("curate_batch_pairing", """SELECT r_name AS stem, true AS has_data, r_regionkey % 2 = 0 AS has_meta,
+  r_regionkey % 2 = 0 AS complete FROM region""")(q_pairing)
+
+
+def q_fd_records(spark, sf_dir):
+    """JSN2: FD records of the part table written as JSON lines (plus a malformed line and a
+    record of another type), parsed back."""
+    fds = FD.discover(load(spark, sf_dir, "part"), FD_PART, max_lhs=2)
+    import json as _json
+    lines = [_json.dumps({"type": "FunctionalDependency",
+                          "determinant": {"columnIdentifiers": [{"columnIdentifier": c} for c in lhs]},
+                          "dependant": {"columnIdentifier": rhs}}) for lhs, rhs in fds]
+    lines += ["{not json", _json.dumps({"type": "UniqueColumnCombination"})]
+    path = ST.scratch(spark, "fd-records")
+    spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(path)
+    return CO.read_fd_records(spark, path)
+
+
+register("fd_json_records", f"SELECT lhs, rhs FROM ({_sql_fd('part', FD_PART, 2)}) z")(q_fd_records)
+
+
+def q_describe(spark, sf_dir):
+    """AGG12: ``describe``-style summary of the numeric order columns."""
+    return load(spark, sf_dir, "orders").select("o_totalprice", "o_custkey").summary("count", "mean", "stddev", "min", "max")
+
+
+register("describe_summary", None)(q_describe)
