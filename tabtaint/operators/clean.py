@@ -98,11 +98,10 @@ def placeholders_to_null(df: DataFrame, placeholders, exclude=("row_key",)) -> D
 
 
 def medians(df: DataFrame, cols) -> dict:
-    """Exact medians (interpolated, as pandas) of several columns in one aggregation."""
-    if not cols:
-        return {}
-    r = df.agg(*[F.median(c).alias(c) for c in cols]).first()
-    return {c: r[c] for c in cols}
+    """Exact medians (interpolated, as pandas) by histogram refinement — no reducer ever
+    holds all distinct values of a column."""
+    from tabtaint.operators.ordered import exact_quantile
+    return {c: exact_quantile(df, c, 0.5) for c in cols}
 
 
 def impute(train: DataFrame, other: DataFrame | None, numeric, categorical):

@@ -176,8 +176,9 @@ def dcr(real: DataFrame, syn: DataFrame, numeric, categorical, seed, key: str =
     R = prep(real)
     d_syn = knn(prep(syn), R, 1, key, key, metric="mixed", kinds=kinds)
     d_rnd = knn(prep(rnd), R, 1, key, key, metric="mixed", kinds=kinds)
-    ms = d_syn.agg(F.median("dist")).first()[0]
-    mr = d_rnd.agg(F.median("dist")).first()[0]
+    from tabtaint.operators.ordered import exact_quantile
+    ms = exact_quantile(d_syn, "dist", 0.5)
+    mr = exact_quantile(d_rnd, "dist", 0.5)
     score = None if ms is None or mr is None else (1.0 if mr == 0 else min(1.0, ms / mr))
     return spark.createDataFrame([(score, ms, mr)], "score double, median_dcr_synthetic double, median_dcr_random double")
 

@@ -94,3 +94,59 @@ def max_abs_prefix_by_group(df: DataFrame, group_col: str, order_col: str, step_
             off += r["total"]
         out[g] = best
     return out
+
+
+_BUCKETS = 4096
+_SMALL_RANGE = 20_000
+
+
+def kth_smallest(df: DataFrame, col: str, ks) -> dict:
+    """Exact k-th smallest non-null values (1-based ranks ``ks``) without a global sort.
+
+    Each round builds one histogram of the candidate value range (4,096 equal-width
+    buckets, with per-bucket min/max, map-side combined), keeps only the bucket holding the
+    wanted rank and recurses; once a range holds <= 20,000 rows they are ranked directly.
+    Values equal to a bucket's min and max end the search at once (heavy duplicates).
+    """
+    x = df.select(F.col(col).cast("double").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
+    out = {}
+    for k in sorted(set(int(k) for k in ks)):
+        cond = F.lit(True)
+        lo_hi = x.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count(F.lit(1)).alias("n")).first()
+        lo, hi, n_in, below = lo_hi["lo"], lo_hi["hi"], lo_hi["n"], 0
+        if not n_in or k < 1 or k > n_in:
+            out[k] = None
+            continue
+        while True:
+            if lo == hi:
+                out[k] = lo
+                break
+            if n_in <= _SMALL_RANGE:
+                vals = sorted(r[0] for r in x.where(cond).collect())   # <= 20,000 values
+                out[k] = vals[k - below - 1]
+                break
+            w = (hi - lo) / _BUCKETS
+            b = F.least(F.floor((F.col("v") - F.lit(lo)) / F.lit(w)).cast("int"), F.lit(_BUCKETS - 1))
+            hist = sorted((r["b"], r["c"], r["mn"], r["mx"]) for r in x.where(cond).groupBy(b.alias("b")).agg(
+                F.count(F.lit(1)).alias("c"), F.min("v").alias("mn"), F.max("v").alias("mx")).collect())
+            cum = below
+            for bi, c, mn, mx in hist:
+                if cum + c >= k:
+                    cond = cond & (b == F.lit(bi))
+                    below, n_in, lo, hi = cum, c, mn, mx
+                    break
+                cum += c
+    return out
+
+
+def exact_quantile(df: DataFrame, col: str, q: float = 0.5):
+    """Exact interpolated quantile (``lower + (upper - lower) * fraction`` at position
+    ``(n - 1) q``), the definition of pandas, Spark ``percentile`` and DuckDB ``quantile_cont``."""
+    n = df.select(col).where(F.col(col).isNotNull()).count()
+    if n == 0:
+        return None
+    h = (n - 1) * q
+    lo_r, hi_r = int(h) + 1, min(int(h) + 2, n)
+    v = kth_smallest(df, col, [lo_r, hi_r])
+    lo, hi = v[lo_r], v[hi_r]
+    return lo + (hi - lo) * (h - int(h))
