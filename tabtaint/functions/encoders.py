@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabtaint.operators.profile import equal_width_bin
+from tabtaint.operators.profile import bounded_values
 
 MAX_VOCAB = 100_000
 
@@ -53,6 +54,8 @@ def factorize(df: DataFrame, col: str, order_by: str) -> DataFrame:
     Returns the code table ``(value, code)`` (one row per distinct value).
     """
     first = df.groupBy(col).agg(F.min(order_by).alias("_first"))
+    if first.count() > MAX_VOCAB:
+        raise ValueError(f"{col} has more than {MAX_VOCAB} values; factorize needs a driver-side code table")
     vals = sorted(((r[col], r["_first"]) for r in first.collect()), key=lambda t: t[1])
     return df.sparkSession.createDataFrame([(v, i) for i, (v, _) in enumerate(vals)], f"{col} string, code int")
 
@@ -77,7 +80,7 @@ def discretise(df: DataFrame, columns, n_bins: int = 10, keep=()) -> DataFrame:
         if isinstance(dt, T.StringType) or isinstance(dt, T.BooleanType):
             out.append(ordinal(F.col(c), vocabulary(df, c)).alias(c))
         elif isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)) and probe[f"d_{c}"] <= n_bins:
-            vals = sorted(r[0] for r in df.select(c).where(F.col(c).isNotNull()).distinct().collect())
+            vals = sorted(bounded_values(df, c))
             mp = F.create_map(*[x for i, v in enumerate(vals) for x in (F.lit(v), F.lit(i))])
             out.append(F.element_at(mp, F.col(c)).alias(c))
         else:

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from tabtaint.functions.rng import hash_hex
 from tabtaint.operators.neighbors import onehot_features
 from tabtaint.operators.sampling import sample_flag
+from tabtaint.operators.profile import bounded_values
 
 EULER_GAMMA = 0.5772156649
 
@@ -130,7 +131,7 @@ def score(df: DataFrame, forest: pd.DataFrame, psi: int, numeric, categorical, k
 
 def isolation_forest(df: DataFrame, numeric, categorical, n_estimators: int = 100, max_samples: int = 256,
                      seed=0, key: str = "row_key", contamination="auto") -> DataFrame:
-    vocab = {c: sorted(r[0] for r in df.select(F.col(c).cast("string")).where(F.col(c).isNotNull()).distinct().collect())
+    vocab = {c: sorted(bounded_values(df, F.col(c).cast("string")))
              for c in categorical}
     forest, psi = fit(df, numeric, categorical, n_estimators, max_samples, seed, key, vocab)
     return score(df, forest, psi, numeric, categorical, key, contamination, vocab)

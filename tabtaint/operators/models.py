@@ -26,6 +26,7 @@ from tabtaint.functions.metrics import f1_scores, regression_metrics, roc_auc
 from tabtaint.functions.rng import py_hash
 from tabtaint.operators.sampling import number_by_hash
 from tabtaint.session import cut_lineage
+from tabtaint.operators.profile import bounded_values
 
 N_FOLDS = 3
 
@@ -148,8 +149,8 @@ def efficacy(syn: DataFrame, real: DataFrame, numeric, categorical, target: str,
         m = LinearRegression(featuresCol="features", labelCol="label").fit(ftr)
         r2 = regression_metrics(m.transform(fte), "label", "prediction").first()["r2"]
         return spark.createDataFrame([("regression", "r2", r2)], "task string, metric string, score double")
-    classes = sorted(r[0] for r in syn.select(F.col(target).cast("string")).union(
-        real.select(F.col(target).cast("string"))).distinct().collect() if r[0] is not None)
+    classes = sorted(bounded_values(syn.select(F.col(target).cast("string").alias("_t")).union(
+        real.select(F.col(target).cast("string").alias("_t"))), "_t"))
     code = F.create_map(*[x for i, v in enumerate(classes) for x in (F.lit(v), F.lit(float(i)))])
     lab = F.element_at(code, F.col(target).cast("string"))
     ftr, (fte,) = _features(syn.withColumn("label", lab), [real.withColumn("label", lab)], numeric, categorical)
@@ -252,7 +253,7 @@ def utility_f1(syn: DataFrame, heldout: DataFrame, numeric, categorical, target:
     s = placeholders_to_null(syn, list(placeholders))
     h = placeholders_to_null(heldout, list(placeholders))
     s, h, _ = impute(s, h, numeric, list(categorical) + [target])
-    classes = sorted(r[0] for r in s.select(target).union(h.select(target)).distinct().collect())
+    classes = sorted(bounded_values(s.select(target).union(h.select(target)), target))
     code = F.create_map(*[x for i, v in enumerate(classes) for x in (F.lit(v), F.lit(float(i)))])
     ftr, (fte,) = _features(s.withColumn("label", F.element_at(code, F.col(target))),
                             [h.withColumn("label", F.element_at(code, F.col(target)))], numeric, categorical)

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabtaint.session import cut_lineage
+from tabtaint.operators.profile import bounded_values
 
 DEFAULT_BLOCK_BYTES = 64 * 1024 * 1024
 _QCHUNK = 256
@@ -127,7 +128,7 @@ def onehot_features(df: DataFrame, numeric, categorical, vocab: dict | None = No
     """``_f = [numeric..., one-hot(categorical)...]`` as array<double> (the euclidean input)."""
     parts = [F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))) for c in numeric]
     if vocab is None:
-        vocab = {c: sorted(r[0] for r in df.select(F.col(c).cast("string")).where(F.col(c).isNotNull()).distinct().collect())
+        vocab = {c: sorted(bounded_values(df, F.col(c).cast("string")))
                  for c in categorical}
     for c in categorical:
         for v in vocab[c]:
@@ -168,7 +169,7 @@ def dcr(real: DataFrame, syn: DataFrame, numeric, categorical, seed, key: str =
     vocab = {}
     for c in categorical:
         u = real.select(F.col(c).cast("string").alias("v")).unionByName(syn.select(F.col(c).cast("string").alias("v")))
-        vocab[c] = sorted(r[0] for r in u.where(F.col("v").isNotNull()).distinct().collect())
+        vocab[c] = sorted(bounded_values(u, "v"))
     kinds = [0 if ranges[c][1] > ranges[c][0] else 1 for c in numeric] + [1] * len(categorical)
 
     def prep(df):

@@ -15,6 +15,23 @@ from pyspark.sql import types as T
 FLOAT_TYPES = (T.FloatType, T.DoubleType)
 
 
+MAX_DRIVER_VALUES = 100_000
+
+
+def bounded_values(df: DataFrame, column, limit: int = MAX_DRIVER_VALUES) -> list:
+    """Distinct non-null values of a column (or column expression) for a driver-side map.
+
+    The count is checked first, so the driver never receives more than ``limit`` values;
+    beyond it the caller must use a join-based path instead.
+    """
+    c = F.col(column) if isinstance(column, str) else column
+    vals = df.select(c.alias("_v")).where(F.col("_v").isNotNull()).distinct()
+    n = vals.count()
+    if n > limit:
+        raise ValueError(f"{n} distinct values exceed the driver-side bound of {limit}")
+    return [r[0] for r in vals.collect()]
+
+
 def is_missing(df: DataFrame, c: str) -> Column:
     """Null, or NaN for float columns (pandas' ``isna``)."""
     dt = df.schema[c].dataType

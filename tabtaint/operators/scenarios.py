@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tabtaint.functions.rng import normal, py_hash, py_sample, py_uniform, uniform
 from tabtaint.operators.sampling import number_by_hash
 from tabtaint.spec import INTEGRAL_TYPES
+from tabtaint.operators.profile import bounded_values
 
 # fixed values of the worked example
 ERROR_KINDS = ["scale", "shift", "missing", "noise", "label_flip"]
@@ -57,7 +58,7 @@ class ScenarioCorruptor:
 
     def _values(self, c):
         if c not in self._vocab:
-            vals = [r[0] for r in self.df.select(c).where(F.col(c).isNotNull()).distinct().collect()]
+            vals = bounded_values(self.df, c)
             self._vocab[c] = sorted(vals, key=lambda v: py_hash(self.seed, f"vals:{c}", v))
         return self._vocab[c]
 
