@@ -1745,3 +1745,43 @@ def q_describe(spark, sf_dir):
 
 
 register("describe_summary", None)(q_describe)
+
+
+def q_synthetic_cap(spark, sf_dir):
+    """SRC9 + SNK1: a synthetic table written as Parquet, read back capped at 500 rows (RND7, seed 42)."""
+    path = ST.scratch(spark, "synthetic")
+    syn = G.marginal(keyed(spark, sf_dir, "customer"), GEN_COLS, 1000, SEED).withColumn("row_key", F.col("draw_id").cast("string"))
+    SK.write_parquet(syn, path)
+    return _round_doubles(RD.read_synthetic(spark, path, max_rows=500))
+
+
+register("source_synthetic_capped", f"""WITH g AS ({_gen_marginal_sql()})
+SELECT draw_id, c_nationkey, c_acctbal, c_mktsegment, row_key FROM (
+  SELECT *, CAST(draw_id AS VARCHAR) AS row_key, row_number() OVER (ORDER BY {sql_hash(42, 'cap', 'CAST(draw_id AS VARCHAR)')}) AS rn FROM g)
+WHERE rn <= 500""")(q_synthetic_cap)
+
+
+def q_ledger_roundtrip(spark, sf_dir):
+    """SNK4/SNK5: experiments of seed 100 appended to a Parquet ledger, failures to the error
+    ledger; the work list is the perfect grid minus both ledgers."""
+    path = ST.scratch(spark, "ledger")
+    g = GR.perfect_grid(_datasets(spark, sf_dir))
+    done = g.where("random_seed = 100").select(
+        "experiment_id", "experiment_type", "dataset_name", "random_seed", "data_perfectness", "data_error",
+        F.col("error_rate").cast("string").alias("error_rate"), "generator",
+        F.lit(0).cast("bigint").alias("training_size"), F.lit(0).cast("bigint").alias("synthetic_size"),
+        F.lit(0.0).alias("execution_time"), F.array().cast("array<string>").alias("corrupted_rows"),
+        F.array().cast("array<string>").alias("corrupted_cols"), F.lit("local").alias("execution_profile"),
+        F.current_timestamp().alias("created_at"))
+    GR.append_ledger(done, path, "experiments")
+    failed = g.where("generator = 'great'").select(F.lit(0).cast("bigint").alias("id"), "experiment_id",
+                                                  F.lit(None).cast("string").alias("file_path"),
+                                                  F.lit("failed").alias("error_message"), F.lit("local").alias("execution_profile"),
+                                                  F.current_timestamp().alias("created_at"))
+    GR.append_ledger(failed, path, "errors")
+    return GR.pending_experiments(g, GR.read_ledger(spark, path, "experiments"), GR.read_ledger(spark, path, "errors"),
+                                  GR.read_ledger(spark, path, "skipped_computations"))
+
+
+register("ledger_roundtrip", f"""WITH g AS ({_SQL_PERFECT})
+SELECT * FROM g WHERE NOT (random_seed = 100 OR generator = 'great')""")(q_ledger_roundtrip)
