@@ -91,14 +91,16 @@ def placeholder_profile(df: DataFrame, numeric_value=-1, text_value="UNKNOWN", e
         for i, c in enumerate(cols)])).alias("s")).select("s.*")
 
 
-def profile_many(tables: dict, only_with_nulls: bool = False) -> DataFrame:
-    """AGG3: AGG1 rows for many datasets; a table that fails to load gives an error row."""
+def profile_many(tables: dict, only_with_nulls: bool = False, spark=None) -> DataFrame:
+    """AGG3: AGG1 rows for many datasets.  Values are DataFrames or loader functions; a
+    loader that fails gives an error row and the loop continues."""
     rows = None
     for name, loader in tables.items():
         try:
-            p = null_profile(loader() if callable(loader) else loader, name).withColumn("error", F.lit(None).cast("string"))
+            df = loader() if callable(loader) else loader
+            spark = spark or df.sparkSession
+            p = null_profile(df, name).withColumn("error", F.lit(None).cast("string"))
         except Exception as e:  # noqa: BLE001 — a failing dataset is reported, the loop continues
-            spark = next(iter(tables.values())).sparkSession if not callable(loader) else None
             if spark is None:
                 raise
             p = spark.createDataFrame([(name, str(e)[:500])], "dataset string, error string")

@@ -929,7 +929,8 @@ def _scenario_sql():
     sh = {}
     for c in cols["shift"]:
         m_vals = f"(SELECT DISTINCT {c} AS v FROM orders WHERE {c} IS NOT NULL)"
-        off = 1 + int(py_uniform(SEED, f"shift-offset:{c}", "") * (5 - 1))  # 5 priorities (checked below)
+        u_off = py_uniform(SEED, f"shift-offset:{c}", "")
+        off = f"(1 + CAST(floor({u_off!r} * (a.m - 1)) AS BIGINT))"
         sh[c] = (f"CASE WHEN blk = 1 THEN (SELECT b.v FROM (SELECT v, row_number() OVER (ORDER BY {sql_hash(SEED, f'vals:{c}', 'v')}) - 1 AS i, "
                  f"count(*) OVER () AS m FROM {m_vals}) a JOIN (SELECT v, row_number() OVER (ORDER BY {sql_hash(SEED, f'vals:{c}', 'v')}) - 1 AS i "
                  f"FROM {m_vals}) b ON b.i = (a.i + {off}) % a.m WHERE a.v = z.{c}) ELSE {c} END")
