@@ -48,15 +48,22 @@ def cardinalities(df: DataFrame, sets) -> dict:
     return out
 
 
-def discover(df: DataFrame, columns=None, max_lhs: int = 3, sample_size: int = 10_000, seed: int = 0,
+def discover(df: DataFrame, columns=None, max_lhs: int = 3, sample_size=(10_000, 1_000_000), seed: int = 0,
              key: str | None = None, max_columns: int = MAX_COLUMNS):
-    """Minimal FDs ``(lhs tuple, rhs)`` with ``len(lhs) <= max_lhs``; ``()`` lhs = constant column."""
+    """Minimal FDs ``(lhs tuple, rhs)`` with ``len(lhs) <= max_lhs``; ``()`` lhs = constant column.
+
+    With a ``key``, candidates are refuted on growing exact hash samples (``sample_size``,
+    an int or increasing sizes) before the full table verifies the survivors; every sample
+    is a subset of the next, so a refutation is final.
+    """
     cols = list(columns or [c for c in df.columns if c != key])
     if len(cols) >= max_columns:
         raise ValueError(f"{len(cols)} columns: FD discovery is capped below {max_columns} columns")
-    sample = None
+    samples = []
     if sample_size and key:
-        sample = sample_rows(df, key, sample_size, seed, "fd-sample").select(*cols)
+        sizes = [sample_size] if isinstance(sample_size, int) else list(sample_size)
+        n = df.count()
+        samples = [sample_rows(df, key, k, seed, "fd-sample").select(*cols) for k in sorted(sizes) if k < n]
     data = df.select(*cols)
     found: list = []
     # level 0: constant columns
@@ -75,7 +82,7 @@ def discover(df: DataFrame, columns=None, max_lhs: int = 3, sample_size: int = 1
                 cands.append((X, A))
         if not cands:
             break
-        for src in ([sample] if sample is not None else []) + [data]:
+        for src in samples + [data]:
             need = {X for X, _ in cands} | {tuple(sorted(X + (A,), key=cols.index)) for X, A in cands}
             cc = cardinalities(src, need)
             cands = [(X, A) for X, A in cands if cc[X] == cc[tuple(sorted(X + (A,), key=cols.index))]]
