@@ -51,10 +51,11 @@ def hash_thresholds(df: DataFrame, h: Column, k: int | Callable[[Mapping], Mappi
     while True:
         if plen == 0:
             width = 4
-            hist = base.groupBy("_g", F.substring("_h", 1, width).alias("_b")).count().collect()
-            for r in hist:
-                counts[r["_g"]] = counts.get(r["_g"], 0) + r["count"]
+            hist0 = base.groupBy("_g", F.substring("_h", 1, width).alias("_b")).count().persist()
+            for r in hist0.groupBy("_g").agg(F.sum("count").alias("n")).collect():
+                counts[r["_g"]] = r["n"]
             if len(counts) > _MAX_GROUPS:
+                hist0.unpersist()
                 raise ValueError(f"too many groups for exact stratified sampling: {len(counts)}")
             if callable(k):
                 want = dict(k(dict(counts)))
@@ -72,6 +73,16 @@ def hash_thresholds(df: DataFrame, h: Column, k: int | Callable[[Mapping], Mappi
                     need[gv] = kk
                     prefix[gv] = ""
             active = list(need)
+            hist = []
+            if active:
+                # only the boundary bucket of each group comes back to the driver
+                needs = F.create_map(*[x for gv in active for x in (F.lit(gv), F.lit(need[gv]))])
+                cw = Window.partitionBy("_g").orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+                nd = F.element_at(needs, F.col("_g"))
+                hist = (hist0.where(nd.isNotNull()).withColumn("_cum", F.sum("count").over(cw))
+                        .where((F.col("_cum") >= nd) & (F.col("_cum") - F.col("count") < nd))
+                        .select("_g", "_b", "count", (F.col("_cum") - F.col("count")).alias("_before")).collect())
+            hist0.unpersist()
         else:
             width = _width(len(active))
             keys = F.create_map(*[x for gv in active for x in (F.lit(gv), F.lit(prefix[gv]))])
@@ -79,21 +90,29 @@ def hash_thresholds(df: DataFrame, h: Column, k: int | Callable[[Mapping], Mappi
             hist = cand.groupBy("_g", F.substring("_h", plen + 1, width).alias("_b")).count().collect()
         if not active:
             break
-        by_g: dict = {}
-        for r in hist:
-            if r["_g"] in need:
-                by_g.setdefault(r["_g"], []).append((r["_b"], r["count"]))
         small = True
-        for gv in active:
-            cum = 0
-            for b, c in sorted(by_g.get(gv, [])):
-                if cum + c >= need[gv]:
-                    need[gv] -= cum
-                    prefix[gv] = prefix[gv] + b
-                    if c > _SMALL:
-                        small = False
-                    break
-                cum += c
+        if plen == 0:
+            for r in hist:
+                gv = r["_g"]
+                need[gv] -= r["_before"]
+                prefix[gv] = r["_b"]
+                if r["count"] > _SMALL:
+                    small = False
+        else:
+            by_g: dict = {}
+            for r in hist:
+                if r["_g"] in need:
+                    by_g.setdefault(r["_g"], []).append((r["_b"], r["count"]))
+            for gv in active:
+                cum = 0
+                for b, c in sorted(by_g.get(gv, [])):
+                    if cum + c >= need[gv]:
+                        need[gv] -= cum
+                        prefix[gv] = prefix[gv] + b
+                        if c > _SMALL:
+                            small = False
+                        break
+                    cum += c
         plen += width
         if small or plen >= 32:
             break
@@ -160,28 +179,25 @@ def number_by_hash(df: DataFrame, key: str, seed, tag: str, group: str | None =
     """RND6: contiguous 0-based ``_pos`` in hash order (within ``group`` when given).
 
     Two-phase numbering: rows are bucketed by (group, first 4 hex chars of the hash) — md5
-    makes the buckets even, so a hot group is spread over up to 65,536 buckets — bucket sizes
-    go to the driver (bounded: groups x 65,536), are prefix-summed there, and each bucket is
-    ranked by a window partitioned by (group, bucket).  Returns ``(df, n)``; with a group,
-    ``n`` is the dict of group sizes.
+    makes the buckets even, so a hot group is spread over up to 65,536 buckets.  The bucket
+    histogram (<= groups x 65,536 rows) is prefix-summed by a window and broadcast into the
+    join; each bucket is ranked by a window partitioned by (group, bucket).  Only the group
+    sizes reach the driver.  Returns ``(df, n)``; with a group, ``n`` is the dict of sizes.
     """
-    spark = df.sparkSession
     h = hash_hex(seed, tag, key)
     g = F.col(group) if group else F.lit(0)
     x = df.withColumn("_h", h).withColumn("_bk", F.substring("_h", 1, 4)).withColumn("_g", g)
-    hist = sorted(((r["_g"], r["_bk"]), r["count"]) for r in x.groupBy("_g", "_bk").count().collect())
-    offs, cum = [], {}
-    for (gv, b), c in hist:
-        offs.append((gv, b, cum.get(gv, 0)))
-        cum[gv] = cum.get(gv, 0) + c
-    gtype = x.schema["_g"].dataType.simpleString()
-    off_df = spark.createDataFrame(offs, f"_g {gtype}, _bk string, _off long")
+    sizes = {r["_g"]: r["count"] for r in x.groupBy("_g").count().collect()}
+    if len(sizes) > _MAX_GROUPS:
+        raise ValueError(f"too many groups for hash numbering: {len(sizes)}")
+    hist = x.groupBy("_g", "_bk").count()
+    before = Window.partitionBy("_g").orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
+    offs = hist.select("_g", "_bk", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_off"))
     w = Window.partitionBy("_g", "_bk").orderBy("_h")
-    off_join = F.broadcast(off_df) if len(offs) <= 1_000_000 else off_df   # groups x 65,536 rows at most
-    out = (x.join(off_join, ["_g", "_bk"])
+    out = (x.join(F.broadcast(offs), ["_g", "_bk"])    # <= groups x 65,536 rows by construction
            .withColumn("_pos", F.col("_off") + F.row_number().over(w) - 1)
            .drop("_bk", "_off", "_h", "_g"))
-    return out, (cum if group else cum.get(0, 0))
+    return out, (sizes if group else sizes.get(0, 0))
 
 
 def py_derangement_order(values, seed, tag: str) -> dict:
