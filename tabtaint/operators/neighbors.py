@@ -175,11 +175,14 @@ def dcr(real: DataFrame, syn: DataFrame, numeric, categorical, seed, key: str =
     def prep(df):
         return mixed_features(df, numeric, categorical, ranges, vocab).select(F.col(key).cast("string").alias(key), "_f")
     R = prep(real)
-    d_syn = knn(prep(syn), R, 1, key, key, metric="mixed", kinds=kinds)
-    d_rnd = knn(prep(rnd), R, 1, key, key, metric="mixed", kinds=kinds)
+    # the distance tables are read by several quantile jobs: materialise them once
+    d_syn = knn(prep(syn), R, 1, key, key, metric="mixed", kinds=kinds).select("dist").persist()
+    d_rnd = knn(prep(rnd), R, 1, key, key, metric="mixed", kinds=kinds).select("dist").persist()
     from tabtaint.operators.ordered import exact_quantile
     ms = exact_quantile(d_syn, "dist", 0.5)
     mr = exact_quantile(d_rnd, "dist", 0.5)
+    d_syn.unpersist()
+    d_rnd.unpersist()
     score = None if ms is None or mr is None else (1.0 if mr == 0 else min(1.0, ms / mr))
     return spark.createDataFrame([(score, ms, mr)], "score double, median_dcr_synthetic double, median_dcr_random double")
 
@@ -193,7 +196,7 @@ def lof(df: DataFrame, numeric, categorical, k: int = 20, key: str = "row_key",
     After the kNN every step is an equi join on the (unique) row key.
     """
     X = onehot_features(df, numeric, categorical).select(F.col(key).cast("string").alias("k"), "_f")
-    nn = knn(X, X, k, "k", "k", exclude_self=True, max_block_bytes=max_block_bytes)
+    nn = knn(X, X, k, "k", "k", exclude_self=True, max_block_bytes=max_block_bytes).persist()   # read three times
     kdist = nn.where(F.col("rank") == k).select(F.col("qkey").alias("nkey"), F.col("dist").alias("kd"))
     reach = nn.join(kdist, "nkey").withColumn("reach", F.greatest("kd", "dist"))
     lrd = reach.groupBy("qkey").agg((F.lit(1.0) / (F.avg("reach") + F.lit(1e-10))).alias("lrd"))
