@@ -51,11 +51,11 @@ def hash_thresholds(df: DataFrame, h: Column, k: int | Callable[[Mapping], Mappi
     while True:
         if plen == 0:
             width = 4
-            hist0 = base.groupBy("_g", F.substring("_h", 1, width).alias("_b")).count().persist()
-            for r in hist0.groupBy("_g").agg(F.sum("count").alias("n")).collect():
-                counts[r["_g"]] = r["n"]
+            # one histogram job; <= groups x 65,536 rows fetched as Arrow (columnar, no Row objects)
+            pdf = base.groupBy("_g", F.substring("_h", 1, width).alias("_b")).count().toArrow().to_pandas()
+            for gv, n in pdf.groupby("_g", sort=False)["count"].sum().items():
+                counts[_py(gv)] = int(n)
             if len(counts) > _MAX_GROUPS:
-                hist0.unpersist()
                 raise ValueError(f"too many groups for exact stratified sampling: {len(counts)}")
             if callable(k):
                 want = dict(k(dict(counts)))
@@ -75,14 +75,15 @@ def hash_thresholds(df: DataFrame, h: Column, k: int | Callable[[Mapping], Mappi
             active = list(need)
             hist = []
             if active:
-                # only the boundary bucket of each group comes back to the driver
-                needs = F.create_map(*[x for gv in active for x in (F.lit(gv), F.lit(need[gv]))])
-                cw = Window.partitionBy("_g").orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
-                nd = F.element_at(needs, F.col("_g"))
-                hist = (hist0.where(nd.isNotNull()).withColumn("_cum", F.sum("count").over(cw))
-                        .where((F.col("_cum") >= nd) & (F.col("_cum") - F.col("count") < nd))
-                        .select("_g", "_b", "count", (F.col("_cum") - F.col("count")).alias("_before")).collect())
-            hist0.unpersist()
+                pdf = pdf.sort_values(["_g", "_b"])
+                pdf["_cum"] = pdf.groupby("_g", sort=False)["count"].cumsum()
+                for gv, sub in pdf.groupby("_g", sort=False):
+                    gv = _py(gv)
+                    if gv not in need:
+                        continue
+                    row = sub[sub["_cum"] >= need[gv]].iloc[0]
+                    hist.append({"_g": gv, "_b": row["_b"], "count": int(row["count"]),
+                                 "_before": int(row["_cum"] - row["count"])})
         else:
             width = _width(len(active))
             keys = F.create_map(*[x for gv in active for x in (F.lit(gv), F.lit(prefix[gv]))])
@@ -130,6 +131,11 @@ def hash_thresholds(df: DataFrame, h: Column, k: int | Callable[[Mapping], Mappi
     return thresholds, counts
 
 
+def _py(v):
+    """numpy scalar -> Python scalar (dictionary keys and Spark literals)."""
+    return v.item() if hasattr(v, "item") else v
+
+
 def threshold_flag(h: Column, thresholds: Mapping, group: Column | None = None) -> Column:
     """Boolean column ``h <= T[group]`` (a literal map lookup: no join)."""
     if group is None:
