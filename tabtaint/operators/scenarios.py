@@ -51,10 +51,12 @@ class ScenarioCorruptor:
         self.n = n
         self.per = int(n * error_rate)
         block = F.when(F.col("_pos") < 5 * self.per, F.floor(F.col("_pos") / F.lit(max(self.per, 1)))).cast("int")
-        self.base = numbered.withColumn("_block", block).drop("_pos")
+        # every scenario starts from this table: number it once
+        self.base = numbered.withColumn("_block", block).drop("_pos").persist()
         self.schema = {f.name: f.dataType for f in df.schema.fields}
         self.df = df
         self._vocab = {}
+        self._sigma = {}
 
     def _values(self, c):
         if c not in self._vocab:
@@ -62,17 +64,20 @@ class ScenarioCorruptor:
             self._vocab[c] = sorted(vals, key=lambda v: py_hash(self.seed, f"vals:{c}", v))
         return self._vocab[c]
 
-    def corrupted(self, active) -> DataFrame:
-        out = self.base
+    def expressions(self, active) -> dict:
+        """Column expressions over the numbered base table for a scenario: every kind is a
+        per-row rewrite, so several scenarios can be evaluated side by side in one projection."""
+        cur = {c: F.col(c) for c in self.df.columns}
         for kind in APPLY_ORDER:
             if kind not in active:
                 continue
             hit = F.col("_block") == ERROR_KINDS.index(kind)
             if kind == "scale":
                 for c in self.columns["scale"]:
-                    x = F.col(c).cast("bigint") if isinstance(self.schema[c], INTEGRAL_TYPES) else F.col(c)
-                    out = out.withColumn(c, F.when(hit, F.try_multiply(x, F.lit(SCALE_FACTOR).cast(
-                        "bigint" if isinstance(self.schema[c], INTEGRAL_TYPES) else "double"))).otherwise(x))
+                    integral = isinstance(self.schema[c], INTEGRAL_TYPES)
+                    x = cur[c].cast("bigint") if integral else cur[c]
+                    cur[c] = F.when(hit, F.try_multiply(x, F.lit(SCALE_FACTOR).cast("bigint" if integral else "double"))) \
+                        .otherwise(x)
             elif kind == "shift":
                 for c in self.columns["shift"]:
                     vals = self._values(c)
@@ -81,32 +86,44 @@ class ScenarioCorruptor:
                         continue
                     off = 1 + int(py_uniform(self.seed, f"shift-offset:{c}", "") * (m - 1))
                     mp = F.create_map(*[x for i, v in enumerate(vals) for x in (F.lit(v), F.lit(vals[(i + off) % m]))])
-                    out = out.withColumn(c, F.when(hit, F.coalesce(F.element_at(mp, F.col(c)), F.col(c))).otherwise(F.col(c)))
+                    cur[c] = F.when(hit, F.coalesce(F.element_at(mp, cur[c]), cur[c])).otherwise(cur[c])
             elif kind == "noise":
                 cols = self.columns["noise"]
                 if not cols:
                     continue
-                sig = out.agg(*[F.stddev_samp(c).alias(c) for c in cols]).first().asDict()
+                # sample std of the table as it is at this point: only an earlier scaling can
+                # change the noise columns, so scenarios share one std job per case
+                key = "scale" in active and bool(set(cols) & set(self.columns["scale"]))
+                if key not in self._sigma:
+                    self._sigma[key] = self.base.agg(*[F.stddev_samp(cur[c]).alias(c) for c in cols]).first().asDict()
+                sig = self._sigma[key]
                 for c in cols:
                     s = NOISE_RANGE[0] + py_uniform(self.seed, f"noise-scale:{c}", "") * (NOISE_RANGE[1] - NOISE_RANGE[0])
                     noise = normal(self.seed, f"ex-noise:{c}", self.key) * F.lit(s * (sig[c] or 0.0))
-                    x = F.col(c).cast("double")
-                    out = out.withColumn(c, F.when(hit, x + noise).otherwise(x))
+                    x = cur[c].cast("double")
+                    cur[c] = F.when(hit, x + noise).otherwise(x)
             elif kind == "missing":
                 for c in self.columns["missing"]:
-                    new = F.lit(NUMERIC_MISSING).cast(out.schema[c].dataType) if c in self.numeric else F.lit(TEXT_MISSING)
-                    x = F.col(c) if c in self.numeric else F.col(c).cast("string")
-                    out = out.withColumn(c, F.when(hit, new).otherwise(x))
+                    if c in self.numeric:
+                        x = cur[c]
+                        new = F.lit(NUMERIC_MISSING).cast(self.base.select(x.alias("_t")).schema["_t"].dataType)
+                    else:
+                        x, new = cur[c].cast("string"), F.lit(TEXT_MISSING)
+                    cur[c] = F.when(hit, new).otherwise(x)
             elif kind == "label_flip":
                 labels = self._values(self.target)
                 m = len(labels)
                 if m < 2:
                     continue
                 arr = F.array(*[F.lit(v) for v in labels])
-                others = F.array_remove(arr, F.col(self.target))
+                t = cur[self.target]
                 idx = F.floor(uniform(self.seed, "flip", self.key) * F.lit(m - 1)).cast("int")
-                out = out.withColumn(self.target, F.when(hit, F.element_at(others, idx + 1)).otherwise(F.col(self.target)))
-        return out.drop("_block")
+                cur[self.target] = F.when(hit, F.element_at(F.array_remove(arr, t), idx + 1)).otherwise(t)
+        return cur
+
+    def corrupted(self, active) -> DataFrame:
+        cur = self.expressions(active)
+        return self.base.select(*[cur[c].alias(c) for c in self.df.columns])
 
     def scenario_table(self, spark) -> DataFrame:
         """The scenario grid as a table ``scenario, active_errors``."""

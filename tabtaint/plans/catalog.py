@@ -908,7 +908,8 @@ def q_scenario_all(spark, sf_dir):
     return _round_doubles(sc.corrupted(SC.SCENARIOS["No cleaning"]), 4).drop("o_orderdate")
 
 
-def _scenario_sql():
+def _scenario_sql(active=None, final=True):
+    active = list(SC.ERROR_KINDS) if active is None else list(active)
     allc = SC_NUM + SC_CAT
 
     def pick(tag, cands):
@@ -925,9 +926,10 @@ def _scenario_sql():
         sel = [exprs.get(c, c) + (f" AS {c}" if c in exprs else "") for c in keep] + ["blk"]
         return f"SELECT {', '.join(sel)} FROM ({prev})"
     s1 = stage(b0, {c: (f"CASE WHEN blk = 0 THEN CAST({c} AS BIGINT) * 100 ELSE CAST({c} AS BIGINT) END" if c in _INTEGRAL["orders"]
-                        else f"CASE WHEN blk = 0 THEN {c} * 100.0 ELSE {c} END") for c in cols["scale"]})
+                        else f"CASE WHEN blk = 0 THEN {c} * 100.0 ELSE {c} END") for c in cols["scale"]}) \
+        if "scale" in active else b0
     sh = {}
-    for c in cols["shift"]:
+    for c in (cols["shift"] if "shift" in active else []):
         m_vals = f"(SELECT DISTINCT {c} AS v FROM orders WHERE {c} IS NOT NULL)"
         u_off = py_uniform(SEED, f"shift-offset:{c}", "")
         off = f"(1 + CAST(floor({u_off!r} * (a.m - 1)) AS BIGINT))"
@@ -937,19 +939,21 @@ def _scenario_sql():
     s2 = stage(s1, {}) if not sh else \
         f"SELECT {', '.join([sh.get(c, c) + (f' AS {c}' if c in sh else '') for c in keep])}, blk FROM ({s1}) z"
     nz = {}
-    for c in cols["noise"]:
+    for c in (cols["noise"] if "noise" in active else []):
         s = SC.NOISE_RANGE[0] + py_uniform(SEED, f"noise-scale:{c}", "") * (SC.NOISE_RANGE[1] - SC.NOISE_RANGE[0])
         nz[c] = (f"CASE WHEN blk = 3 THEN CAST({c} AS DOUBLE) + {sql_normal(SEED, f'ex-noise:{c}', 'row_key')} * "
                  f"({s!r} * (SELECT stddev_samp({c}) FROM ({s2}))) ELSE CAST({c} AS DOUBLE) END")
     s3 = stage(s2, nz)
     ms = {c: (f"CASE WHEN blk = 2 THEN -1 ELSE {c} END" if c in SC_NUM else f"CASE WHEN blk = 2 THEN '?' ELSE CAST({c} AS VARCHAR) END")
-          for c in cols["missing"]}
+          for c in (cols["missing"] if "missing" in active else [])}
     s4 = stage(s3, ms)
     labels = (f"(SELECT list(v ORDER BY {sql_hash(SEED, f'vals:{SC_TARGET}', 'v')}) FROM "
               f"(SELECT DISTINCT {SC_TARGET} AS v FROM orders WHERE {SC_TARGET} IS NOT NULL))")
     flip = (f"CASE WHEN blk = 4 THEN list_filter({labels}, lambda x: x <> {SC_TARGET})"
             f"[CAST(floor({sql_uniform(SEED, 'flip', 'row_key')} * (len({labels}) - 1)) AS INTEGER) + 1] ELSE {SC_TARGET} END")
-    s5 = stage(s4, {SC_TARGET: flip})
+    s5 = stage(s4, {SC_TARGET: flip}) if "label_flip" in active else s4
+    if not final:
+        return s5
     out = [f"round({c}, 4) AS {c}" if c in ("o_totalprice", "o_custkey") else c for c in keep]
     return f"SELECT {', '.join(out)} FROM ({s5})"
 
@@ -958,25 +962,37 @@ register("scenario_all_errors", _scenario_sql())(q_scenario_all)
 
 
 def q_scenarios(spark, sf_dir):
-    """ERR15: row counts changed per scenario (one job per scenario against the clean table)."""
+    """ERR15: rows changed by each scenario against the clean table (numbers compared as
+    numbers, text as text) — all seven scenarios in one projection and one aggregate."""
     sc = _scenario_corruptor(spark, sf_dir)
-    clean = sc.corrupted([])
-    rows = []
+    aggs = []
     for name, active in SC.SCENARIOS.items():
-        d = sc.corrupted(active)
-        cmp = d.alias("d").join(clean.alias("c"), "row_key")
+        cur = sc.expressions(active)
         diff = None
         for c in SC_NUM + SC_CAT + [SC_TARGET]:
-            e = ~F.col(f"d.{c}").cast("string").eqNullSafe(F.col(f"c.{c}").cast("string"))
+            t = "double" if c in SC_NUM else "string"
+            e = ~cur[c].cast(t).eqNullSafe(F.col(c).cast(t))
             diff = e if diff is None else diff | e
-        rows.append(cmp.agg(F.lit(name).alias("scenario"), F.count_if(diff).alias("changed_rows")))
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
+        aggs.append(F.count_if(diff).alias(name))
+    one = sc.base.agg(*aggs)
+    return one.select(F.explode(F.array(*[F.struct(F.lit(n).alias("scenario"), F.col(f"`{n}`").alias("changed_rows"))
+                                          for n in SC.SCENARIOS])).alias("s")).select("s.*")
+
+
+def _scenarios_changed_sql():
+    parts = []
+    cols = SC_NUM + SC_CAT + [SC_TARGET]
+    clean = _scenario_sql([], final=False)
+    for name, active in SC.SCENARIOS.items():
+        d = _scenario_sql(active, final=False)
+        cond = " OR ".join(f"CAST(d.{c} AS {'DOUBLE' if c in SC_NUM else 'VARCHAR'}) IS DISTINCT FROM "
+                           f"CAST(c.{c} AS {'DOUBLE' if c in SC_NUM else 'VARCHAR'})" for c in cols)
+        parts.append(f"SELECT '{name}' AS scenario, count(*) FILTER (WHERE {cond}) AS changed_rows "
+                     f"FROM ({d}) d JOIN ({clean}) c USING (row_key)")
+    return " UNION ALL ".join(parts)
 
 
-register("scenario_changed_rows", None)(q_scenarios)
+register("scenario_changed_rows", _scenarios_changed_sql())(q_scenarios)
 
 
 # ---------------------------------------------------------------- encoders (ENC1-ENC7)
