@@ -31,6 +31,14 @@ from tabtaint.operators.profile import bounded_values
 N_FOLDS = 3
 
 
+def _parallel(fn, items, workers: int = 3) -> list:
+    """Independent model fits submitted as concurrent Spark jobs from a few driver threads."""
+    from concurrent.futures import ThreadPoolExecutor
+    items = list(items)
+    with ThreadPoolExecutor(max_workers=min(workers, max(len(items), 1))) as pool:
+        return list(pool.map(fn, items))
+
+
 def _features(train: DataFrame, others, numeric, categorical):
     model, tr = mllib_features(train, numeric, categorical, "features")
     return tr, [model.transform(_prep(o, numeric)) for o in others]
@@ -75,8 +83,7 @@ def detection(real: DataFrame, syn: DataFrame, numeric, categorical, seed, metho
     cols = list(numeric) + list(categorical)
     data = _fold_table(real, syn, cols, key, seed)
     data = cut_lineage(data)
-    aucs = []
-    for k in range(N_FOLDS):
+    def fold_auc(k):
         tr, te = data.where(F.col("fold") != k), data.where(F.col("fold") == k)
         ftr, (fte,) = _features(tr, [te], numeric, categorical)
         sc = StandardScaler(inputCol="features", outputCol="z", withMean=True, withStd=True).fit(ftr)
@@ -93,7 +100,8 @@ def detection(real: DataFrame, syn: DataFrame, numeric, categorical, seed, metho
                 .withColumn("r", array_to_vector("_rff"))
             m = LinearSVC(featuresCol="r", labelCol="label", maxIter=100).fit(ztr2)
             pred = m.transform(zte2).withColumn("s", vector_to_array("rawPrediction")[1])
-        aucs.append(roc_auc(pred, "label", "s", 1.0))
+        return roc_auc(pred, "label", "s", 1.0)
+    aucs = _parallel(fold_auc, range(N_FOLDS))
     score = 1.0 - float(np.mean([max(0.5, a) * 2 - 1 for a in aucs]))
     return real.sparkSession.createDataFrame([(score, [float(a) for a in aucs])], "score double, fold_auc array<double>")
 
@@ -216,8 +224,7 @@ def augmentation_classification(real: DataFrame, syn: DataFrame, validation: Dat
         thr = _threshold_for(ptr, fixed, fixed_value)
         prec, rec = _prec_rec(pv, thr)
         return prec if fixed == "recall" else rec
-    base = run(real)
-    aug = run(real.select(*syn.columns).unionByName(syn))
+    base, aug = _parallel(run, [real, real.select(*syn.columns).unionByName(syn)])
     score = max(0.0, aug - base)
     return real.sparkSession.createDataFrame([(score, aug, base)], "score double, augmented_data double, real_data_baseline double")
 
@@ -234,8 +241,7 @@ def augmentation_regression(real: DataFrame, syn: DataFrame, validation: DataFra
         ftr, (fv,) = _features(train.withColumn("label", lab), [validation.withColumn("label", lab)], numeric, categorical)
         m = RandomForestRegressor(labelCol="label", numTrees=num_trees, seed=int(py_hash(seed, "rf", "")[:7], 16)).fit(ftr)
         return regression_metrics(m.transform(fv), "label", "prediction").first()
-    b = run(real)
-    a = run(real.select(*syn.columns).unionByName(syn))
+    b, a = _parallel(run, [real, real.select(*syn.columns).unionByName(syn)])
     row = (b["r2"], b["mse"], b["mae"], a["r2"], a["mse"], a["mae"], a["r2"] - b["r2"], b["mse"] - a["mse"], b["mae"] - a["mae"])
     return real.sparkSession.createDataFrame([row], "baseline_r2 double, baseline_mse double, baseline_mae double, "
                                                     "augmented_r2 double, augmented_mse double, augmented_mae double, "

@@ -1322,13 +1322,19 @@ def q_utility(spark, sf_dir):
     sp = SP.stratified_split(o, "row_key", SC_TARGET, test_size=0.5, seed=SEED)
     src, held = sp.where("split = 'train'").drop("split"), sp.where("split = 'test'").drop("split")
     sc = SC.ScenarioCorruptor(src, "row_key", SC_TARGET, SC_NUM, SC_CAT, SEED)
-    rows = []
     cols = SC_NUM + SC_CAT + [SC_TARGET]
-    for name, active in SC.SCENARIOS.items():
-        dirty = sc.corrupted(active)
-        syn = G.marginal(dirty, cols, 1000, SEED)
+    for active in SC.SCENARIOS.values():       # plan (and run the small std jobs) up front
+        sc.expressions(active)
+
+    def one(item):
+        name, active = item
+        syn = G.marginal(sc.corrupted(active), cols, 1000, SEED)
         f1 = MD.utility_f1(syn.select(*cols), held.select(*cols), SC_NUM, SC_CAT, SC_TARGET)
-        rows.append(("marginal_distributions", name, float(f1)))
+        return ("marginal_distributions", name, float(f1))
+    # the scenarios are independent: their Spark jobs run concurrently from a few driver threads
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(max_workers=4) as pool:
+        rows = list(pool.map(one, SC.SCENARIOS.items()))
     return spark.createDataFrame(rows, "model string, scenario string, score double")
 
 
