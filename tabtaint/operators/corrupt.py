@@ -34,6 +34,7 @@ CATEGORICAL_PLACEHOLDER = "UNKNOWN"
 OUTLIER_FACTORS = [10, 100, 1000]
 NOISE_SCALE_MIN, NOISE_SCALE_MAX = 1.0, 5.0
 SMALL_MAP = 10_000     # value maps up to this size become literal maps (no join)
+BROADCAST_MAP_ROWS = 1_000_000   # larger maps up to this size are broadcast
 
 
 @dataclass
@@ -97,7 +98,7 @@ def derangement_map(df: DataFrame, column: str, seed, tag: str):
         return "literal", {v: order[(i + 1) % len(order)] for i, v in enumerate(order)}
     numbered, m = number_by_hash(values, "old", seed, tag)
     succ = numbered.select(F.col("old").alias("new"), ((F.col("_pos") - 1 + m) % m).alias("_pos"))
-    return "table", numbered.join(succ, "_pos").select("old", "new")
+    return "table", numbered.join(succ, "_pos").select("old", "new").withColumn("_m", F.lit(m))
 
 
 def _map_expr(mapping: dict, col: Column) -> Column:
@@ -111,9 +112,12 @@ def _apply_value_map(df: DataFrame, column: str, kind_map, hit: Column) -> DataF
     kind, mp = kind_map
     if kind == "literal":
         return df.withColumn(column, F.when(hit, _map_expr(mp, F.col(column))).otherwise(F.col(column)))
-    # large vocabulary: equi join on the value (AQE splits a hot value's partition)
+    # large vocabulary: a map of checked size is broadcast (the data is not shuffled, so a hot
+    # value costs nothing extra); beyond that an equi join whose skewed partitions AQE splits
+    m = mp.select("_m").first()[0] if mp.take(1) else 0
+    mp = mp.drop("_m").withColumnRenamed("old", column)
     tmp = df.withColumn("_hit", hit)
-    j = tmp.join(mp.withColumnRenamed("old", column), column, "left")
+    j = tmp.join(F.broadcast(mp) if m <= BROADCAST_MAP_ROWS else mp, column, "left")
     return j.withColumn(column, F.when(F.col("_hit") & F.col("new").isNotNull(), F.col("new"))
                         .otherwise(F.col(column))).drop("new", "_hit").select(*df.columns)
 

@@ -63,3 +63,16 @@ def test_seed_required(spark):
         C.corrupt(df, SPECS["customer"], "PLC", 0.1, seed=None)
     with pytest.raises(ValueError):
         C.corrupt(df, SPECS["customer"], "PLC", 1.5, seed=1)
+
+
+def test_large_vocabulary_path_equals_literal_map(spark, monkeypatch):
+    """The join path for big value maps gives the same table as the literal-map path."""
+    from tabtaint.spec import TableSpec
+    df = keyed(spark, SF001, "part")
+    spec = TableSpec("part", categorical=("p_name",), numeric=())
+    lit = C.corrupt(df, spec, "SFT", 0.3, 1.0, seed=5, audit=False).df
+    monkeypatch.setattr(C, "SMALL_MAP", 10)
+    kind, mp = C.derangement_map(df, "p_name", 5, "sft:p_name")
+    assert kind == "table" and mp.where("old = new").count() == 0
+    big = C.corrupt(df, spec, "SFT", 0.3, 1.0, seed=5, audit=False).df
+    assert lit.exceptAll(big).count() == 0 and big.exceptAll(lit).count() == 0
