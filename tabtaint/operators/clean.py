@@ -122,6 +122,28 @@ def impute(train: DataFrame, other: DataFrame | None, numeric, categorical):
     return fill(train), (fill(other) if other is not None else None), med
 
 
+# per-dataset curation hooks (fixed values: the two special datasets of the corpus)
+CURATION_HOOKS: dict = {}
+
+
+def curation_hook(dataset: str):
+    """EXT1: register ``fn(df) -> df`` run by :func:`curate` for one dataset name."""
+    def deco(fn):
+        CURATION_HOOKS.setdefault(dataset, []).append(fn)
+        return fn
+    return deco
+
+
+@curation_hook("Marketing_Campaign")
+def _marketing_dates(df: DataFrame) -> DataFrame:
+    return df.withColumn("Dt_Customer", date_to_epoch(F.col("Dt_Customer"))) if "Dt_Customer" in df.columns else df
+
+
+@curation_hook("QSAR-TID-11")
+def _qsar_rounding(df: DataFrame) -> DataFrame:
+    return df.withColumn("MEDIAN_PXC50", round_column(F.col("MEDIAN_PXC50"))) if "MEDIAN_PXC50" in df.columns else df
+
+
 @dataclass
 class CurationReport:
     name: str
@@ -145,7 +167,7 @@ def curate(df: DataFrame, spec: TableSpec, date_columns=(), round_columns=(), ho
         out = out.withColumn(c, date_to_epoch(F.col(c)))
     for c in round_columns:
         out = out.withColumn(c, round_column(F.col(c)))
-    for h in hooks or []:
+    for h in list(CURATION_HOOKS.get(spec.name, [])) + list(hooks or []):
         out = h(out)
     out = narrow_binary(out, exclude=("row_key",) + tuple(cats))
     out, spec2, dropped = drop_sparse_columns(out, spec.with_(categorical=tuple(sorted(cats, key=list(df.columns).index))))

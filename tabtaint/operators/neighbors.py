@@ -206,5 +206,7 @@ def lof(df: DataFrame, numeric, categorical, k: int = 20, key: str = "row_key",
     if contamination == "auto":
         cut = F.col("lof") > F.lit(1.5)
         return ratio.select(F.col("qkey").alias(key), "lof", cut.alias("is_outlier"))
-    thr = ratio.agg(F.percentile("lof", 1.0 - float(contamination)).alias("t")).first()["t"]
+    from tabtaint.operators.ordered import exact_quantile
+    ratio = ratio.persist()
+    thr = exact_quantile(ratio, "lof", 1.0 - float(contamination))
     return ratio.select(F.col("qkey").alias(key), "lof", (F.col("lof") > F.lit(thr)).alias("is_outlier"))

@@ -127,16 +127,22 @@ def evaluation_tasks(experiments: DataFrame, problem_types: DataFrame, methods=Q
     return tasks, skipped
 
 
-def pending_experiments(grid: DataFrame, experiments: DataFrame, errors: DataFrame, skipped: DataFrame) -> DataFrame:
-    """JN1 / GRD5: experiments not yet in any of the three ledgers (one anti join)."""
+def pending_experiments(grid: DataFrame, experiments: DataFrame, errors: DataFrame, skipped: DataFrame,
+                        force: bool = False) -> DataFrame:
+    """JN1 / GRD5: experiments not yet in any of the three ledgers (one anti join);
+    ``force`` re-runs everything."""
+    if force:
+        return grid
     done = (experiments.select("experiment_id")
             .unionByName(errors.select("experiment_id"))
             .unionByName(skipped.select(F.col("computation_id").alias("experiment_id"))))
     return grid.join(done, "experiment_id", "left_anti")
 
 
-def pending_evaluations(tasks: DataFrame, evaluations: DataFrame) -> DataFrame:
+def pending_evaluations(tasks: DataFrame, evaluations: DataFrame, force: bool = False) -> DataFrame:
     """JN2: evaluation tasks whose (evaluation_id, experiment_id) is not in the ledger."""
+    if force:
+        return tasks
     return tasks.join(evaluations.select("evaluation_id", "experiment_id"), ["evaluation_id", "experiment_id"], "left_anti")
 
 
