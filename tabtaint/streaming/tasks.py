@@ -23,20 +23,31 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def task_stream(spark: SparkSession, source_dir: str, ledger: DataFrame) -> DataFrame:
-    tasks = spark.readStream.schema(TASK_SCHEMA).option("maxFilesPerTrigger", 64).json(source_dir)
-    dedup = tasks.dropDuplicates(["evaluation_id", "experiment_id"])
+def task_stream(spark: SparkSession, source_dir: str, ledger: DataFrame, event_time: str | None = None,
+                delay: str = "1 day") -> DataFrame:
+    """Deduplicated task stream marked ``done`` / ``pending`` against the static ledger.
+
+    Without ``event_time`` the dedup state holds one key per distinct task (bounded by the
+    grid that publishes them); with it, state older than the watermark is dropped
+    (``dropDuplicatesWithinWatermark``), which bounds it on an endless source.
+    """
+    schema = TASK_SCHEMA + (f", {event_time} timestamp" if event_time else "")
+    tasks = spark.readStream.schema(schema).option("maxFilesPerTrigger", 64).json(source_dir)
+    keys = ["evaluation_id", "experiment_id"]
+    dedup = (tasks.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(keys) if event_time
+             else tasks.dropDuplicates(keys))
     done = ledger.select("evaluation_id", "experiment_id").withColumn("_done", F.lit(True))
     return dedup.join(done, ["evaluation_id", "experiment_id"], "left").withColumn(
         "state", F.when(F.col("_done"), F.lit("done")).otherwise(F.lit("pending"))).drop("_done")
 
 
-def run_task_stream(spark: SparkSession, source_dir: str, ledger: DataFrame, out_dir: str, ckpt_dir: str):
+def run_task_stream(spark: SparkSession, source_dir: str, ledger: DataFrame, out_dir: str, ckpt_dir: str,
+                    event_time: str | None = None):
     """Process everything available now; rows land in ``out_dir/state=<state>/``."""
     def sink(batch: DataFrame, batch_id: int):
         (batch.withColumn("batch_id", F.lit(batch_id))
          .write.mode("append").partitionBy("state").parquet(out_dir))
-    q = (task_stream(spark, source_dir, ledger).writeStream.foreachBatch(sink)
+    q = (task_stream(spark, source_dir, ledger, event_time).writeStream.foreachBatch(sink)
          .option("checkpointLocation", ckpt_dir).trigger(availableNow=True).start())
     q.awaitTermination()
     return q
