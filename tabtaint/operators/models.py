@@ -128,7 +128,8 @@ def _adaboost_stumps(train: DataFrame, rounds: int, seed):
         learners.append((stump, alpha))
         nxt = pred.select("features", "label", (F.col("w") * F.exp(
             F.when(F.col("prediction") != F.col("label"), F.lit(alpha)).otherwise(0.0))).alias("w"))
-        tot = nxt.agg(F.sum("w")).first()[0]
+        # weights sum to 1, so the new total is (1 - err) + err * e^alpha: no extra job
+        tot = (1.0 - err) + err * math.exp(alpha)
         nxt = nxt.withColumn("w", F.col("w") / F.lit(tot))
         nxt = cut_lineage(nxt) if t % 10 == 9 else nxt.persist()
         data.unpersist()
