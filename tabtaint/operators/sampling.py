@@ -22,6 +22,7 @@ ALL = "g"   # sorts after every hex digest: selects everything
 NONE = ""   # sorts before every hex digest: selects nothing
 _SMALL = 20_000
 _MAX_GROUPS = 1_000_000
+BROADCAST_OFFSET_ROWS = 2_000_000
 
 
 def _width(n_groups: int) -> int:
@@ -186,7 +187,8 @@ def number_by_hash(df: DataFrame, key: str, seed, tag: str, group: str | None =
 
     Two-phase numbering: rows are bucketed by (group, first 4 hex chars of the hash) — md5
     makes the buckets even, so a hot group is spread over up to 65,536 buckets.  The bucket
-    histogram (<= groups x 65,536 rows) is prefix-summed by a window and broadcast into the
+    histogram (<= groups x 65,536 rows) is prefix-summed by a window and joined (broadcast under a
+    checked bound) into the
     join; each bucket is ranked by a window partitioned by (group, bucket).  Only the group
     sizes reach the driver.  Returns ``(df, n)``; with a group, ``n`` is the dict of sizes.
     """
@@ -200,7 +202,10 @@ def number_by_hash(df: DataFrame, key: str, seed, tag: str, group: str | None =
     before = Window.partitionBy("_g").orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
     offs = hist.select("_g", "_bk", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_off"))
     w = Window.partitionBy("_g", "_bk").orderBy("_h")
-    out = (x.join(F.broadcast(offs), ["_g", "_bk"])    # <= groups x 65,536 rows by construction
+    # the offset table has sum_g min(size_g, 65,536) rows at most: broadcast only under a bound
+    bound = sum(min(n, 65_536) for n in sizes.values())
+    offs = F.broadcast(offs) if bound <= BROADCAST_OFFSET_ROWS else offs
+    out = (x.join(offs, ["_g", "_bk"])
            .withColumn("_pos", F.col("_off") + F.row_number().over(w) - 1)
            .drop("_bk", "_off", "_h", "_g"))
     return out, (sizes if group else sizes.get(0, 0))

@@ -76,3 +76,16 @@ def test_large_vocabulary_path_equals_literal_map(spark, monkeypatch):
     assert kind == "table" and mp.where("old = new").count() == 0
     big = C.corrupt(df, spec, "SFT", 0.3, 1.0, seed=5, audit=False).df
     assert lit.exceptAll(big).count() == 0 and big.exceptAll(lit).count() == 0
+
+
+def test_numbering_without_broadcast_matches(spark, monkeypatch):
+    """Above the offset-table bound the numbering joins without a broadcast: same numbers."""
+    df = keyed(spark, SF001, "orders")
+    a, n = SA.number_by_hash(df, "row_key", 3, "t", group="o_orderstatus")
+    monkeypatch.setattr(SA, "BROADCAST_OFFSET_ROWS", 0)
+    b, m = SA.number_by_hash(df, "row_key", 3, "t", group="o_orderstatus")
+    assert n == m
+    sa, sb = a.select("row_key", "_pos"), b.select("row_key", "_pos")
+    assert sa.exceptAll(sb).count() == 0 and sb.exceptAll(sa).count() == 0
+    assert a.groupBy("o_orderstatus").agg(F.max("_pos").alias("m"), F.count(F.lit(1)).alias("c")) \
+        .where("m + 1 != c").count() == 0
