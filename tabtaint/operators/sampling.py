@@ -187,9 +187,8 @@ def number_by_hash(df: DataFrame, key: str, seed, tag: str, group: str | None =
 
     Two-phase numbering: rows are bucketed by (group, first 4 hex chars of the hash) — md5
     makes the buckets even, so a hot group is spread over up to 65,536 buckets.  The bucket
-    histogram (<= groups x 65,536 rows) is prefix-summed by a window and joined (broadcast under a
-    checked bound) into the
-    join; each bucket is ranked by a window partitioned by (group, bucket).  Only the group
+    histogram (<= groups x 65,536 rows) is prefix-summed by a window and joined back (broadcast
+    under a checked bound); each bucket is ranked by a window partitioned by (group, bucket).  Only the group
     sizes reach the driver.  Returns ``(df, n)``; with a group, ``n`` is the dict of sizes.
     """
     h = hash_hex(seed, tag, key)
