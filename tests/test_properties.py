@@ -89,3 +89,14 @@ def test_numbering_without_broadcast_matches(spark, monkeypatch):
     assert sa.exceptAll(sb).count() == 0 and sb.exceptAll(sa).count() == 0
     assert a.groupBy("o_orderstatus").agg(F.max("_pos").alias("m"), F.count(F.lit(1)).alias("c")) \
         .where("m + 1 != c").count() == 0
+
+
+def test_threshold_refinement_levels_agree(spark, monkeypatch):
+    """Forcing the recursive refinement (tiny boundary limit) selects the same rows."""
+    from tabtaint.functions.rng import hash_hex
+    df = keyed(spark, SF001, "orders")
+    h = hash_hex(8, "rows", "row_key")
+    one, _ = SA.hash_thresholds(df, h, SA.row_count_k(0.3), group=F.col("o_orderstatus"))
+    monkeypatch.setattr(SA, "_SMALL", 0)      # every boundary bucket recurses, down to the full digest
+    deep, _ = SA.hash_thresholds(df, h, SA.row_count_k(0.3), group=F.col("o_orderstatus"))
+    assert one == deep
