@@ -14,6 +14,8 @@ from tabtaint.session import checkpoint_dir, ship_package
 BLANKS = "[\\x20\\x09-\\x0D]+"
 #: Everything but ASCII digits, ASCII letters and characters beyond ASCII.
 NOT_ALNUM = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+#: Words of those characters in a text that is not lower-cased yet.
+ALNUM = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -55,6 +57,10 @@ def split_words(text: Column, separator: str = BLANKS) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), separator), "")
 
 
+def count_alnum_words(text: str) -> Column:
+    return F.regexp_count(F.coalesce(F.col(f"`{text}`"), F.lit("")), F.lit(ALNUM)).cast("bigint")
+
+
 def window_hashes(hashes: Column, width: int) -> Column:
     """64-bit hash of each run of ``width`` consecutive elements of an array of hashes; empty when
     the array is shorter."""
@@ -63,3 +69,17 @@ def window_hashes(hashes: Column, width: int) -> Column:
         return F.slice(at, F.lit(1), F.greatest(F.size(h) - (width - 1), F.lit(0)))
 
     return let(hashes, runs)
+
+
+def bounded(df: DataFrame, name: str, limit_bytes: int = 32 << 20) -> DataFrame:
+    """``df`` written once, and marked for broadcast only if its measured size is within the
+    limit; a larger one is joined by a shuffle."""
+    kept = stored(df, name)
+    size = kept.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
+    return F.broadcast(kept) if size <= limit_bytes else kept
+
+
+def row_key(text: str = "text") -> Column:
+    """With the document id, what tells rows apart: rows that share an id keep their own results."""
+    t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    return F.struct(F.xxhash64(t).alias("a"), F.octet_length(t).alias("b"))

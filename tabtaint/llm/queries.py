@@ -3,8 +3,19 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tabtaint.llm import quality
+from tabtaint.llm import (
+    bpe,
+    decontaminate,
+    licenses,
+    neardup,
+    pii,
+    quality,
+    substrings,
+    tokenfiles,
+    urls,
+)
 from tabtaint.llm.common import table
 
 
@@ -14,7 +25,51 @@ def op9_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
         "p_good")
 
 
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = decontaminate.mark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return marked.withColumn("items_sha256", F.sha2(F.array_join("items", ","), 256)).drop("items")
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"), licenses.default_templates(spark))
+
+
+def op1_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
+                      public_tokenizers.PATTERN)
+
+
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    return tokenfiles.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup_substrings(table(spark, sf_dir, "documents"))
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"), urls.default_rules(spark))
+
+
+def op10_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_bpe_codec": op1_bpe_codec,
+    "op2_minhash_near_dedup": op2_minhash_near_dedup,
+    "op3_token_files": op3_token_files,
+    "op5_substring_dedup": op5_substring_dedup,
+    "op6_url_filter": op6_url_filter,
+    "op10_pii_pseudonyms": op10_pii_pseudonyms,
+    "op4_license_scan": op4_license_scan,
+    "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op9_quality_votes": op9_quality_votes,
 }
 ORACLE: dict[str, str] = {}
