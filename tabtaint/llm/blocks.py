@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabtaint.llm.common import ready
+from tabtaint.llm.common import ready, split_id
 
 BLOCK_BYTES = 2 << 20
 BLOCKS_PER_PARTITION = 4
@@ -31,14 +31,14 @@ class Blocks:
     def __init__(self, docs: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYTES):
         self.spark = ready(docs)
         t = F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")
-        d = docs.select("doc_id", t.alias("text"))
+        d = docs.select(*split_id(), t.alias("text"))
         total = d.agg(F.sum(F.octet_length("text") + 64).alias("n")).first()["n"] or 0
         self.count = max(1, math.ceil(total / block_bytes))
         self.words = max(1, total // 6)
         self.shards = 1 << max(LEAST_SHARDS - 1, math.ceil(self.words / SHARD_WORDS) - 1).bit_length()
         self.partitions = max(1, math.ceil(self.count / BLOCKS_PER_PARTITION),
                               int(self.spark.conf.get("spark.sql.shuffle.partitions")))
-        self.docs = d.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(self.count)).cast("int")) \
+        self.docs = d.withColumn("block", F.pmod(F.xxhash64("doc_id", "no_id", "text"), F.lit(self.count)).cast("int")) \
             .repartition(self.partitions, "block")
 
     def each(self, f: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
@@ -56,9 +56,7 @@ class Blocks:
 def ordered(docs: pd.DataFrame) -> pd.DataFrame:
     """The block's rows in a fixed order, whatever order the shuffle brought them in: by id (null
     last), then by text."""
-    missing = docs["doc_id"].isna()
-    d = docs.assign(_missing=missing, _id=docs["doc_id"].fillna(0).astype("int64"))
-    return d.sort_values(["_missing", "_id", "text"], kind="stable").reset_index(drop=True)
+    return docs.sort_values(["no_id", "doc_id", "text"], kind="stable").reset_index(drop=True)
 
 
 def by_shard(sorted_cells: np.ndarray, shards: int, bits: int = 64) -> np.ndarray:

@@ -18,15 +18,17 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabtaint.llm.common import ready
+from tabtaint.llm.common import join_id, ready, split_id
 from tabtaint.llm.pieces import pieces
 
 LONG = 64
@@ -180,14 +182,15 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", with_id
                 sizes = {p: len(ids) for p, (ids, _) in found.items()}
                 data = {p: b for p, (_, b) in found.items()}
                 decoded = [b"".join([data[p] for p in ps]) for ps in cut]
-                out = {"doc_id": part["doc_id"].astype("Int64"),
+                out = {"doc_id": part["doc_id"], "no_id": part["no_id"],
                        "n_tokens": [sum([sizes[p] for p in ps]) for ps in cut],
                        "ids_sha256": [hashlib.sha256(" ".join([shown[p] for p in ps]).encode()).hexdigest() for ps in cut],
                        "decoded_sha256": [hashlib.sha256(b).hexdigest() for b in decoded]}
                 if with_ids:
-                    out |= {"ids": [[i for p in ps for i in found[p][0]] for ps in cut], "decoded": decoded}
+                    out |= {"ids": [np.fromiter(chain.from_iterable([found[p][0] for p in ps]), np.int32) for ps in cut],
+                            "decoded": decoded}
                 yield pd.DataFrame(out)
 
-    schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" \
+    schema = "doc_id bigint, no_id boolean, n_tokens bigint, ids_sha256 string, decoded_sha256 string" \
         + ", ids array<int>, decoded binary" * with_ids
-    return docs.select("doc_id", F.col(f"`{text}`").alias("text")).mapInPandas(run, schema)
+    return join_id(docs.select(*split_id(), F.col(f"`{text}`").alias("text")).mapInPandas(run, schema))

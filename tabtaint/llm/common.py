@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Callable
 
@@ -30,6 +31,16 @@ def ready(df: DataFrame) -> SparkSession:
     return df.sparkSession
 
 
+def split_id() -> list[Column]:
+    """The document id for Python tasks: ``doc_id`` without nulls, and ``no_id``.  (A nullable bigint
+    would reach pandas as a float and lose digits.)"""
+    return [F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("no_id")]
+
+
+def join_id(df: DataFrame) -> DataFrame:
+    return df.withColumn("doc_id", F.when(~F.col("no_id"), F.col("doc_id"))).drop("no_id")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new folder in the shared checkpoint directory."""
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -43,6 +54,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sized(df: DataFrame, rows: int, per_task: int = 250_000) -> DataFrame:
+    """``df`` in no more partitions than ``rows`` rows need: tables of ids that are small beside the
+    corpus aren't worth a task for every shuffle partition."""
+    return df.coalesce(max(8, math.ceil(rows / per_task)))
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` evaluated once per row, however often the body's lambdas use it."""
     return F.element_at(F.transform(F.array(value), body), 1)

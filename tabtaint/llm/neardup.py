@@ -9,9 +9,10 @@ shingles costs O(n + t log t) hash steps, not O(n t).  Sets with J >= 0.75 share
 probability of at least 1 - (1 - 0.75 ** 7) ** 72 > 0.99996.
 
 Candidates never become all pairs.  Equal sets are one class.  In a bucket each class is compared
-with the bucket's least one; verified links give components; after that, only members outside the
-bucket's largest component are compared with the members of other components.  A bucket with very
-many such members is split by second bands first.  Links are confirmed on the full sets.
+with the bucket's least one; verified links give components.  After that only members outside the
+bucket's largest component are compared with the members of other components: directly where they
+are few, else in the bucket's parts that share a second band as well (and a third), which similar
+sets do but sets that merely share a passage seldom do.  Links are confirmed on the full sets.
 
 Defined cases: null and empty texts have the empty set, are linked with nothing and stay; fewer
 than five words give one shingle; rows sharing an id are judged by their own texts; rows with a null id are never linked and stay; an empty table gives an empty result.
@@ -21,13 +22,14 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabtaint.llm.common import ready, stored
+from tabtaint.llm.common import bounded, join_id, ready, sized, split_id, stored
 from tabtaint.llm.graph import components
 from tabtaint.llm.text import U64, Words, mixed
 
@@ -35,9 +37,8 @@ SHINGLE = 5
 ROWS, BANDS = 7, 72
 BINS = ROWS * BANDS
 SLICE_BYTES = 2 << 20
-#: Members outside a bucket's largest component that are compared directly; compared pairs a salt takes.
-DIRECT, SALT = 64, 256
-REFINEMENTS = 4
+#: Members outside a bucket's largest component that are compared directly; further bands in a key.
+DIRECT, REFINEMENTS = 8, 2
 
 
 # ---- sets and sketches --------------------------------------------------------------------
@@ -107,7 +108,7 @@ def _sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for k, i in enumerate(some):
                 keys[i] = hashlib.blake2b(sets[i].astype("<u8").tobytes(), digest_size=16).digest()
                 rows[i] = bands[k]
-            yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "n_shingles": [len(s) for s in sets],
+            yield pd.DataFrame({"doc_id": part["doc_id"], "no_id": part["no_id"], "n_shingles": [len(s) for s in sets],
                                 "set": keys, "bands": rows})
 
 
@@ -131,18 +132,11 @@ def _links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch.loc[good, ["u", "v"]]
 
 
-def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (``u``, ``v``) whose full sets are similar enough.  A pair's first node may be in
-    very many pairs; its set is sent once for each salt of about ``SALT`` of them."""
-    nodes = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
-    sets = stored(docs.join(nodes, docs["doc_id"] == nodes["node"], "left_semi")
-                  .mapInPandas(_sets, "node bigint, shingles binary"), "shingle-sets")
-    degree = pairs.groupBy("u").agg(F.ceil(F.count("*") / SALT).alias("salts"))
-    salted = pairs.join(degree, "u").select("u", "v", F.pmod(F.xxhash64("v"), "salts").alias("salt"))
-    first = salted.select("u", "salt").distinct().join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u")
-    second = salted.join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
-    return stored(second.join(first, ["u", "salt"]).select("u", "v", "a", "b")
-                  .mapInPandas(_links, "u bigint, v bigint").distinct(), "links")
+def _verified(pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
+    """The pairs (``u``, ``v``) whose full sets are similar enough."""
+    a = sets.select(F.col("node").alias("u"), F.col("shingles").alias("a"))
+    b = sets.select(F.col("node").alias("v"), F.col("shingles").alias("b"))
+    return stored(pairs.join(b, "v").join(a, "u").select("u", "v", "a", "b").mapInPandas(_links, "u bigint, v bigint"), name)
 
 
 def _similar_size(a: str, b: str):
@@ -157,9 +151,21 @@ def _buckets(rows: DataFrame) -> DataFrame:
     return dealt.join(least, "h")
 
 
-def _labels(links: DataFrame, rows: DataFrame) -> DataFrame:
-    label = components(links.select("u", "v"))
-    return rows.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+def _open(members: DataFrame, n: int) -> DataFrame:
+    """Members (``h, node, n, component``) of buckets that hold several components, with the bucket's
+    largest component and the number of members ``outside`` it."""
+    parts = sized(members.groupBy("h", "component").agg(F.count("*").alias("k")), n)
+    by = parts.groupBy("h").agg(F.max_by("component", F.struct("k", "component")).alias("largest"),
+                                F.count("*").alias("parts"), (F.sum("k") - F.max("k")).alias("outside")).where("parts > 1")
+    return stored(sized(members.join(sized(by, n).drop("parts"), "h"), n), "open-buckets")
+
+
+def _across(opened: DataFrame) -> DataFrame:
+    """Pairs of members outside the largest component with members of other components."""
+    x = opened.where("component <> largest").select("h", F.col("node").alias("x"), F.col("n").alias("x_n"),
+                                                    F.col("component").alias("x_c"))
+    return opened.join(x, "h").where((F.col("component") != F.col("x_c")) & _similar_size("n", "x_n")) \
+        .select(F.least("x", "node").alias("u"), F.greatest("x", "node").alias("v"))
 
 
 def link_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -169,49 +175,44 @@ def link_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
     one component, though not each such pair is listed."""
     rows = classes.select("node", "n", F.explode("bands").alias("h"))
     members = stored(_buckets(rows), "buckets")
+    r = members.count()
+    nodes = bounded(sized(members.select("node").distinct(), r), "bucket-nodes")
+    sets = stored(docs.join(nodes, docs["doc_id"] == nodes["node"], "left_semi").mapInPandas(
+        _sets, "node bigint, shingles binary"), "shingle-sets")
     pairs = members.where((F.col("node") != F.col("center")) & _similar_size("n", "center_n")) \
         .select(F.col("center").alias("u"), F.col("node").alias("v")).distinct()
-    pairs = stored(pairs, "pairs")
-    links = _verified(docs, pairs)
-    todo = members.select("h", "node", "n")
+    links = _verified(sized(pairs, r), sets, "links")
+    label = components(links)
+    m = sized(members.select("h", "node", "n").join(label, "node", "left"), r) \
+        .withColumn("component", F.coalesce("component", "node"))
+    more = []
     for step in range(REFINEMENTS + 1):
-        m = _labels(links, todo)
-        by = m.groupBy("h", "component").agg(F.count("*").alias("k")).groupBy("h").agg(
-            F.max_by("component", F.struct("k", "component")).alias("largest"), F.count("*").alias("parts"),
-            (F.sum("k") - F.max("k")).alias("outside")).where("parts > 1")
-        m = stored(m.join(by, "h"), "open-buckets")
-        if m.isEmpty():
-            break
-        direct = F.col("outside") <= DIRECT if step < REFINEMENTS else F.lit(True)
-        now = m.where(direct)
-        outside = now.where("component <> largest").select("h", F.col("node").alias("x"), F.col("n").alias("x_n"),
-                                                           F.col("component").alias("x_c"))
-        more = outside.join(now.select("h", "node", "n", "component"), "h") \
-            .where((F.col("component") != F.col("x_c")) & _similar_size("n", "x_n")) \
-            .select(F.least("x", "node").alias("u"), F.greatest("x", "node").alias("v")).distinct()
-        more = stored(more.join(pairs, ["u", "v"], "left_anti"), "pairs")
-        if not more.isEmpty():
-            pairs = pairs.unionByName(more)
-            links = links.unionByName(_verified(docs, more))
-        crowded = m.where(~direct).select("h", "node", "n")
-        if crowded.isEmpty():
+        opened = _open(m, r)
+        crowded = F.col("outside") > DIRECT if step < REFINEMENTS else F.lit(False)
+        more.append(_across(opened.where(~crowded)))
+        if step == REFINEMENTS or opened.where(crowded).isEmpty():
             break
-        again = crowded.join(classes.select("node", "bands"), "node") \
-            .select("node", "n", "h", F.explode("bands").alias("other")).where("other <> h") \
-            .select("node", "n", F.xxhash64("h", "other").alias("h"))
-        todo = stored(_buckets(again), "buckets").select("h", "node", "n")
-    return links
+        left = opened.where(crowded).select("h", "node", "n", "component")
+        these = classes.join(bounded(sized(left.select("node").distinct(), r), "crowded-nodes"), "node") \
+            .select("node", F.explode("bands").alias("other"))
+        m = left.join(these, "node").where("other <> h").select(
+            F.xxhash64(F.least("h", "other"), F.greatest("h", "other")).alias("h"), "node", "n", "component").distinct()
+        m = stored(_buckets(m).select("h", "node", "n", "component"), "buckets")
+        r = m.count()
+    more = stored(sized(reduce(DataFrame.unionByName, more).distinct(), r), "pairs")
+    return links if more.isEmpty() else links.unionByName(_verified(more, sets, "links"))
 
 
 def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     """Per document: ``doc_id, n_shingles, component_id, kept, n_links`` (verified links of its class)."""
     ready(docs)
-    d = docs.select("doc_id", F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary").alias("text"))
-    sk = stored(d.mapInPandas(_sketch, "doc_id bigint, n_shingles bigint, set binary, bands array<bigint>"), "sketches")
+    d = docs.select(*split_id(), F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary").alias("text"))
+    sk = stored(join_id(d.mapInPandas(
+        _sketch, "doc_id bigint, no_id boolean, n_shingles bigint, set binary, bands array<bigint>")), "sketches")
     known = sk.where("set IS NOT NULL AND doc_id IS NOT NULL")
     classes = stored(known.groupBy("set").agg(F.min("doc_id").alias("node"), F.min("n_shingles").alias("n"),
                                               F.min_by("bands", "doc_id").alias("bands")), "classes")
-    links = link_classes(d, classes.select("node", "n", "bands"))
+    links = link_classes(d.where("NOT no_id").select("doc_id", "text"), classes.select("node", "n", "bands"))
     label = components(links)
     ends = links.select(F.col("u").alias("node")).unionByName(links.select(F.col("v").alias("node")))
     n_links = ends.groupBy("node").agg(F.count("*").alias("n_links"))
@@ -226,6 +227,6 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def keep_first_of_group(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` without the documents whose group has a smaller id, with their own columns only."""
-    gone = stored(near_duplicates(docs, text).where("NOT kept").select(F.col("doc_id").alias("__id")).distinct(),
-                  "near-duplicates")
+    gone = bounded(near_duplicates(docs, text).where("NOT kept").select(F.col("doc_id").alias("__id")).distinct(),
+                   "near-duplicates")
     return docs.join(gone, docs["doc_id"] == gone["__id"], "left_anti")

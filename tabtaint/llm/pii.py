@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tabtaint.llm.common import ready
 
@@ -227,33 +228,31 @@ class Pseudonyms:
 
 # ---- Spark --------------------------------------------------------------------------------
 
-def pseudonymise(docs: DataFrame, text: str = "text", key: str = DEFAULT_KEY, undo: bool = False) -> DataFrame:
-    """``docs`` with its text column's personal values replaced; all columns kept."""
-    ready(docs)
+COUNTS = ", ".join(f"n_{k} bigint" for k in KINDS)
+
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _replacer(key: str, undo: bool):
+    """Column function: a text to a struct of its kinds' counts and the new text."""
+    @F.pandas_udf(f"{COUNTS}, n_replaced bigint, text string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         p = Pseudonyms(key, undo)
         for batch in batches:
-            batch[text] = [p.text(t)[0] for t in batch[text]]
-            yield batch
+            done = [p.text(t) for t in batch]
+            out = {f"n_{k}": [f[k] for _, f in done] for k in KINDS}
+            out |= {"n_replaced": [sum(f.values()) for _, f in done], "text": [t for t, _ in done]}
+            yield pd.DataFrame(out)
 
-    return docs.mapInPandas(run, docs.schema)
+    return run
 
 
-def report(docs: DataFrame, text: str = "text", key: str = DEFAULT_KEY) -> DataFrame:
-    """Per document: ``doc_id``, the count of each kind, ``n_replaced``, the new ``text`` and its sha256."""
+def pseudonymise(docs: DataFrame, text: str = "text", key: str = DEFAULT_KEY, undo: bool = False) -> DataFrame:
+    """``docs`` with its text column's personal values replaced; all other columns untouched."""
     ready(docs)
+    return docs.withColumn(text, _replacer(key, undo)(F.col(f"`{text}`").cast("string"))["text"])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        p = Pseudonyms(key)
-        for batch in batches:
-            done = [p.text(t) for t in batch["text"]]
-            out = {"doc_id": batch["doc_id"].astype("Int64")}
-            out |= {f"n_{k}": [f[k] for _, f in done] for k in KINDS}
-            out |= {"n_replaced": [sum(f.values()) for _, f in done], "text": [t for t, _ in done],
-                    "text_sha256": [hashlib.sha256((t or "").encode("utf-8", "replace")).hexdigest() for t, _ in done]}
-            yield pd.DataFrame(out)
 
-    counts = ", ".join(f"n_{k} bigint" for k in KINDS)
-    return docs.select("doc_id", docs[text].alias("text")).mapInPandas(
-        run, f"doc_id bigint, {counts}, n_replaced bigint, text string, text_sha256 string")
+def report(docs: DataFrame, text: str = "text", key: str = DEFAULT_KEY) -> DataFrame:
+    """Per document: ``doc_id``, the count of each kind, ``n_replaced``, the new ``text`` and its sha256."""
+    ready(docs)
+    done = docs.select("doc_id", _replacer(key, False)(F.col(f"`{text}`").cast("string")).alias("r"))
+    return done.select("doc_id", "r.*").withColumn("text_sha256", F.sha2(F.coalesce("text", F.lit("")), 256))

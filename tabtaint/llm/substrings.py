@@ -21,6 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from tabtaint.llm.blocks import Blocks, by_shard, ordered
+from tabtaint.llm.common import join_id
 from tabtaint.llm.text import U64, Words
 
 WINDOW = 20
@@ -98,8 +99,7 @@ def _suspects(docs: pd.DataFrame, answers: pd.DataFrame, shards: int, bits: int)
     first[1:] = (np.diff(h[order]) != 0) | (np.diff(other[order]) != 0)
     order = order[first]
     h, other, text, at = h[order], (other[order] >> U64(32)).astype("<u4"), text[order], at[order]
-    ids = docs["_id"].to_numpy(np.int64).copy()
-    ids[docs["_missing"].to_numpy()] = LAST_ID
+    ids = np.where(docs["no_id"], LAST_ID, docs["doc_id"])
     block, rows, edges = int(docs["block"].iloc[0]), [], by_shard(h, shards)
     for s in np.flatnonzero(np.diff(edges)):
         part = slice(edges[s], edges[s + 1])
@@ -154,11 +154,9 @@ def _cut(docs: pd.DataFrame, answers: pd.DataFrame, with_text: bool) -> pd.DataF
     for i, (a, b) in enumerate(zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True)):
         left = (np.flatnonzero(~gone[a:b]) + a).tolist()
         kept = b" ".join([w.data[begin[k]:end[k]] for k in left])
-        doc = None if docs["_missing"][i] else int(docs["_id"][i])
-        row = (doc, b - a, b - a - len(left), hashlib.sha256(kept).hexdigest())
+        row = (docs["doc_id"][i], docs["no_id"][i], b - a, b - a - len(left), hashlib.sha256(kept).hexdigest())
         rows.append((*row, kept.decode("utf-8", "replace")) if with_text else row)
-    columns = ["doc_id", "n_words", "n_removed", "kept_sha256", *["kept"] * with_text]
-    return pd.DataFrame(rows, columns=columns).astype({"doc_id": "Int64"})
+    return pd.DataFrame(rows, columns=["doc_id", "no_id", "n_words", "n_removed", "kept_sha256", *["kept"] * with_text])
 
 
 def dedup_substrings(docs: DataFrame, text: str = "text", with_text: bool = False) -> DataFrame:
@@ -172,8 +170,9 @@ def dedup_substrings(docs: DataFrame, text: str = "text", with_text: bool = Fals
     suspects = b.with_answers(flags, lambda d, a: _suspects(d, a, shards, bits) if len(d) else _none(),
                               "shard int, block int, hash binary, more binary, doc binary, ids binary, word binary")
     later = suspects.groupBy("shard").applyInPandas(_not_first, "block int, word binary")
-    schema = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept string" * with_text
-    return b.with_answers(later, lambda d, a: _cut(d, a, with_text), schema)
+    schema = "doc_id bigint, no_id boolean, n_words bigint, n_removed bigint, kept_sha256 string" \
+        + ", kept string" * with_text
+    return join_id(b.with_answers(later, lambda d, a: _cut(d, a, with_text), schema))
 
 
 def _none() -> pd.DataFrame:

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tabtaint.llm.common import bounded, ready, scratch_path
+from tabtaint.llm.common import bounded, join_id, ready, scratch_path, split_id
 from tabtaint.llm.pieces import pieces
 
 END = 2
@@ -35,7 +35,7 @@ HASH_BITS = 18
 #: Pieces that a task remembers; beyond that it starts anew.
 MEMORY = 400_000
 
-SCHEMA = ("part int, chunk int, n_ids bigint, docs array<bigint>, counts binary, firsts binary, "
+SCHEMA = ("part int, chunk int, n_ids bigint, docs binary, no_id binary, counts binary, firsts binary, "
           "first_rule int, rules binary, lengths binary, width int, symbols binary")
 
 
@@ -164,14 +164,15 @@ def expand(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, first_ru
     return out
 
 
-def shard_row(part: int, chunk: int, docs: list, ids: np.ndarray, counts: np.ndarray, first_rule: int) -> dict:
+def shard_row(part: int, chunk: int, docs: np.ndarray, no_id: np.ndarray, ids: np.ndarray, counts: np.ndarray, first_rule: int) -> dict:
     symbols, rules, ends = compress(ids, np.cumsum(counts) - 1, first_rule)
     lengths: list[int] = []
     for left, right in rules.tolist():
         lengths.append(sum(1 if x < first_rule else lengths[x - first_rule] for x in (left, right)))
     width = 2 if first_rule + len(rules) <= 1 << 16 else 4
     firsts = np.concatenate([[0], ends[:-1] + 1]) if len(ends) else np.empty(0, np.int64)
-    return {"part": part, "chunk": chunk, "n_ids": len(ids), "docs": docs, "counts": counts.astype("<u4").tobytes(),
+    return {"part": part, "chunk": chunk, "n_ids": len(ids), "docs": docs.astype("<i8").tobytes(),
+            "no_id": np.packbits(no_id).tobytes(), "counts": counts.astype("<u4").tobytes(),
             "firsts": firsts.astype("<u4").tobytes(), "first_rule": first_rule, "rules": rules.astype("<u4").tobytes(),
             "lengths": np.array(lengths, "<u4").tobytes(), "width": width, "symbols": symbols.astype(f"<u{width}").tobytes()}
 
@@ -180,7 +181,9 @@ class Shard:
     """A row of the files."""
 
     def __init__(self, row):
-        self.docs, self.first_rule = row["docs"], int(row["first_rule"])
+        self.first_rule = int(row["first_rule"])
+        self.docs = np.frombuffer(row["docs"], "<i8")
+        self.no_id = np.unpackbits(np.frombuffer(row["no_id"], np.uint8), count=len(self.docs)).astype(bool)
         self.counts = np.frombuffer(row["counts"], "<u4").astype(np.int64)
         self.firsts = np.frombuffer(row["firsts"], "<u4").astype(np.int64)
         self.rules = np.frombuffer(row["rules"], "<u4").astype(np.int64).reshape(-1, 2)
@@ -208,19 +211,17 @@ class Shard:
 def write(docs: DataFrame, path: str, tokenizer: str, text: str = "text") -> None:
     """Writes the shards of ``docs`` below ``path``."""
     spark = ready(docs)
-    d = docs.select("doc_id", F.col(f"`{text}`").alias("text"))
+    d = docs.select(*split_id(), F.col(f"`{text}`").cast("string").alias("text"))
     total = d.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 64).alias("n")).first()["n"] or 0
     n = max(math.ceil(total / PARTITION_BYTES), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = d.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    dealt = d.repartitionByRange(n, F.desc("no_id"), "doc_id").sortWithinPartitions(F.desc("no_id"), "doc_id", "text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         e, chunk, size = encoder(tokenizer), 0, 0
-        open_: list[tuple[list, np.ndarray, np.ndarray]] = []
+        open_: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
 
         def closed() -> pd.DataFrame:
-            row = shard_row(part, chunk, [x for ids, _, _ in open_ for x in ids], np.concatenate([x for _, x, _ in open_]),
-                            np.concatenate([c for _, _, c in open_]), e.size)
-            return pd.DataFrame([row])
+            return pd.DataFrame([shard_row(part, chunk, *map(np.concatenate, zip(*open_, strict=True)), e.size)])
 
         part = 0
         for batch in batches:
@@ -228,8 +229,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, text: str = "text") -> Non
             limit = batch["text"].map(lambda t: len(t or "") + 64).cumsum() // (1 << 20)
             for _, some in batch.groupby(limit, sort=False):
                 ids, counts = e.encode(list(some["text"]))
-                docs_ = [None if pd.isna(x) else int(x) for x in some["doc_id"]]
-                open_.append((docs_, ids, counts))
+                open_.append((some["doc_id"].to_numpy(), some["no_id"].to_numpy(bool), ids, counts))
                 size += len(ids)
                 if size >= SHARD_IDS:
                     yield closed()
@@ -254,12 +254,11 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 end = np.cumsum(s.counts)
                 begin = end - s.counts
                 yield pd.DataFrame({
-                    "doc_id": pd.array([None if x is None or x != x else int(x) for x in s.docs], "Int64"),
-                    "start": begin + int(row["shard_start"]), "n_tokens": s.counts,
+                    "doc_id": s.docs, "no_id": s.no_id, "start": begin + int(row["shard_start"]), "n_tokens": s.counts,
                     "ids_crc32": [zlib.crc32(ids[a:b]) for a, b in zip(begin.tolist(), end.tolist(), strict=True)]})
 
-    return files.join(bounded(starts, "shard-starts"), ["part", "chunk"]).mapInPandas(
-        run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    joined = files.join(bounded(starts, "shard-starts"), ["part", "chunk"])
+    return join_id(joined.mapInPandas(run, "doc_id bigint, no_id boolean, start bigint, n_tokens bigint, ids_crc32 bigint"))
 
 
 def round_trip(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:

@@ -171,7 +171,7 @@ def _by_join(urls: DataFrame, rules: DataFrame) -> DataFrame:
     u = stored(u, "urls")
     best = u.select("row", F.explode("keys").alias("rule")).join(rules, "rule").groupBy("row").agg(
         F.max(F.struct(F.length("rule").alias("n"), "rule", "verdict")).alias("best"))
-    return u.join(best, "row", "left").select("page_id", "host", "path", F.col("best.rule").alias("rule"),
+    return u.join(best, "row", "left").select("page_id", "no_id", "host", "path", F.col("best.rule").alias("rule"),
                                               F.col("best.verdict").alias("ruled"))
 
 
@@ -182,7 +182,8 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     if rules.groupBy("rule").count().where("count > 1").limit(1).collect():
         raise ValueError("a rule is listed with both verdicts")
     host, path = host_and_path(F.col("url"))
-    urls = pages.select("page_id", host.alias("host"), path.alias("path"))
+    ids = [F.coalesce(F.col("page_id").cast("bigint"), F.lit(0)).alias("page_id"), F.col("page_id").isNull().alias("no_id")]
+    urls = pages.select(*ids, host.alias("host"), path.alias("path"))
     urls = urls.withColumn("keys", keys(F.col("host"), F.col("path"), shapes_of(rules)))
     known = universe(urls, rules)
     made = {v: build(known.select("h", (F.coalesce("verdict", F.lit("")) == v).alias("listed"))) for v in ("block", "allow")}
@@ -206,8 +207,8 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
                         i += 1
                     rule.append(best)
                     ruled.append(verdict)
-                yield pd.DataFrame({"page_id": b["page_id"].astype("Int64"), "host": b["host"], "path": b["path"],
+                yield pd.DataFrame({"page_id": b["page_id"], "no_id": b["no_id"], "host": b["host"], "path": b["path"],
                                     "rule": rule, "ruled": ruled})
 
-        out = urls.mapInPandas(look_up, "page_id bigint, host string, path string, rule string, ruled string")
-    return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.lit(default)).alias("verdict"))
+        out = urls.mapInPandas(look_up, "page_id bigint, no_id boolean, host string, path string, rule string, ruled string")
+    return out.select(F.when(~F.col("no_id"), F.col("page_id")).alias("page_id"), "host", "path", "rule", F.coalesce("ruled", F.lit(default)).alias("verdict"))
