@@ -144,8 +144,11 @@ def test_near_chain_and_shared_passages(spark):
     assert got(neardup.near_duplicates(d), *NEAR) == wanted(brute.near(rows))
 
 
-def test_near_refinement_by_second_bands(spark, monkeypatch):
+@pytest.mark.parametrize("group", [2000, 3])
+def test_near_crowded_buckets(spark, monkeypatch, group):
+    """Compared by sketches, or split by second bands first."""
     monkeypatch.setattr(neardup, "DIRECT", 1)
+    monkeypatch.setattr(neardup, "GROUP", group)
     passage = " ".join(f"p{k}" for k in range(60))
     rows = [(k, passage + " " + " ".join(f"u{k // 2}x{j}" for j in range(40)) + f" end{k}") for k in range(60)]
     d = spark.createDataFrame(rows, "doc_id bigint, text string")
