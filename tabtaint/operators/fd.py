@@ -22,9 +22,6 @@ from pyspark.sql import functions as F
 from tabtaint.functions.strings import fd_text
 from tabtaint.operators.sampling import sample_rows
 
-MAX_COLUMNS = 65   # fixed value: width cap of the FD evaluators
-
-
 def _tuple_hash(cols):
     parts = []
     for c in cols:
@@ -48,47 +45,49 @@ def cardinalities(df: DataFrame, sets) -> dict:
     return out
 
 
-def discover(df: DataFrame, columns=None, max_lhs: int = 3, sample_size=(10_000, 1_000_000), seed: int = 0,
-             key: str | None = None, max_columns: int = MAX_COLUMNS):
-    """Minimal FDs ``(lhs tuple, rhs)`` with ``len(lhs) <= max_lhs``; ``()`` lhs = constant column.
+def discover(df: DataFrame, columns=None, max_lhs: int | None = None, sample_size=(10_000, 1_000_000), seed: int = 0,
+             key: str | None = None, max_columns: int | None = None):
+    """Minimal FDs ``(lhs tuple, rhs)``; ``()`` lhs = constant column.
 
-    With a ``key``, candidates are refuted on growing exact hash samples (``sample_size``,
-    an int or increasing sizes) before the full table verifies the survivors; every sample
-    is a subset of the next, so a refutation is final.
+    The whole lattice is searched; ``max_lhs`` and ``max_columns`` are opt-in limits.  A left side
+    of a level is tried for a right side only if all its smaller parts were refuted for it (a
+    superset of a left side that holds is not minimal).  With a ``key``, candidates are refuted on
+    growing exact hash samples (``sample_size``, an int or increasing sizes) before the full table
+    verifies the survivors; every sample is a subset of the next, so a refutation is final.
     """
     cols = list(columns or [c for c in df.columns if c != key])
-    if len(cols) >= max_columns:
-        raise ValueError(f"{len(cols)} columns: FD discovery is capped below {max_columns} columns")
+    if max_columns is not None and len(cols) >= max_columns:
+        raise ValueError(f"{len(cols)} columns: FD discovery was limited to fewer than {max_columns} columns")
     samples = []
     if sample_size and key:
         sizes = [sample_size] if isinstance(sample_size, int) else list(sample_size)
         n = df.count()
         samples = [sample_rows(df, key, k, seed, "fd-sample").select(*cols) for k in sorted(sizes) if k < n]
     data = df.select(*cols)
-    found: list = []
-    # level 0: constant columns
     card = cardinalities(data, [()] + [(c,) for c in cols])
-    n_rows_nonempty = card[()]
-    consts = {c for c in cols if n_rows_nonempty and card[(c,)] <= 1}
-    found += [((), c) for c in cols if c in consts]
-    for level in range(1, max_lhs + 1):
+    constant = {c for c in cols if card[()] and card[(c,)] <= 1}
+    found: list = [((), c) for c in cols if c in constant]
+    free = [c for c in cols if c not in constant]   # a constant column adds nothing to a left side
+    refuted = {a: {()} for a in free}
+    for level in range(1, min(len(free) - 1, max_lhs if max_lhs is not None else len(free)) + 1):
         cands = []
-        for X in combinations(cols, level):
-            for A in cols:
-                if A in X or A in consts:
-                    continue
-                if any(B == A and set(Y) <= set(X) for Y, B in found):
-                    continue
-                cands.append((X, A))
-        if not cands:
-            break
+        for a in free:
+            grown = {x + (c,) for x in refuted[a] for c in free if c != a and (not x or free.index(c) > free.index(x[-1]))}
+            cands += [(x, a) for x in sorted(grown, key=lambda x: [free.index(c) for c in x])
+                      if all(x[:i] + x[i + 1:] in refuted[a] for i in range(level))]
+        holds = cands
         for src in samples + [data]:
-            need = {X for X, _ in cands} | {tuple(sorted(X + (A,), key=cols.index)) for X, A in cands}
-            cc = cardinalities(src, need)
-            cands = [(X, A) for X, A in cands if cc[X] == cc[tuple(sorted(X + (A,), key=cols.index))]]
-            if not cands:
+            if not holds:
                 break
-        found += cands
+            joint = {(x, a): tuple(sorted(x + (a,), key=cols.index)) for x, a in holds}
+            cc = cardinalities(src, {x for x, _ in holds} | set(joint.values()))
+            holds = [(x, a) for x, a in holds if cc[x] == cc[joint[x, a]]]
+        found += holds
+        refuted = {a: set() for a in free}
+        for x, a in set(cands) - set(holds):
+            refuted[a].add(x)
+        if not any(refuted.values()):
+            break
     return found
 
 

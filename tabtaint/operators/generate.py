@@ -79,7 +79,7 @@ def per_class(df: DataFrame, columns, target: str, n_samples: int, seed, key: st
     spark = df.sparkSession
     numbered, sizes = number_by_hash(df.select(key, target, *columns), key, seed, "gen6:order", group=target)
     numbered = numbered.persist()
-    classes = sorted(sizes, key=lambda v: py_hash(seed, "gen6:classes", v))
+    classes = sorted((v for v in sizes if v is not None), key=lambda v: py_hash(seed, "gen6:classes", v))   # no label, no class
     if not classes:
         return spark.range(0).withColumnRenamed("id", "draw_id")
     per = max(2, n_samples // len(classes))

@@ -124,6 +124,21 @@ def knn(query: DataFrame, ref: DataFrame, k: int, qkey: str = "row_key", rkey: s
 
 # ---------------------------------------------------------------- feature preparation
 
+def fill_medians(df: DataFrame, numeric) -> DataFrame:
+    """Missing (null or NaN) numeric values replaced by the column's exact median; a column
+    without any value by 0."""
+    from tabtaint.operators.ordered import exact_quantile
+    x = {c: F.col(c).cast("double") for c in numeric}
+    missing = {c: x[c].isNull() | F.isnan(x[c]) for c in numeric}
+    if not numeric:
+        return df
+    counts = df.agg(*[F.count_if(missing[c]).alias(c) for c in numeric]).first()
+    for c in (c for c in numeric if counts[c]):
+        m = exact_quantile(df, c, 0.5)
+        df = df.withColumn(c, F.when(missing[c], F.lit(0.0 if m is None else m)).otherwise(x[c]))
+    return df
+
+
 def onehot_features(df: DataFrame, numeric, categorical, vocab: dict | None = None) -> DataFrame:
     """``_f = [numeric..., one-hot(categorical)...]`` as array<double> (the euclidean input)."""
     parts = [F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))) for c in numeric]
@@ -193,9 +208,15 @@ def lof(df: DataFrame, numeric, categorical, k: int = 20, key: str = "row_key",
         contamination="auto", max_block_bytes: int = DEFAULT_BLOCK_BYTES) -> DataFrame:
     """Local outlier factor per row: ``row_key, lof, is_outlier`` (``auto``: LOF > 1.5).
 
-    After the kNN every step is an equi join on the (unique) row key.
+    With n <= k rows every row has n - 1 neighbours; a single row has LOF 1.  Missing numeric
+    values take the column's exact median, so no row is lost.  After the kNN every step is an
+    equi join on the (unique) row key.
     """
-    X = onehot_features(df, numeric, categorical).select(F.col(key).cast("string").alias("k"), "_f")
+    n = df.count()
+    k = min(k, n - 1)
+    if k < 1:
+        return df.select(F.col(key).cast("string").alias(key), F.lit(1.0).alias("lof"), F.lit(False).alias("is_outlier"))
+    X = onehot_features(fill_medians(df, numeric), numeric, categorical).select(F.col(key).cast("string").alias("k"), "_f")
     nn = knn(X, X, k, "k", "k", exclude_self=True, max_block_bytes=max_block_bytes).persist()   # read three times
     kdist = nn.where(F.col("rank") == k).select(F.col("qkey").alias("nkey"), F.col("dist").alias("kd"))
     reach = nn.join(kdist, "nkey").withColumn("reach", F.greatest("kd", "dist"))

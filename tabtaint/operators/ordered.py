@@ -7,6 +7,8 @@ per partition.  A hot value is no problem: callers first aggregate to one row pe
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,50 +19,26 @@ def _partitions(df: DataFrame) -> int:
     return max(int(n), 1)
 
 
-def max_abs_prefix(df: DataFrame, order_col: str, step_col: str) -> int | float:
-    """``max_x |sum_{v <= x} step(v)|`` over the distinct values ``v`` of ``order_col``.
-
-    ``step_col`` should be integral so that the result is exact.
-    """
-    parts = df.select(order_col, step_col).repartitionByRange(_partitions(df), order_col) \
-        .sortWithinPartitions(order_col)
-
-    def fold(it):
-        for pdf in it:
-            if len(pdf) == 0:
-                continue
-            c = pdf[step_col].astype("int64").cumsum()
-            yield pd.DataFrame({"first": [pdf[order_col].iloc[0]], "total": [int(c.iloc[-1])],
-                                "hi": [int(c.max())], "lo": [int(c.min())]})
-    schema = f"first {df.schema[order_col].dataType.simpleString()}, total long, hi long, lo long"
-    # one record per Arrow batch; batches are consecutive sorted runs of distinct values, so
-    # ordering the records by their first value restores the global order
-    rows = parts.mapInPandas(fold, schema).collect()
-    rows = sorted(rows, key=lambda r: r["first"])
-    best, off = 0, 0
-    for r in rows:
-        best = max(best, abs(off + r["hi"]), abs(off + r["lo"]))
-        off += r["total"]
-    return best
-
-
 def auc_from_counts(df: DataFrame, score_col: str, pos_col: str, neg_col: str) -> float:
     """Mann-Whitney AUC from per-score counts: ``sum pos_v * (neg_below_v + neg_v / 2) / (P * N)``."""
     parts = df.select(score_col, pos_col, neg_col).repartitionByRange(_partitions(df), score_col) \
         .sortWithinPartitions(score_col)
 
     def fold(it):
+        first, below, positives, area = None, 0.0, 0.0, 0.0
         for pdf in it:
             if len(pdf) == 0:
                 continue
+            first = pdf[score_col].iloc[0] if first is None else first
             neg = pdf[neg_col].astype("float64")
             pos = pdf[pos_col].astype("float64")
-            below = neg.cumsum() - neg
-            part = float((pos * (below + neg / 2.0)).sum())
-            yield pd.DataFrame({"first": [pdf[score_col].iloc[0]], "pos": [float(pos.sum())],
-                                "neg": [float(neg.sum())], "part": [part]})
+            area += float((pos * (below + neg.cumsum() - neg / 2.0)).sum())
+            below += float(neg.sum())
+            positives += float(pos.sum())
+        if first is not None:
+            yield pd.DataFrame({"first": [first], "pos": [positives], "neg": [below], "part": [area]})
     schema = f"first {df.schema[score_col].dataType.simpleString()}, pos double, neg double, part double"
-    rows = sorted(parts.mapInPandas(fold, schema).collect(), key=lambda r: r["first"])
+    rows = sorted(parts.mapInPandas(fold, schema).collect(), key=lambda r: r["first"])   # one record per partition
     acc, neg_before, P, N = 0.0, 0.0, 0.0, 0.0
     for r in rows:
         acc += r["part"] + neg_before * r["pos"]
@@ -70,28 +48,37 @@ def auc_from_counts(df: DataFrame, score_col: str, pos_col: str, neg_col: str) -
     return acc / (P * N) if P > 0 and N > 0 else float("nan")
 
 
-def max_abs_prefix_by_group(df: DataFrame, group_col: str, order_col: str, step_col: str) -> dict:
-    """:func:`max_abs_prefix` for every group at once (one range-partitioned pass)."""
-    parts = df.select(group_col, order_col, step_col).repartitionByRange(_partitions(df), group_col, order_col) \
+def max_cdf_gap_by_group(df: DataFrame, group_col: str, order_col: str, a_col: str, b_col: str, totals: dict) -> dict:
+    """``max_x |F_a(x) - F_b(x)|`` per group, from the counts ``a`` and ``b`` of each distinct value.
+
+    ``totals`` maps a group to its two sums.  The two counts are summed apart and divided before
+    they are compared, so no product of counts can overflow.  Each partition yields one record
+    per group in it: at most partitions + groups records reach the driver, whatever the rows.
+    """
+    parts = df.select(group_col, order_col, a_col, b_col).repartitionByRange(_partitions(df), group_col, order_col) \
         .sortWithinPartitions(group_col, order_col)
 
     def fold(it):
+        state: dict = {}
         for pdf in it:
-            if len(pdf) == 0:
-                continue
             for g, sub in pdf.groupby(group_col, sort=False):
-                c = sub[step_col].astype("int64").cumsum()
-                yield pd.DataFrame({"g": [g], "first": [sub[order_col].iloc[0]], "total": [int(c.iloc[-1])],
-                                    "hi": [int(c.max())], "lo": [int(c.min())]})
+                n, m = totals[g]
+                s = state.setdefault(g, [sub[order_col].iloc[0], 0, 0, -math.inf, math.inf])
+                gap = (s[1] + sub[a_col].cumsum().astype("float64")) / n - (s[2] + sub[b_col].cumsum().astype("float64")) / m
+                s[1] += int(sub[a_col].sum())
+                s[2] += int(sub[b_col].sum())
+                s[3], s[4] = max(s[3], float(gap.max())), min(s[4], float(gap.min()))
+        yield pd.DataFrame([(g, *s) for g, s in state.items()], columns=["g", "first", "a", "b", "hi", "lo"])
     schema = (f"g {df.schema[group_col].dataType.simpleString()}, first {df.schema[order_col].dataType.simpleString()}, "
-              "total long, hi long, lo long")
-    rows = parts.mapInPandas(fold, schema).collect()       # a few records per partition and group
+              "a long, b long, hi double, lo double")
+    rows = parts.mapInPandas(fold, schema).collect()
     out: dict = {}
-    for g in {r["g"] for r in rows}:
-        best, off = 0, 0
+    for g, (n, m) in totals.items():
+        best, a, b = 0.0, 0, 0
         for r in sorted((r for r in rows if r["g"] == g), key=lambda r: r["first"]):
+            off = a / n - b / m
             best = max(best, abs(off + r["hi"]), abs(off + r["lo"]))
-            off += r["total"]
+            a, b = a + r["a"], b + r["b"]
         out[g] = best
     return out
 

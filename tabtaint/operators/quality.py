@@ -16,27 +16,12 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabtaint.operators.ordered import max_abs_prefix, max_abs_prefix_by_group
+from tabtaint.operators.ordered import max_cdf_gap_by_group
 from tabtaint.operators.profile import equal_width_bin
 
 N_BINS = 10
 
 
-def ks_complement(real: DataFrame, syn: DataFrame, column: str) -> float:
-    """QLT2 for one numeric column (nulls ignored)."""
-    r = real.select(F.col(column).cast("double").alias("v")).where(F.col("v").isNotNull())
-    s = syn.select(F.col(column).cast("double").alias("v")).where(F.col("v").isNotNull())
-    n = r.agg(F.count(F.lit(1))).first()[0]
-    m = s.agg(F.count(F.lit(1))).first()[0]
-    if n == 0 or m == 0:
-        return float("nan")
-    both = (r.withColumn("sr", F.lit(1)).withColumn("ss", F.lit(0))
-            .unionByName(s.withColumn("sr", F.lit(0)).withColumn("ss", F.lit(1))))
-    per_value = both.groupBy("v").agg((F.sum("sr") * m - F.sum("ss") * n).alias("step"))
-    d = max_abs_prefix(per_value, "v", "step")
-    return 1.0 - d / float(n * m)
-
-
 def tv_complement(real: DataFrame, syn: DataFrame, columns) -> DataFrame:
     """QLT3 for several categorical columns in one aggregation: ``column, score``."""
     def long(df, tag):
@@ -116,15 +101,11 @@ def ks_complements(real: DataFrame, syn: DataFrame, columns) -> dict:
     u = long(real, "r").unionByName(long(syn, "s"))
     cnt = {r["column"]: (r["n"], r["m"]) for r in u.groupBy("column").agg(
         F.count_if(F.col("src") == "r").alias("n"), F.count_if(F.col("src") == "s").alias("m")).collect()}
-    nm = {c: cnt.get(c, (0, 0)) for c in columns}
-    nmap = F.create_map(*[x for c in columns for x in (F.lit(c), F.lit(nm[c][0]))])
-    mmap = F.create_map(*[x for c in columns for x in (F.lit(c), F.lit(nm[c][1]))])
-    per = u.groupBy("column", "v").agg(
-        (F.count_if(F.col("src") == "r") * F.element_at(mmap, F.col("column"))
-         - F.count_if(F.col("src") == "s") * F.element_at(nmap, F.col("column"))).alias("step"))
-    d = max_abs_prefix_by_group(per, "column", "v", "step")
-    return {c: (1.0 - d.get(c, 0) / float(nm[c][0] * nm[c][1])) if nm[c][0] and nm[c][1] else float("nan")
-            for c in columns}
+    totals = {c: cnt[c] for c in columns if all(cnt.get(c, (0, 0)))}
+    per = u.where(F.col("column").isin(list(totals))).groupBy("column", "v").agg(
+        F.count_if(F.col("src") == "r").alias("a"), F.count_if(F.col("src") == "s").alias("b"))
+    gap = max_cdf_gap_by_group(per, "column", "v", "a", "b", totals) if totals else {}
+    return {c: 1.0 - gap[c] if c in gap else float("nan") for c in columns}
 
 
 def column_shapes(real: DataFrame, syn: DataFrame, numeric, categorical) -> DataFrame:

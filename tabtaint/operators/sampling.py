@@ -21,7 +21,7 @@ from tabtaint.functions.rng import hash_hex, py_hash
 ALL = "g"   # sorts after every hex digest: selects everything
 NONE = ""   # sorts before every hex digest: selects nothing
 _SMALL = 20_000
-_MAX_GROUPS = 1_000_000
+_MAX_GROUPS = 100_000
 BROADCAST_OFFSET_ROWS = 2_000_000
 
 
@@ -41,8 +41,10 @@ def hash_thresholds(df: DataFrame, h: Column, k: int | Callable[[Mapping], Mappi
     ``{group: count} -> {group: k}`` evaluated on the counts of the first histogram level
     (so "10% of n" costs no extra job).  Returns ``(thresholds, counts)``.
     """
-    g = group if group is not None else F.lit(0)
-    base = df.select(g.alias("_g"), h.alias("_h"))
+    # groups travel as text ("n": null), so that a null is a group like any other
+    base = df.select((_group_text(group) if group is not None else F.lit("v0")).alias("_g"),
+                     (group if group is not None else F.lit(0)).alias("_v"), h.alias("_h"))
+    value: dict = {}
     prefix: dict = {}
     need: dict = {}
     counts: dict = {}
@@ -53,17 +55,18 @@ def hash_thresholds(df: DataFrame, h: Column, k: int | Callable[[Mapping], Mappi
         if plen == 0:
             width = 4
             # one histogram job; <= groups x 65,536 rows fetched as Arrow (columnar, no Row objects)
+            sizes = base.groupBy("_g").agg(F.first("_v").alias("_v"), F.count(F.lit(1)).alias("n")).limit(_MAX_GROUPS + 1).collect()
+            if len(sizes) > _MAX_GROUPS:   # checked before the histogram is fetched
+                raise ValueError(f"more than {_MAX_GROUPS} groups for exact stratified sampling")
             pdf = base.groupBy("_g", F.substring("_h", 1, width).alias("_b")).count().toArrow().to_pandas()
-            for gv, n in pdf.groupby("_g", sort=False)["count"].sum().items():
-                counts[_py(gv)] = int(n)
-            if len(counts) > _MAX_GROUPS:
-                raise ValueError(f"too many groups for exact stratified sampling: {len(counts)}")
+            value = {r["_g"]: r["_v"] for r in sizes}
+            counts = {r["_g"]: r["n"] for r in sizes}
             if callable(k):
-                want = dict(k(dict(counts)))
+                want = _by_text(value, k({value[t]: n for t, n in counts.items()}))
             elif isinstance(k, Mapping):
-                want = dict(k)
+                want = _by_text(value, k)
             else:
-                want = {0: int(k)}
+                want = {"v0": int(k)}
             for gv, n in counts.items():
                 kk = int(want.get(gv, 0))
                 if kk <= 0:
@@ -129,7 +132,15 @@ def hash_thresholds(df: DataFrame, h: Column, k: int | Callable[[Mapping], Mappi
                 .select("_g", "_h").collect())
         for r in rows:
             thresholds[r["_g"]] = r["_h"]
-    return thresholds, counts
+    return {value[t]: x for t, x in thresholds.items()}, {value[t]: n for t, n in counts.items()}
+
+
+def _group_text(group: Column) -> Column:
+    return F.coalesce(F.concat(F.lit("v"), group.cast("string")), F.lit("n"))
+
+
+def _by_text(value: Mapping, by_value: Mapping) -> dict:
+    return {t: by_value[v] for t, v in value.items() if v in by_value}
 
 
 def _py(v):
@@ -143,8 +154,11 @@ def threshold_flag(h: Column, thresholds: Mapping, group: Column | None = None)
         return h <= F.lit(thresholds.get(0, NONE))
     if not thresholds:
         return F.lit(False)
-    m = F.create_map(*[x for gv, t in thresholds.items() for x in (F.lit(gv), F.lit(t))])
-    return F.coalesce(h <= F.element_at(m, group), F.lit(False))
+    at_null = h <= F.lit(thresholds.get(None, NONE))
+    known = [x for gv, t in thresholds.items() if gv is not None for x in (F.lit(gv), F.lit(t))]
+    if not known:
+        return group.isNull() & at_null
+    return F.when(group.isNull(), at_null).otherwise(F.coalesce(h <= F.element_at(F.create_map(*known), group), F.lit(False)))
 
 
 def row_count_k(fraction: float) -> Callable[[Mapping], Mapping]:
@@ -204,9 +218,10 @@ def number_by_hash(df: DataFrame, key: str, seed, tag: str, group: str | None =
     # the offset table has sum_g min(size_g, 65,536) rows at most: broadcast only under a bound
     bound = sum(min(n, 65_536) for n in sizes.values())
     offs = F.broadcast(offs) if bound <= BROADCAST_OFFSET_ROWS else offs
-    out = (x.join(offs, ["_g", "_bk"])
+    offs = offs.select(F.col("_g").alias("_og"), F.col("_bk").alias("_obk"), "_off")
+    out = (x.join(offs, x["_g"].eqNullSafe(F.col("_og")) & (x["_bk"] == F.col("_obk")))
            .withColumn("_pos", F.col("_off") + F.row_number().over(w) - 1)
-           .drop("_bk", "_off", "_h", "_g"))
+           .drop("_bk", "_off", "_h", "_g", "_og", "_obk"))
     return out, (sizes if group else sizes.get(0, 0))
 
 

@@ -1002,8 +1002,9 @@ def q_onehot(spark, sf_dir):
     return EN.one_hot(p, ["p_type"], {"p_type": EN.vocabulary(p, "p_type")}, keep=["p_partkey"])
 
 
-register("encode_onehot", """
-PIVOT (SELECT p_partkey, 'p_type_' || p_type AS k FROM part) ON k USING CAST(count(*) AS INTEGER) GROUP BY p_partkey""")(q_onehot)
+_PART_TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]   # fixed values: the part types
+_SQL_ONEHOT = ", ".join(f"""CAST(p_type = '{x}' AS INTEGER) AS "p_type_{x}\"""" for x in _PART_TYPES)
+register("encode_onehot", f"SELECT p_partkey, {_SQL_ONEHOT} FROM part")(q_onehot)
 
 
 def q_ordinal(spark, sf_dir):
@@ -1075,52 +1076,41 @@ FD_PART = ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"
 FD_NATION = ["n_nationkey", "n_name", "n_regionkey"]
 
 
-def _sql_fd(table_sql: str, cols, max_lhs: int) -> str:
-    """Minimal FDs up to ``max_lhs`` by exhaustive distinct counts (the oracle's brute force)."""
-    def card(s):
-        if not s:
-            return f"(SELECT CASE WHEN count(*) > 0 THEN 1 ELSE 0 END FROM {table_sql} t)"
-        return f"(SELECT count(*) FROM (SELECT DISTINCT {', '.join(s)} FROM {table_sql} t))"
-
-    def holds(X, A):
-        xa = tuple(sorted(X + (A,), key=cols.index))
-        return f"({card(X)} = {card(xa)})"
-    parts = []
-    for level in range(0, max_lhs + 1):
-        for X in combinations(cols, level):
-            for A in cols:
-                if A in X:
-                    continue
-                conds = [holds(X, A)]
-                if level > 0:
-                    conds.append(f"NOT {holds((), A)}")
-                for k in range(1, level):
-                    for Y in combinations(X, k):
-                        conds.append(f"NOT {holds(Y, A)}")
-                parts.append(f"SELECT '{','.join(X)}' AS lhs, '{A}' AS rhs, '{','.join(X)} -> {A}' AS fd WHERE {' AND '.join(conds)}")
-    return " UNION ALL ".join(parts)
+def _sql_fd(table_sql: str, cols) -> str:
+    """All minimal FDs by exhaustive distinct counts of every column set (the oracle's brute force)."""
+    sets = []
+    for m in range(1 << len(cols)):
+        names = [c for b, c in enumerate(cols) if m >> b & 1]
+        sets.append(f"SELECT {m} AS m, (SELECT count(*) FROM (SELECT DISTINCT {', '.join(names)} FROM {table_sql} t)) AS n" if names
+                    else f"SELECT 0 AS m, (SELECT CASE WHEN count(*) > 0 THEN 1 ELSE 0 END FROM {table_sql} t) AS n")
+    names = ", ".join(f"({1 << b}, '{c}')" for b, c in enumerate(cols))
+    return f"""WITH card AS MATERIALIZED ({" UNION ALL ".join(sets)}), col(b, name) AS (VALUES {names}),
+h AS (SELECT x.m, b, name AS rhs FROM card x JOIN col ON (x.m & b) = 0 JOIN card y ON y.m = (x.m | b) WHERE x.n = y.n),
+f AS (SELECT m, rhs FROM h WHERE NOT EXISTS (SELECT 1 FROM h g WHERE g.b = h.b AND g.m <> h.m AND (g.m & h.m) = g.m))
+SELECT coalesce(lhs, '') AS lhs, rhs, coalesce(lhs, '') || ' -> ' || rhs AS fd FROM f LEFT JOIN (
+  SELECT m, string_agg(name, ',' ORDER BY b) AS lhs FROM card JOIN col ON (m & b) <> 0 GROUP BY m) USING (m)"""
 
 
 def q_fd_level1(spark, sf_dir):
     return FD.fd_table(spark, [f for f in FD.discover(load(spark, sf_dir, "part"), FD_PART, max_lhs=1) if len(f[0]) == 1])
 
 
-register("fd_level1", f"SELECT * FROM ({_sql_fd('part', FD_PART, 1)}) z WHERE lhs <> ''")(q_fd_level1)
+register("fd_level1", f"SELECT * FROM ({_sql_fd('part', FD_PART)}) z WHERE lhs <> '' AND lhs NOT LIKE '%,%'")(q_fd_level1)
 
 
 def q_fd_discovery(spark, sf_dir):
     p = keyed(spark, sf_dir, "part")
-    return FD.fd_table(spark, FD.discover(p, FD_PART, max_lhs=2, sample_size=500, seed=SEED, key="row_key"))
+    return FD.fd_table(spark, FD.discover(p, FD_PART, sample_size=500, seed=SEED, key="row_key"))
 
 
-register("fd_discovery", _sql_fd("part", FD_PART, 2))(q_fd_discovery)
+register("fd_discovery", _sql_fd("part", FD_PART))(q_fd_discovery)
 
 
 def q_fd_nation(spark, sf_dir):
-    return FD.fd_table(spark, FD.discover(load(spark, sf_dir, "nation"), FD_NATION, max_lhs=2))
+    return FD.fd_table(spark, FD.discover(load(spark, sf_dir, "nation"), FD_NATION))
 
 
-register("fd_nation", _sql_fd("nation", FD_NATION, 2))(q_fd_nation)
+register("fd_nation", _sql_fd("nation", FD_NATION))(q_fd_nation)
 
 
 def q_fd_sample(spark, sf_dir):
@@ -1128,13 +1118,28 @@ def q_fd_sample(spark, sf_dir):
     o = keyed(spark, sf_dir, "orders")
     cols = ["o_custkey", "o_orderstatus", "o_orderpriority"]
     small = SA.sample_rows(o, "row_key", 100, SEED, "fd-batch")
-    fds = FD.discover(small, cols, max_lhs=2)
+    fds = FD.discover(small, cols)
     return FD.fd_table(spark, fds)
 
 
+FD_XOR = ["a", "b", "c", "x"]
+_SQL_XOR = "(SELECT p_size % 2 AS a, p_partkey % 2 AS b, ascii(p_brand) % 2 + length(p_name) % 2 AS c, " \
+           "(p_size % 2 + p_partkey % 2 + ascii(p_brand) % 2 + length(p_name) % 2) % 2 AS x FROM part)"
+
+
+def q_fd_xor(spark, sf_dir):
+    """FDs with three columns on the left: a parity over ``part``."""
+    p = load(spark, sf_dir, "part").select(
+        (F.col("p_size") % 2).alias("a"), (F.col("p_partkey") % 2).alias("b"),
+        (F.ascii("p_brand") % 2 + F.length("p_name") % 2).alias("c")).withColumn("x", (F.col("a") + F.col("b") + F.col("c")) % 2)
+    return FD.fd_table(spark, FD.discover(p, FD_XOR))
+
+
+register("fd_xor", _sql_fd(_SQL_XOR, FD_XOR))(q_fd_xor)
+
 register("fd_sample_batch", _sql_fd(
     f"(SELECT * FROM (SELECT *, row_number() OVER (ORDER BY {sql_hash(SEED, 'fd-batch', 'row_key')}) AS rn "
-    f"FROM {sql_keyed('orders')}) WHERE rn <= 100)", ["o_custkey", "o_orderstatus", "o_orderpriority"], 2))(q_fd_sample)
+    f"FROM {sql_keyed('orders')}) WHERE rn <= 100)", ["o_custkey", "o_orderstatus", "o_orderpriority"]))(q_fd_sample)
 
 
 # ---------------------------------------------------------------- neighbours: DCR1, OUT2 (LOF)
@@ -1189,6 +1194,27 @@ lf AS (SELECT nn.q, avg(l2.lrd / l1.lrd) AS lof FROM nn JOIN lrd l2 ON l2.q = nn
 SELECT q AS row_key, round(lof, 6) AS lof, lof > 1.5 AS is_outlier FROM lf""")(q_lof)
 
 
+def q_lof_small_null(spark, sf_dir):
+    """LOF where rows are fewer than the neighbours asked for and some values are missing: no row is lost."""
+    n = load(spark, sf_dir, "nation").select(
+        F.col("n_nationkey").cast("string").alias("row_key"),
+        F.when(F.col("n_nationkey") % 5 != 0, F.col("n_nationkey").cast("double")).alias("v"),
+        F.col("n_regionkey").alias("r"))
+    return NB.lof(n, ["v"], ["r"], k=40).select("row_key", F.round("lof", 4).alias("lof"), "is_outlier")
+
+
+register("lof_small_and_null", """
+WITH x AS (SELECT CAST(n_nationkey AS VARCHAR) AS row_key, CASE WHEN n_nationkey % 5 <> 0 THEN CAST(n_nationkey AS DOUBLE) END AS v,
+           n_regionkey AS r FROM nation),
+f AS (SELECT row_key, coalesce(v, (SELECT median(v) FROM x)) AS a, r FROM x),
+nn AS (SELECT p.row_key AS q, o.row_key AS nk, sqrt((p.a - o.a) * (p.a - o.a) + CASE WHEN p.r = o.r THEN 0 ELSE 2 END) AS dist
+       FROM f p JOIN f o ON p.row_key <> o.row_key),
+kd AS (SELECT q AS nk, max(dist) AS kd FROM nn GROUP BY q),
+lrd AS (SELECT q, 1.0 / (avg(greatest(kd, dist)) + 1e-10) AS lrd FROM nn JOIN kd USING (nk) GROUP BY q),
+lf AS (SELECT nn.q, avg(b.lrd / a.lrd) AS lof FROM nn JOIN lrd b ON b.q = nn.nk JOIN lrd a ON a.q = nn.q GROUP BY nn.q)
+SELECT q AS row_key, round(lof, 4) AS lof, lof > 1.5 AS is_outlier FROM lf""")(q_lof_small_null)
+
+
 def q_lof_embeddings(spark, sf_dir):
     """LOF on the 64-dim embedding vectors (k=20), outlier count per label."""
     e = load(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("row_key"), "label",
@@ -1487,7 +1513,9 @@ def q_pivot(spark, sf_dir):
     return GR.score_matrix(_results(spark, sf_dir))
 
 
-register("result_pivot", f"PIVOT ({_SQL_RESULTS}) ON scenario USING first(score) GROUP BY model")(q_pivot)
+_SCENARIOS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]   # fixed values: the order priorities
+_SQL_PIVOT = ", ".join(f"""max(score) FILTER (scenario = '{x}') AS "{x}\"""" for x in _SCENARIOS)
+register("result_pivot", f"SELECT model, {_SQL_PIVOT} FROM ({_SQL_RESULTS}) GROUP BY model")(q_pivot)
 
 
 def q_best(spark, sf_dir):
@@ -1508,13 +1536,13 @@ WHERE a.scenario <> '3-MEDIUM'""")(q_gap)
 
 
 def q_task_json(spark, sf_dir):
-    t = q_tasks(spark, sf_dir).where("method = 'LOF'")
+    t = q_tasks(spark, sf_dir)
     return GR.task_json(t).select("evaluation_id", "experiment_id", "task")
 
 
 register("task_json", f"""WITH tk AS ({_sql_tasks()})
 SELECT evaluation_id, experiment_id, '{{"evaluation_id":"' || evaluation_id || '","experiment_id":"' || experiment_id || '","params":{{}}}}' AS task
-FROM tk WHERE method = 'LOF'""")(q_task_json)
+FROM tk""")(q_task_json)
 
 
 # ---------------------------------------------------------------- streaming (STM1, STM2)
@@ -1523,9 +1551,9 @@ from tabtaint.streaming import corrupt_stream as CS  # noqa: E402
 
 
 def q_stream_tasks(spark, sf_dir):
-    """STM1: LOF tasks of the grid published twice (duplicates), QLT-free ledger of RH tasks;
-    the stream dedups, marks done/pending and the result is read back from the sink."""
-    tasks = q_tasks(spark, sf_dir).where("method = 'LOF'")
+    """STM1: the grid's tasks published twice (duplicates), a ledger of the RH tasks; the stream
+    dedups, marks done/pending and the result is read back from the sink."""
+    tasks = q_tasks(spark, sf_dir)
     src = ST.scratch(spark, "task-source")
     recs = tasks.select("evaluation_id", "experiment_id", F.create_map().cast("map<string,string>").alias("params"))
     recs.write.mode("overwrite").json(f"{src}/a")
@@ -1538,7 +1566,7 @@ def q_stream_tasks(spark, sf_dir):
 
 register("stream_tasks_dedup", f"""WITH tk AS ({_sql_tasks()})
 SELECT DISTINCT evaluation_id, experiment_id, CASE WHEN first_target = 'RH' THEN 'done' ELSE 'pending' END AS state
-FROM tk WHERE method = 'LOF'""")(q_stream_tasks)
+FROM tk""")(q_stream_tasks)
 
 
 def q_stream_corrupt(spark, sf_dir):
@@ -1618,14 +1646,14 @@ register("source_discovery", None)(q_discover)
 def q_json_tasks(spark, sf_dir):
     """SNK3/SRC8: task records written as JSON and read back with the task schema."""
     path = ST.scratch(spark, "json")
-    t = q_tasks(spark, sf_dir).where("method = 'QLT'").select("evaluation_id", "experiment_id",
+    t = q_tasks(spark, sf_dir).select("evaluation_id", "experiment_id",
                                                                 F.create_map(F.lit("method"), F.col("method")).alias("params"))
     SK.write_json(t, path)
     return RD.read_json_records(spark, path, ST.TASK_SCHEMA, multiline=False).select(
         "evaluation_id", "experiment_id", F.col("params")["method"].alias("method"))
 
 
-register("source_json_records", f"WITH tk AS ({_sql_tasks()}) SELECT evaluation_id, experiment_id, method FROM tk WHERE method = 'QLT'")(
+register("source_json_records", f"WITH tk AS ({_sql_tasks()}) SELECT evaluation_id, experiment_id, method FROM tk")(
     q_json_tasks)
 
 
@@ -1696,6 +1724,41 @@ def q_replay(spark, sf_dir):
 register("evaluation_replay", None)(q_replay)
 
 
+METHODS = ["AR2", "DCR", "DPR", "HFD", "LOF", "QLT"]   # the model-fitting ones are run by tests
+_EVAL_EXPERIMENT = "NOR#customer#100#IMP#PLC#20#marginal_distributions"
+
+
+def _evaluation_ids():
+    return [f"{m}#{'RH#NULL' if EX.EVALUATORS[m][0] == 1 else 'R#SH'}" for m in METHODS] + ["QLT#R#S", "QLT#R#SH"]
+
+
+def q_evaluations(spark, sf_dir):
+    """EV0, GRD5: methods run from their id strings with ledger rows; a baseline at another rate,
+    a method for regression and a repeated id are skipped with their reasons."""
+    store, df = ST.scratch(spark, "evaluations"), keyed(spark, sf_dir, "customer")
+    for e in _evaluation_ids():
+        EX.run_evaluation(e, _EVAL_EXPERIMENT, df, SPECS["customer"], store)
+    done = GR.read_ledger(spark, store, "evaluations").select("evaluation_id", F.lit("done").alias("state"), F.lit("").alias("reason"))
+    skipped = GR.read_ledger(spark, store, "skipped_computations").select(
+        F.split("computation_id", "/")[0].alias("evaluation_id"), F.lit("skipped").alias("state"), "reason")
+    failed = GR.read_ledger(spark, store, "errors").select(F.lit("").alias("evaluation_id"), F.lit("failed").alias("state"),
+                                                            F.col("error_message").alias("reason"))
+    return done.unionByName(skipped).unionByName(failed)
+
+
+def _evaluations_sql():
+    rows, seen = [], set()
+    for e in _evaluation_ids():
+        reason = "AR2 does not apply to a classification target." if e.startswith("AR2") else \
+            GR.BASELINE_REASON.format(rate=0.1) if e.endswith("#R#S") else GR.EXISTS_REASON if e in seen else ""
+        seen.add(e)
+        rows.append(f"('{e}', '{'skipped' if reason else 'done'}', '{reason}')")
+    return f"SELECT * FROM (VALUES {', '.join(rows)}) t(evaluation_id, state, reason) WHERE (SELECT count(*) FROM customer) > 0"
+
+
+register("evaluation_methods", _evaluations_sql())(q_evaluations)
+
+
 # ---------------------------------------------------------------- projections, pairing, FD records, describe
 from tabtaint.operators import columns as CO  # noqa: E402
 
@@ -1748,7 +1811,7 @@ register("curate_batch_pairing", """SELECT r_name AS stem, true AS has_data, r_r
 def q_fd_records(spark, sf_dir):
     """JSN2: FD records of the part table written as JSON lines (plus a malformed line and a
     record of another type), parsed back."""
-    fds = FD.discover(load(spark, sf_dir, "part"), FD_PART, max_lhs=2)
+    fds = FD.discover(load(spark, sf_dir, "part"), FD_PART)
     import json as _json
     lines = [_json.dumps({"type": "FunctionalDependency",
                           "determinant": {"columnIdentifiers": [{"columnIdentifier": c} for c in lhs]},
@@ -1759,15 +1822,32 @@ def q_fd_records(spark, sf_dir):
     return CO.read_fd_records(spark, path)
 
 
-register("fd_json_records", f"SELECT lhs, rhs FROM ({_sql_fd('part', FD_PART, 2)}) z")(q_fd_records)
+register("fd_json_records", f"SELECT lhs, rhs FROM ({_sql_fd('part', FD_PART)}) z")(q_fd_records)
 
 
 def q_describe(spark, sf_dir):
-    """AGG12: ``describe``-style summary of the numeric order columns."""
-    return load(spark, sf_dir, "orders").select("o_totalprice", "o_custkey").summary("count", "mean", "stddev", "min", "max")
+    """AGG12: ``describe``-style summary of the numeric order columns, exact quartiles included."""
+    from tabtaint.operators.ordered import exact_quantile
+    o = load(spark, sf_dir, "orders")
+    cols = ["o_orderkey", "o_custkey", "o_totalprice"]
+    basic = o.agg(*[f(F.col(c).cast("double")).alias(f"{n}_{c}") for c in cols for n, f in (
+        ("count", F.count), ("mean", F.avg), ("stddev", F.stddev_samp), ("min", F.min), ("max", F.max))]).first()
+    rows = [(n, *[float(basic[f"{n}_{c}"]) for c in cols]) for n in ("count", "mean", "stddev", "min", "max")]
+    rows += [(n, *[exact_quantile(o, c, q) for c in cols]) for n, q in (("25%", 0.25), ("50%", 0.5), ("75%", 0.75))]
+    return spark.createDataFrame(rows, "summary string, " + ", ".join(f"{c} double" for c in cols)).select(
+        "summary", *[F.round(c, 4).alias(c) for c in cols])
+
+
+def _describe_sql():
+    cols = ["o_orderkey", "o_custkey", "o_totalprice"]
+    parts = {"count": "count({})", "mean": "avg({})", "stddev": "stddev_samp({})", "min": "min({})", "max": "max({})",
+             "25%": "quantile_cont(CAST({} AS DOUBLE), 0.25)", "50%": "quantile_cont(CAST({} AS DOUBLE), 0.5)",
+             "75%": "quantile_cont(CAST({} AS DOUBLE), 0.75)"}
+    return " UNION ALL ".join("SELECT '" + n + "' AS summary, " + ", ".join(
+        f"round(CAST({f.format(c)} AS DOUBLE), 4) AS {c}" for c in cols) + " FROM orders" for n, f in parts.items())
 
 
-register("describe_summary", None)(q_describe)
+register("describe_summary", _describe_sql())(q_describe)
 
 
 def q_synthetic_cap(spark, sf_dir):

@@ -48,6 +48,15 @@ def _cols(spec: TableSpec):
     return num, cat
 
 
+def _whole(spec: TableSpec):
+    """Numeric and categorical columns with the target among them: table-level evaluators score
+    the table as it is."""
+    num, cat = _cols(spec)
+    if not spec.target:
+        return num, cat
+    return (num + [spec.target], cat) if spec.problem_type == "regression" else (num, cat + [spec.target])
+
+
 @generator("marginal_distributions")
 def _gen_marginal(df, spec, n, seed):
     num, cat = _cols(spec)
@@ -101,7 +110,7 @@ class Experiment:
     error: str | None = None
     rate: float | None = None
     experiment_type: str = "NOR"
-    test_size: float = 0.25
+    test_size: float = 0.5   # fixed value: the halves that an id stands for
     max_training_rows: float = float("inf")
 
     @property
@@ -162,40 +171,87 @@ def guard(train_rows: int, spec: TableSpec, exp: Experiment) -> str | None:
     return None
 
 
-def run_experiment(df: DataFrame, spec: TableSpec, exp: Experiment, profile: str = "local"):
-    """GRD8: returns ``(synthetic DataFrame or None, experiments-ledger row DataFrame, reason)``."""
+def run_experiment(df: DataFrame, spec: TableSpec, exp: Experiment, profile: str = "local", store: str | None = None):
+    """GRD8: returns ``(synthetic DataFrame or None, experiments-ledger row DataFrame, reason)``.
+
+    With ``store`` the outcome is kept below that folder: the synthetic table under its object path,
+    the ledger row, the corrupted rows' keys as a table of their own (``corrupted_rows``; the
+    ledger's array stays empty, whatever their number), the evaluation tasks, or the reason of a
+    skipped run.
+    """
     import time
+
+    from tabtaint.plans import grid as GR
     spark = df.sparkSession
-    t0 = time.time()
     train, _ = split_real(df, spec, exp)
     n = train.count()
     reason = guard(n, spec, exp)
+    if store and reason is None and not GR.read_ledger(spark, store, "experiments").where(
+            F.col("experiment_id") == exp.id).isEmpty():
+        reason = GR.EXISTS_REASON
     if reason:
+        if store:
+            GR.append_ledger(GR.ledger_row(spark, "skipped_computations", profile, computation_id=exp.id, reason=reason),
+                             store, "skipped_computations")
         return None, None, reason
-    rows_, cols_ = [], []
-    data = train
+    cols_, rows_, data = [], None, train
     if exp.error:
         res = C.corrupt(train, spec, exp.error, exp.rate, seed=exp.seed, audit=False)
         data = res.df if exp.perfectness != "SEMI" else C.drop_corrupted(res.df, res.rows, spec.row_key)
-        rows_ = [r[0] for r in res.rows.collect()] if res.params.get("k", 0) <= 100_000 else []
-        cols_ = res.columns
+        rows_, cols_ = res.rows, res.columns
+    t0 = time.time()   # the generator's time alone
     syn = GENERATORS[exp.generator](data, spec, n, exp.seed)
+    if store:
+        path = f"{store}/{synthetic_path(exp)}"
+        syn.write.mode("overwrite").parquet(path)
+        syn = spark.read.parquet(path)
     m = syn.count()
-    from tabtaint.plans.grid import ledger_row
-    row = ledger_row(spark, "experiments", profile, experiment_id=exp.id, experiment_type=exp.experiment_type,
+    row = GR.ledger_row(spark, "experiments", profile, experiment_id=exp.id, experiment_type=exp.experiment_type,
                      dataset_name=exp.dataset, random_seed=exp.seed, data_perfectness=exp.perfectness,
-                     data_error=exp.error, error_rate=None if exp.rate is None else str(exp.rate),
+                     data_error=exp.error, error_rate=None if exp.rate is None else str(round(exp.rate * 100)),
                      generator=exp.generator, training_size=n, synthetic_size=m,
-                     execution_time=round(time.time() - t0, 2), corrupted_rows=rows_, corrupted_cols=cols_)
+                     execution_time=round(time.time() - t0, 2), corrupted_rows=[], corrupted_cols=cols_)
+    if store:
+        if rows_ is not None:
+            GR.append_ledger(rows_.select(F.lit(exp.id).alias("experiment_id"), F.col(spec.row_key).cast("string").alias("row_key")),
+                             store, "corrupted_rows")
+        GR.append_ledger(row, store, "experiments")
+        publish_tasks(row, spec, store, profile)
     return syn, row, None
 
 
+def synthetic_path(exp: Experiment) -> str:
+    """The experiment id as a folder, absent parts left out."""
+    return "synthetic/" + "/".join(p for p in exp.id.split("#") if p != "NULL")
+
+
+def publish_tasks(experiments: DataFrame, spec: TableSpec, store: str, profile: str) -> None:
+    """The evaluation tasks of ledger rows as JSON, one folder an experiment; repeated baselines go to
+    the skipped computations."""
+    from tabtaint.plans import grid as GR
+    spark = experiments.sparkSession
+    kinds = spark.createDataFrame([(spec.name, spec.problem_type)], "dataset_name string, problem_type string")
+    work = experiments.withColumn("error_rate", F.col("error_rate").cast("double") / 100)
+    tasks, skipped = GR.evaluation_tasks(work, kinds)
+    GR.task_json(tasks).select("experiment_id", F.col("task").alias("value")) \
+        .write.mode("append").partitionBy("experiment_id").text(f"{store}/tasks")
+    GR.append_ledger(skipped.select(F.lit(None).cast("long").alias("id"), "computation_id", "reason",
+                                    F.lit(profile).alias("execution_profile"), F.current_timestamp().alias("created_at")),
+                     store, "skipped_computations")
+
+
 def evaluate(code: str, targets: list, spec: TableSpec, **params) -> DataFrame:
     """EV0: run a registered evaluator; always a one-row ``(result, notes)`` table."""
     arity, fn = EVALUATORS[code]
     if len(targets) != arity:
         raise ValueError(f"{code} takes {arity} table(s), got {len(targets)}")
-    result, notes = fn(targets, spec, **params)
+    # an error may turn a categorical column into text in one table only; its values compare as text
+    def as_text(df):
+        return df.withColumns({c: F.col(c).cast("string") for c in spec.categorical if c in df.columns})
+
+    if params.get("validation") is not None:
+        params["validation"] = as_text(params["validation"])
+    result, notes = fn([as_text(t) for t in targets], spec, **params)
     spark = targets[0].sparkSession
     return spark.createDataFrame([(None if result is None else float(result), json.dumps(notes, default=str))],
                                  "result double, notes string")
@@ -209,10 +265,73 @@ def replay(evaluation_id: str, experiment_id: str, df: DataFrame, spec: TableSpe
     names = [first] + ([] if second == "NULL" else [second])
     if exp.error is None and any(n in ("RH", "SH") for n in names):
         raise ValueError("RH/SH need a corrupted experiment")
-    out = evaluate(code, [t[n] for n in names], spec, validation=t["V"], seed=exp.seed, **params)
+    out = evaluate(code, [t[n] for n in names], spec, validation=t["V"], seed=exp.seed,
+                   **(default_params(code, spec, t["V"]) | params))
     return out.select(F.lit(evaluation_id).alias("evaluation_id"), F.lit(experiment_id).alias("experiment_id"), "*")
 
 
+def default_params(code: str, spec: TableSpec, validation: DataFrame) -> dict:
+    """What an evaluator needs beside its tables: the minority label of the validation half, the
+    columns an attacker knows and the one they are after."""
+    if code in ("APR", "ARC"):
+        from tabtaint.operators.profile import minority_label
+        return {"minority": minority_label(validation, spec.target).first()["minority_label"]}
+    if code == "DPR":
+        num, cat = _cols(spec)
+        sensitive = spec.target or cat[-1]
+        return {"known": [c for c in cat if c != sensitive] or [c for c in num if c != sensitive], "sensitive": [sensitive],
+                "continuous": tuple(num) + ((spec.target,) if spec.target and spec.problem_type == "regression" else ())}
+    return {}
+
+
+def skip_reason(evaluation_id: str, exp: Experiment, spec: TableSpec, first_rate: float | None = None) -> str | None:
+    """Why an evaluation isn't run, or None."""
+    from tabtaint.plans import grid as GR
+    code, *targets = [p for p in evaluation_id.split("#") if p != "NULL"]
+    first_rate = GR.DEFAULT_RATES[0] if first_rate is None else first_rate
+    if code in GR.CLASSIFICATION_ONLY and spec.problem_type != "classification" \
+            or code in GR.REGRESSION_ONLY and spec.problem_type != "regression":
+        return f"{code} does not apply to a {spec.problem_type} target."
+    if exp.error is None and {"RH", "SH"} & set(targets):
+        return "The experiment has no corrupted data."
+    if exp.error and set(targets) <= {"R", "S"} and abs(exp.rate - first_rate) > 1e-9:
+        return GR.BASELINE_REASON.format(rate=first_rate)
+    return None
+
+
+def run_evaluation(evaluation_id: str, experiment_id: str, df: DataFrame, spec: TableSpec, store: str,
+                   profile: str = "local", force: bool = False, first_rate: float | None = None, **params) -> str:
+    """EV0: one evaluation with its ledger row; returns ``done``, ``skipped`` or ``failed``.
+
+    A skipped one leaves its reason, a failed one its message (and no score); ``force`` runs an
+    evaluation that the ledger already has."""
+    from tabtaint.plans import grid as GR
+    spark, exp = df.sparkSession, Experiment.from_id(experiment_id)
+    reason = skip_reason(evaluation_id, exp, spec, first_rate)
+    if reason is None and not force and not GR.read_ledger(spark, store, "evaluations").where(
+            (F.col("evaluation_id") == evaluation_id) & (F.col("experiment_id") == experiment_id)).isEmpty():
+        reason = GR.EXISTS_REASON
+    if reason:
+        GR.append_ledger(GR.ledger_row(spark, "skipped_computations", profile, reason=reason,
+                                       computation_id=f"{evaluation_id}/{experiment_id}"), store, "skipped_computations")
+        return "skipped"
+
+    def run():
+        return GR.timed(lambda: replay(evaluation_id, experiment_id, df, spec, **params).first())
+
+    done, failure = GR.guarded(spark, experiment_id, profile, run)
+    if failure is not None:
+        GR.append_ledger(failure, store, "errors")
+        return "failed"
+    result, seconds = done
+    _, first, second = evaluation_id.split("#")
+    GR.append_ledger(GR.ledger_row(
+        spark, "evaluations", profile, evaluation_id=evaluation_id, experiment_id=experiment_id, first_target=first,
+        second_target=None if second == "NULL" else second, result=result["result"], notes=result["notes"],
+        execution_time=seconds), store, "evaluations")
+    return "done"
+
+
 # ---------------------------------------------------------------- built-in evaluators
 
 @evaluator("QLT", 2)
@@ -228,30 +347,39 @@ def _qlt(t, spec, **_):
 @evaluator("DCR", 2)
 def _dcr(t, spec, seed=0, **_):
     from tabtaint.operators.neighbors import dcr
-    num, cat = _cols(spec)
+    num, cat = _whole(spec)
     r = dcr(t[0], t[1].withColumn(spec.row_key, F.col("draw_id").cast("string")) if "draw_id" in t[1].columns else t[1],
             num, cat, seed, spec.row_key).first()
     return r["score"], {"median_dcr_synthetic": r["median_dcr_synthetic"], "median_dcr_random": r["median_dcr_random"]}
 
 
 @evaluator("LOF", 1)
-def _lof(t, spec, n_neighbors=20, **_):
+def _lof(t, spec, n_neighbors=20, contamination="auto", details=None, **_):
+    """``details``: a folder for the scores of all rows."""
     from tabtaint.operators.neighbors import lof
-    num, cat = _cols(spec)
-    df = t[0] if spec.row_key in t[0].columns else t[0].withColumn(spec.row_key, F.col("draw_id").cast("string"))
-    return lof(df, num, cat, n_neighbors, spec.row_key).where("is_outlier").count(), {}
+    num, cat = _whole(spec)
+    return _outliers(lof(_keyed(t[0], spec), num, cat, n_neighbors, spec.row_key, contamination), details,
+                     {"n_neighbors": n_neighbors, "contamination": contamination})
+
+
+def _outliers(scores, details, notes):
+    if details:
+        scores.write.mode("overwrite").parquet(details)
+        scores = scores.sparkSession.read.parquet(details)
+    r = scores.agg(F.count_if("is_outlier").alias("n"), F.count(F.lit(1)).alias("rows")).first()
+    return r["n"], notes | {"rows": r["rows"], "details": details}
 
 
 @evaluator("IFO", 1)
-def _ifo(t, spec, seed=0, **_):
+def _ifo(t, spec, seed=0, contamination="auto", details=None, **_):
     from tabtaint.operators.iforest import isolation_forest
-    num, cat = _cols(spec)
-    df = t[0] if spec.row_key in t[0].columns else t[0].withColumn(spec.row_key, F.col("draw_id").cast("string"))
-    return isolation_forest(df, num, cat, 100, 256, seed, spec.row_key).where("is_outlier").count(), {}
+    num, cat = _whole(spec)
+    return _outliers(isolation_forest(_keyed(t[0], spec), num, cat, 100, 256, seed, spec.row_key, contamination), details,
+                     {"n_estimators": 100, "contamination": contamination})
 
 
 @evaluator("HFD", 1)
-def _hfd(t, spec, max_lhs=2, **_):
+def _hfd(t, spec, max_lhs=None, **_):
     from tabtaint.operators.fd import discover
     cols = [c for c in t[0].columns if c not in (spec.row_key, "draw_id")]
     fds = discover(t[0], cols, max_lhs=max_lhs)
@@ -264,7 +392,7 @@ EVALUATORS["DFD"] = EVALUATORS["HFD"]
 @evaluator("LGD", 2)
 def _lgd(t, spec, seed=0, **_):
     from tabtaint.operators.models import detection
-    num, cat = _cols(spec)
+    num, cat = _whole(spec)
     r = detection(_keyed(t[0], spec), _keyed(t[1], spec), num, cat, seed, "logistic", spec.row_key).first()
     return r["score"], {"fold_auc": r["fold_auc"]}
 
@@ -272,7 +400,7 @@ def _lgd(t, spec, seed=0, **_):
 @evaluator("SVD", 2)
 def _svd(t, spec, seed=0, **_):
     from tabtaint.operators.models import detection
-    num, cat = _cols(spec)
+    num, cat = _whole(spec)
     r = detection(_keyed(t[0], spec), _keyed(t[1], spec), num, cat, seed, "svc", spec.row_key).first()
     return r["score"], {"fold_auc": r["fold_auc"]}
 
@@ -285,6 +413,35 @@ def _eff(t, spec, seed=0, **_):
     return r["score"], {"task": r["task"], "metric": r["metric"]}
 
 
+def _augmentation(t, spec, validation, minority, fixed, seed):
+    from tabtaint.operators.models import augmentation_classification
+    num, cat = _cols(spec)
+    cols = num + cat + [spec.target]
+    r = augmentation_classification(t[0].select(cols), t[1].select(cols), validation.select(cols), num, cat, spec.target,
+                                    minority, fixed, seed=seed).first()
+    return r["score"], {"augmented_data": r["augmented_data"], "real_data_baseline": r["real_data_baseline"],
+                        "minority_label": minority}
+
+
+@evaluator("APR", 2)
+def _apr(t, spec, validation=None, minority=None, seed=0, **_):
+    return _augmentation(t, spec, validation, minority, "recall", seed)
+
+
+@evaluator("ARC", 2)
+def _arc(t, spec, validation=None, minority=None, seed=0, **_):
+    return _augmentation(t, spec, validation, minority, "precision", seed)
+
+
+@evaluator("AR2", 2)
+def _ar2(t, spec, validation=None, seed=0, **_):
+    from tabtaint.operators.models import augmentation_regression
+    num, cat = _cols(spec)
+    cols = num + cat + [spec.target]
+    r = augmentation_regression(t[0].select(cols), t[1].select(cols), validation.select(cols), num, cat, spec.target, seed).first()
+    return r["r2_improvement"], r.asDict()
+
+
 @evaluator("DPR", 2)
 def _dpr(t, spec, known=None, sensitive=None, continuous=(), **_):
     from tabtaint.operators.privacy import disclosure_protection

@@ -45,6 +45,7 @@ LEDGER_SCHEMAS = {
     "skipped_computations": "id long, computation_id string, reason string, execution_profile string, created_at timestamp",
     "evaluations": "evaluation_id string, experiment_id string, first_target string, second_target string, "
                    "result double, notes string, execution_time double, execution_profile string, created_at timestamp",
+    "corrupted_rows": "experiment_id string, row_key string",
     "experiments": "experiment_id string, experiment_type string, dataset_name string, random_seed long, "
                    "data_perfectness string, data_error string, error_rate string, generator string, "
                    "training_size long, synthetic_size long, execution_time double, corrupted_rows array<string>, "
@@ -180,9 +181,13 @@ def append_ledger(df: DataFrame, path: str, table: str):
 
 
 def read_ledger(spark, path: str, table: str) -> DataFrame:
+    """The ledger table; one that was never written is empty, any other error is raised."""
+    from pyspark.errors import AnalysisException
     try:
         return spark.read.schema(LEDGER_SCHEMAS[table]).parquet(f"{path}/{table}")
-    except Exception:  # noqa: BLE001 — an absent ledger is an empty one
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], LEDGER_SCHEMAS[table])
 
 
@@ -198,7 +203,7 @@ def guarded(spark, experiment_id_value: str, profile: str, fn, *args, **kw):
     try:
         return fn(*args, **kw), None
     except Exception as e:  # noqa: BLE001 — the failure is recorded, the sweep continues
-        return None, ledger_row(spark, "errors", profile, experiment_id=experiment_id_value, error_message=str(e)[:2000])
+        return None, ledger_row(spark, "errors", profile, experiment_id=experiment_id_value, error_message=str(e))
 
 
 # ---------------------------------------------------------------- result analytics (RES1-RES3)

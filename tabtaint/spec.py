@@ -84,10 +84,14 @@ def sdtype_table(spark, spec: TableSpec) -> DataFrame:
 
 
 def content_text(df: DataFrame, cols=None):
-    """Canonical text of a row (null-safe, unambiguous separators)."""
-    cols = cols or df.columns
-    parts = [F.coalesce(F.col(c).cast("string"), F.lit("␀")) for c in cols]
-    return F.concat_ws("␟", *parts)
+    """Canonical text of a row: every value behind its length, a null as ``n``, so that no two
+    different rows share a text."""
+    return F.concat(*[_part(F.col(c)) for c in cols or df.columns])
+
+
+def _part(c):
+    s = c.cast("string")
+    return F.coalesce(F.concat(F.length(s).cast("string"), F.lit(":"), s), F.lit("n"))
 
 
 DUP_BROADCAST_LIMIT = 1_000_000
@@ -96,7 +100,7 @@ DUP_BROADCAST_LIMIT = 1_000_000
 def with_row_key(df: DataFrame, key_cols=None, name: str = ROW_KEY) -> DataFrame:
     """Attach ``row_key``.
 
-    With ``key_cols`` (declared unique key): the key's text (``a|b`` for several columns).
+    With ``key_cols`` (declared unique key): the key's text (length-prefixed for several columns).
     Without: ``md5(row content) || '-' || ordinal among exact copies``.
 
     Only the 32-byte content hash is shuffled to find the hashes that occur more than once
@@ -107,7 +111,7 @@ def with_row_key(df: DataFrame, key_cols=None, name: str = ROW_KEY) -> DataFrame
     """
     if key_cols:
         key_cols = [key_cols] if isinstance(key_cols, str) else list(key_cols)
-        key = F.concat_ws("|", *[F.col(c).cast("string") for c in key_cols])
+        key = F.col(key_cols[0]).cast("string") if len(key_cols) == 1 else F.concat(*[_part(F.col(c)) for c in key_cols])
         return df.withColumn(name, key)
     x = df.withColumn("_ch", F.md5(content_text(df)))
     dups = x.groupBy("_ch").agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") > 1).select("_ch")
@@ -136,6 +140,6 @@ def _number_copies(x: DataFrame, columns, name: str) -> DataFrame:
 
 def sql_content_key(cols) -> str:
     """DuckDB twin of ``with_row_key`` without key (ordinal by any order among copies)."""
-    parts = ", ".join(f"coalesce(CAST({c} AS VARCHAR), '␀')" for c in cols)
-    ch = f"md5(concat_ws('␟', {parts}))"
+    parts = " || ".join(f"coalesce(length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), 'n')" for c in cols)
+    ch = f"md5({parts})"
     return f"({ch} || '-' || CAST(row_number() OVER (PARTITION BY {ch}) - 1 AS VARCHAR))"

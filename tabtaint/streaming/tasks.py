@@ -43,10 +43,10 @@ def task_stream(spark: SparkSession, source_dir: str, ledger: DataFrame, event_t
 
 def run_task_stream(spark: SparkSession, source_dir: str, ledger: DataFrame, out_dir: str, ckpt_dir: str,
                     event_time: str | None = None):
-    """Process everything available now; rows land in ``out_dir/state=<state>/``."""
+    """Process everything available now; rows land in ``out_dir/batch_id=<n>/state=<state>/``, so a
+    retried batch replaces what it wrote before."""
     def sink(batch: DataFrame, batch_id: int):
-        (batch.withColumn("batch_id", F.lit(batch_id))
-         .write.mode("append").partitionBy("state").parquet(out_dir))
+        batch.write.mode("overwrite").partitionBy("state").parquet(f"{out_dir}/batch_id={batch_id}")
     q = (task_stream(spark, source_dir, ledger, event_time).writeStream.foreachBatch(sink)
          .option("checkpointLocation", ckpt_dir).trigger(availableNow=True).start())
     q.awaitTermination()
