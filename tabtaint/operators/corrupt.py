@@ -33,8 +33,9 @@ NUMERIC_PLACEHOLDER = -1
 CATEGORICAL_PLACEHOLDER = "UNKNOWN"
 OUTLIER_FACTORS = [10, 100, 1000]
 NOISE_SCALE_MIN, NOISE_SCALE_MAX = 1.0, 5.0
-SMALL_MAP = 10_000     # value maps up to this size become literal maps (no join)
-BROADCAST_MAP_ROWS = 1_000_000   # larger maps up to this size are broadcast
+SMALL_MAP = 64     # value maps up to this size become literals: planning costs grow with every entry
+BROADCAST_MAP_BYTES = 32 << 20   # larger maps up to this size are broadcast
+MAP_SALTS = 16     # copies of a map that is too large to broadcast
 
 
 @dataclass
@@ -113,13 +114,19 @@ def _apply_value_map(df: DataFrame, column: str, kind_map, hit: Column) -> DataF
     if kind == "literal":
         return df.withColumn(column, F.when(hit, _map_expr(mp, F.col(column))).otherwise(F.col(column)))
     # large vocabulary: a map of checked size is broadcast (the data is not shuffled, so a hot
-    # value costs nothing extra); beyond that an equi join whose skewed partitions AQE splits
-    m = mp.select("_m").first()[0] if mp.take(1) else 0
-    mp = mp.drop("_m").withColumnRenamed("old", column)
-    tmp = df.withColumn("_hit", hit)
-    j = tmp.join(F.broadcast(mp) if m <= BROADCAST_MAP_ROWS else mp, column, "left")
-    return j.withColumn(column, F.when(F.col("_hit") & F.col("new").isNotNull(), F.col("new"))
-                        .otherwise(F.col(column))).drop("new", "_hit").select(*df.columns)
+    # value costs nothing extra); beyond that only the rows that change are joined, on the value
+    # and a salt, so that a hot value's rows meet its entry in many tasks
+    size = mp.agg(F.sum(F.octet_length(F.col("old").cast("string")) + F.octet_length(F.col("new").cast("string")) + 32)).first()[0] or 0
+    mp = mp.select(F.col("old").alias(column), "new")
+    tmp = df.withColumn("_hit", hit & F.col(column).isNotNull())
+    if size <= BROADCAST_MAP_BYTES:
+        j = tmp.join(F.broadcast(mp), column, "left")
+        return j.withColumn(column, F.when(F.col("_hit") & F.col("new").isNotNull(), F.col("new"))
+                            .otherwise(F.col(column))).drop("new", "_hit").select(*df.columns)
+    salted = mp.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(MAP_SALTS - 1))))
+    hits = tmp.where("_hit").withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(MAP_SALTS)).cast("int")) \
+        .join(salted, [column, "_salt"], "left").withColumn(column, F.coalesce("new", column))
+    return hits.select(*df.columns).unionByName(tmp.where(~F.col("_hit")).select(*df.columns))
 
 
 def _placeholder(dtype, numeric_value, text_value):

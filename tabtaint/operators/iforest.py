@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from tabtaint.functions.rng import hash_hex
 from tabtaint.operators.neighbors import onehot_features
 from tabtaint.operators.sampling import sample_flag
+from tabtaint.operators.ordered import exact_quantile
 from tabtaint.operators.profile import bounded_values
 
 EULER_GAMMA = 0.5772156649
@@ -125,7 +126,7 @@ def score(df: DataFrame, forest: pd.DataFrame, psi: int, numeric, categorical, k
     out = X.mapInPandas(run, f"{key} string, score double")
     if contamination == "auto":
         return out.withColumn("is_outlier", F.col("score") > F.lit(0.5))
-    thr = out.agg(F.percentile_approx("score", 1.0 - float(contamination), 100000)).first()[0]
+    thr = exact_quantile(out, "score", 1.0 - float(contamination))
     return out.withColumn("is_outlier", F.col("score") > F.lit(thr))
 
 

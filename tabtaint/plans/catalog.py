@@ -1582,7 +1582,7 @@ def q_stream_corrupt(spark, sf_dir):
          .option("checkpointLocation", ck).trigger(availableNow=True).start())
     q.awaitTermination()
     res = spark.read.parquet(out)
-    return res.select("event_id", F.round("value", 4).alias("value"), "user_id", "event_type", "row_key")
+    return res.select("event_id", "ts", F.round("value", 4).alias("value"), "user_id", "event_type", "props", "row_key")
 
 
 def _stream_corrupt_sql():
@@ -1599,7 +1599,7 @@ def _stream_corrupt_sql():
             sel[c] = f"CASE WHEN {hit} THEN CAST({c} AS DOUBLE) + {noise} ELSE CAST({c} AS DOUBLE) END"
     v = f"round({sel.get('value', 'value')}, 4)"
     u = sel.get("user_id", "user_id")
-    return f"SELECT event_id, {v} AS value, {u} AS user_id, event_type, row_key FROM {sql_keyed('events')}"
+    return f"SELECT event_id, ts, {v} AS value, {u} AS user_id, event_type, props, row_key FROM {sql_keyed('events')}"
 
 
 register("stream_corrupt", _stream_corrupt_sql())(q_stream_corrupt)

@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabtaint.functions.rng import normal, py_uniform, uniform
 from tabtaint.functions.strings import typo
@@ -30,6 +31,7 @@ class FrozenPlan:
     factors: dict = field(default_factory=dict)
     maps: dict = field(default_factory=dict)
     integral: set = field(default_factory=set)
+    placeholders: dict = field(default_factory=dict)   # column -> the value the batch operator writes
 
 
 def fit_plan(batch: DataFrame, spec: TableSpec, kind: str, rate: float, column_fraction: float = 0.2, seed=None) -> FrozenPlan:
@@ -43,15 +45,15 @@ def fit_plan(batch: DataFrame, spec: TableSpec, kind: str, rate: float, column_f
         plan.std = batch.agg(*[F.stddev_pop(c).alias(c) for c in cols]).first().asDict()
         plan.scales = {c: C.NOISE_SCALE_MIN + py_uniform(seed, f"noi-scale:{c}", "") * (C.NOISE_SCALE_MAX - C.NOISE_SCALE_MIN)
                        for c in cols}
+    text = {f.name for f in batch.schema.fields if isinstance(f.dataType, T.StringType)} | set(spec.categorical)
+    plan.placeholders = {c: C.CATEGORICAL_PLACEHOLDER if c in text else C.NUMERIC_PLACEHOLDER for c in cols}
     if kind == "OUT":
         from tabtaint.functions.rng import py_sample
         plan.factors = {c: py_sample(C.OUTLIER_FACTORS, 1, seed, f"out:{c}")[0] for c in cols}
     if kind in ("SFT", "LER"):
         for c in cols:
             k, mp = C.derangement_map(batch, c, seed, f"sft:{c}")
-            if k != "literal":
-                raise ValueError(f"vocabulary of {c} too large to freeze into a streaming plan")
-            plan.maps[c] = mp
+            plan.maps[c] = mp   # literal pairs, or a static table that the stream is joined with
     return plan
 
 
@@ -70,14 +72,19 @@ def apply_plan(stream: DataFrame, plan: FrozenPlan, key: str = "row_key") -> Dat
             x = x.cast("bigint") if c in plan.integral else x
             new = F.try_multiply(x, F.lit(plan.factors[c]).cast("bigint" if c in plan.integral else "double"))
         elif plan.kind == "PLC":
-            new = F.lit(C.NUMERIC_PLACEHOLDER).cast(stream.schema[c].dataType) if c not in plan.maps and \
-                stream.schema[c].dataType.simpleString() != "string" else F.lit(C.CATEGORICAL_PLACEHOLDER)
+            value = plan.placeholders[c]
+            new = F.lit(value) if isinstance(value, str) else F.lit(value).cast(stream.schema[c].dataType)
+            x = x.cast("string") if isinstance(value, str) else x
         elif plan.kind == "EMV":
             new = F.lit(None).cast(stream.schema[c].dataType)
         elif plan.kind == "INC":
             x = x.cast("string")
             new = typo(x, plan.seed, f"inc:{c}")
         elif plan.kind in ("SFT", "LER"):
+            if isinstance(plan.maps[c], DataFrame):
+                out = out.join(plan.maps[c].select(F.col("old").alias(c), F.col("new").alias(f"_new_{c}")), c, "left")
+                out = out.withColumn(c, F.when(hit, F.coalesce(f"_new_{c}", c)).otherwise(F.col(c))).select(*stream.columns)
+                continue
             mp = F.create_map(*[y for k, v in plan.maps[c].items() for y in (F.lit(k), F.lit(v))])
             new = F.coalesce(F.element_at(mp, x), x)
         else:
