@@ -2,8 +2,9 @@
 
 Each rule votes good (+1), bad (-1) or abstains (0).  A two-class model with one accuracy per
 rule and class explains the votes; expectation-maximisation fits it on the counts of the distinct
-vote patterns (at most ``3 ** len(RULES)`` rows whatever the corpus), and a document is kept when
-its posterior probability of being good reaches ``threshold``.
+vote patterns (at most ``3 ** len(RULES)`` rows whatever the corpus) of all documents that pass the
+base rule, for the others are decided; a document is kept when its posterior probability of being
+good reaches ``threshold``.
 
 Defined cases: a null or empty text has no words, all counts 0, and fails the base rule; repeated
 rows are judged row by row; null ids are kept as they are; an empty table gives an empty result and
@@ -167,7 +168,7 @@ PRIOR_WEIGHT = 20.0
 
 
 def fit(votes: DataFrame, rounds: int = 200, tolerance: float = 1e-6) -> VoteModel:
-    """EM on the vote patterns of all rows of ``votes`` (one integer column per rule).
+    """EM on the vote patterns of all rows of ``votes`` (an integer column for each rule).
 
     The corpus is counted by pattern in Spark; the at most ``3 ** len(RULES)`` counts then fit in
     the driver whatever the input.  Accuracies stay at or above one half for good documents and
@@ -210,7 +211,7 @@ def judge(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFr
     m = _measure(F.col("__quality"))
     f = stored(d.select("doc_id", *[m(c).alias(c) for c in FEATURES]), "quality-measures")
     rules = _rules(F.col)
-    model = fit(votes_of(f))
+    model = fit(votes_of(f.where(~base_failed(F.col))))
     p = model.posterior(lambda r: rules[r])
     return f.select("*", base_failed(F.col).alias("base_failed"), p.alias("p_good"),
                     *[rules[r].alias(f"vote_{r}") for r in RULES]) \
@@ -221,7 +222,7 @@ def keep_quality(docs: DataFrame, text: str = "text", threshold: float = 0.5) ->
     """The rows of ``docs`` that the rules keep, with their own columns only."""
     q = _measure(F.col("__quality"))
     d = with_features(docs, text)
-    model = fit(votes_of(d, q))
+    model = fit(votes_of(d.where(~base_failed(q)), q))
     rules = _rules(q)
     kept = ~base_failed(q) & (model.posterior(lambda r: rules[r]) >= threshold)
     return d.where(kept).drop("__quality")

@@ -331,7 +331,7 @@ def test_quality_follows_labels(spark):
     sf = "/root/testdata/sf0.01"
     out = quality.judge(spark.read.parquet(f"{sf}/documents.parquet")).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id")
     share = {r["quality"]: r["kept"] for r in out.groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()}
-    assert share[1] > 0.95 and share[0] < 0.35
+    assert share[1] > 0.95 and share[0] < 0.15
 
 
 def test_quality_windows_in_long_repeats(spark):
