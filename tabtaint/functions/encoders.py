@@ -1,20 +1,25 @@
 """Categorical encoders (ENC1-ENC7).
 
-Vocabularies are small driver-side lists (collected distinct values, bounded by the
-column's cardinality and checked); the rows are encoded by literal-map projections, so the
-encoding itself never shuffles.  For model features the MLlib path
+Codes are tables that Spark numbers (:func:`code_table`) and joins (:func:`encode`), whatever
+the number of values.  Only one-hot columns and the clipped decoder need the vocabulary as a
+list in the driver (checked).  For model features the MLlib path
 (:func:`mllib_features`) builds sparse vectors with StringIndexer + OneHotEncoder.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabtaint.operators.ordered import numbered
 from tabtaint.operators.profile import equal_width_bin
 from tabtaint.operators.profile import bounded_values
 
 MAX_VOCAB = 100_000
+BROADCAST_CODE_BYTES = 32 << 20
+CODE_SALTS = 16
 
 
 def vocabulary(*dfs_and_col) -> list:
@@ -31,14 +36,6 @@ def vocabulary(*dfs_and_col) -> list:
     return sorted(r[0] for r in vals.collect())
 
 
-def ordinal(col: Column, vocab: list) -> Column:
-    """ENC2 / ENC5: index in the sorted vocabulary, unknown or null -> -1."""
-    if not vocab:
-        return F.lit(-1)
-    mp = F.create_map(*[x for i, v in enumerate(vocab) for x in (F.lit(v), F.lit(i))])
-    return F.coalesce(F.element_at(mp, col.cast("string")), F.lit(-1))
-
-
 def one_hot(df: DataFrame, columns, vocabs: dict, keep=()) -> DataFrame:
     """ENC1: ``<col>_<value>`` 0/1 columns; an unknown value gives all zeros."""
     out = [F.col(c) for c in keep]
@@ -48,16 +45,39 @@ def one_hot(df: DataFrame, columns, vocabs: dict, keep=()) -> DataFrame:
     return df.select(*out)
 
 
+def code_table(*dfs_and_col) -> DataFrame:
+    """The union vocabulary as a table ``value, code``: the text's place in sorted order, from 0.
+
+    It is numbered in Spark, so its size is not bounded by the driver (ENC2, ENC5)."""
+    *dfs, col = dfs_and_col
+    texts = [d.select(F.col(col).cast("string").alias("value")).where(F.col("value").isNotNull()) for d in dfs]
+    return numbered(reduce(DataFrame.unionByName, texts).distinct(), "value")
+
+
+def encode(df: DataFrame, column: str, codes: DataFrame, out: str, unknown: int | None = -1) -> DataFrame:
+    """``df`` with the code of ``column`` as ``out``; unknown and null values get ``unknown``.
+
+    A code table within ``BROADCAST_CODE_BYTES`` (measured) is broadcast; a larger one is joined on
+    the value and a salt, so that a hot value's rows meet its code in many tasks."""
+    size = codes.agg(F.sum(F.octet_length("value") + 24)).first()[0] or 0
+    t = codes.select(F.col("value").alias("_value"), F.col("code").cast("int").alias("_code"))
+    x = df.withColumn("_value", F.col(column).cast("string"))
+    if size <= BROADCAST_CODE_BYTES:
+        j = x.join(F.broadcast(t), "_value", "left")
+    else:
+        salts = F.sequence(F.lit(0), F.lit(CODE_SALTS - 1))
+        j = x.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(CODE_SALTS)).cast("int")) \
+            .join(t.withColumn("_salt", F.explode(salts)), ["_value", "_salt"], "left").drop("_salt")
+    return j.withColumn(out, F.coalesce("_code", F.lit(unknown).cast("int"))).drop("_value", "_code")
+
+
 def factorize(df: DataFrame, col: str, order_by: str) -> DataFrame:
     """ENC4: codes in first-seen order, where "first" is the smallest ``order_by`` value.
 
-    Returns the code table ``(value, code)`` (one row per distinct value).
+    Returns the code table ``(value, code)`` (one row per distinct value), numbered in Spark.
     """
     first = df.groupBy(col).agg(F.min(order_by).alias("_first"))
-    if first.count() > MAX_VOCAB:
-        raise ValueError(f"{col} has more than {MAX_VOCAB} values; factorize needs a driver-side code table")
-    vals = sorted(((r[col], r["_first"]) for r in first.collect()), key=lambda t: t[1])
-    return df.sparkSession.createDataFrame([(v, i) for i, (v, _) in enumerate(vals)], f"{col} string, code int")
+    return numbered(first, "_first").select(col, F.col("code").cast("int").alias("code"))
 
 
 def decode_ordinal(x: Column, vocab: list) -> Column:
@@ -75,18 +95,20 @@ def discretise(df: DataFrame, columns, n_bins: int = 10, keep=()) -> DataFrame:
     probe = df.agg(*[x for c in columns for x in (F.count_distinct(c).alias(f"d_{c}"), F.min(c).alias(f"lo_{c}"),
                                                   F.max(c).alias(f"hi_{c}"))]).first()
     out = [F.col(c) for c in keep]
+    coded = df
     for c in columns:
         dt = schema[c]
         if isinstance(dt, T.StringType) or isinstance(dt, T.BooleanType):
-            out.append(ordinal(F.col(c), vocabulary(df, c)).alias(c))
+            coded = encode(coded, c, code_table(df, c), f"_code_{c}")
+            out.append(F.col(f"_code_{c}").alias(c))
         elif isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)) and probe[f"d_{c}"] <= n_bins:
-            vals = sorted(bounded_values(df, c))
+            vals = sorted(bounded_values(df, c))   # n_bins values at most
             mp = F.create_map(*[x for i, v in enumerate(vals) for x in (F.lit(v), F.lit(i))])
             out.append(F.element_at(mp, F.col(c)).alias(c))
         else:
             out.append(equal_width_bin(F.col(c).cast("double"), F.lit(float(probe[f"lo_{c}"])),
                                        F.lit(float(probe[f"hi_{c}"])), n_bins).alias(c))
-    return df.select(*out)
+    return coded.select(*out)
 
 
 def mllib_features(df: DataFrame, numeric, categorical, output: str = "features", fit_on: DataFrame | None = None):

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabtaint.session import cut_lineage
+
 
 def _partitions(df: DataFrame) -> int:
     n = df.sparkSession.conf.get("spark.sql.shuffle.partitions")
@@ -83,6 +85,23 @@ def max_cdf_gap_by_group(df: DataFrame, group_col: str, order_col: str, a_col: s
     return out
 
 
+def numbered(df: DataFrame, order_col: str, name: str = "code") -> DataFrame:
+    """``df`` with each row's 0-based place in the order of ``order_col`` (distinct values, nulls first).
+
+    Rows are range-partitioned and counted along within their partition; only one count a
+    partition is summed, so no task sees the whole order."""
+    parts = df.repartitionByRange(_partitions(df), order_col).sortWithinPartitions(order_col)
+    x = cut_lineage(parts.withColumn("_part", F.spark_partition_id())
+                    .withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
+    sizes = sorted((r["_part"], r["n"]) for r in x.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect())
+    before, rows = 0, []
+    for part, n in sizes:   # one row a partition
+        rows.append((part, before))
+        before += n
+    offsets = df.sparkSession.createDataFrame(rows, "_part int, _off long")
+    return x.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_off") + F.col("_at")).drop("_part", "_at", "_off")
+
+
 _BUCKETS = 4096
 _SMALL_RANGE = 20_000
 

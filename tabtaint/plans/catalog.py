@@ -1009,8 +1009,9 @@ register("encode_onehot", f"SELECT p_partkey, {_SQL_ONEHOT} FROM part")(q_onehot
 
 def q_ordinal(spark, sf_dir):
     p = load(spark, sf_dir, "part")
-    return p.select("p_partkey", EN.ordinal(F.col("p_brand"), EN.vocabulary(p, "p_brand")).alias("p_brand_code"),
-                    EN.ordinal(F.col("p_type"), EN.vocabulary(p, "p_type")).alias("p_type_code"))
+    for c in ("p_brand", "p_type"):
+        p = EN.encode(p, c, EN.code_table(p, c), f"{c}_code")
+    return p.select("p_partkey", "p_brand_code", "p_type_code")
 
 
 register("encode_ordinal", """
@@ -1033,8 +1034,8 @@ def q_union_encode(spark, sf_dir):
                                                 F.lit("customer").alias("src"))
     b = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_returnflag").alias("v"),
                                                 F.lit("lineitem").alias("src"))
-    vocab = EN.vocabulary(a, b, "v")
-    return a.unionByName(b).groupBy("src", "v").agg(F.count(F.lit(1)).alias("n")).withColumn("code", EN.ordinal(F.col("v"), vocab))
+    counts = a.unionByName(b).groupBy("src", "v").agg(F.count(F.lit(1)).alias("n"))
+    return EN.encode(counts, "v", EN.code_table(a, b, "v"), "code")
 
 
 register("encode_union_vocabulary", """

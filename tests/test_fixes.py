@@ -116,3 +116,15 @@ def test_augmentation_evaluators_run_from_ids(spark):
     r = GR.read_ledger(spark, store, "evaluations").first()
     assert r["first_target"] == "R" and r["second_target"] == "SH" and r["result"] >= 0
     assert GR.read_ledger(spark, store, "errors").count() == 0
+
+
+def test_codes_of_many_values(spark, monkeypatch):
+    from tabtaint.functions import encoders as EN
+    d = spark.range(200_000).select(F.lpad(F.col("id").cast("string"), 6, "0").alias("v"), "id")
+    table = EN.code_table(d, "v")
+    for limit in (EN.BROADCAST_CODE_BYTES, 0):
+        monkeypatch.setattr(EN, "BROADCAST_CODE_BYTES", limit)
+        out = EN.encode(d.unionByName(spark.createDataFrame([("new", -1), (None, -1)], "v string, id long")), "v", table, "c")
+        assert out.count() == 200_002 and out.where("c <> id").count() == 0
+    first = EN.factorize(d.withColumn("back", -F.col("id")), "v", "back")
+    assert first.where("code <> 199999 - cast(v AS int)").count() == 0
