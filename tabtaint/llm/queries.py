@@ -128,8 +128,9 @@ FROM d LEFT JOIN r USING (doc_id)
 _OP5 = f"""
 WITH d AS (SELECT doc_id, {_BLANK_WORDS.format("coalesce(text, '')")} AS w FROM documents),
 p AS (
-  SELECT doc_id, i, row_number() OVER (PARTITION BY array_to_string(w[i:i + 19], ' ') ORDER BY doc_id, i) AS k
-  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20)),
+  SELECT doc_id, i, row_number() OVER (PARTITION BY x ORDER BY doc_id, i) AS k
+  FROM (SELECT doc_id, unnest(s) AS x, generate_subscripts(s, 1) AS i
+        FROM (SELECT doc_id, [md5(array_to_string(w[i:i + 19], ' ')) for i in range(1, len(w) - 18)] AS s FROM d WHERE len(w) >= 20))),
 gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS i FROM p WHERE k > 1),
 words AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM d),
 kept AS (
