@@ -219,9 +219,12 @@ def judge(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFr
 
 
 def keep_quality(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with their own columns only."""
+    """The rows of ``docs`` that the rules keep, with their own columns only.
+
+    The rows are written once with their measures: a filter on a measure would otherwise be pushed
+    below its projection and compute it again for every reference."""
     q = _measure(F.col("__quality"))
-    d = with_features(docs, text)
+    d = stored(with_features(docs, text), "measured")
     model = fit(votes_of(d.where(~base_failed(q)), q))
     rules = _rules(q)
     kept = ~base_failed(q) & (model.posterior(lambda r: rules[r]) >= threshold)
