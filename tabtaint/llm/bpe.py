@@ -1,14 +1,13 @@
 """Byte-level BPE encoding and decoding (operator 1) by recursive DuckDB queries in every task.
 
-A task's distinct words (matches of the splitting pattern) become rows (word, position, token),
-one a byte.  The recursive query joins neighbouring rows with the merge table, contracts each
-word's leftmost pair of least rank, and goes on until no word has a pair left.  Words of over
-``LONG`` bytes are first cut where no token of the vocabulary could cross, and contract all their
-pairs of the least rank in a round (left to right), which is the same where every merge makes a
-higher rank than its parts have; the merge table is checked for that.  Decoding aggregates the
-tokens' bytes in the order of their positions.
-
-Spark deals the documents; a task holds one slice of texts and a bounded memory of words.
+A task's distinct words (matches of the splitting pattern) become rows (word, position, token, next
+token), one a byte.  The recursive query joins them with the merge table, contracts each word's
+leftmost pair of least rank, and goes on until no word has a pair left.  Words of over ``LONG``
+bytes are first cut where no token of the vocabulary could cross; their rows are kept by key, so that
+a word of many rounds holds each position once.  Decoding aggregates the tokens' bytes in the order
+of their positions.
+
+Spark deals the documents; a task holds one slice of texts and a bounded memory of pieces.
 Defined cases: null texts are empty, and empty texts have no tokens; repeated rows and rows sharing
 an id are encoded each; an empty table gives an empty result.
 """
@@ -18,7 +17,6 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
-from itertools import chain
 
 import duckdb
 import numpy as np
@@ -32,44 +30,56 @@ from tabtaint.llm.common import join_id, ready, split_id
 from tabtaint.llm.pieces import pieces
 
 LONG = 64
-#: Words and pieces that a task remembers; beyond that it starts anew.
-MEMORY = 300_000
+#: Pieces of each of the two generations that a task remembers; bytes of words encoded at a time.
+MEMORY = 250_000
+BATCH_BYTES = 1 << 20
 SLICE_CHARS = 4 << 20
 
-ROUND = """
+#: One contraction a word and round: the least of rank * 256 + position names the pair.
+SHORT = """
+WITH RECURSIVE token(word, pos, id, following, done) AS (
+  SELECT word, pos, id, following, false FROM first_tokens
+UNION ALL (
+  WITH pair AS (
+    SELECT t.word, t.pos, t.id, t.following, m.id AS merged
+    FROM token t LEFT JOIN merges m ON m.a = t.id AND m.b = t.following WHERE NOT t.done),
+  best AS (SELECT word, min(CAST(merged AS BIGINT) * 256 + pos) AS k FROM pair GROUP BY word),
+  cut AS (
+    SELECT b.word, CAST(b.k // 256 AS INTEGER) AS made, CAST(b.k % 256 AS INTEGER) AS place, p.following AS beyond
+    FROM best b LEFT JOIN pair p ON p.word = b.word AND p.pos = b.k % 256 + 1)
+  SELECT p.word, p.pos - CASE WHEN p.pos > place THEN 1 ELSE 0 END, CASE WHEN p.pos = place THEN made ELSE id END,
+         CASE WHEN p.pos = place THEN beyond WHEN p.pos = place - 1 THEN made ELSE following END, made IS NULL
+  FROM pair p JOIN cut c ON p.word = c.word WHERE place IS NULL OR p.pos <> place + 1))
+SELECT word, pos, id FROM token WHERE done
+"""
+#: The same for words of any length; a position is overwritten, and a shorter word's last ones are stale.
+ANY = """
 WITH RECURSIVE token(word, pos, id, round) USING KEY (word, pos) AS (
     SELECT word, pos, id, 0 FROM first_tokens
   UNION
     SELECT word, row_number() OVER (PARTITION BY word ORDER BY pos) - 1, CASE WHEN merge THEN least_id ELSE id END, round + 1
     FROM (
-        SELECT *, coalesce(lag(merge) OVER (PARTITION BY word ORDER BY pos), false) AS gone
-        FROM ({chosen})
-        WHERE least_id IS NOT NULL)
+      SELECT *, coalesce(lag(merge) OVER (PARTITION BY word ORDER BY pos), false) AS gone
+      FROM (
+        SELECT *, coalesce(pos = min(pos) FILTER (merged = least_id) OVER (PARTITION BY word), false) AS merge
+        FROM (
+          SELECT p.*, m.id AS merged, min(m.id) OVER (PARTITION BY word) AS least_id
+          FROM (SELECT *, lead(id) OVER (PARTITION BY word ORDER BY pos) AS other FROM token) p
+          LEFT JOIN merges m ON m.a = p.id AND m.b = p.other))
+      WHERE least_id IS NOT NULL)
     WHERE NOT gone
 )
 SELECT word, pos, id FROM token JOIN (SELECT word, max(round) AS round FROM token GROUP BY word) USING (word, round)
 """
-PAIRS = """
-    SELECT p.*, m.id AS merged, min(m.id) OVER (PARTITION BY word) AS least_id
-    FROM (SELECT *, lead(id) OVER (PARTITION BY word ORDER BY pos) AS other FROM token) p
-    LEFT JOIN merges m ON m.a = p.id AND m.b = p.other
-"""
-#: One pair a round: the leftmost of least rank.
-LEFTMOST = f"""
-    SELECT *, coalesce(pos = min(pos) FILTER (merged = least_id) OVER (PARTITION BY word), false) AS merge FROM ({PAIRS})
-"""
-#: All pairs of least rank in a round; of overlapping ones every other, from the left.
-ALL = f"""
-    SELECT *, coalesce(merged = least_id, false)
-              AND (row_number() OVER (PARTITION BY word, coalesce(merged = least_id, false), run ORDER BY pos)) % 2 = 1 AS merge
-    FROM (SELECT *, pos - row_number() OVER (PARTITION BY word, coalesce(merged = least_id, false) ORDER BY pos) AS run
-          FROM ({PAIRS}))
-"""
 DECODE = """
-SELECT word, list(id ORDER BY pos) AS ids, CAST(unhex(string_agg(bytes, '' ORDER BY pos)) AS BLOB) AS bytes
-FROM result JOIN vocabulary USING (id) GROUP BY word
+SELECT count(*) AS n, string_agg(id, ' ' ORDER BY pos) AS ids,
+       CAST(unhex(string_agg(bytes, '' ORDER BY pos)) AS BLOB) AS bytes
+FROM ({tokens}) JOIN vocabulary USING (id) GROUP BY word ORDER BY word
 """
 
+#: What a piece of text becomes: number of tokens, their ids as text, the decoded bytes.
+Coded = tuple[int, str, bytes]
+
 
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
@@ -84,15 +94,15 @@ class Codec:
         self.words = regex.compile(pattern)
         pairs = [(self.ranks[t[:k]], self.ranks[t[k:]], r) for t, r in self.ranks.items() for k in range(1, len(t))
                  if t[:k] in self.ranks and t[k:] in self.ranks]
-        self.rising = all(r > a and r > b for a, b, r in pairs)
         self.crossed = {t[k:k + 2] for t in self.ranks for k in range(len(t) - 1)}
-        self.byte = [self.ranks[bytes([b])] for b in range(256)]
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
+        self.byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
         a, b, r = zip(*pairs, strict=True)
         self._table("merges", a=pa.array(a, pa.int32()), b=pa.array(b, pa.int32()), id=pa.array(r, pa.int32()))
         self._table("vocabulary", id=pa.array(self.ranks.values(), pa.int32()),
                     bytes=pa.array([t.hex() for t in self.ranks]))
-        self.known: dict[str, tuple[tuple[int, ...], bytes]] = {}
+        self.new: dict[str, Coded] = {}
+        self.old: dict[str, Coded] = {}
 
     def _table(self, table: str, **columns: pa.Array) -> None:
         data = pa.table(columns)
@@ -100,55 +110,63 @@ class Codec:
         self.con.execute(f"CREATE OR REPLACE TABLE {table} AS SELECT * FROM incoming")
         self.con.unregister("incoming")
 
-    def _encode(self, words: list[bytes], chosen: str) -> list[tuple[list[int], bytes]]:
-        """Ids and decoded bytes of each (non-empty) word."""
+    def _encode(self, words: list[bytes], query: str) -> list[Coded]:
+        """Each (non-empty) word's tokens."""
         if not words:
             return []
-        lengths = [len(w) for w in words]
-        self._table("first_tokens",
-                    word=pa.array([i for i, n in enumerate(lengths) for _ in range(n)], pa.int32()),
-                    pos=pa.array([p for n in lengths for p in range(n)], pa.int64()),
-                    id=pa.array([self.byte[b] for w in words for b in w], pa.int32()))
-        self.con.execute("CREATE OR REPLACE TEMP TABLE result AS " + ROUND.format(chosen=chosen))
-        out = self.con.execute(DECODE + " ORDER BY word").fetchall()
-        return [(ids, data) for _, ids, data in out]
+        size = np.array([len(w) for w in words])
+        ids = self.byte[np.frombuffer(b"".join(words), np.uint8)]
+        ends = np.cumsum(size)
+        last = np.zeros(len(ids), bool)
+        last[ends - 1] = True
+        self._table("first_tokens", word=pa.array(np.repeat(np.arange(len(words), dtype=np.int32), size)),
+                    pos=pa.array(np.arange(len(ids)) - np.repeat(ends - size, size)), id=pa.array(ids),
+                    following=pa.array(np.append(ids[1:], np.int32(0)), mask=last))
+        got = self.con.execute(DECODE.format(tokens=query)).fetchnumpy()
+        return list(zip(got["n"].tolist(), got["ids"].tolist(), map(bytes, got["bytes"].tolist()), strict=True))
 
     def _parts(self, word: bytes) -> list[bytes]:
         """A long word cut between bytes that no token holds next to each other."""
         at = [k for k in range(1, len(word)) if word[k - 1:k + 1] not in self.crossed]
         return [word[a:b] for a, b in zip([0, *at], [*at, len(word)], strict=True)]
 
-    def learn(self, words: set[str]) -> None:
-        """Encodes words that are not known yet, a bounded number of bytes at a time."""
-        batch: list[str] = []
-        size = 0
+    def _words(self, words: set[str]) -> dict[str, Coded]:
+        out: dict[str, Coded] = {}
+        batch: list[tuple[str, bytes]] = []
+        room = BATCH_BYTES
         for w in words:
             data = w.encode("utf-8", "replace")
             if len(data) > LONG:
-                parts = self._parts(data)
-                done = self._encode(parts, ALL if self.rising else LEFTMOST)
-                self.known[w] = (tuple(i for ids, _ in done for i in ids), b"".join(b for _, b in done))
+                out[w] = _joined(self._encode(self._parts(data), ANY))
                 continue
-            batch.append(w)
-            size += len(data)
-            if size > 1 << 20:
-                self._learn_short(batch)
-                batch, size = [], 0
-        self._learn_short(batch)
-
-    def _learn_short(self, batch: list[str]) -> None:
-        done = self._encode([w.encode("utf-8", "replace") for w in batch], LEFTMOST)
-        self.known.update((w, (tuple(ids), data)) for w, (ids, data) in zip(batch, done, strict=True))
-
-    def pieces_of(self, wanted: set[str]) -> dict[str, tuple[tuple[int, ...], bytes]]:
-        split = {p: self.words.findall(p) for p in wanted}
-        new = {w for ws in split.values() for w in ws} - self.known.keys()
-        if len(self.known) + len(new) > MEMORY:
-            self.known.clear()
-            new = {w for ws in split.values() for w in ws}
-        self.learn(new)
-        return {p: (tuple(i for w in ws for i in self.known[w][0]), b"".join([self.known[w][1] for w in ws]))
-                for p, ws in split.items()}
+            batch.append((w, data))
+            room -= len(data)
+            if room < 0:
+                out.update(self._short(batch))
+                batch, room = [], BATCH_BYTES
+        out.update(self._short(batch))
+        return out
+
+    def _short(self, batch: list[tuple[str, bytes]]) -> Iterator[tuple[str, Coded]]:
+        return zip([w for w, _ in batch], self._encode([b for _, b in batch], SHORT), strict=True)
+
+    def code(self, pieces: set[str]) -> dict[str, Coded]:
+        """All of ``pieces``; those seen lately are remembered."""
+        out = {p: c for p in pieces if (c := self.new.get(p) or self.old.get(p))}
+        split = {p: self.words.findall(p) for p in pieces - out.keys()}
+        known = self._words({w for ws in split.values() for w in ws})
+        out.update((p, known[ws[0]] if len(ws) == 1 else _joined([known[w] for w in ws])) for p, ws in split.items())
+        if len(self.new) + len(out) > MEMORY:
+            self.old, self.new = self.new, {}
+        for p in out:
+            if len(self.new) >= MEMORY:
+                break
+            self.new[p] = out[p]
+        return out
+
+
+def _joined(parts: list[Coded]) -> Coded:
+    return sum(n for n, _, _ in parts), " ".join([ids for _, ids, _ in parts]), b"".join([b for _, _, b in parts])
 
 
 _CODECS: dict[tuple[str, str], Codec] = {}
@@ -177,18 +195,14 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", with_id
         for batch in batches:
             for part in _slices(batch):
                 cut = [pieces(t or "") for t in part["text"]]
-                found = c.pieces_of({p for ps in cut for p in ps})
-                shown = {p: " ".join(map(str, ids)) for p, (ids, _) in found.items()}
-                sizes = {p: len(ids) for p, (ids, _) in found.items()}
-                data = {p: b for p, (_, b) in found.items()}
-                decoded = [b"".join([data[p] for p in ps]) for ps in cut]
-                out = {"doc_id": part["doc_id"], "no_id": part["no_id"],
-                       "n_tokens": [sum([sizes[p] for p in ps]) for ps in cut],
-                       "ids_sha256": [hashlib.sha256(" ".join([shown[p] for p in ps]).encode()).hexdigest() for ps in cut],
-                       "decoded_sha256": [hashlib.sha256(b).hexdigest() for b in decoded]}
+                found = c.code({p for ps in cut for p in ps})
+                coded = [_joined([found[p] for p in ps]) for ps in cut]
+                out = {"doc_id": part["doc_id"], "no_id": part["no_id"], "n_tokens": [n for n, _, _ in coded],
+                       "ids_sha256": [hashlib.sha256(ids.encode()).hexdigest() for _, ids, _ in coded],
+                       "decoded_sha256": [hashlib.sha256(b).hexdigest() for _, _, b in coded]}
                 if with_ids:
-                    out |= {"ids": [np.fromiter(chain.from_iterable([found[p][0] for p in ps]), np.int32) for ps in cut],
-                            "decoded": decoded}
+                    out |= {"ids": [np.array(ids.split(" ") if ids else [], np.int32) for _, ids, _ in coded],
+                            "decoded": [b for _, _, b in coded]}
                 yield pd.DataFrame(out)
 
     schema = "doc_id bigint, no_id boolean, n_tokens bigint, ids_sha256 string, decoded_sha256 string" \

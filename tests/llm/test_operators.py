@@ -109,11 +109,22 @@ def test_bpe_long_words(spark):
     assert got(codec_of(d), *BPE) == wanted(brute.bpe(list(enumerate(texts))))
 
 
-def test_bpe_merges_rise():
+def test_bpe_queries_agree():
+    """The query for short words and the one for any length."""
     import public_tokenizers
     c = bpe.codec(tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    words = [b"aaaa aaaa", b"abababab", b"theretherethere", "éééé".encode()]
-    assert [x for x, _ in c._encode(words, bpe.ALL)] == [x for x, _ in c._encode(words, bpe.LEFTMOST)]
+    words = [b"a", b"aaaa aaaa", b"abababab", b"theretherethere", "éééé".encode(), bytes(range(200, 256))]
+    assert c._encode(words, bpe.ANY) == c._encode(words, bpe.SHORT)
+
+
+def test_bpe_memory_is_bounded(monkeypatch):
+    import public_tokenizers
+    monkeypatch.setattr(bpe, "MEMORY", 5)
+    c = bpe.Codec(tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    for k in range(6):
+        out = c.code({f" word{j}" for j in range(k, k + 4)} | {" same"})
+        assert len(out) == 5 and len(c.new) <= 5 and len(c.old) <= 5
+    assert b"".join(b for _, _, b in c.code({" same"}).values()) == b" same"
 
 
 # ---- 2 ------------------------------------------------------------------------------------
