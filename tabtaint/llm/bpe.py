@@ -71,10 +71,12 @@ WITH RECURSIVE token(word, pos, id, round) USING KEY (word, pos) AS (
 )
 SELECT word, pos, id FROM token JOIN (SELECT word, max(round) AS round FROM token GROUP BY word) USING (word, round)
 """
+#: Aggregation of the tokens in the order of their positions.  One thread reads the sorted rows, which
+#: costs a tenth of sorting within each word; :meth:`Codec._encode` checks that the words come back.
 DECODE = """
-SELECT count(*) AS n, string_agg(id, ' ' ORDER BY pos) AS ids,
-       CAST(unhex(string_agg(bytes, '' ORDER BY pos)) AS BLOB) AS bytes
-FROM ({tokens}) JOIN vocabulary USING (id) GROUP BY word ORDER BY word
+SELECT count(*) AS n, string_agg(id, ' ') AS ids, CAST(unhex(string_agg(bytes, '')) AS BLOB) AS bytes
+FROM (SELECT word, id, bytes FROM ({tokens}) JOIN vocabulary USING (id) ORDER BY word, pos)
+GROUP BY word ORDER BY word
 """
 
 #: What a piece of text becomes: number of tokens, their ids as text, the decoded bytes.
@@ -123,7 +125,10 @@ class Codec:
                     pos=pa.array(np.arange(len(ids)) - np.repeat(ends - size, size)), id=pa.array(ids),
                     following=pa.array(np.append(ids[1:], np.int32(0)), mask=last))
         got = self.con.execute(DECODE.format(tokens=query)).fetchnumpy()
-        return list(zip(got["n"].tolist(), got["ids"].tolist(), map(bytes, got["bytes"].tolist()), strict=True))
+        decoded = [bytes(b) for b in got["bytes"].tolist()]
+        if decoded != words:
+            raise ValueError("a word's tokens were not aggregated in order")
+        return list(zip(got["n"].tolist(), got["ids"].tolist(), decoded, strict=True))
 
     def _parts(self, word: bytes) -> list[bytes]:
         """A long word cut between bytes that no token holds next to each other."""
