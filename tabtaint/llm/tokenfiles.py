@@ -18,6 +18,7 @@ import math
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -33,7 +34,8 @@ PARTITION_BYTES = 8 << 20
 ROUNDS, RULES_PER_ROUND, LEAST_COUNT = 3, 4096, 32
 HASH_BITS = 18
 #: Pieces that a task remembers; beyond that it starts anew.
-MEMORY = 400_000
+MEMORY = 1_000_000
+ROW_PIECES = 4096
 
 SCHEMA = ("part int, chunk int, n_ids bigint, docs binary, no_id binary, counts binary, firsts binary, "
           "first_rule int, rules binary, lengths binary, width int, symbols binary")
@@ -50,6 +52,9 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.size = self.tokenizer.get_vocab_size()
+        self.bytes = np.zeros(self.size, np.int64)   # a token's string has a character for each byte
+        for token, i in self.tokenizer.get_vocab().items():
+            self.bytes[i] = len(token)
         self.forget()
 
     def forget(self) -> None:
@@ -58,12 +63,25 @@ class Encoder:
         self.ids, self.total = [np.empty(0, np.int32)], 0
 
     def _learn(self, new: list[str]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-        count = np.fromiter(map(len, found), np.int64, len(found))
+        """Numbers and encodes new pieces.  Those between two words are encoded in long rows, as no
+        token crosses from one to the next; the tokens' lengths tell where each piece ends."""
+        plain = [p for p in new if len(p) > 1 and p[0] == " " and not p[1].isspace() and not p[-1].isspace()]
+        rest = sorted(set(new) - set(plain))
+        rows = ["".join(plain[k:k + ROW_PIECES]) for k in range(0, len(plain), ROW_PIECES)]
+        found = [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(rows + rest, add_special_tokens=False)]
+        ids = np.concatenate([np.empty(0, np.int32), *found])
+        ends = np.cumsum(self.bytes[np.concatenate([np.empty(0, np.int32), *found[:len(rows)]])])
+        want = np.cumsum(np.array(list(map(len, map(str.encode, plain))), np.int64))
+        at = np.searchsorted(ends, want)
+        if len(plain) and (at[-1] != len(ends) - 1 or (ends[at] != want).any()):
+            raise ValueError("a token crosses from one piece of text to the next")
+        count = np.concatenate([np.diff(at, prepend=-1), np.array([len(x) for x in found[len(rows):]], np.int64)])
+        for p in (*plain, *rest):
+            self.number[p] = len(self.number)
         self.first.append(self.total + np.cumsum(count) - count)
         self.count.append(count)
-        self.ids.append(np.fromiter((i for ids in found for i in ids), np.int32, int(count.sum())))
-        self.total += int(count.sum())
+        self.ids.append(ids)
+        self.total += len(ids)
         for x in (self.first, self.count, self.ids):
             x[:] = [np.concatenate(x)]
 
@@ -72,16 +90,12 @@ class Encoder:
         if len(self.number) > MEMORY:
             self.forget()
         cut = [pieces(t or "") for t in texts]
-        known, new = self.number, []
-        for ps in cut:
-            for p in ps:
-                if p not in known:
-                    known[p] = len(known)
-                    new.append(p)
+        known = self.number
+        new = list(set(chain.from_iterable(cut)).difference(known))
         if new:
             self._learn(new)
         n = np.fromiter(map(len, cut), np.int64, len(cut))
-        at = np.fromiter((known[p] for ps in cut for p in ps), np.int64, int(n.sum()))
+        at = np.array(list(map(known.__getitem__, chain.from_iterable(cut))), np.int64)
         each = self.count[0][at]
         bounds = np.concatenate([[0], np.cumsum(n)])
         sums = np.concatenate([[0], np.cumsum(each)])
