@@ -212,8 +212,10 @@ class Pseudonyms:
         def number(m: re.Match) -> str:
             kind = m.lastgroup
             new = getattr(self, kind)(m.group(0))
-            found[kind] += new is not None
-            return m.group(0) if new is None else new
+            if new is None:
+                return m.group(0)
+            found[kind] += 1
+            return new
 
         def mail(m: re.Match) -> str:
             found["email"] += 1

