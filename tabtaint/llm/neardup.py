@@ -16,8 +16,12 @@ task as long as the bucket has at most ``GROUP`` members; a larger one is split
 By the concentration bound a pair with J >= 0.75 has fewer than 60 % equal coordinates with
 probability below 1e-9.  Links are confirmed on the full sets.
 
+A class is known by a number of its own, given in the order of its first row by (id, text hash), so
+the least number of a component is the class of the row that is kept.
+
 Defined cases: null and empty texts have the empty set, are linked with nothing and stay; fewer
-than five words give one shingle; rows sharing an id are judged by their own texts; rows with a null id are never linked and stay; an empty table gives an empty result.
+than five words give one shingle; rows sharing an id, and rows with a null id, which come after all
+others, are judged by their own texts; of equal rows one is kept; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabtaint.llm.common import bounded, join_id, ready, sized, split_id, stored
+from tabtaint.llm.common import bounded, join_id, ready, row_key, sized, split_id, stored
 from tabtaint.llm.graph import components
 from tabtaint.llm.text import U64, Words, mixed
 
@@ -43,6 +47,8 @@ SLICE_BYTES = 2 << 20
 #: one task compares by sketches; further bands in the key of a larger one.
 DIRECT, GROUP, REFINEMENTS = 8, 2000, 2
 AGREEMENT = 0.6
+#: What tells rows apart, in the order in which they are preferred.
+ROW = ("no_id", "doc_id", "a", "b")
 
 
 # ---- sets and sketches --------------------------------------------------------------------
@@ -112,14 +118,14 @@ def _sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for k, i in enumerate(some):
                 keys[i] = hashlib.blake2b(sets[i].astype("<u8").tobytes(), digest_size=16).digest()
                 rows[i] = bands[k]
-            yield pd.DataFrame({"doc_id": part["doc_id"], "no_id": part["no_id"], "n_shingles": [len(s) for s in sets],
+            yield pd.DataFrame({**{c: part[c] for c in ROW}, "n_shingles": [len(s) for s in sets],
                                 "set": keys, "bands": rows})
 
 
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        for part in slices(batch):
-            yield pd.DataFrame({"node": part["doc_id"], "shingles": [
+        for part in slices(batch.drop_duplicates("node")):
+            yield pd.DataFrame({"node": part["node"], "shingles": [
                 s.astype("<u8").tobytes() for s in shingle_sets(list(part["text"]))]})
 
 
@@ -201,16 +207,20 @@ def _alike(opened: DataFrame, sets: DataFrame, n: int) -> DataFrame:
 
 
 def link_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Verified links (``u``, ``v``) that connect the classes (``node, n, bands``).
+    """Verified links (``u``, ``v``) that connect the classes (``node, first, n, bands``), ``first``
+    being the row of ``docs`` that stands for the class.
 
     Every link joins nodes of one component; every two similar nodes that share a band end up in
     one component, though not each such pair is listed."""
     rows = classes.select("node", "n", F.explode("bands").alias("h"))
     members = stored(_buckets(rows), "buckets")
     r = members.count()
-    nodes = bounded(sized(members.select("node").distinct(), r), "bucket-nodes")
-    sets = stored(docs.join(nodes, docs["doc_id"] == nodes["node"], "left_semi").mapInPandas(
+    nodes = bounded(classes.select("node", *[f"first.{c}" for c in ROW]).join(
+        sized(members.select("node").distinct(), r), "node"), "bucket-nodes")
+    sets = stored(docs.join(nodes, list(ROW)).select("node", "text").mapInPandas(
         _sets, "node bigint, shingles binary"), "shingle-sets")
+    if sets.count() > nodes.count():  # equal rows
+        sets = stored(sets.dropDuplicates(["node"]), "shingle-sets")
     pairs = members.where((F.col("node") != F.col("center")) & _similar_size("n", "center_n")) \
         .select(F.col("center").alias("u"), F.col("node").alias("v")).distinct()
     links = _verified(sized(pairs, r), sets, "links")
@@ -239,30 +249,55 @@ def link_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
     return links if more.isEmpty() else links.unionByName(_verified(more, sets, "links"))
 
 
-def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Per document: ``doc_id, n_shingles, component_id, kept, n_links`` (verified links of its class)."""
+def _judged(docs: DataFrame, text: str) -> DataFrame:
+    """Per row: ``ROW``, ``n_shingles, component_id, kept, n_links``, and whether it equals the
+    component's kept row in id and text (``first_row``)."""
     ready(docs)
-    d = docs.select(*split_id(), F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary").alias("text"))
-    sk = stored(join_id(d.mapInPandas(
-        _sketch, "doc_id bigint, no_id boolean, n_shingles bigint, set binary, bands array<bigint>")), "sketches")
-    known = sk.where("set IS NOT NULL AND doc_id IS NOT NULL")
-    classes = stored(known.groupBy("set").agg(F.min("doc_id").alias("node"), F.min("n_shingles").alias("n"),
-                                              F.min_by("bands", "doc_id").alias("bands")), "classes")
-    links = link_classes(d.where("NOT no_id").select("doc_id", "text"), classes.select("node", "n", "bands"))
+    d = docs.select(*split_id(), row_key(text).alias("row"), F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary").alias("text")) \
+        .select("doc_id", "no_id", "row.a", "row.b", "text")
+    sk = stored(d.mapInPandas(_sketch, "no_id boolean, doc_id bigint, a bigint, b int, n_shingles bigint, set binary, bands array<bigint>")
+                .withColumn("copy", F.monotonically_increasing_id()), "sketches")
+    classes = sk.where("set IS NOT NULL").groupBy("set").agg(
+        F.min(F.struct(*ROW, "copy")).alias("first"), F.min("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    classes = stored(classes.orderBy("first").withColumn("node", F.monotonically_increasing_id()), "classes")
+    links = link_classes(d, classes.select("node", "first", "n", "bands"))
     label = components(links)
     ends = links.select(F.col("u").alias("node")).unionByName(links.select(F.col("v").alias("node")))
     n_links = ends.groupBy("node").agg(F.count("*").alias("n_links"))
-    of = classes.select("set", "node").join(label, "node", "left").join(n_links, "node", "left") \
-        .select("set", F.coalesce("component", "node").alias("component"), "n_links")
-    j = sk.select("doc_id", "n_shingles", "set").join(of, "set", "left")
-    component = F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("component")), F.col("doc_id"))
-    return j.select("doc_id", "n_shingles", component.alias("component_id"),
-                    F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
-                    F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    least = bounded(label.select("component").distinct().join(classes.select(
+        F.col("node").alias("component"), F.when(~F.col("first.no_id"), F.col("first.doc_id")).alias("component_id")),
+        "component"), "components")
+    own = F.when(~F.col("first.no_id"), F.col("first.doc_id"))
+    of = classes.select("set", "node", "first").join(label, "node", "left").join(n_links, "node", "left") \
+        .join(least, "component", "left") \
+        .select("set", F.when(F.col("component").isNull(), own).otherwise(F.col("component_id")).alias("component_id"),
+                F.when(F.coalesce(F.col("component") == F.col("node"), F.lit(True)), F.col("first")).alias("first"), "n_links")
+    j = sk.drop("bands").join(of, "set", "left")
+    alone, id_ = F.col("set").isNull(), F.when(~F.col("no_id"), F.col("doc_id"))
+    first_row = alone | F.coalesce(F.struct(*ROW) == F.struct(*[f"first.{c}" for c in ROW]), F.lit(False))
+    return j.select(*ROW, "n_shingles", F.when(alone, id_).otherwise(F.col("component_id")).alias("component_id"),
+                    (alone | F.coalesce(F.col("copy") == F.col("first.copy"), F.lit(False))).alias("kept"),
+                    F.coalesce("n_links", F.lit(0)).alias("n_links"), first_row.alias("first_row"))
+
+
+def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Per row: ``doc_id, n_shingles, component_id`` (least id of the component), ``kept`` (one row of
+    each component), ``n_links`` (verified links of its class)."""
+    return join_id(_judged(docs, text)).select("doc_id", "n_shingles", "component_id", "kept", "n_links")
 
 
 def keep_first_of_group(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` without the documents whose group has a smaller id, with their own columns only."""
-    gone = bounded(near_duplicates(docs, text).where("NOT kept").select(F.col("doc_id").alias("__id")).distinct(),
-                   "near-duplicates")
-    return docs.join(gone, docs["doc_id"] == gone["__id"], "left_anti")
+    """One row of each group, the one of the least id (of equal rows any one), with the columns of ``docs`` only."""
+    dropped = stored(join_id(_judged(docs, text).where("NOT kept").select(*ROW, "first_row").distinct()), "near-duplicates")
+    keys = dropped.select(F.col("doc_id").alias("__id"), F.struct("a", "b").alias("__row"), "first_row")
+
+    def without(rows: DataFrame, some: DataFrame, how: str = "left_anti") -> DataFrame:
+        return rows.join(some, rows["doc_id"].eqNullSafe(some["__id"]) & (row_key(text) == some["__row"]), how)
+
+    left = without(docs, bounded(keys.where("NOT first_row").drop("first_row"), "dropped-rows"))
+    again = keys.where("first_row").drop("first_row")
+    if again.isEmpty():
+        return left
+    again = bounded(again, "equal-rows")
+    one = without(left, again, "left_semi").withColumn("__key", row_key(text)).dropDuplicates(["doc_id", "__key"]).drop("__key")
+    return without(left, again).unionByName(one)

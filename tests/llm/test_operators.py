@@ -145,6 +145,29 @@ def test_near_awkward(docs, none):
     assert kept.columns == docs.columns and kept.where("doc_id IN (7, 8)").count() == 0
 
 
+def test_near_shared_and_null_ids(spark):
+    """Rows of one id are judged by their own texts, and one row of each group stays, whatever its id."""
+    def prose(x):
+        return " ".join(f"{x}{k}" for k in range(80))
+
+    rows = [(1, prose("a")), (30, prose("a") + " more"), (30, prose("b")), (30, prose("c")), (31, prose("c") + " more"),
+            (32, prose("d")), (32, prose("d")), (33, prose("e")), (33, prose("e") + " more"), (None, prose("f")),
+            (None, prose("f")), (None, prose("f") + " more"), (None, prose("b") + " more"), (-5, prose("g")), (7, prose("g")),
+            (34, ""), (34, ""), (None, None), (2**60 + 1, prose("h")), (2**60 + 3, prose("h") + " more")]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("row", F.lit(1)).repartition(3)
+    out = neardup.near_duplicates(d)
+    assert out.count() == len(rows)
+    groups = sorted((r["component_id"], r["kept"]) for r in out.where("n_shingles > 0 AND component_id IS NOT NULL").collect())
+    assert groups == sorted([(1, True), (1, False), (30, True), (30, False), (30, True), (30, False), (32, True), (32, False),
+                             (33, True), (33, False), (-5, True), (-5, False), (2**60 + 1, True), (2**60 + 1, False)])
+    assert sorted(r["kept"] for r in out.where("n_shingles > 0 AND component_id IS NULL").collect()) == [False, False, True]
+    kept = neardup.keep_first_of_group(d)
+    assert kept.columns == d.columns
+    topics = sorted((str(r["doc_id"]), (r["text"] or "")[:1]) for r in kept.collect())
+    assert topics == sorted([("1", "a"), ("30", "b"), ("30", "c"), ("32", "d"), ("33", "e"), ("None", "f"), ("-5", "g"),
+                             ("34", ""), ("34", ""), ("None", ""), (str(2**60 + 1), "h")])
+
+
 def test_near_chain_and_shared_passages(spark):
     """A chain of links whose ends are not similar, beside many texts that share one long passage."""
     words = [f"w{k}" for k in range(400)]
