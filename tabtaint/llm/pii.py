@@ -6,6 +6,11 @@ Feistel network permutes the numbers below N (walking the cycle until the value
 it, x becomes P'(P(x) + 1 mod N), P' being the inverse of P: a permutation without fixed points that the
 key reverses.  Equal values get equal pseudonyms in every document, whatever their separators.
 
+Numbers in digit groups may stand beside other groups.  When the check of a run fails, its shorter
+runs of whole groups are tried, then those that begin at a later group; of overlapping card numbers
+one with an issuer's first digits is preferred.  Undoing a text is ambiguous where a card's neighbours
+and part of its pseudonym happen to pass these tests as well; a value alone is always restored.
+
 Defined cases: a null text stays null, an empty one empty; texts without such values come back
 unchanged; numbers that fail their check (Luhn, mod 97, calendar, octets) are left alone; repeated
 rows get equal results; other columns pass through untouched.
@@ -16,8 +21,11 @@ from __future__ import annotations
 import datetime
 import hashlib
 import re
+import unicodedata
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -100,22 +108,76 @@ def refill(model: str, characters: str) -> str:
     return "".join(next(it) if c.isalnum() else c for c in model)
 
 
-#: Date formats that are recognised.
-DATES = {"%Y-%m-%d": r"\d{4}-\d{2}-\d{2}", "%d/%m/%Y": r"\d{2}/\d{2}/\d{4}", "%d.%m.%Y": r"\d{2}\.\d{2}\.\d{4}"}
+#: Date formats that are recognised; of two that fit, the first counts.
+DATES = {"%Y-%m-%d": r"\d{4}-\d{2}-\d{2}", "%d/%m/%Y": r"\d{2}/\d{2}/\d{4}", "%d.%m.%Y": r"\d{2}\.\d{2}\.\d{4}",
+         "%m/%d/%Y": r"\d{2}/\d{2}/\d{4}", "%m.%d.%Y": r"\d{2}\.\d{2}\.\d{4}"}
 FIRST_DAY, DAYS = datetime.date(1900, 1, 1).toordinal(), 73_049  # 1900 to 2099
+#: Days that can't be taken for a month, and the others: each are permuted among themselves, so a
+#: date stays in the format it was recognised by.
+LATE, EARLY = ([d for d in range(FIRST_DAY, FIRST_DAY + DAYS) if (datetime.date.fromordinal(d).day > 12) == late]
+               for late in (True, False))
+#: The ITU's country calling codes of one and two digits; all others have three.
+CALLING = re.compile(r"1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3}")
 DIGITS_IN = re.compile(r"[0-9]")
+GROUP = re.compile(r"[A-Z0-9]+")
+FIRST_GROUP = re.compile(r"\W*\w+")
+#: A run of one digit group, or of several that are no list of short numbers.
+CARD_RUN = re.compile(r"\d{13,19}|\d{3,}(?:[ -]\d{3,})*[ -]\d+")
+#: The lengths of the IBAN registry.
+IBAN_LENGTHS = {x[:2]: int(x[2:]) for x in (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 "
+    "FK18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 "
+    "LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 "
+    "SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30").split()}
+FOUR_FOURS = re.compile(r"\d{4}(?:[ -]\d{4}){3}")
+#: First digits of payment card numbers.
+ISSUED = re.compile(r"4|5[1-5]|2[2-7]|3[04-9]|6")
+CARD = r"\d(?:[ -]?\d){12,18}(?!\w)"
+CARDS = re.compile(CARD)
 NUMBERS = re.compile(
     r"(?<![\w.])(?:"
     r"(?P<iban>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w))"
-    r"|(?P<date>(?:" + "|".join(DATES.values()) + r")(?![\w/-]))"
+    r"|(?P<date>(?:" + "|".join(dict.fromkeys(DATES.values())) + r")(?:(?![\w/-])|(?=[Tt]\d\d)|(?=[Zz]\b)))"
     r"|(?P<ip>\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d))"
     r"|(?P<ssn>\d{3}-\d{2}-\d{4}(?![\w-]))"
     r"|(?P<phone>(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\w)"
     r"|\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\w)|\d{3}[.-]\d{3}[.-]\d{4}(?![\w-]))"
-    r"|(?P<card>\d(?:[ -]?\d){12,18}(?![\w]|-\d))"
+    r"|(?P<card>" + CARD + r")"
     r"|(?P<secret>(?=[0-9a-f]*[a-f])(?=[0-9a-f]*\d)[0-9a-f]{32,64}(?!\w))"
     r")")
-EMAIL = re.compile(r"(?<![\w.%+-])([A-Za-z0-9](?:[\w.%+-]{0,62}[\w])?)@((?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,24})(?![\w])")
+EMAIL = re.compile(r"(?<![\w.%+-])(\w(?:[\w.%+-]{0,62}\w)?)@((?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,24})(?![\w])")
+
+
+def runs(kind: str, s: str, later: bool) -> Iterator[str]:
+    """The runs of whole groups at the beginning of ``s`` that may be a number: the one of the country's
+    length or of four groups of four digits, the whole (unless the search had begun at an earlier
+    group), then, of cards, the longest first."""
+    ends = [m.end() for m in GROUP.finditer(s)]
+    if kind == "iban":
+        yield from (s[:e] for e in ends if sum(map(str.isalnum, s[:e])) == IBAN_LENGTHS.get(s[:2]))
+        if not later:
+            yield s
+        return
+    four = FOUR_FOURS.match(s)
+    if four and four.end() in ends:
+        yield four.group(0)
+    if not later:
+        yield s
+    for e in reversed(ends):
+        if 13 <= sum(c.isdigit() for c in s[:e]) and CARD_RUN.fullmatch(s[:e]):
+            yield s[:e]
+
+
+@cache
+def alphabet(c: str) -> tuple[str, str]:
+    """The characters that may stand for ``c``, and their name: digits, letters of its case, and beyond
+    ASCII those of its kind among the 256 code points around it."""
+    if c.isascii():
+        return next((x, n) for x, n in (("0123456789", "1"), ("abcdefghijklmnopqrstuvwxyz", "2"),
+                                        ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0")) if c in x)
+    page, kind = ord(c) >> 8, unicodedata.category(c)
+    some = (chr(k) for k in range(max(page << 8, 128), (page + 1) << 8))
+    return "".join(x for x in some if x.isalnum() and unicodedata.category(x) == kind), f"[{page}{kind}]"
 
 
 class Pseudonyms:
@@ -161,12 +223,12 @@ class Pseudonyms:
         return f"{a:03d}-{b + 1:02d}-{c + 1:04d}"
 
     def phone(self, s: str) -> str | None:
-        code = re.match(r"\+\d{1,3}(?=[ .(-])", s)
-        head = code.group(0) if code else "+" if s[0] == "+" else ""
-        d = re.sub(r"\D", "", s[len(head):])
-        if not 7 <= len(d) + len(head) <= 16 or len(d) < 7:
+        """The country code stays, however it is set off; the national number is permuted."""
+        d = re.sub(r"\D", "", s)
+        code = CALLING.match(d).group(0) if s[0] == "+" else ""
+        if not 7 <= len(d) <= 15 or len(d) - len(code) < 4:
             return None
-        return head + refill(s[len(head):], self.digits("phone", d))
+        return refill(s, code + self.digits("phone", d[len(code):]))
 
     def ip(self, s: str) -> str | None:
         parts = s.split(".")
@@ -178,30 +240,59 @@ class Pseudonyms:
     def date(self, s: str) -> str | None:
         for form in DATES:
             try:
-                day = datetime.datetime.strptime(s, form).date().toordinal() - FIRST_DAY
+                day = datetime.datetime.strptime(s, form).date()
             except ValueError:
                 continue
-            if 0 <= day < DAYS:
-                return datetime.date.fromordinal(self.number("date", day, DAYS) + FIRST_DAY).strftime(form)
+            if 0 <= day.toordinal() - FIRST_DAY < DAYS:
+                days = LATE if day.day > 12 else EARLY
+                new = days[self.number("date", bisect_left(days, day.toordinal()), len(days))]
+                return datetime.date.fromordinal(new).strftime(form)
         return None
 
     def secret(self, s: str) -> str:
         return self.digits("secret", s, 16)
 
-    def email(self, local: str) -> str:
-        """Letters become letters of the same case, digits digits; other characters stay."""
+    def email(self, local: str) -> str | None:
+        """Letters become letters of the same case and script, digits digits; other characters stay."""
         x, n = 0, 1
-        marks = [(c, 10, 48) if "0" <= c <= "9" else (c, 26, 97) if "a" <= c <= "z" else (c, 26, 65)
-                 for c in local if c.isascii() and c.isalnum()]
-        for c, base, zero in marks:
-            x, n = x * base + ord(c) - zero, n * base
-        shape = "".join(str(("0" <= c <= "9") + 2 * ("a" <= c <= "z")) for c, _, _ in marks)
-        x, new = self.number(f"email{shape}", x, n), []
-        for _, base, zero in reversed(marks):
-            x, r = divmod(x, base)
-            new.append(chr(r + zero))
-        it = iter(reversed(new))
-        return "".join(next(it) if c.isascii() and c.isalnum() else c for c in local)
+        marks = [(c, *alphabet(c)) for c in local if c.isalnum()]
+        for c, some, _ in marks:
+            x, n = x * len(some) + some.index(c), n * len(some)
+        if n == 1:
+            return None
+        x, new = self.number(f"email{''.join(name for *_, name in marks)}", x, n), []
+        for _, some, _ in reversed(marks):
+            x, r = divmod(x, len(some))
+            new.append(some[r])
+        return refill(local, "".join(reversed(new)))
+
+    def first(self, kind: str, s: str, later: bool) -> tuple[str, str] | None:
+        """The first run at the beginning of ``s`` that passes its check, and its replacement."""
+        found = ((run, getattr(self, kind)(run)) for run in (runs(kind, s, later) if kind in ("card", "iban") else (s,)))
+        return next(((run, new) for run, new in found if new is not None), None)
+
+    def issued(self, hit: tuple[str, str]) -> bool:
+        return bool(ISSUED.match(hit[self.undo]))
+
+    def numbers(self, text: str, found: Counter) -> str:
+        out, done, at, later = [], 0, 0, -1
+        while m := NUMBERS.search(text, at):
+            kind, start = m.lastgroup, m.start()
+            hit = self.first(kind, m.group(0), start <= later)
+            if hit is None:
+                at, later = start + FIRST_GROUP.match(m.group(0)).end(), max(later, m.end())
+                continue
+            if kind == "card" and not self.issued(hit):
+                for g in [g.start() for g in GROUP.finditer(hit[0])][1:]:
+                    other = CARDS.match(text, start + g)
+                    other = other and self.first(kind, other.group(0), True)
+                    if other and self.issued(other):
+                        start, hit = start + g, other
+                        break
+            found[kind] += 1
+            out += [text[done:start], hit[1]]
+            done = at = start + len(hit[0])
+        return "".join(out) + text[done:]
 
     def text(self, text: str | None) -> tuple[str | None, Counter]:
         """The text with pseudonyms, and how many of each kind."""
@@ -209,20 +300,13 @@ class Pseudonyms:
         if not text:
             return text, found
 
-        def number(m: re.Match) -> str:
-            kind = m.lastgroup
-            new = getattr(self, kind)(m.group(0))
-            if new is None:
-                return m.group(0)
-            found[kind] += 1
-            return new
-
         def mail(m: re.Match) -> str:
-            found["email"] += 1
-            return f"{self.email(m.group(1))}@{m.group(2)}"
+            new = self.email(m.group(1))
+            found["email"] += new is not None
+            return m.group(0) if new is None else f"{new}@{m.group(2)}"
 
         if DIGITS_IN.search(text):
-            text = NUMBERS.sub(number, text)
+            text = self.numbers(text, found)
         if "@" in text:
             text = EMAIL.sub(mail, text)
         return text, found

@@ -396,6 +396,40 @@ def test_pii_formats_and_links():
     assert p.text("x 4111111111111111 y")[0].split()[1] == "".join(c for c in new[5:24] if c.isdigit())
 
 
+@pytest.mark.parametrize(("text", "kind", "value"), [
+    ("4111 1111 1111 1111 12/25", "card", "4111 1111 1111 1111"), ("4111 1111 1111 1111 123", "card", "4111 1111 1111 1111"),
+    ("2024 4111 1111 1111 1111", "card", "4111 1111 1111 1111"), ("4111-1111-1111-1111-12345", "card", "4111-1111-1111-1111"),
+    ("7 378282246310005 99", "card", "378282246310005"), ("BE68 5390 0754 7034 AND", "iban", "BE68 5390 0754 7034"),
+    ("AB12 BE68 5390 0754 7034 FROM HOME", "iban", "BE68 5390 0754 7034"), ("at 2020-01-15T10:00:00Z", "date", "2020-01-15"),
+    ("on 01/25/2020.", "date", "01/25/2020"), ("to élodie.ü@mail.example.com", "email", "élodie.ü"), ("ж@example.com", "email", "ж")])
+def test_pii_beside_other_characters(text, kind, value):
+    p = pii.Pseudonyms("k")
+    new, found = p.text(text)
+    before, after = text.split(value)
+    assert dict(found) == {kind: 1} and value not in new and new.startswith(before) and new.endswith(after)
+    if kind != "email":
+        assert p.text(value)[0] == new[len(before):len(new) - len(after)]
+    assert pii.Pseudonyms("k", undo=True).text(new)[0] == text
+
+
+def test_pii_one_form_of_a_phone_number_and_of_a_date():
+    p = pii.Pseudonyms("k")
+
+    def plain(text):
+        return "".join(c for c in p.text(text)[0] if c.isdigit())
+
+    forms = ["+1 555 123 4567", "+15551234567", "+1 (555) 123-4567", "+1555 123 4567", "+1-555-123-4567"]
+    assert len({plain(f) for f in forms}) == 1 and plain(forms[0])[1:] == plain("(555) 123-4567")
+    assert plain("+442071234567") == plain("+44 20 7123 4567")
+    undo = pii.Pseudonyms("k", undo=True)
+    for k in range(1, 28):
+        for text in (f"02/{k:02d}/2021", f"{k:02d}/02/2021", f"2021-02-{k:02d}", f"{k:02d}.02.2021", f"02.{k:02d}.2021"):
+            new, found = p.text(text)
+            assert found["date"] == 1 and new != text and undo.text(new)[0] == text
+    y, m, d = p.text("2021-02-25")[0].split("-")
+    assert p.text("02/25/2021")[0] == f"{m}/{d}/{y}" and p.text("25/02/2021")[0] == f"{d}/{m}/{y}"
+
+
 def test_pii_leaves_the_rest():
     text = "1234567890123456, 999.1.1.1, 31/02/2000, 000-12-3456, 12 eggs, version 2.0, a@b, price 1,299.00 in 2021"
     assert pii.Pseudonyms().text(text) == (text, {})
