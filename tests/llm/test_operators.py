@@ -240,6 +240,21 @@ def test_licenses(spark, none):
     assert licenses.scan(d, empty).where("n_licenses > 0").count() == 0
 
 
+def test_licenses_whole_texts_and_short_notices(spark):
+    t = licenses.TEMPLATES
+    for name in ("gpl-2.0", "gpl-3.0", "lgpl-3.0", "apache-2.0", "mit", "cc0-1.0", "cc-by-sa-4.0", "unlicense", "bsd-3-clause"):
+        assert len(t[f"{name}-text"].split()) > 100
+    rows = [(1, "some code\n" + t["mit-text"].replace("<year>", "2020") + "\nmore code"), (2, "word " * 500 + t["lgpl-3.0-text"]),
+            (3, "some words. ALL rights, reserved!"), (4, "all rights are reserved"), (5, "All rights"), (6, None), (7, "the Proprietary one")]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    more = spark.createDataFrame([("reserved", "All rights reserved."), ("proprietary", "Proprietary"), ("none", " . "), ("null", None)],
+                                 "template string, text string")
+    out = {r["doc_id"]: r for r in licenses.scan(d, licenses.default_templates(spark).unionByName(more)).collect()}
+    assert {i: r["licenses"] for i, r in out.items()} == {
+        1: "mit-permission,mit-text", 2: "lgpl-3.0-text", 3: "reserved", 4: "", 5: "", 6: "", 7: "proprietary"}
+    assert out[3]["best_containment"] == 1.0
+
+
 # ---- 5 ------------------------------------------------------------------------------------
 
 def test_substrings_query(spark):
