@@ -1,7 +1,7 @@
 """Token-id files (operator 3): tokenizers ids, Re-Pair compressed per shard.
 
 Documents are range-partitioned by id, sorted and encoded; every ``SHARD_IDS`` ids or so close a
-shard.  In each of a few rounds the shard's frequent pairs of neighbouring symbols get nonterminals
+shard.  In each round, until none is left, the shard's frequent pairs of neighbouring symbols get nonterminals
 and are replaced from the left; a pair never reaches over a document's end, so each document is a
 slice of symbols.  A shard's row holds the symbols, the rules (left, right), the expansion lengths, and
 every document's first symbol and number of ids, so any document is decoded alone.  The rows
@@ -31,7 +31,7 @@ from tabtaint.llm.pieces import pieces
 END = 2
 SHARD_IDS = 2 << 20
 PARTITION_BYTES = 8 << 20
-ROUNDS, RULES_PER_ROUND, LEAST_COUNT = 3, 4096, 32
+RULES_PER_ROUND, LEAST_COUNT = 4096, 32
 HASH_BITS = 18
 #: Pieces that a task remembers; beyond that it starts anew.
 MEMORY = 1_000_000
@@ -116,33 +116,32 @@ def encoder(path: str) -> Encoder:
 # ---- grammar ------------------------------------------------------------------------------
 
 def compress(ids: np.ndarray, ends: np.ndarray, first_rule: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Re-Pair in rounds.  ``ends``: positions of the documents' last ids.  Returns the symbols, the
+    """Re-Pair in rounds, until no pair occurs ``LEAST_COUNT`` times.  ``ends``: positions of the documents' last ids.  Returns the symbols, the
     rules (left, right) of the symbols from ``first_rule`` on, and the symbols that end documents."""
     seq = ids.astype(np.int64)
     last = np.zeros(len(seq), bool)
     last[ends] = True
     rules: list[np.ndarray] = []
     made = first_rule
-    for _ in range(ROUNDS):
-        if len(seq) < 2:
-            break
+    while len(seq) > 1:
         pair = (seq[:-1] << 32) | seq[1:]
         bucket = (pair.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - HASH_BITS)).astype(np.int64)
-        often = np.bincount(bucket, minlength=1 << HASH_BITS) >= LEAST_COUNT + len(pair) // (1 << HASH_BITS)
+        often = np.bincount(bucket, minlength=1 << HASH_BITS) >= LEAST_COUNT
         at = np.flatnonzero(often[bucket] & ~last[:-1])
         values, count = np.unique(pair[at], return_counts=True)
         top = np.argsort(-count, kind="stable")[:RULES_PER_ROUND]
         chosen = np.sort(values[top[count[top] >= LEAST_COUNT]])
         if not len(chosen):
             break
-        rules.append(chosen)
         spot = np.minimum(np.searchsorted(chosen, pair[at]), len(chosen) - 1)
         hit = chosen[spot] == pair[at]
         at, spot = at[hit], spot[hit]
         begins = np.concatenate([[True], np.diff(at) > 1])
         run = np.flatnonzero(begins)[np.cumsum(begins) - 1]
         take = (np.arange(len(at)) - run) % 2 == 0
-        at, spot = at[take], spot[take]
+        used, spot = np.unique(spot[take], return_inverse=True)
+        at, chosen = at[take], chosen[used]
+        rules.append(chosen)
         seq[at] = made + spot
         last[at] |= last[at + 1]
         keep = np.ones(len(seq), bool)
@@ -178,17 +177,28 @@ def expand(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, first_ru
     return out
 
 
+def pack(symbols: np.ndarray, width: int) -> bytes:
+    """Each symbol in ``width`` bytes."""
+    return symbols.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :width].tobytes()
+
+
+def unpack(data: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(data) // width, 4), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8).reshape(-1, width)
+    return out.view("<u4").ravel()
+
+
 def shard_row(part: int, chunk: int, docs: np.ndarray, no_id: np.ndarray, ids: np.ndarray, counts: np.ndarray, first_rule: int) -> dict:
     symbols, rules, ends = compress(ids, np.cumsum(counts) - 1, first_rule)
     lengths: list[int] = []
     for left, right in rules.tolist():
         lengths.append(sum(1 if x < first_rule else lengths[x - first_rule] for x in (left, right)))
-    width = 2 if first_rule + len(rules) <= 1 << 16 else 4
+    width = 2 if first_rule + len(rules) <= 1 << 16 else 3 if first_rule + len(rules) <= 1 << 24 else 4
     firsts = np.concatenate([[0], ends[:-1] + 1]) if len(ends) else np.empty(0, np.int64)
     return {"part": part, "chunk": chunk, "n_ids": len(ids), "docs": docs.astype("<i8").tobytes(),
             "no_id": np.packbits(no_id).tobytes(), "counts": counts.astype("<u4").tobytes(),
             "firsts": firsts.astype("<u4").tobytes(), "first_rule": first_rule, "rules": rules.astype("<u4").tobytes(),
-            "lengths": np.array(lengths, "<u4").tobytes(), "width": width, "symbols": symbols.astype(f"<u{width}").tobytes()}
+            "lengths": np.array(lengths, "<u4").tobytes(), "width": width, "symbols": pack(symbols, width)}
 
 
 class Shard:
@@ -202,7 +212,7 @@ class Shard:
         self.firsts = np.frombuffer(row["firsts"], "<u4").astype(np.int64)
         self.rules = np.frombuffer(row["rules"], "<u4").astype(np.int64).reshape(-1, 2)
         self.lengths = np.frombuffer(row["lengths"], "<u4").astype(np.int64)
-        self.symbols = np.frombuffer(row["symbols"], f"<u{row['width']}")
+        self.symbols = unpack(row["symbols"], int(row["width"]))
 
     def ids(self) -> np.ndarray:
         return expand(self.symbols.astype(np.int64), self.rules, self.lengths, self.first_rule)

@@ -224,6 +224,26 @@ def test_grammar_round_trip_and_random_access():
     assert (s.lengths == [len(x) for x in tokenfiles.expansions(s.rules, 50257)]).all()
 
 
+def test_grammar_goes_on_until_no_pair_is_frequent():
+    """Copies of one long document shrink to a few symbols, and no frequent pair is left."""
+    import numpy as np
+    r = np.random.default_rng(6)
+    one = r.integers(0, 50000, 1000)
+    ids = np.concatenate([np.concatenate([one, [2]]) for _ in range(64)] + [r.integers(0, 300, 200_000), [2]]).astype(np.int32)
+    counts = np.array([1001] * 64 + [200_001])
+    symbols, rules, ends = tokenfiles.compress(ids, np.cumsum(counts) - 1, 50257)
+    assert ends[0] < 12
+    inside = np.ones(len(symbols) - 1, bool)
+    inside[ends[:-1]] = False
+    pairs = np.stack([symbols[:-1], symbols[1:]], axis=1)[inside]
+    assert np.unique(pairs, axis=0, return_counts=True)[1].max() < tokenfiles.LEAST_COUNT
+    s = tokenfiles.Shard(tokenfiles.shard_row(0, 0, np.arange(65), np.zeros(65, bool), ids, counts, 50257))
+    assert (s.ids() == ids).all() and (s.document(63) == ids[:1001]).all()
+    for width in (2, 3, 4):
+        x = np.array([0, 1, 65535, (1 << 8 * width) - 1])
+        assert (tokenfiles.unpack(tokenfiles.pack(x, width), width) == x).all()
+
+
 # ---- 4 ------------------------------------------------------------------------------------
 
 def test_licenses(spark, none):
