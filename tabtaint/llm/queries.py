@@ -11,6 +11,7 @@ from tabtaint.llm import (
     licenses,
     maxent,
     neardup,
+    packing,
     pii,
     quality,
     substrings,
@@ -66,6 +67,11 @@ def op10_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES = {
     "op1_bpe_codec": op1_bpe_codec,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -77,6 +83,7 @@ QUERIES = {
     "op4_license_scan": op4_license_scan,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op9_quality_votes": op9_quality_votes,
+    "op13_best_fit_packing": op13_best_fit_packing,
 }
 
 # ---- DuckDB twins: the contracts' definitions by brute force ------------------------------
