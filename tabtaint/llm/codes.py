@@ -18,7 +18,8 @@ import pyarrow.compute as pc
 from tabtaint.llm.pieces import pieces
 
 #: Texts that Arrow's kernels would cut otherwise than :func:`pieces` does.
-_UNEVEN = r"[\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] | [\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|^ | $|\x00"
+_BLANK = r"[\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_UNEVEN = rf"{_BLANK} | {_BLANK}| $|\x00"
 #: A letter run of a byte-level tokenizer's pattern ends at such a sign, whatever surrounds it.
 _RUN_END = re.compile(r"(?<=[A-Za-z])(?=[,.;:!?)\n])")
 _RUN_END_ARROW = r"([A-Za-z])([,.;:!?)\n])"
@@ -44,7 +45,7 @@ def cut(texts: pa.Array, runs: bool = False) -> tuple[np.ndarray, list[str], np.
     size = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
     at = numbered.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     distinct = numbered.dictionary.to_pylist()
-    if "" in distinct:  # an empty text is one empty piece
+    if "" in distinct:  # of an empty text, or before a leading space
         empty = distinct.index("")
         kept = at != empty
         ends = np.cumsum(size)
@@ -87,7 +88,7 @@ class Memory:
         if len(self.number) > self.limit:
             self.forget()
         known = self.number
-        new = [p for p in distinct if p not in known]
+        new = [p for p in dict.fromkeys(distinct) if p not in known]
         if new:
             ids, count = self.encode(new)
             known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabtaint.llm import (
+    alignment,
     bpe,
     decontaminate,
     licenses,
@@ -72,6 +73,12 @@ def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    return alignment.alignments(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                                public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_bpe_codec": op1_bpe_codec,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -83,6 +90,7 @@ QUERIES = {
     "op4_license_scan": op4_license_scan,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op9_quality_votes": op9_quality_votes,
+    "op11_tokenizer_alignment": op11_tokenizer_alignment,
     "op13_best_fit_packing": op13_best_fit_packing,
 }
 
