@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tabtaint.llm import (
     alignment,
     bpe,
+    collocations,
     decontaminate,
     licenses,
     maxent,
@@ -68,6 +69,10 @@ def op10_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
@@ -91,6 +96,7 @@ QUERIES = {
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op9_quality_votes": op9_quality_votes,
     "op11_tokenizer_alignment": op11_tokenizer_alignment,
+    "op12_collocations": op12_collocations,
     "op13_best_fit_packing": op13_best_fit_packing,
 }
 
@@ -188,6 +194,33 @@ SELECT d.doc_id, len(w) AS n_words, coalesce(n, 0) AS n_hit, coalesce(n_items, 0
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
 """
 
+_OP12 = rf"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+g AS (SELECT lang, k, w, unnest(range(1, len(w) - k + 2)) AS i FROM w JOIN (VALUES (1), (2), (3)) s(k) ON len(w) >= k),
+f AS (
+  SELECT lang, k, phrase, count(*) AS f FROM (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM g)
+  GROUP BY ALL),
+t AS (SELECT lang, sum(f) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 10),
+u AS (
+  SELECT lang, phrase, a, i, array_to_string(w[:i], ' ') AS x, array_to_string(w[i + 1:], ' ') AS y
+  FROM (SELECT *, unnest(range(1, k)) AS i FROM c)),
+s AS (
+  SELECT u.lang, u.phrase, a, i, fx.f AS l, fy.f AS r,
+         CAST(CAST(a AS HUGEINT) * a * 1000000 // (CAST(fx.f AS HUGEINT) * fy.f) AS BIGINT) AS score
+  FROM u JOIN f fx ON fx.lang = u.lang AND fx.phrase = x JOIN f fy ON fy.lang = u.lang AND fy.phrase = y),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, i) = 1),
+h AS (
+  SELECT lang, phrase, max(a) AS a
+  FROM (SELECT lang, a, unnest([array_to_string(w[:2], ' '), array_to_string(w[2:], ' ')]) AS phrase FROM c WHERE k = 3) GROUP BY ALL),
+k AS (SELECT b.* FROM b LEFT JOIN h USING (lang, phrase) WHERE h.a IS NULL OR 100 * h.a < 50 * b.a)
+SELECT k.lang, row_number() OVER (PARTITION BY k.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r,
+       CAST(n AS BIGINT) AS n, score
+FROM k JOIN t USING (lang) QUALIFY rank <= 2000
+"""
+
 #: The others are not expressible in SQL and are tested against brute force in tests/llm.
 ORACLE = {
     "op2_minhash_near_dedup": _OP2,
@@ -195,4 +228,5 @@ ORACLE = {
     "op5_substring_dedup": _OP5,
     "op6_url_filter": _OP6,
     "op7_benchmark_decontamination": _OP7,
+    "op12_collocations": _OP12,
 }
