@@ -32,9 +32,9 @@ from tabtaint.llm.common import join_id, ready, split_id, stored
 from tabtaint.llm.packing import _batches, column
 from tabtaint.llm.text import U64, mixed
 
-BATCH_BYTES, CHUNK_BYTES = 6 << 20, 16 << 20
+BATCH_BYTES, CHUNK_BYTES = 3 << 20, 8 << 20
 #: Pieces of text and windows that a task remembers; beyond that it starts anew.
-PIECES_KEPT, WINDOWS_KEPT = 600_000, 600_000
+PIECES_KEPT, WINDOWS_KEPT = 300_000, 250_000
 SPACE = "▁"  # marks a space in a sentencepiece token
 
 
@@ -62,55 +62,53 @@ def sentence_pieces(path: str):
 class Tokenizers:
     def __init__(self, a_path: str, b_path: str):
         a, encode_a = byte_level(a_path)
-        self.a = Memory(encode_a, PIECES_KEPT)
         size, space = a.get_vocab_size(), a.encode(" a", add_special_tokens=False).tokens[0][0]
         self.bytes_a, self.space_a = np.zeros(size, np.int64), np.zeros(size, bool)
         for t, i in a.get_vocab().items():
             self.bytes_a[i], self.space_a[i] = len(t), t[0] == space
         encode_b, self.bytes_b, self.space_b = sentence_pieces(b_path)
-        self.b = Memory(encode_b, PIECES_KEPT)
+        self.pieces = Memory(encode_a, encode_b, limit=PIECES_KEPT)
+        self.names_a, self.names_b = list(map(str, range(size))), list(map(str, range(len(self.bytes_b))))
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """A's and B's ids of all texts in a row, and how many each text has."""
         none, blank = (pa.scalar(x, pa.large_string()) for x in ("", " "))
         at, distinct, size = cut(pc.binary_join_element_wise(none, texts.cast(pa.large_string()), blank))
-        if (whole := self._changed(distinct)[at]).any():  # such texts are encoded and compared whole
+        number = self.pieces.numbers(distinct)
+        if (whole := self._changed(number)[at]).any():  # such texts are encoded and compared whole
             for i in np.flatnonzero(sums_of(whole, size)):
                 distinct.append(" " + texts[int(i)].as_py())
-                at[int(size[:i].sum()):][:1] = len(distinct) - 1
-                keep = np.ones(len(at), bool)
-                keep[int(size[:i].sum()) + 1:int(size[:i + 1].sum())] = False
-                at, size[i] = at[keep], 1
-        if not len(at):
-            none, zero = np.empty(0, np.int32), np.zeros(len(texts), np.int64)
-            return none, zero, none, zero
-        bad = self._changed(distinct)
+                first, last = int(size[:i].sum()), int(size[:i + 1].sum())
+                at = np.concatenate([at[:first], [len(distinct) - 1], at[last:]])
+                size[i] = 1
+            number = self.pieces.numbers(distinct)
+        bad = self._changed(number)
         bad |= np.fromiter((p == " " for p in distinct), bool, len(distinct))  # the empty text
         text = np.repeat(np.arange(len(size)), size)
-        at, size = at[~bad[at]], np.bincount(text[~bad[at]], minlength=len(size))
-        a, b = self.a.numbers(distinct)[at], self.b.numbers(distinct)[at]
-        return self.a.of(a), sums_of(self.a.count[a], size), self.b.of(b), sums_of(self.b.count[b], size)
+        good = ~bad[at]
+        at, size = number[at[good]], np.bincount(text[good], minlength=len(size))
+        return tuple(x for c in self.pieces.codes for x in (c.of(at), sums_of(c.count[at], size)))
 
-    def _changed(self, distinct: list[str]) -> np.ndarray:
-        n = self.b.numbers(distinct)
-        return self.b.ids[self.b.first[n]] < 0 if len(n) else np.zeros(0, bool)
+    def _changed(self, number: np.ndarray) -> np.ndarray:
+        b = self.pieces.codes[1]
+        return b.ids[b.first[number]] < 0 if len(number) else np.zeros(0, bool)
 
 
 # ---- windows ------------------------------------------------------------------------------
 
-def align(a: list[int], size_a: list[int], b: list[int], size_b: list[int]) -> tuple[str, int, list[int]]:
-    """Groups as text, their number, and the links as ``a << 32 | b``, of tokens of the same bytes."""
-    i = j = first_i = first_j = 0
+def align(a: list[int], size_a: list[int], b: list[int], size_b: list[int]) -> tuple[list[int], list[int]]:
+    """Links as ``a << 32 | b``, and the places of those that end a group, of tokens of the same bytes."""
+    i = j = 0
     end_a, end_b = size_a[0], size_b[0]
     links, groups = [], []
     while True:
         links.append(a[i] << 32 | b[j])
         if end_a == end_b:
-            groups.append(f"{','.join(map(str, a[first_i:i + 1]))}|{','.join(map(str, b[first_j:j + 1]))}")
+            groups += i + 1, j + 1
             i, j = i + 1, j + 1
             if i == len(a):
-                return ";".join(groups), len(groups), links
-            first_i, first_j, end_a, end_b = i, j, end_a + size_a[i], end_b + size_b[j]
+                return links, groups
+            end_a, end_b = end_a + size_a[i], end_b + size_b[j]
         elif end_a < end_b:
             i += 1
             end_a += size_a[i]
@@ -127,7 +125,7 @@ class Windows:
         self.forget()
 
     def forget(self) -> None:
-        self.number: dict[tuple[bytes, bytes], int] = {}
+        self.number: dict[bytes, int] = {}
         self.text: list[str] = []
         self.groups, self.links = np.empty(0, np.int64), np.empty(0, np.int64)
         self.first, self.pairs = np.empty(0, np.int64), np.empty(0, np.int64)
@@ -168,20 +166,29 @@ class Windows:
         return self._learn(a, begin_a[one], size_a[one], b, begin_b[one], size_b[one])[same]
 
     def _learn(self, a, begin_a, size_a, b, begin_b, size_b) -> np.ndarray:
-        bytes_a, bytes_b, known = a.astype("<i4").tobytes(), b.astype("<i4").tobytes(), self.number
-        keys = [(bytes_a[p:q], bytes_b[r:s]) for p, q, r, s in zip(
-            (4 * begin_a).tolist(), (4 * (begin_a + size_a)).tolist(), (4 * begin_b).tolist(), (4 * (begin_b + size_b)).tolist(), strict=True)]
-        out, groups, links = np.empty(len(keys), np.int64), [], []
-        for k, key in enumerate(keys):
+        """Numbers of distinct windows; new ones are aligned.  A window's key is A's ids, -1 and B's."""
+        a, b = a[spread(begin_a, size_a)], b[spread(begin_b, size_b)]
+        end_a, end_b = np.cumsum(size_a), np.cumsum(size_b)
+        keys = _keys(a, end_a, b, end_b)
+        t, known, names_a, names_b = self.t, self.number, self.t.names_a, self.t.names_b
+        list_a, list_b, bytes_a, bytes_b = a.tolist(), b.tolist(), t.bytes_a[a].tolist(), t.bytes_b[b].tolist()
+        out, groups, links = np.empty(len(size_a), np.int64), [], []
+        from_a = from_b = 0
+        for k, (key, to_a, to_b) in enumerate(zip(keys, end_a.tolist(), end_b.tolist(), strict=True)):
             n = known.get(key)
             if n is None:
                 n = known[key] = len(known)
-                ids_a, ids_b = np.frombuffer(key[0], "<i4"), np.frombuffer(key[1], "<i4")
-                text, count, pairs = align(ids_a.tolist(), self.t.bytes_a[ids_a].tolist(), ids_b.tolist(), self.t.bytes_b[ids_b].tolist())
-                self.text.append(text)
-                groups.append(count)
+                x, y = list_a[from_a:to_a], list_b[from_b:to_b]
+                pairs, ends = align(x, bytes_a[from_a:to_a], y, bytes_b[from_b:to_b])
+                text, i, j = [], 0, 0
+                for p, q in zip(ends[::2], ends[1::2], strict=True):
+                    text.append(f"{','.join([names_a[z] for z in x[i:p]])}|{','.join([names_b[z] for z in y[j:q]])}")
+                    i, j = p, q
+                self.text.append(";".join(text))
+                groups.append(len(text))
                 links.append(pairs)
             out[k] = n
+            from_a, from_b = to_a, to_b
         if links:
             self.groups = np.concatenate([self.groups, groups])
             self.links = np.concatenate([self.links, list(map(len, links))])
@@ -190,6 +197,14 @@ class Windows:
         return out
 
 
+def _keys(a: np.ndarray, end_a: np.ndarray, b: np.ndarray, end_b: np.ndarray) -> Iterator[bytes]:
+    """Each window's ids as bytes, A's and B's with -1 between."""
+    data_a, data_b, i, j = a.astype("<i4").tobytes(), b.astype("<i4").tobytes(), 0, 0
+    for p, q in zip((4 * end_a).tolist(), (4 * end_b).tolist(), strict=True):
+        yield data_a[i:p] + b"\xff\xff\xff\xff" + data_b[j:q]
+        i, j = p, q
+
+
 # ---- Spark --------------------------------------------------------------------------------
 
 CHUNKS = ("part int, chunk int, doc_id bigint, no_id boolean, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, "

@@ -71,17 +71,32 @@ def sums_of(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return total[ends] - total[ends - counts]
 
 
+class Codes:
+    """Id lists by number, one after another."""
+
+    def __init__(self, ids=None, count=None):
+        self.ids = np.empty(0, np.int32) if ids is None else ids
+        self.count = np.empty(0, np.int64) if count is None else count
+        self.first = np.cumsum(self.count) - self.count
+
+    def grown(self, ids: np.ndarray, count: np.ndarray) -> Codes:
+        return Codes(np.concatenate([self.ids, ids]), np.concatenate([self.count, count]))
+
+    def of(self, at: np.ndarray) -> np.ndarray:
+        """The ids of some numbers, all in a row."""
+        return self.ids[spread(self.first[at], self.count[at])]
+
+
 class Memory:
-    """Ids of pieces; ``encode`` gives those of a list of pieces as one array, with their counts."""
+    """Pieces by number, with their ids from one or more tokenizers (``codes``)."""
 
-    def __init__(self, encode, limit: int = 1_000_000):
-        self.encode, self.limit = encode, limit
+    def __init__(self, *encoders, limit: int = 1_000_000):
+        self.encoders, self.limit = encoders, limit
         self.forget()
 
     def forget(self) -> None:
         self.number: dict[str, int] = {}
-        self.count, self.ids = np.empty(0, np.int64), np.empty(0, np.int32)
-        self.first = np.empty(0, np.int64)
+        self.codes = [Codes() for _ in self.encoders]
 
     def numbers(self, distinct: list[str]) -> np.ndarray:
         """The memory's number of each piece; new pieces are encoded first."""
@@ -90,17 +105,10 @@ class Memory:
         known = self.number
         new = [p for p in dict.fromkeys(distinct) if p not in known]
         if new:
-            ids, count = self.encode(new)
             known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
-            self.count = np.concatenate([self.count, count])
-            self.ids = np.concatenate([self.ids, ids])
-            self.first = np.cumsum(self.count) - self.count
+            self.codes = [c.grown(*encode(new)) for c, encode in zip(self.codes, self.encoders, strict=True)]
         return np.fromiter(map(known.__getitem__, distinct), np.int64, len(distinct))
 
-    def of(self, at: np.ndarray) -> np.ndarray:
-        """The ids of pieces by the memory's numbers, all in a row."""
-        return self.ids[spread(self.first[at], self.count[at])]
-
 
 ROW_PIECES = 4096
 

@@ -33,7 +33,7 @@ from tabtaint.llm.common import bounded, join_id, ready, split_id, stored
 CAPACITY, END = 2048, 0
 #: Bounds of the search: nodes visited, and fillings tried at a node.
 NODES, FILLINGS, STEPS = 200, 24, 5000
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 
 Filling = tuple[tuple[int, int], ...]   # (length, copies)
 Plan = list[tuple[Filling, int]]        # with the number of sequences
@@ -215,16 +215,18 @@ def memory(path: str) -> Memory:
 
 
 def _batches(frames: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Table]:
-    """The input in tables of about ``limit`` bytes, however Spark has batched it."""
+    """The input in tables of at most about ``limit`` bytes, a single longer row aside, however Spark
+    has batched it."""
     some, size = [], 0
     for b in frames:
-        step = max(1, min(b.num_rows, b.num_rows * limit // max(b.nbytes, 1)))
+        step = max(1, b.num_rows * limit // (4 * max(b.nbytes, 1)))
         for k in range(0, b.num_rows, step):
-            some.append(b.slice(k, step))
-            size += some[-1].get_total_buffer_size() * step // max(b.num_rows, 1) if step < b.num_rows else b.nbytes
-            if size >= limit:
+            part = b.slice(k, step)
+            if some and size + part.nbytes > limit:
                 yield pa.Table.from_batches(some).combine_chunks()
                 some, size = [], 0
+            some.append(part)
+            size += part.nbytes
     if some:
         yield pa.Table.from_batches(some).combine_chunks()
 
@@ -249,10 +251,9 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", capacity: int =
         m = memory(tokenizer)
         for t in _batches(frames, BATCH_BYTES):
             at, distinct, size = cut(column(t, "text"), runs=True)
-            number = m.numbers(distinct)
-            at = number[at]
-            per_text = sums_of(m.count[at], size)
-            ids = np.insert(m.of(at), np.cumsum(per_text), end).astype("<u4")
+            at, codes = m.numbers(distinct)[at], m.codes[0]
+            per_text = sums_of(codes.count[at], size)
+            ids = np.insert(codes.of(at), np.cumsum(per_text), end).astype("<u4")
             n = per_text + 1
             pieces = -(-n // capacity)
             doc = np.repeat(np.arange(len(n)), pieces)
