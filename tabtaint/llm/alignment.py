@@ -16,6 +16,7 @@ result; other columns, whatever their names, are not read.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 from collections.abc import Iterator
 from itertools import chain
@@ -32,9 +33,9 @@ from tabtaint.llm.common import join_id, ready, split_id, stored
 from tabtaint.llm.packing import _batches, column
 from tabtaint.llm.text import U64, mixed
 
-BATCH_BYTES, CHUNK_BYTES = 3 << 20, 8 << 20
+BATCH_BYTES, CHUNK_BYTES = 3 << 19, 6 << 20
 #: Pieces of text and windows that a task remembers; beyond that it starts anew.
-PIECES_KEPT, WINDOWS_KEPT = 300_000, 250_000
+PIECES_KEPT, WINDOWS_KEPT = 250_000, 120_000
 SPACE = "▁"  # marks a space in a sentencepiece token
 
 
@@ -172,7 +173,7 @@ class Windows:
         keys = _keys(a, end_a, b, end_b)
         t, known, names_a, names_b = self.t, self.number, self.t.names_a, self.t.names_b
         list_a, list_b, bytes_a, bytes_b = a.tolist(), b.tolist(), t.bytes_a[a].tolist(), t.bytes_b[b].tolist()
-        out, groups, links = np.empty(len(size_a), np.int64), [], []
+        out, groups, links, flat = np.empty(len(size_a), np.int64), [], [], []
         from_a = from_b = 0
         for k, (key, to_a, to_b) in enumerate(zip(keys, end_a.tolist(), end_b.tolist(), strict=True)):
             n = known.get(key)
@@ -186,13 +187,14 @@ class Windows:
                     i, j = p, q
                 self.text.append(";".join(text))
                 groups.append(len(text))
-                links.append(pairs)
+                links.append(len(pairs))
+                flat += pairs
             out[k] = n
             from_a, from_b = to_a, to_b
         if links:
             self.groups = np.concatenate([self.groups, groups])
-            self.links = np.concatenate([self.links, list(map(len, links))])
-            self.pairs = np.concatenate([self.pairs, np.fromiter(chain.from_iterable(links), np.int64)])
+            self.links = np.concatenate([self.links, links])
+            self.pairs = np.concatenate([self.pairs, np.array(flat, np.int64)])
             self.first = np.cumsum(self.links) - self.links
         return out
 
@@ -248,6 +250,7 @@ def _align(docs: DataFrame, a_path: str, b_path: str, text: str) -> DataFrame:
                     F.spark_partition_id().alias("part"))
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()   # nothing here makes cycles, and walking the remembered pieces takes long
         w, chunk, size, part, open_ = _windows(a_path, b_path), 0, 0, 0, []
         w.forget()
         for t in _batches(frames, BATCH_BYTES):
