@@ -1,125 +1,301 @@
-"""Exact k-nearest neighbours without materialising pairs (JN5), and the evaluators on top:
-distance to closest record (DCR1) and local outlier factor (OUT2).
-
-The reference side is cut into blocks of bounded size (rows x dims checked against
-``max_block_bytes``).  Each block is broadcast once and every query partition computes the
-block's distances in numpy inside ``mapInPandas`` (Arrow batches), keeping only its top k.
-With more than one block the partial top-k lists are merged per query key with a window of
-at most 2k rows per key, and the running list is checkpointed between blocks.  The cost is
-the exact O(n*m) distance work, spread over all tasks; no pair is ever a row.
+"""Exact k-nearest neighbours by pivot cells (JN5), and the evaluators on top: distance to closest
+record (DCR1) and local outlier factor (OUT2).
+
+Pivots are chosen by farthest-point sampling, and every reference row belongs to the cell of its
+nearest pivot.  A query row first searches its own cell, which bounds the distance of its k-th
+neighbour; then it goes to those cells only that the triangle inequality can't rule out.  Cells
+meet their visitors in a cogroup; a cell or a crowd of visitors too large for a task is dealt over
+several, so neither reference rows nor pairs pass through the driver, which holds the pivots and
+one line of statistics for each.  Of reference rows with equal features only the first k (by key)
+can be neighbours, so copies are dropped before they meet anything.
+
+Both distances are metrics: ``euclidean`` over numbers and one-hot categories (compared as values,
+never expanded), and ``mixed``, a sum of per-column distances.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabtaint.session import cut_lineage
 from tabtaint.operators.profile import bounded_values
+from tabtaint.session import cut_lineage
+
+#: Memory of a block of reference rows or of visitors in one task.
+DEFAULT_BLOCK_BYTES = 8 * 1024 * 1024
+#: Pivots at most, rows that a cell has on average at least, and sampled rows for each pivot.
+MAX_PIVOTS, CELL_ROWS, SAMPLE_ROWS = 1024, 64, 32
+_CHUNK_CELLS = 1 << 20
+_SLACK = 1e-9   # rounding of the bounds
+
 
-DEFAULT_BLOCK_BYTES = 64 * 1024 * 1024
-_QCHUNK = 256
+# ---------------------------------------------------------------- distances
 
+@dataclass
+class Points:
+    numbers: np.ndarray            # rows x numeric columns, NaN = missing
+    values: list[np.ndarray]       # per categorical column
 
-def _pairwise(Q: np.ndarray, R: np.ndarray, metric: str, kinds: np.ndarray | None) -> np.ndarray:
+    @classmethod
+    def of(cls, pdf: pd.DataFrame) -> Points:
+        n = len(pdf)
+        f = np.array(pdf["_f"].tolist(), dtype=float).reshape(n, -1) if n else np.empty((0, 0))
+        c = np.array(pdf["_c"].tolist(), dtype=object).reshape(n, -1) if n else np.empty((0, 0), object)
+        return cls(f, list(c.T))
+
+    def __len__(self) -> int:
+        return len(self.numbers)
+
+    def take(self, at) -> Points:
+        return Points(self.numbers[at], [v[at] for v in self.values])
+
+
+def distances(a: Points, b: Points, metric: str, kinds: np.ndarray | None = None) -> np.ndarray:
+    """All distances.  ``euclidean``: numbers, and 1 for each one-hot column that differs (a missing
+    category has none set).  ``mixed``: mean over columns of |a - b| up to 1 (``kinds`` 0), or 0 / 1
+    for equal or not; one missing gives 1, both missing 0."""
+    out = np.zeros((len(a), len(b)))
+    codes = [pd.factorize(np.concatenate([x, y]))[0] for x, y in zip(a.values, b.values, strict=True)]
+    pairs = [(c[:len(a)][:, None], c[len(a):][None, :]) for c in codes]
     if metric == "euclidean":
-        d = np.zeros((Q.shape[0], R.shape[0]))
-        for j in range(Q.shape[1]):
-            diff = Q[:, j][:, None] - R[:, j][None, :]
-            d += diff * diff
-        return np.sqrt(d)
-    if metric == "mixed":
-        # mean over columns: numeric |a-b| (pre-scaled by range) capped at 1, categorical 0/1,
-        # exactly one missing -> 1, both missing -> 0
-        acc = np.zeros((Q.shape[0], R.shape[0]))
-        for j in range(Q.shape[1]):
-            a, b = Q[:, j][:, None], R[:, j][None, :]
-            na, nb = np.isnan(a), np.isnan(b)
-            if kinds[j] == 0:
-                dj = np.minimum(np.abs(a - b), 1.0)
-            else:
-                dj = (a != b).astype(float)
-            dj = np.where(na & nb, 0.0, np.where(na | nb, 1.0, dj))
-            acc += dj
-        return acc / max(Q.shape[1], 1)
-    raise ValueError(metric)
-
-
-def _topk_block(Q, qkeys, R, rkeys, k, metric, kinds, exclude_self):
-    out_q, out_n, out_d = [], [], []
-    for s in range(0, Q.shape[0], _QCHUNK):
-        D = _pairwise(Q[s:s + _QCHUNK], R, metric, kinds)
-        qk = qkeys[s:s + _QCHUNK]
-        if exclude_self:
-            D = np.where(qk[:, None] == rkeys[None, :], np.inf, D)
-        kk = min(k, R.shape[0])
-        for i in range(D.shape[0]):
-            row = D[i]
-            if kk < row.shape[0]:
-                kth = np.partition(row, kk - 1)[kk - 1]
-                cand = np.nonzero(row <= kth)[0]
-            else:
-                cand = np.arange(row.shape[0])
-            order = cand[np.lexsort((rkeys[cand], row[cand]))][:kk]
-            order = order[np.isfinite(row[order])]
-            out_q.extend([qk[i]] * len(order))
-            out_n.extend(rkeys[order].tolist())
-            out_d.extend(row[order].tolist())
-    return out_q, out_n, out_d
+        for j in range(a.numbers.shape[1]):
+            diff = a.numbers[:, j][:, None] - b.numbers[:, j][None, :]
+            out += diff * diff
+        for x, y in pairs:
+            differ = x != y
+            out += differ & (x >= 0)
+            out += differ & (y >= 0)
+        return np.sqrt(out)
+    if metric != "mixed":
+        raise ValueError(metric)
+    for j in range(a.numbers.shape[1]):
+        x, y = a.numbers[:, j][:, None], b.numbers[:, j][None, :]
+        gone_x, gone_y = np.isnan(x), np.isnan(y)
+        d = np.minimum(np.abs(x - y), 1.0) if kinds is None or kinds[j] == 0 else (x != y).astype(float)
+        out += np.where(gone_x & gone_y, 0.0, np.where(gone_x | gone_y, 1.0, d))
+    for x, y in pairs:
+        out += x != y
+    return out / max(a.numbers.shape[1] + len(pairs), 1)
+
+
+def nearest(d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of each row's ``k`` least finite entries, ties to the lower column."""
+    k = min(k, d.shape[1])
+    if not k or not len(d):
+        return np.empty(0, int), np.empty(0, int)
+    kth = np.partition(d, k - 1, axis=1)[:, k - 1:k]
+    near = (d <= kth) & np.isfinite(d)
+    tied = np.flatnonzero(near.sum(axis=1) > k)
+    if len(tied):   # as many of the k-th distance as there is room for
+        last = near[tied] & (d[tied] == kth[tied])
+        room = k - (near[tied] & ~last).sum(axis=1, keepdims=True)
+        near[tied] &= ~last | (np.cumsum(last, axis=1) <= room)
+    return np.nonzero(near)
+
+
+# ---------------------------------------------------------------- pivots
+
+def _farthest(points: Points, n: int, metric: str, kinds) -> np.ndarray:
+    """Places of ``n`` points, each the farthest from those before it."""
+    far, out = np.full(len(points), np.inf), [0] if len(points) and n else []
+    while out and len(out) < min(n, len(points)):
+        far = np.minimum(far, distances(points, points.take([out[-1]]), metric, kinds)[:, 0])
+        best = int(np.argmax(far))
+        if far[best] == 0:
+            break
+        out.append(best)
+    return np.array(out, int)
+
+
+def pivots(ref: DataFrame, n_ref: int, wanted: int, metric: str, kinds) -> Points:
+    """At most ``wanted`` pivots: half of them far apart, the others a plain sample, which is dense
+    where the rows are.  Farthest points are chosen in groups of a bounded hash sample, and once more
+    among the groups' choices."""
+    share = min(1.0, 2 * SAMPLE_ROWS * wanted / max(n_ref, 1))
+    sample = ref.select("_f", "_c", F.xxhash64("_k").alias("_h")) \
+        .where(F.pmod(F.col("_h"), F.lit(1 << 30)) <= F.lit(int(share * (1 << 30))))
+
+    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_h").head(SAMPLE_ROWS * wanted).reset_index(drop=True)
+        far = _farthest(Points.of(pdf), wanted // 2 + 1, metric, kinds)
+        return pdf.iloc[np.unique(np.concatenate([far, np.arange(min(len(pdf), wanted // 8 + 1))]))]
+
+    rows = sample.groupBy(F.pmod(F.shiftright("_h", 32), F.lit(8)).alias("_g")) \
+        .applyInPandas(choose, sample.schema).collect()      # 8 groups of fewer than ``wanted`` rows
+    found = pd.DataFrame([(r["_f"], r["_c"], r["_h"]) for r in rows], columns=["_f", "_c", "_h"]).sort_values("_h")
+    if len(found) <= wanted:
+        return Points.of(found)
+    p = Points.of(found)
+    far = _farthest(p, max(1, wanted // 2), metric, kinds)
+    rest = np.setdiff1d(np.arange(len(p)), far)[:wanted - len(far)]
+    return p.take(np.concatenate([far, rest]))
+
+
+@dataclass
+class Cells:
+    """Pivots and, for each, its rows' number and least and greatest distance."""
+    pivots: Points
+    metric: str
+    kinds: np.ndarray | None
+    between: np.ndarray
+    rows: np.ndarray | None = None
+    low: np.ndarray | None = None
+    high: np.ndarray | None = None
+
+    def to(self, points: Points) -> np.ndarray:
+        return distances(points, self.pivots, self.metric, self.kinds)
+
+    def bound(self, d: np.ndarray, need: int) -> np.ndarray:
+        """A distance within which ``need`` rows lie: the cells' farthest rows, nearest cells first."""
+        reach = np.where(self.rows > 0, d + self.high, np.inf)
+        order = np.argsort(reach, axis=1)
+        enough = np.cumsum(self.rows[order], axis=1) >= need
+        at = np.where(enough.any(axis=1), enough.argmax(axis=1), 0)
+        found = np.take_along_axis(reach, order, axis=1)[np.arange(len(d)), at]
+        return np.where(enough.any(axis=1), found, np.inf)
+
+    def least(self, d: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """No row of a cell is nearer than this."""
+        near = d[np.arange(len(d)), own][:, None]
+        out = np.maximum(np.maximum(d - self.high, self.low - d), (d - near) / 2)
+        if self.metric == "euclidean":   # beyond the plane halfway between the pivots
+            gap = self.between[own]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                out = np.maximum(out, np.where(gap > 0, (d * d - near * near) / (2 * gap), 0))
+        return np.where(self.rows > 0, np.maximum(out, 0), np.inf)
+
+
+# ---------------------------------------------------------------- the join
+
+def _prepared(df: DataFrame, key: str, features: str, categories: str | None) -> DataFrame:
+    c = F.col(categories) if categories else F.array().cast("array<string>")
+    return df.select(F.col(key).cast("string").alias("_k"), F.col(features).cast("array<double>").alias("_f"), c.alias("_c"))
+
+
+def _chunks(pdf: pd.DataFrame, width: int) -> Iterator[pd.DataFrame]:
+    step = max(1, _CHUNK_CELLS // max(width, 1))
+    for i in range(0, len(pdf), step):
+        yield pdf.iloc[i:i + step]
+
+
+def _search(visits: DataFrame, rows: DataFrame, cells: Cells, k: int, exclude_self: bool, block_rows: int, seen: dict) -> DataFrame:
+    """Each visitor's ``k`` nearest of the cells it visits: ``qkey, nkey, dist``."""
+    spark, metric, kinds = rows.sparkSession, cells.metric, cells.kinds
+    crowd = {r["_cell"]: r["n"] for r in visits.groupBy("_cell").agg(F.count(F.lit(1)).alias("n")).collect()}   # one a pivot
+    seen["pairs"] = seen.get("pairs", 0) + sum(n * int(cells.rows[c]) for c, n in crowd.items())
+    sizes = [(c, math.ceil(int(cells.rows[c]) / block_rows), math.ceil(n / block_rows)) for c, n in crowd.items()]
+    parts = F.broadcast(spark.createDataFrame(sizes, "_cell int, _blocks int, _crowds int"))   # one row a pivot
+    mine = F.pmod(F.xxhash64("_k"), F.col("_blocks")).cast("int")
+    theirs = F.pmod(F.xxhash64("_k"), F.col("_crowds")).cast("int")
+
+    def every(n):
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    left = visits.join(parts, "_cell").withColumn("_part", theirs).withColumn("_block", every("_blocks"))
+    right = rows.join(parts, "_cell").withColumn("_block", mine).withColumn("_part", every("_crowds"))
+    key = ["_cell", "_block", "_part"]
+
+    def meet(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(q) and len(r):
+            r = r.sort_values("_k", kind="stable")     # ties go to the least key
+            names, there = r["_k"].to_numpy(object), Points.of(r)
+            for some in _chunks(q, len(r)):
+                own = some["_k"].to_numpy(object)
+                d = distances(Points.of(some), there, metric, kinds)
+                if exclude_self:
+                    d[own[:, None] == names[None, :]] = np.inf
+                i, j = nearest(d, k)
+                out.append(pd.DataFrame({"qkey": own[i], "nkey": names[j], "dist": d[i, j]}))
+        return pd.concat(out) if out else pd.DataFrame({"qkey": [], "nkey": [], "dist": []}).astype({"dist": float})
+
+    found = left.select(*key, "_k", "_f", "_c").groupBy(*key).cogroup(right.select(*key, "_k", "_f", "_c").groupBy(*key)) \
+        .applyInPandas(meet, "qkey string, nkey string, dist double")
+    return found
+
+
+def _first(found: DataFrame, k: int) -> DataFrame:
+    w = Window.partitionBy("qkey").orderBy("dist", "nkey")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def knn(query: DataFrame, ref: DataFrame, k: int, qkey: str = "row_key", rkey: str = "row_key",
         features: str = "_f", metric: str = "euclidean", kinds=None, exclude_self: bool = False,
-        max_block_bytes: int = DEFAULT_BLOCK_BYTES) -> DataFrame:
-    """``(qkey, nkey, dist, rank)``: the k nearest reference rows of every query row.
+        max_block_bytes: int = DEFAULT_BLOCK_BYTES, categories: str | None = None,
+        max_pivots: int = MAX_PIVOTS, report: dict | None = None) -> DataFrame:
+    """``(qkey, nkey, dist, rank)``: the k nearest reference rows of every query row, exactly.
 
-    ``features`` is an ``array<double>`` column on both sides (NaN = missing).  Ties are broken
-    by the reference key.
+    ``features`` is an ``array<double>`` column on both sides (NaN = missing), ``categories`` an
+    ``array<string>`` one.  Query keys are unique; ties are broken by the reference key.  ``report``
+    takes the numbers of pivots and of distances computed for each query row.
     """
-    spark = query.sparkSession
-    sc = spark.sparkContext
-    dims = len(ref.select(features).first()[0]) if ref.take(1) else 0
-    n_ref = ref.count()
-    per_block = max(1, int(max_block_bytes // max(8 * (dims + 1), 1)))
-    n_blocks = max(1, -(-n_ref // per_block))
-    kinds_arr = None if kinds is None else np.asarray(kinds)
-    refb = ref.select(F.col(rkey).cast("string").alias("_k"), features,
-                      F.pmod(F.xxhash64(F.col(rkey).cast("string")), F.lit(n_blocks)).alias("_blk"))
-    schema = "qkey string, nkey string, dist double"
-    running = None
-    for b in range(n_blocks):
-        rows = refb.where(F.col("_blk") == b).select("_k", features).collect()   # bounded: per_block rows
-        if not rows:
-            continue
-        R = np.array([r[1] for r in rows], dtype=float).reshape(len(rows), dims)
-        rk = np.array([r[0] for r in rows], dtype=object)
-        bc = sc.broadcast((R, rk))
-
-        def part(it, bc=bc):
-            Rb, rkb = bc.value
-            for pdf in it:
-                if len(pdf) == 0:
-                    continue
-                Q = np.array(pdf[features].tolist(), dtype=float).reshape(len(pdf), dims)
-                qk = pdf["_q"].astype(str).to_numpy(dtype=object)
-                a, n_, d = _topk_block(Q, qk, Rb, rkb, k, metric, kinds_arr, exclude_self)
-                yield pd.DataFrame({"qkey": a, "nkey": n_, "dist": d})
-        partial = query.select(F.col(qkey).cast("string").alias("_q"), features).mapInPandas(part, schema)
-        if running is None:
-            running = partial
-        else:
-            w = Window.partitionBy("qkey").orderBy("dist", "nkey")
-            running = (running.unionByName(partial).withColumn("_r", F.row_number().over(w))
-                       .where(F.col("_r") <= k).drop("_r"))
-        if n_blocks > 1:
-            running = cut_lineage(running)
-            bc.unpersist()
-    if running is None:
-        return spark.createDataFrame([], schema + ", rank int")
-    w = Window.partitionBy("qkey").orderBy("dist", "nkey")
-    return running.withColumn("rank", F.row_number().over(w))
+    spark, kinds = query.sparkSession, None if kinds is None else np.asarray(kinds)
+    schema = "qkey string, nkey string, dist double, rank int"
+    need = k + 1 if exclude_self else k
+    q, r = _prepared(query, qkey, features, categories), _prepared(ref, rkey, features, categories)
+    first = r.select("_f", "_c").first()
+    if first is None or k < 1:
+        return spark.createDataFrame([], schema)
+    n_ref = r.count()
+    width = 8 * len(first["_f"]) + 32 * len(first["_c"]) + 64
+    block_rows = max(1, max_block_bytes // width)
+    wanted = max(1, min(max_pivots, math.isqrt(n_ref), n_ref // CELL_ROWS, (32 << 20) // width))
+    p = pivots(r, n_ref, wanted, metric, kinds)
+    cells = Cells(p, metric, kinds, distances(p, p, metric, kinds))
+    sent = spark.sparkContext.broadcast(cells)
+
+    def assign(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            for some in _chunks(pdf, len(sent.value.pivots)):
+                d = sent.value.to(Points.of(some))
+                own = d.argmin(axis=1)
+                yield some.assign(_cell=own.astype(np.int32), _d=d[np.arange(len(d)), own])
+
+    unlike = r.withColumn("_n", F.row_number().over(Window.partitionBy("_f", "_c").orderBy("_k"))).where(F.col("_n") <= need).drop("_n")
+    points = "_k string, _f array<double>, _c array<string>"
+    rows = cut_lineage(unlike.mapInPandas(assign, points + ", _cell int, _d double"))
+    cells.rows = np.zeros(len(p), np.int64)
+    cells.low, cells.high = np.zeros(len(p)), np.zeros(len(p))
+    for x in rows.groupBy("_cell").agg(F.count(F.lit(1)).alias("n"), F.min("_d").alias("low"), F.max("_d").alias("high")).collect():
+        cells.rows[x["_cell"]], cells.low[x["_cell"]], cells.high[x["_cell"]] = x["n"], x["low"], x["high"]
+    known = spark.sparkContext.broadcast(cells)
+
+    def home(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        c = known.value
+        for pdf in it:
+            for some in _chunks(pdf, len(c.pivots)):
+                d = c.to(Points.of(some))
+                own = np.where(c.rows > 0, d, np.inf).argmin(axis=1)
+                yield some.assign(_cell=own.astype(np.int32), _bound=c.bound(d, need))
+
+    def away(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        c = known.value
+        for pdf in it:
+            for some in _chunks(pdf, len(c.pivots)):
+                d, own = c.to(Points.of(some)), some["_cell"].to_numpy()
+                within = some["_bound"].to_numpy()[:, None]
+                visit = c.least(d, own) <= within * (1 + _SLACK) + _SLACK
+                visit[np.arange(len(d)), own] = False
+                i, j = np.nonzero(visit)
+                yield some.iloc[i][["_k", "_f", "_c"]].assign(_cell=j.astype(np.int32))
+
+    seen: dict = {}
+    at_home = cut_lineage(q.mapInPandas(home, points + ", _cell int, _bound double"))
+    near = cut_lineage(_first(_search(at_home, rows, cells, k, exclude_self, block_rows, seen), k))
+    reach = near.where(F.col("rank") == k).select(F.col("qkey").alias("_k"), "dist")
+    bounded = at_home.join(reach, "_k", "left").withColumn("_bound", F.least("_bound", F.coalesce("dist", "_bound"))).drop("dist")
+    visits = cut_lineage(bounded.mapInPandas(away, points + ", _cell int"))
+    far = _search(visits, rows, cells, k, exclude_self, block_rows, seen)
+    if report is not None:
+        n = at_home.count()
+        report |= {"pivots": len(p), "query_rows": n, "candidates_per_row": seen["pairs"] / max(n, 1), "reference_rows": n_ref}
+    return _first(near.drop("rank").unionByName(far), k)
 
 
 # ---------------------------------------------------------------- feature preparation
@@ -151,24 +327,19 @@ def onehot_features(df: DataFrame, numeric, categorical, vocab: dict | None = No
     return df.withColumn("_f", F.array(*parts) if parts else F.array().cast("array<double>"))
 
 
-def mixed_features(df: DataFrame, numeric, categorical, ranges: dict, vocab: dict) -> DataFrame:
-    """``_f`` for the mixed metric: numeric scaled by the real range, categorical as codes."""
-    parts = []
-    for c in numeric:
-        lo, hi = ranges[c]
-        rng = (hi - lo) if hi is not None and lo is not None else 0.0
+def plain_features(df: DataFrame, numeric, categorical, scale: dict | None = None) -> DataFrame:
+    """``_f`` (numbers, divided by ``scale`` where it is positive) and ``_c`` (categories as text)."""
+    def number(c):
         x = F.col(c).cast("double")
-        scaled = x / F.lit(rng) if rng else x      # zero range: compared for equality (kind 1)
-        parts.append(F.coalesce(scaled, F.lit(float("nan"))))
-    for c in categorical:
-        mp = F.create_map(*[y for i, v in enumerate(vocab[c]) for y in (F.lit(v), F.lit(float(i)))])
-        parts.append(F.coalesce(F.element_at(mp, F.col(c).cast("string")), F.lit(float("nan"))))
-    return df.withColumn("_f", F.array(*parts))
+        return F.coalesce(x / F.lit(scale[c]) if scale and scale[c] else x, F.lit(float("nan")))
+
+    return df.withColumn("_c", F.array(*[F.col(c).cast("string") for c in categorical]).cast("array<string>")) \
+        .withColumn("_f", F.array(*[number(c) for c in numeric]).cast("array<double>"))
 
 
 # ---------------------------------------------------------------- DCR1
 
-def dcr(real: DataFrame, syn: DataFrame, numeric, categorical, seed, key: str = "row_key") -> DataFrame:
+def dcr(real: DataFrame, syn: DataFrame, numeric, categorical, seed, key: str = "row_key", report: dict | None = None) -> DataFrame:
     """Distance to closest record: ``score = min(1, median(DCR_syn) / median(DCR_random))``.
 
     The random baseline is the uniform sampler over the real ranges / vocabularies, with as
@@ -180,24 +351,19 @@ def dcr(real: DataFrame, syn: DataFrame, numeric, categorical, seed, key: str =
     rnd = uniform_sampler(real, list(numeric) + list(categorical), m, seed, categorical=tuple(categorical)) \
         .withColumn(key, F.col("draw_id").cast("string"))
     mm = real.agg(*[y for c in numeric for y in (F.min(c).alias(f"lo_{c}"), F.max(c).alias(f"hi_{c}"))]).first() if numeric else {}
-    ranges = {c: (float(mm[f"lo_{c}"]), float(mm[f"hi_{c}"])) for c in numeric}
-    vocab = {}
-    for c in categorical:
-        u = real.select(F.col(c).cast("string").alias("v")).unionByName(syn.select(F.col(c).cast("string").alias("v")))
-        vocab[c] = sorted(bounded_values(u, "v"))
-    kinds = [0 if ranges[c][1] > ranges[c][0] else 1 for c in numeric] + [1] * len(categorical)
-
-    def prep(df):
-        return mixed_features(df, numeric, categorical, ranges, vocab).select(F.col(key).cast("string").alias(key), "_f")
-    R = prep(real)
-    # the distance tables are read by several quantile jobs: materialise them once
-    d_syn = knn(prep(syn), R, 1, key, key, metric="mixed", kinds=kinds).select("dist").persist()
-    d_rnd = knn(prep(rnd), R, 1, key, key, metric="mixed", kinds=kinds).select("dist").persist()
+    scale = {c: float(mm[f"hi_{c}"]) - float(mm[f"lo_{c}"]) if mm[f"lo_{c}"] is not None else 0.0 for c in numeric}
+    kinds = [0 if scale[c] > 0 else 1 for c in numeric]   # a column of one value is compared for equality
+
+    def closest(df: DataFrame, name: str) -> DataFrame:
+        near = knn(plain_features(df, numeric, categorical, scale), R, 1, key, key, metric="mixed", kinds=kinds,
+                   categories="_c", report=None if report is None else report.setdefault(name, {}))
+        return cut_lineage(near.select("dist"))   # read by several quantile jobs
+
+    R = plain_features(real, numeric, categorical, scale)
+    d_syn, d_rnd = closest(syn, "synthetic"), closest(rnd, "random")
     from tabtaint.operators.ordered import exact_quantile
     ms = exact_quantile(d_syn, "dist", 0.5)
     mr = exact_quantile(d_rnd, "dist", 0.5)
-    d_syn.unpersist()
-    d_rnd.unpersist()
     score = None if ms is None or mr is None else (1.0 if mr == 0 else min(1.0, ms / mr))
     return spark.createDataFrame([(score, ms, mr)], "score double, median_dcr_synthetic double, median_dcr_random double")
 
@@ -205,7 +371,7 @@ def dcr(real: DataFrame, syn: DataFrame, numeric, categorical, seed, key: str =
 # ---------------------------------------------------------------- OUT2
 
 def lof(df: DataFrame, numeric, categorical, k: int = 20, key: str = "row_key",
-        contamination="auto", max_block_bytes: int = DEFAULT_BLOCK_BYTES) -> DataFrame:
+        contamination="auto", max_block_bytes: int = DEFAULT_BLOCK_BYTES, report: dict | None = None) -> DataFrame:
     """Local outlier factor per row: ``row_key, lof, is_outlier`` (``auto``: LOF > 1.5).
 
     With n <= k rows every row has n - 1 neighbours; a single row has LOF 1.  Missing numeric
@@ -216,8 +382,13 @@ def lof(df: DataFrame, numeric, categorical, k: int = 20, key: str = "row_key",
     k = min(k, n - 1)
     if k < 1:
         return df.select(F.col(key).cast("string").alias(key), F.lit(1.0).alias("lof"), F.lit(False).alias("is_outlier"))
-    X = onehot_features(fill_medians(df, numeric), numeric, categorical).select(F.col(key).cast("string").alias("k"), "_f")
-    nn = knn(X, X, k, "k", "k", exclude_self=True, max_block_bytes=max_block_bytes).persist()   # read three times
+    X = plain_features(fill_medians(df, numeric), numeric, categorical).select(F.col(key).cast("string").alias("k"), "_f", "_c")
+    nn = cut_lineage(knn(X, X, k, "k", "k", exclude_self=True, max_block_bytes=max_block_bytes, categories="_c", report=report))
+    return lof_of_neighbours(nn, k, key, contamination)
+
+
+def lof_of_neighbours(nn: DataFrame, k: int, key: str = "row_key", contamination="auto") -> DataFrame:
+    """The factor from each row's ``k`` neighbours (a stored table: it is read three times)."""
     kdist = nn.where(F.col("rank") == k).select(F.col("qkey").alias("nkey"), F.col("dist").alias("kd"))
     reach = nn.join(kdist, "nkey").withColumn("reach", F.greatest("kd", "dist"))
     lrd = reach.groupBy("qkey").agg((F.lit(1.0) / (F.avg("reach") + F.lit(1e-10))).alias("lrd"))
@@ -228,6 +399,6 @@ def lof(df: DataFrame, numeric, categorical, k: int = 20, key: str = "row_key",
         cut = F.col("lof") > F.lit(1.5)
         return ratio.select(F.col("qkey").alias(key), "lof", cut.alias("is_outlier"))
     from tabtaint.operators.ordered import exact_quantile
-    ratio = ratio.persist()
+    ratio = cut_lineage(ratio)
     thr = exact_quantile(ratio, "lof", 1.0 - float(contamination))
     return ratio.select(F.col("qkey").alias(key), "lof", (F.col("lof") > F.lit(thr)).alias("is_outlier"))

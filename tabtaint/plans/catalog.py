@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tabtaint.functions.rng import py_sample, py_uniform, sql_hash
 from tabtaint.operators import corrupt as C
 from tabtaint.operators import profile as P
+from tabtaint.session import cut_lineage
 from tabtaint.plans.tables import SPECS, keyed, load, sql_keyed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1147,52 +1148,84 @@ register("fd_sample_batch", _sql_fd(
 from tabtaint.operators import neighbors as NB  # noqa: E402
 
 
-def q_dcr(spark, sf_dir):
-    r, s = _halves(spark, sf_dir, "supplier")
-    out = NB.dcr(r, s, ["s_acctbal"], ["s_nationkey"], SEED)
-    return out.select(*[r6(F.col(c)).alias(c) for c in out.columns])
+def _q_dcr(table, num, cat):
+    def q(spark, sf_dir):
+        r, s = _halves(spark, sf_dir, table)
+        out = NB.dcr(r, s, [num], [cat], SEED)
+        return out.select(*[r6(F.col(c)).alias(c) for c in out.columns])
+    return q
 
 
-def _dcr_sql():
-    R, S = _sql_half("supplier"), _sql_half("supplier", False)
-    u_a = sql_uniform(SEED, "gen4:s_acctbal", "range")
-    u_n = sql_uniform(SEED, "gen4:s_nationkey", "range")
+def _dcr_sql(table, num, cat):
+    """The least distance of a row is its least one among rows of its category, or one more for all rows
+    (numbers nearest in order); so the twin needs no pairs."""
+    R, S = _sql_half(table), _sql_half(table, False)
+    u_a = sql_uniform(SEED, f"gen4:{num}", "range")
+    u_n = sql_uniform(SEED, f"gen4:{cat}", "range")
+
+    def dist(src):
+        def gap(side, same, op):
+            near = "max" if side == "<=" else "min"
+            part = "PARTITION BY c " if same else ""
+            frame = "" if op == "up" else " DESC"
+            return (f"{near}(CASE WHEN real THEN a END) OVER ({part}ORDER BY a{frame} RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
+        return f"""
+SELECT k, least(least(coalesce(least(a - s_lo, s_hi - a), coalesce(a - s_lo, s_hi - a)), 1.0),
+                least(coalesce(least(a - a_lo, a_hi - a), coalesce(a - a_lo, a_hi - a)), 1.0) + 1.0) / 2 AS d
+FROM (SELECT *, {gap("<=", True, "up")} AS s_lo, {gap(">=", True, "down")} AS s_hi, {gap("<=", False, "up")} AS a_lo,
+      {gap(">=", False, "down")} AS a_hi
+      FROM (SELECT CAST(row_key AS VARCHAR) AS k, {num} / (mm.hi - mm.lo) AS a, CAST({cat} AS VARCHAR) AS c, true AS real FROM r, mm
+            UNION ALL
+            SELECT CAST({src[1]} AS VARCHAR), {num} / (mm.hi - mm.lo), CAST({cat} AS VARCHAR), false FROM {src[0]}, mm))
+WHERE NOT real"""
     return f"""
 WITH r AS (SELECT * FROM {R}), s AS (SELECT * FROM {S}),
-mm AS (SELECT CAST(min(s_acctbal) AS DOUBLE) AS lo, CAST(max(s_acctbal) AS DOUBLE) AS hi FROM r),
-v AS (SELECT val, row_number() OVER (ORDER BY {sql_hash(SEED, 'gen4:s_nationkey:order', 'val')}) AS rn
-      FROM (SELECT DISTINCT s_nationkey AS val FROM r WHERE s_nationkey IS NOT NULL)),
-rnd AS (SELECT range AS k, lo + {u_a} * (hi - lo) AS s_acctbal,
-        (SELECT val FROM v WHERE rn = CAST(floor({u_n} * (SELECT count(*) FROM v)) AS BIGINT) + 1) AS s_nationkey
-        FROM range((SELECT count(*) FROM s)), mm),
-dist_s AS (SELECT s.row_key AS k, min((least(abs(s.s_acctbal / (mm.hi - mm.lo) - r.s_acctbal / (mm.hi - mm.lo)), 1.0)
-             + CASE WHEN s.s_nationkey = r.s_nationkey THEN 0.0 ELSE 1.0 END) / 2) AS d FROM s, r, mm GROUP BY 1),
-dist_r AS (SELECT x.k, min((least(abs(x.s_acctbal / (mm.hi - mm.lo) - r.s_acctbal / (mm.hi - mm.lo)), 1.0)
-             + CASE WHEN x.s_nationkey = r.s_nationkey THEN 0.0 ELSE 1.0 END) / 2) AS d FROM rnd x, r, mm GROUP BY 1),
+mm AS (SELECT CAST(min({num}) AS DOUBLE) AS lo, CAST(max({num}) AS DOUBLE) AS hi FROM r),
+v AS (SELECT val, row_number() OVER (ORDER BY {sql_hash(SEED, f'gen4:{cat}:order', 'val')}) AS rn
+      FROM (SELECT DISTINCT {cat} AS val FROM r WHERE {cat} IS NOT NULL)),
+rnd AS (SELECT x.range AS k, lo + {u_a} * (hi - lo) AS {num}, val AS {cat}
+        FROM range((SELECT count(*) FROM s)) x CROSS JOIN mm JOIN v ON rn = CAST(floor({u_n} * (SELECT count(*) FROM v)) AS BIGINT) + 1),
+dist_s AS ({dist(("s", "row_key"))}),
+dist_r AS ({dist(("rnd", "k"))}),
 m AS (SELECT (SELECT median(d) FROM dist_s) AS ms, (SELECT median(d) FROM dist_r) AS mr)
 SELECT round(CASE WHEN mr = 0 THEN 1.0 ELSE least(1.0, ms / mr) END, 6) AS score, round(ms, 6) AS median_dcr_synthetic,
   round(mr, 6) AS median_dcr_random FROM m"""
 
 
-register("dcr_score", _dcr_sql())(q_dcr)
+register("dcr_score", _dcr_sql("supplier", "s_acctbal", "s_nationkey"))(_q_dcr("supplier", "s_acctbal", "s_nationkey"))
+register("dcr_customer", _dcr_sql("customer", "c_acctbal", "c_nationkey"))(_q_dcr("customer", "c_acctbal", "c_nationkey"))
+register("dcr_orders", _dcr_sql("orders", "o_totalprice", "o_orderpriority"))(_q_dcr("orders", "o_totalprice", "o_orderpriority"))
 
 
-def q_lof(spark, sf_dir):
-    out = NB.lof(keyed(spark, sf_dir, "supplier"), ["s_acctbal"], ["s_nationkey"], k=20)
-    return out.select("row_key", r6(F.col("lof")).alias("lof"), "is_outlier")
+def _q_lof(table, num, cat, k=20):
+    def q(spark, sf_dir):
+        out = NB.lof(keyed(spark, sf_dir, table), [num], [cat], k=k)
+        return out.select("row_key", r6(F.col("lof")).alias("lof"), "is_outlier")
+    return q
 
 
-register("lof_scores", f"""
-WITH f AS (SELECT row_key, s_acctbal AS a, s_nationkey AS n FROM {sql_keyed('supplier')}),
-d AS (SELECT p.row_key AS q, o.row_key AS nk,
-      CASE WHEN p.n = o.n THEN sqrt((p.a - o.a) * (p.a - o.a)) ELSE sqrt(((p.a - o.a) * (p.a - o.a) + 1.0) + 1.0) END AS dist
-      FROM f p JOIN f o ON p.row_key <> o.row_key),
-nn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY dist, nk) AS rk FROM d) WHERE rk <= 20),
-kd AS (SELECT q AS nk, dist AS kd FROM nn WHERE rk = 20),
+def _lof_sql(table, num, cat, k=20):
+    """A row's nearest are among the k before and the k after it in the order of the number, within its
+    category and over all rows (ties in the number by key: rows of equal number on each side)."""
+    def near(part):
+        w = f"OVER ({part} ORDER BY a, row_key ROWS BETWEEN {{}})"
+        return (f"SELECT row_key AS q, a, n, unnest(list({{'nk': row_key, 'b': a, 'm': n}}) {w.format(f'{k} PRECEDING AND 1 PRECEDING')}) AS o FROM f "
+                f"UNION SELECT row_key, a, n, unnest(list({{'nk': row_key, 'b': a, 'm': n}}) {w.format(f'1 FOLLOWING AND {k} FOLLOWING')}) FROM f")
+    return f"""
+WITH f AS (SELECT row_key, CAST({num} AS DOUBLE) AS a, CAST({cat} AS VARCHAR) AS n FROM {sql_keyed(table)}),
+p AS ({near("PARTITION BY n")} UNION {near("")}),
+d AS (SELECT DISTINCT q, o.nk AS nk, CASE WHEN n = o.m THEN sqrt((a - o.b) * (a - o.b)) ELSE sqrt(((a - o.b) * (a - o.b) + 1.0) + 1.0) END AS dist FROM p),
+nn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY dist, nk) AS rk FROM d) WHERE rk <= {k}),
+kd AS (SELECT q AS nk, dist AS kd FROM nn WHERE rk = {k}),
 reach AS (SELECT nn.q, greatest(kd.kd, nn.dist) AS r FROM nn JOIN kd USING (nk)),
 lrd AS (SELECT q, 1.0 / (avg(r) + 1e-10) AS lrd FROM reach GROUP BY q),
 lf AS (SELECT nn.q, avg(l2.lrd / l1.lrd) AS lof FROM nn JOIN lrd l2 ON l2.q = nn.nk JOIN lrd l1 ON l1.q = nn.q GROUP BY nn.q)
-SELECT q AS row_key, round(lof, 6) AS lof, lof > 1.5 AS is_outlier FROM lf""")(q_lof)
+SELECT q AS row_key, round(lof, 6) AS lof, lof > 1.5 AS is_outlier FROM lf"""
+
+
+register("lof_scores", _lof_sql("supplier", "s_acctbal", "s_nationkey"))(_q_lof("supplier", "s_acctbal", "s_nationkey"))
+register("lof_customer", _lof_sql("customer", "c_acctbal", "c_nationkey"))(_q_lof("customer", "c_acctbal", "c_nationkey"))
+register("lof_orders", _lof_sql("orders", "o_totalprice", "o_orderpriority"))(_q_lof("orders", "o_totalprice", "o_orderpriority"))
 
 
 def q_lof_small_null(spark, sf_dir):
@@ -1220,17 +1253,20 @@ def q_lof_embeddings(spark, sf_dir):
     """LOF on the 64-dim embedding vectors (k=20), outlier count per label."""
     e = load(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("row_key"), "label",
                                                   F.col("embedding").cast("array<double>").alias("_f"))
-    nn = NB.knn(e, e, 20, exclude_self=True)
-    kd = nn.where(F.col("rank") == 20).select(F.col("qkey").alias("nkey"), F.col("dist").alias("kd"))
-    reach = nn.join(kd, "nkey").withColumn("reach", F.greatest("kd", "dist"))
-    lrd = reach.groupBy("qkey").agg((F.lit(1.0) / (F.avg("reach") + F.lit(1e-10))).alias("lrd"))
-    lof = (nn.join(lrd.select(F.col("qkey").alias("nkey"), F.col("lrd").alias("lo")), "nkey").join(lrd, "qkey")
-           .groupBy("qkey").agg(F.avg(F.col("lo") / F.col("lrd")).alias("lof")))
-    return (lof.join(e.select(F.col("row_key").alias("qkey"), "label"), "qkey")
+    lof = NB.lof_of_neighbours(cut_lineage(NB.knn(e, e, 20, exclude_self=True)), 20)
+    return (lof.join(e.select("row_key", "label"), "row_key")
             .groupBy("label").agg(F.count_if(F.col("lof") > 1.5).alias("outliers"), F.count(F.lit(1)).alias("rows")))
 
 
-register("lof_embeddings", None)(q_lof_embeddings)
+register("lof_embeddings", """
+WITH e AS (SELECT CAST(vec_id AS VARCHAR) AS k, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+nn AS (
+  SELECT q, o.k AS nk, o.d AS dist, row_number() OVER (PARTITION BY q ORDER BY o.d, o.k) AS rk
+  FROM (SELECT a.k AS q, unnest(min({'d': list_distance(a.v, b.v), 'k': b.k}, 20)) AS o FROM e a JOIN e b ON a.k <> b.k GROUP BY a.k)),
+kd AS (SELECT q AS nk, dist AS kd FROM nn WHERE rk = 20),
+lrd AS (SELECT q, 1.0 / (avg(greatest(kd, dist)) + 1e-10) AS lrd FROM nn JOIN kd USING (nk) GROUP BY q),
+lf AS (SELECT nn.q, avg(b.lrd / a.lrd) AS lof FROM nn JOIN lrd b ON b.q = nn.nk JOIN lrd a ON a.q = nn.q GROUP BY nn.q)
+SELECT label, count(*) FILTER (WHERE lof > 1.5) AS outliers, count(*) AS rows FROM lf JOIN e ON k = q GROUP BY label""")(q_lof_embeddings)
 
 
 # ---------------------------------------------------------------- OUT1 isolation forest (rows-only check)
