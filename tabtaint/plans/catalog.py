@@ -1108,6 +1108,16 @@ def q_fd_discovery(spark, sf_dir):
 register("fd_discovery", _sql_fd("part", FD_PART))(q_fd_discovery)
 
 
+def q_fd_dfd(spark, sf_dir):
+    """FD2: the same dependencies by depth-first random walks, as records."""
+    fds = FD.walk(load(spark, sf_dir, "part"), FD_PART, seed=SEED)
+    return FD.fd_records(spark, fds).select(F.array_join("lhs", ",").alias("lhs"), F.size("lhs").alias("n_lhs"), "rhs")
+
+
+register("fd_dfd", f"SELECT lhs, CAST(CASE WHEN lhs = '' THEN 0 ELSE len(string_split(lhs, ',')) END AS INTEGER) AS n_lhs, rhs "
+         f"FROM ({_sql_fd('part', FD_PART)}) z")(q_fd_dfd)
+
+
 def q_fd_nation(spark, sf_dir):
     return FD.fd_table(spark, FD.discover(load(spark, sf_dir, "nation"), FD_NATION))
 
@@ -1124,6 +1134,33 @@ def q_fd_sample(spark, sf_dir):
     return FD.fd_table(spark, fds)
 
 
+#: Table, key and columns of each dataset of the batch.
+FD_BATCH = {"part": ("part", "p_partkey", FD_PART), "orders": ("orders", "o_orderkey", ["o_custkey", "o_orderstatus", "o_orderpriority"]),
+            "supplier": ("supplier", "s_suppkey", ["s_suppkey", "s_name", "s_nationkey"]),
+            "customer": ("customer", "c_custkey", ["c_nationkey", "c_mktsegment", "c_name"])}
+
+
+def q_fd_batch(spark, sf_dir):
+    """FD3 over several tables: 100 hash-sampled rows of each, one JSON record a table."""
+    return FD.fd_batch(spark, {k: (keyed(spark, sf_dir, t), "row_key", cols) for k, (t, _, cols) in FD_BATCH.items()}, 100, SEED)
+
+
+def _fd_batch_sql():
+    out = []
+    for name, (t, _, cols) in FD_BATCH.items():
+        part = (f"(SELECT * FROM {sql_keyed(t)} ORDER BY {sql_hash(SEED, 'fd-batch', 'row_key')} LIMIT 100)")
+        place = " ".join(f"WHEN '{c}' THEN {i:03}" for i, c in enumerate(cols))
+        out.append(f"""SELECT '{name}' AS dataset, count(*) AS result, '{{"fds":[' || coalesce(string_agg('"' || fd || '"', ','
+  ORDER BY n, {", ".join(f"p{k}" for k in range(len(cols)))}, CASE rhs {place} END), '') || ']}}' AS notes
+FROM (SELECT *, CASE WHEN lhs = '' THEN 0 ELSE len(string_split(lhs, ',')) END AS n,
+      {", ".join(f"CASE string_split(lhs, ',')[{k + 1}] {place} ELSE -1 END AS p{k}" for k in range(len(cols)))}
+      FROM ({_sql_fd(part, cols)}) z)""")
+    return " UNION ALL ".join(out)
+
+
+register("fd_batch", _fd_batch_sql())(q_fd_batch)
+
+
 FD_XOR = ["a", "b", "c", "x"]
 _SQL_XOR = "(SELECT p_size % 2 AS a, p_partkey % 2 AS b, ascii(p_brand) % 2 + length(p_name) % 2 AS c, " \
            "(p_size % 2 + p_partkey % 2 + ascii(p_brand) % 2 + length(p_name) % 2) % 2 AS x FROM part)"

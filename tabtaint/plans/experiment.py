@@ -386,7 +386,12 @@ def _hfd(t, spec, max_lhs=None, **_):
     return len(fds), {"fds": [f"{','.join(lhs)} -> {rhs}" for lhs, rhs in fds]}
 
 
-EVALUATORS["DFD"] = EVALUATORS["HFD"]
+@evaluator("DFD", 1)
+def _dfd(t, spec, seed=0, **_):
+    from tabtaint.operators.fd import walk
+    cols = [c for c in t[0].columns if c not in (spec.row_key, "draw_id")]
+    fds = walk(t[0], cols, seed=seed)
+    return len(fds), {"fds": [{"lhs": list(lhs), "rhs": rhs} for lhs, rhs in fds]}
 
 
 @evaluator("LGD", 2)
