@@ -1,28 +1,31 @@
-"""Tree-structured Bayesian-network generators: Chow-Liu (GEN2) and PrivBayes with one
-parent per attribute (GEN3).
-
-All counting is distributed: every pairwise contingency table comes from ONE exploded
-aggregation ``groupBy(pair, a, b)`` (map-side combined), so the driver only sees d^2 mutual
-informations and the conditional tables (bounded by the discretised vocabularies).
-Sampling is ancestral: a draw's value of each attribute is found by an equi join on the
-parent value plus a range condition ``lo <= u < hi`` on the cumulative conditional
-probabilities (JN6), against a broadcast conditional table whose size is checked.
+"""Bayesian-network generators: Chow-Liu trees (GEN2) and PrivBayes of any degree (GEN3).
+
+Counting and sampling are Spark's: the contingency cells of many attribute sets come from one
+aggregation and stay a table, from which mutual information is summed (one number a set reaches the
+driver) and the conditional distributions are taken.  Ancestral sampling gives each draw a position in
+the running counts of its parents' values and finds the value whose interval holds it, by the equi
+join of :mod:`tabtaint.operators.intervals` (JN6); the root's parents are the empty set, one value
+among others.  No cell, and no product of domains, is collected.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabtaint.functions.rng import py_uniform, uniform
+from tabtaint.operators.intervals import MISSING, along, join_intervals
 from tabtaint.operators.profile import equal_width_bin
+from tabtaint.session import cut_lineage
 
 N_BINS = 10
-MAX_CPT_ROWS = 1_000_000
+#: PrivBayes: the least ratio of information to noise of a marginal, and the most parents that are tried.
+THETA, MAX_DEGREE = 4.0, 3
+#: A noisy count is kept as a whole number of this many parts.
+WEIGHT_PARTS = 1024
 
 
 def discretise(df: DataFrame, numeric, categorical, n_bins: int = N_BINS):
@@ -34,28 +37,40 @@ def discretise(df: DataFrame, numeric, categorical, n_bins: int = N_BINS):
     return df.select(*cols), bounds
 
 
-def pair_counts(d: DataFrame, pairs) -> list:
-    """``(pair_index, a, b, n)`` for every pair, one aggregation; nulls are a category."""
-    items = [F.struct(F.lit(i).alias("p"), F.coalesce(F.col(a), F.lit("∅")).alias("a"),
-                      F.coalesce(F.col(b), F.lit("∅")).alias("b")) for i, (a, b) in enumerate(pairs)]
-    return d.select(F.explode(F.array(*items)).alias("x")).groupBy("x.p", "x.a", "x.b").count().collect()
+def _text(columns) -> Column:
+    """Values of some columns as one text, each behind its length; nulls are a value."""
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit(MISSING)) for c in columns]
+    return F.concat(F.lit(""), *[x for v in parts for x in (F.length(v).cast("string"), F.lit(":"), v)])
+
+
+def set_counts(d: DataFrame, sets) -> DataFrame:
+    """``s, a, b, n`` for each (parents, child) of ``sets``, in one aggregation: ``a`` is the parents'
+    values as text, ``b`` the child's."""
+    items = [F.struct(F.lit(i).alias("s"), _text(parents).alias("a"), F.coalesce(F.col(child), F.lit(MISSING)).alias("b"))
+             for i, (parents, child) in enumerate(sets)]
+    return d.select(F.explode(F.array(*items)).alias("x")).groupBy("x.s", "x.a", "x.b").agg(F.count(F.lit(1)).alias("n"))
+
+
+def information(d: DataFrame, sets) -> list[float]:
+    """Mutual information of each (parents, child), summed over its cells."""
+    sets = list(sets)
+    if not sets:
+        return []
+    cells = cut_lineage(set_counts(d, sets))
+    left = cells.groupBy("s", "a").agg(F.sum("n").alias("na"))
+    right = cells.groupBy("s", "b").agg(F.sum("n").alias("nb"))
+    log = F.log("n") - F.log("na") - F.log("nb")
+    rows = cells.join(left, ["s", "a"]).join(right, ["s", "b"]).groupBy("s") \
+        .agg(F.sum("n").alias("n"), F.sum(F.col("n") * log).alias("t")).collect()    # one row a set
+    out = [0.0] * len(sets)
+    for r in rows:
+        out[r["s"]] = max(0.0, r["t"] / r["n"] + math.log(r["n"]))
+    return out
 
 
 def mutual_information(d: DataFrame, columns) -> dict:
     pairs = list(combinations(columns, 2))
-    if not pairs:
-        return {}
-    rows = pair_counts(d, pairs)
-    out = {}
-    for i, (a, b) in enumerate(pairs):
-        cells = [(r["a"], r["b"], r["count"]) for r in rows if r["p"] == i]
-        n = sum(c for _, _, c in cells)
-        pa, pb = {}, {}
-        for x, y, c in cells:
-            pa[x] = pa.get(x, 0) + c
-            pb[y] = pb.get(y, 0) + c
-        out[(a, b)] = sum(c / n * math.log(c * n / (pa[x] * pb[y])) for x, y, c in cells if c > 0) if n else 0.0
-    return out
+    return dict(zip(pairs, information(d, [((a,), b) for a, b in pairs])))
 
 
 def chow_liu_tree(mi: dict, columns) -> list:
@@ -78,67 +93,48 @@ def chow_liu_tree(mi: dict, columns) -> list:
     return edges
 
 
-def conditional_tables(d: DataFrame, root: str, edges, noise=None) -> dict:
-    """Counts of the root and of every (parent, child) pair in ONE aggregation; optional
-    ``noise(table, key) -> float`` added to every count (PrivBayes), clipped at 0."""
-    pairs = [(root, root)] + list(edges)
-    rows = pair_counts(d, pairs)
-    tables = {}
-    for i, (p, c) in enumerate(pairs):
-        cells = {}
-        for r in rows:
-            if r["p"] == i:
-                cells[(r["a"], r["b"])] = float(r["count"])
-        if noise is not None:
-            pv = sorted({a for a, _ in cells}) if i else ["·"]
-            cv = sorted({b for _, b in cells})
-            full = {}
-            for a in pv:
-                for b in cv:
-                    key = (a, b) if i else (b, b)
-                    full[key] = max(0.0, cells.get(key, 0.0) + noise(f"{p}>{c}", f"{a}|{b}"))
-            cells = full
-        tables[(p, c)] = cells
-    return tables
-
-
-def _cumulative(cells: dict, is_root: bool):
-    """Rows ``(parent, child, lo, hi)`` of cumulative conditional probabilities."""
-    by_parent: dict = {}
-    for (a, b), n in cells.items():
-        by_parent.setdefault("·" if is_root else a, []).append((b, n))
-    out = []
-    for a, lst in by_parent.items():
-        lst = sorted(lst)
-        tot = sum(n for _, n in lst)
-        if tot <= 0:
-            lst = [(b, 1.0) for b, _ in lst]
-            tot = float(len(lst))
-        cum = 0.0
-        for j, (b, n) in enumerate(lst):
-            hi = 1.0 if j == len(lst) - 1 else cum + n / tot
-            out.append((a, b, cum, hi))
-            cum = hi
-    return out
-
-
-def sample_network(spark, root: str, edges, tables: dict, n_samples: int, seed, tag: str) -> DataFrame:
-    """Ancestral sampling by equi join on the parent value + range condition on u (JN6)."""
-    order = [root] + [c for _, c in edges]
-    parent = {c: p for p, c in edges}
+def conditional_tables(d: DataFrame, network) -> DataFrame:
+    """``s, a, b, w``: weights of the child's values for each of its parents' values, for every (parents,
+    child) of ``network``."""
+    return set_counts(d, network).withColumnRenamed("n", "w")
+
+
+def noisy_tables(d: DataFrame, network, seed, scale: float) -> DataFrame:
+    """The same over the whole domains, with Laplace noise on every count, clipped at 0.  Parents'
+    values without any weight have all children alike.
+
+    A domain product is built by joining the columns' values within an edge."""
+    columns = sorted({c for parents, child in network for c in (*parents, child)})
+    values = cut_lineage(set_counts(d, [((), c) for c in columns]).select("s", F.col("b").alias("v")))
+    number = {c: i for i, c in enumerate(columns)}
+    out = None
+    for i, (parents, child) in enumerate(network):   # as many as columns
+        cells = values.where(F.col("s") == number[child]).select(F.lit(i).alias("s"), F.col("v").alias("b"))
+        for p in parents:
+            cells = cells.join(values.where(F.col("s") == number[p]).select(F.lit(i).alias("s"), F.col("v").alias(p)), "s")
+        cells = cells.select("s", _text(parents).alias("a"), "b")
+        out = cells if out is None else out.unionByName(cells)
+    u = uniform(seed, "laplace", F.concat_ws("|", F.col("s").cast("string"), "a", "b")) - 0.5
+    noise = -F.lit(scale) * F.signum(u) * F.log(F.greatest(F.lit(1e-300), 1 - 2 * F.abs(u)))
+    counts = out.join(set_counts(d, network), ["s", "a", "b"], "left")
+    parts = F.greatest(F.lit(0.0), F.coalesce("n", F.lit(0)) + noise) * WEIGHT_PARTS
+    weighed = cut_lineage(counts.select("s", "a", "b", F.round(parts).cast("bigint").alias("w")))
+    some = weighed.groupBy("s", "a").agg(F.sum("w").alias("t"))
+    return weighed.join(some, ["s", "a"]).select("s", "a", "b", F.when(F.col("t") == 0, F.lit(1)).otherwise(F.col("w")).cast("bigint").alias("w")) \
+        .where("w > 0")
+
+
+def sample_network(spark, network, tables: DataFrame, n_samples: int, seed, tag: str) -> DataFrame:
+    """Ancestral sampling (JN6): ``network`` lists (parents, child) so that parents come first."""
+    intervals = cut_lineage(along(tables, ["s", "a"], "b", "w", seed, f"{tag}:order"))
+    totals = cut_lineage(intervals.groupBy("s", "a").agg(F.sum("w").alias("_size")))
+    most = totals.agg(F.max("_size")).first()[0] or 1
     out = spark.range(n_samples).withColumnRenamed("id", "draw_id")
-    for col in order:
-        is_root = col == root
-        rows = _cumulative(tables[(root, root)] if is_root else tables[(parent[col], col)], is_root)
-        if len(rows) > MAX_CPT_ROWS:
-            raise ValueError(f"conditional table of {col} has {len(rows)} rows; discretise more coarsely")
-        cpt = spark.createDataFrame(rows, "_pv string, _cv string, _lo double, _hi double")
-        u = uniform(seed, f"{tag}:{col}", F.col("draw_id"))
-        pv = F.lit("·") if is_root else F.col(parent[col])
-        out = (out.withColumn("_u", u).withColumn("_pv", pv)
-               .join(F.broadcast(cpt), ["_pv"])                       # size checked above
-               .where((F.col("_u") >= F.col("_lo")) & (F.col("_u") < F.col("_hi")))
-               .withColumnRenamed("_cv", col).drop("_u", "_pv", "_lo", "_hi"))
+    for i, (parents, child) in enumerate(network):
+        mine = intervals.where(F.col("s") == i).select("a", F.col("b").alias(child), "_lo", "_hi")
+        out = out.withColumn("a", _text(parents)).join(totals.where(F.col("s") == i).select("a", "_size"), "a")
+        place = F.floor(uniform(seed, f"{tag}:{child}", F.col("draw_id")) * F.col("_size")).cast("bigint")
+        out = join_intervals(out.withColumn("_pos", place).drop("_size"), mine, ["a"], most).drop("a", "_pos")
     return out
 
 
@@ -148,7 +144,7 @@ def decode(df: DataFrame, numeric, bounds: dict, seed, tag: str, n_bins: int = N
     for c in df.columns:
         if c == "draw_id":
             continue
-        out = out.withColumn(c, F.when(F.col(c) == "∅", F.lit(None)).otherwise(F.col(c)))
+        out = out.withColumn(c, F.when(F.col(c) == MISSING, F.lit(None)).otherwise(F.col(c)))
     for c in numeric:
         lo, hi = bounds[c]
         w = (hi - lo) / n_bins
@@ -163,49 +159,56 @@ def chow_liu(df: DataFrame, numeric, categorical, n_samples: int, seed) -> DataF
     """GEN2: Chow-Liu tree (mutual information, maximum spanning tree) + ancestral sampling."""
     cols = list(numeric) + list(categorical)
     d, bounds = discretise(df, numeric, categorical)
-    mi = mutual_information(d, cols)
-    edges = chow_liu_tree(mi, cols)
-    tables = conditional_tables(d, cols[0], edges)
-    s = sample_network(df.sparkSession, cols[0], edges, tables, n_samples, seed, "cl")
+    d = cut_lineage(d)
+    edges = chow_liu_tree(mutual_information(d, cols), cols)
+    network = [((), cols[0])] + [((p,), c) for p, c in edges]
+    s = sample_network(df.sparkSession, network, conditional_tables(d, network), n_samples, seed, "cl")
     return decode(s, numeric, bounds, seed, "cl").select("draw_id", *cols)
 
 
-def _laplace(seed, scale: float):
-    def noise(table: str, key: str) -> float:
-        u = int(hashlib.md5(f"{seed}:laplace:{table}:{key}".encode()).hexdigest()[:13], 16) / 4503599627370496.0 - 0.5
-        return -scale * math.copysign(1.0, u) * math.log(max(1e-300, 1.0 - 2.0 * abs(u)))
-    return noise
+def degree(n: int, columns: int, epsilon: float, theta: float = THETA, most: int = MAX_DEGREE) -> int:
+    """The most parents at which a binary marginal stays theta-useful: its cells' mean count is theta times
+    the mean noise."""
+    k = 0
+    while k + 1 <= min(most, columns - 1) and n * epsilon / ((columns - k - 1) * 2 ** (k + 3)) >= theta:
+        k += 1
+    return k
+
+
+def greedy_network(d: DataFrame, cols, n: int, epsilon: float, seed, theta: float = THETA, most: int = MAX_DEGREE):
+    """PrivBayes' structure: each step takes a child and its parents, of at most ``degree`` columns, by the
+    exponential mechanism on mutual information."""
+    k, total = degree(n, len(cols), epsilon, theta, most), len(cols)
+    sens = (2.0 / n) * math.log((n + 1) / 2.0) + ((n - 1.0) / n) * math.log((n + 1.0) / (n - 1.0)) if n > 1 else 1.0
+    first = cols[int(py_uniform(seed, "pb:first", "") * total)]
+    inside, network = [first], [((), first)]
+    for step in range(total - 1):
+        size = min(max(k, 1), len(inside))
+        choices = [(p, c) for c in cols if c not in inside for p in combinations(inside, size)]
+        scores = information(d, choices)
+        w = [epsilon * s / (2.0 * max(total - 1, 1) * sens) for s in scores]
+        w = [math.exp(x - max(w)) for x in w]
+        u, acc = py_uniform(seed, "pb:pick", step) * sum(w), 0.0
+        for choice, x in zip(choices, w):
+            acc += x
+            if u < acc:
+                break
+        network.append(choice)
+        inside.append(choice[1])
+    return network
+
 
+def privbayes(df: DataFrame, numeric, categorical, n_samples: int, seed, epsilon: float = 1.0, theta: float = THETA,
+              most: int = MAX_DEGREE) -> DataFrame:
+    """GEN3: structure by the exponential mechanism on mutual information (budget epsilon/2), Laplace
+    noise on the conditional counts (budget epsilon/2), clip, normalise, ancestral sampling.
 
-def privbayes(df: DataFrame, numeric, categorical, n_samples: int, seed, epsilon: float = 1.0) -> DataFrame:
-    """GEN3 (degree 1): structure by the exponential mechanism on mutual information
-    (budget epsilon/2), Laplace noise on the conditional counts (budget epsilon/2), clip,
-    normalise, ancestral sampling.  The noise is a seeded hash draw — reproducible for tests;
-    a production run must use a real entropy source."""
+    The number of parents follows theta-usefulness.  The noise is a seeded hash draw — reproducible for
+    tests; a production run must use a real entropy source."""
     cols = list(numeric) + list(categorical)
     d, bounds = discretise(df, numeric, categorical)
-    n = d.count()
-    mi = mutual_information(d, cols)
-    k = len(cols)
-    sens = (2.0 / n) * math.log((n + 1) / 2.0) + ((n - 1.0) / n) * math.log((n + 1.0) / max(n - 1.0, 1.0)) if n > 1 else 1.0
-    eps1, eps2 = epsilon / 2.0, epsilon / 2.0
-    first = cols[int(py_uniform(seed, "pb:first", "") * k)]
-    inside, edges, step = [first], [], 0
-    while len(inside) < k:
-        cands = [(p, c) for p in inside for c in cols if c not in inside]
-        scores = [mi.get((p, c), mi.get((c, p), 0.0)) for p, c in cands]
-        w = [math.exp(eps1 * s / (2.0 * max(k - 1, 1) * sens)) if sens > 0 else 1.0 for s in scores]
-        m = max(w)
-        w = [x / m for x in w]
-        u = py_uniform(seed, "pb:pick", step) * sum(w)
-        acc = 0.0
-        for (p, c), x in zip(cands, w):
-            acc += x
-            if u < acc:
-                break
-        edges.append((p, c))
-        inside.append(c)
-        step += 1
-    tables = conditional_tables(d, first, edges, noise=_laplace(seed, 2.0 * k / eps2))
-    s = sample_network(df.sparkSession, first, edges, tables, n_samples, seed, "pb")
+    d = cut_lineage(d)
+    network = greedy_network(d, cols, d.count(), epsilon / 2, seed, theta, most)
+    tables = noisy_tables(d, network, seed, 2.0 * len(cols) / (epsilon / 2))
+    s = sample_network(df.sparkSession, network, tables, n_samples, seed, "pb")
     return decode(s, numeric, bounds, seed, "pb").select("draw_id", *cols)

@@ -9,32 +9,56 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tabtaint.functions.rng import py_hash, uniform
+from tabtaint.functions.rng import hash_hex, py_hash, uniform
+from tabtaint.operators.intervals import MISSING, along, join_intervals
+from tabtaint.operators.ordered import numbered
 from tabtaint.operators.sampling import number_by_hash, sample_with_replacement
+from tabtaint.session import cut_lineage
 from tabtaint.spec import INTEGRAL_TYPES
 
 SMALL_VOCAB = 10_000
 
 
+def _values(df: DataFrame, columns, group: str | None = None) -> DataFrame:
+    """``_g, _column, _value, _n``: how often each column (of each group) holds each value, as text, in
+    one aggregation.  A null is a value."""
+    g = _group(F.col(group)) if group else F.lit("")
+    items = [F.struct(F.lit(c).alias("_column"), F.col(c).cast("string").alias("_value")) for c in columns]
+    return df.select(g.alias("_g"), F.explode(F.array(*items)).alias("x")).groupBy("_g", "x._column", "x._value") \
+        .agg(F.count(F.lit(1)).alias("_n"))
+
+
+def _group(c):
+    """A text for each group, null apart."""
+    return F.coalesce(F.concat(F.lit("v"), c.cast("string")), F.lit("n"))
+
+
+def _drawn(draws: DataFrame, df: DataFrame, columns, values: DataFrame, seed, tag: str, most: int, keep=()) -> DataFrame:
+    """A value of each column for each draw (``draw_id, _g, _size``): the one whose interval of the running
+    counts holds ``floor(u * _size)``."""
+    intervals = along(values, ["_g", "_column"], "_value", "_n", seed, f"{tag}:order").select("_g", "_column", "_value", "_lo", "_hi")
+    points = [F.struct(F.lit(c).alias("_column"), F.floor(uniform(seed, f"{tag}:{c}", F.col("draw_id")) * F.col("_size"))
+                       .cast("bigint").alias("_pos")) for c in columns]
+    long = draws.select("draw_id", "_g", *keep, F.explode(F.array(*points)).alias("x")).select("draw_id", "_g", *keep, "x._column", "x._pos")
+    found = join_intervals(long, intervals, ["_g", "_column"], most)
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    return found.groupBy("draw_id", *keep).agg(
+        *[F.max(F.when(F.col("_column") == c, F.col("_value"))).cast(kinds[c]).alias(c) for c in columns])
+
+
 def marginal(df: DataFrame, columns, n_samples: int, seed, key: str = "row_key") -> DataFrame:
     """GEN1: each column drawn independently from its empirical distribution.
 
-    A draw of column c picks row ``floor(u(seed, c, draw_id) * n)`` in hash order and takes
-    its value of c — the same law as inverse-CDF sampling, with no per-column CDF table.
-    """
-    spark = df.sparkSession
-    numbered, n = number_by_hash(df.select(key, *columns), key, seed, "gen:order")
-    numbered = numbered.persist()
-    out = spark.range(n_samples).withColumnRenamed("id", "draw_id")
+    All columns' value counts are one aggregation; running counts cut [0, n) into an interval a
+    value, and a draw takes the value whose interval holds its position (inverse CDF, JN6)."""
+    spark, columns = df.sparkSession, list(columns)
+    values = cut_lineage(_values(df, columns))
+    n = values.where(F.col("_column") == columns[0]).agg(F.sum("_n").alias("n")).first()["n"] or 0
+    out = spark.range(n_samples).select(F.col("id").alias("draw_id"), F.lit("").alias("_g"), F.lit(n).alias("_size"))
     if n == 0:
-        return out.limit(0)
-    for c in columns:
-        p = f"_p_{c}"
-        out = out.withColumn(p, F.floor(uniform(seed, f"gen1:{c}", F.col("draw_id")) * F.lit(n)).cast("bigint"))
-        out = out.join(numbered.select(F.col("_pos").alias(p), c), p).drop(p)
-    return out.select("draw_id", *columns)
+        return out.limit(0).select("draw_id", *[F.lit(None).cast(df.schema[c].dataType).alias(c) for c in columns])
+    return _drawn(out, df, columns, values, seed, "gen1", n).select("draw_id", *columns)
 
 
 def uniform_sampler(df: DataFrame, columns, n_samples: int, seed, categorical=()) -> DataFrame:
@@ -75,21 +99,19 @@ def bootstrap(df: DataFrame, columns, n_samples: int, seed, key: str = "row_key"
 
 def per_class(df: DataFrame, columns, target: str, n_samples: int, seed, key: str = "row_key") -> DataFrame:
     """GEN6: ``max(2, n_samples // #classes)`` rows per class, each column drawn from its
-    empirical distribution within the class, label re-attached."""
-    spark = df.sparkSession
-    numbered, sizes = number_by_hash(df.select(key, target, *columns), key, seed, "gen6:order", group=target)
-    numbered = numbered.persist()
-    classes = sorted((v for v in sizes if v is not None), key=lambda v: py_hash(seed, "gen6:classes", v))   # no label, no class
-    if not classes:
-        return spark.range(0).withColumnRenamed("id", "draw_id")
-    per = max(2, n_samples // len(classes))
-    cls_arr = F.array(*[F.lit(v) for v in classes])
-    size_map = F.create_map(*[x for v in classes for x in (F.lit(v), F.lit(sizes[v]))])
-    out = (spark.range(per * len(classes)).withColumnRenamed("id", "draw_id")
-           .withColumn(target, F.element_at(cls_arr, (F.floor(F.col("draw_id") / per) + 1).cast("int"))))
-    for c in columns:
-        p = f"_p_{c}"
-        out = out.withColumn(p, F.floor(uniform(seed, f"gen6:{c}", F.col("draw_id")) * F.element_at(size_map, F.col(target)))
-                             .cast("bigint"))
-        out = out.join(numbered.select(F.col(target), F.col("_pos").alias(p), c), [target, p]).drop(p)
+    empirical distribution within the class, label re-attached.  A null label is a class.
+
+    Classes are a numbered table, joined to the draws by their number: any number of them will do."""
+    spark, columns = df.sparkSession, list(columns)
+    sizes = df.groupBy(F.col(target).alias("_label")).agg(F.count(F.lit(1)).alias("_size")) \
+        .withColumn("_g", _group(F.col("_label"))) \
+        .withColumn("_h", F.concat(hash_hex(seed, "gen6:classes", F.coalesce(F.col("_label").cast("string"), F.lit(MISSING))), "_g"))
+    classes = cut_lineage(numbered(sizes, "_h", "_class").drop("_h"))
+    r = classes.agg(F.count(F.lit(1)).alias("n"), F.max("_size").alias("most")).first()
+    if not r["n"]:
+        return spark.range(0).select(F.col("id").alias("draw_id"), *[F.lit(None).cast(df.schema[c].dataType).alias(c) for c in [*columns, target]])
+    per = max(2, n_samples // r["n"])
+    draws = spark.range(per * r["n"]).select(F.col("id").alias("draw_id"), F.expr(f"id div {per}").alias("_class")).join(classes, "_class")
+    values = cut_lineage(_values(df, columns, target))
+    out = _drawn(draws.withColumnRenamed("_label", target), df, columns, values, seed, "gen6", r["most"], keep=(target,))
     return out.select("draw_id", *columns, target)

@@ -654,15 +654,22 @@ def q_gen_marginal(spark, sf_dir):
     return _round_doubles(G.marginal(keyed(spark, sf_dir, "customer"), GEN_COLS, 1000, SEED))
 
 
+def _sql_intervals(table, c, tag, group=None):
+    """Running counts of the values of ``c`` (in each group) in the order of the value's hash."""
+    text = f"coalesce(CAST(v AS VARCHAR), '∅')"
+    w = f"OVER ({'PARTITION BY g ' if group else ''}ORDER BY {sql_hash(SEED, tag, text)}, v NULLS FIRST)"
+    return (f"(SELECT g, v, sum(n) {w} - n AS lo, sum(n) {w} AS hi FROM "
+            f"(SELECT {group or 'NULL'} AS g, {c} AS v, count(*) AS n FROM {table} GROUP BY 1, 2))")
+
+
 def _gen_marginal_sql():
     n = "(SELECT count(*) FROM customer)"
     joins, sel = [], []
     for i, c in enumerate(GEN_COLS):
-        joins.append(f"JOIN b b{i} ON b{i}.pos = CAST(floor({sql_uniform(SEED, f'gen1:{c}', 'd.draw_id')} * {n}) AS BIGINT)")
-        sel.append(f"round(b{i}.{c}, 6) AS {c}" if c == "c_acctbal" else f"b{i}.{c} AS {c}")
-    return (f"WITH b AS (SELECT *, row_number() OVER (ORDER BY {sql_hash(SEED, 'gen:order', 'row_key')}) - 1 AS pos "
-            f"FROM {sql_keyed('customer')}), d AS (SELECT range AS draw_id FROM range(1000)) "
-            f"SELECT d.draw_id, {', '.join(sel)} FROM d {' '.join(joins)}")
+        pos = f"CAST(floor({sql_uniform(SEED, f'gen1:{c}', 'd.draw_id')} * {n}) AS BIGINT)"
+        joins.append(f"JOIN {_sql_intervals('customer', c, 'gen1:order')} b{i} ON {pos} >= b{i}.lo AND {pos} < b{i}.hi")
+        sel.append(f"round(b{i}.v, 6) AS {c}" if c == "c_acctbal" else f"b{i}.v AS {c}")
+    return f"WITH d AS (SELECT range AS draw_id FROM range(1000)) SELECT d.draw_id, {', '.join(sel)} FROM d {' '.join(joins)}"
 
 
 register("gen_marginal", _gen_marginal_sql())(q_gen_marginal)
@@ -709,13 +716,12 @@ def _gen_per_class_sql():
     cols = ["c_nationkey", "c_acctbal"]
     joins, sel = [], []
     for i, c in enumerate(cols):
-        joins.append(f"JOIN b b{i} ON b{i}.c_mktsegment = d.c_mktsegment AND b{i}.pos = "
-                     f"CAST(floor({sql_uniform(SEED, f'gen6:{c}', 'd.draw_id')} * d.n) AS BIGINT)")
-        sel.append(f"round(b{i}.{c}, 6) AS {c}" if c == "c_acctbal" else f"b{i}.{c} AS {c}")
+        pos = f"CAST(floor({sql_uniform(SEED, f'gen6:{c}', 'd.draw_id')} * d.n) AS BIGINT)"
+        joins.append(f"JOIN {_sql_intervals('customer', c, 'gen6:order', 'c_mktsegment')} b{i} "
+                     f"ON b{i}.g = d.c_mktsegment AND {pos} >= b{i}.lo AND {pos} < b{i}.hi")
+        sel.append(f"round(b{i}.v, 6) AS {c}" if c == "c_acctbal" else f"b{i}.v AS {c}")
     return f"""
-WITH b AS (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY {sql_hash(SEED, 'gen6:order', 'row_key')}) - 1 AS pos
-           FROM {sql_keyed('customer')}),
-cl AS (SELECT c_mktsegment, count(*) AS n, row_number() OVER (ORDER BY {sql_hash(SEED, 'gen6:classes', 'c_mktsegment')}) - 1 AS ci
+WITH cl AS (SELECT c_mktsegment, count(*) AS n, row_number() OVER (ORDER BY {sql_hash(SEED, 'gen6:classes', 'c_mktsegment')}) - 1 AS ci
        FROM customer GROUP BY 1),
 per AS (SELECT greatest(2, 1000 // count(*)) AS per, count(*) AS k FROM cl),
 d AS (SELECT range AS draw_id, cl.c_mktsegment, cl.n FROM range((SELECT per * k FROM per)) r
@@ -1761,15 +1767,54 @@ register("object_path", f"""SELECT experiment_id, replace(replace(experiment_id,
 from tabtaint.operators import bayes as BN  # noqa: E402
 
 
+BN_COLS = ["o_totalprice", "o_orderstatus", "o_orderpriority"]
+
+
 def q_chow_liu(spark, sf_dir):
-    return BN.chow_liu(load(spark, sf_dir, "orders"), ["o_totalprice"], ["o_orderstatus", "o_orderpriority"], 2000, SEED)
+    return _round_doubles(BN.chow_liu(load(spark, sf_dir, "orders"), BN_COLS[:1], BN_COLS[1:], 2000, SEED), 4)
 
 
 def q_privbayes(spark, sf_dir):
-    return BN.privbayes(load(spark, sf_dir, "orders"), ["o_totalprice"], ["o_orderstatus", "o_orderpriority"], 2000, SEED, 1.0)
+    return BN.privbayes(load(spark, sf_dir, "orders"), BN_COLS[:1], BN_COLS[1:], 2000, SEED, 1.0)
+
+
+def _chow_liu_sql():
+    """Three columns: the tree leaves out the pair of least mutual information, which settles each column's parent."""
+    x, y, z = "xyz"
+
+    def text(v):
+        return f"(length({v}) || ':' || {v})"
+
+    def mi(a, b):
+        return (f"(SELECT sum(n * (ln(n) - ln(na) - ln(nb))) FROM (SELECT {a}, {b}, count(*) AS n FROM d GROUP BY 1, 2) "
+                f"JOIN (SELECT {a}, count(*) AS na FROM d GROUP BY 1) USING ({a}) JOIN (SELECT {b}, count(*) AS nb FROM d GROUP BY 1) USING ({b}))")
+
+    def drawn(src, parent, child, name):
+        a = text(parent) if parent else "''"
+        w = f"OVER (PARTITION BY a ORDER BY {sql_hash(SEED, 'cl:order', 'b')}, b)"
+        return f"""(SELECT s.*, b AS {child} FROM (SELECT *, {a} AS pa, {sql_uniform(SEED, f'cl:{name}', 'draw_id')} AS u FROM {src}) s JOIN
+  (SELECT a, b, sum(n) {w} - n AS lo, sum(n) {w} AS hi, sum(n) OVER (PARTITION BY a) AS t
+   FROM (SELECT {a} AS a, {child} AS b, count(*) AS n FROM d GROUP BY 1, 2)) i
+  ON i.a = s.pa AND floor(u * t) >= lo AND floor(u * t) < hi)"""
+
+    names = dict(zip("xyz", BN_COLS))
+    trees = {"xy": [("x", "z"), ("z", "y")], "xz": [("x", "y"), ("y", "z")], "yz": [("x", "y"), ("x", "z")]}   # by the pair left out
+    parts = []
+    for out, edges in trees.items():
+        src = f"(SELECT * EXCLUDE (pa, u) FROM {drawn('(SELECT range AS draw_id FROM range(2000))', None, 'x', names['x'])})"
+        for p, c in edges:
+            src = f"(SELECT * EXCLUDE (pa, u) FROM {drawn(src, p, c, names[c])})"
+        parts.append(f"SELECT draw_id, x, y, z FROM {src} WHERE (SELECT least_pair FROM m) = '{out}'")
+    lo, hi = "(SELECT min(o_totalprice) FROM orders)", "(SELECT max(o_totalprice) FROM orders)"
+    return f"""
+WITH d AS MATERIALIZED (SELECT CAST({_sql_bin('o_totalprice', lo, hi, 10)} AS VARCHAR) AS x, o_orderstatus AS y, o_orderpriority AS z FROM orders),
+m AS (SELECT arg_min(p, v) AS least_pair FROM (VALUES ('xy', {mi(x, y)}), ('xz', {mi(x, z)}), ('yz', {mi(y, z)})) t(p, v)),
+s AS ({" UNION ALL ".join(parts)})
+SELECT draw_id, round({lo} + (CAST(x AS DOUBLE) + {sql_uniform(SEED, 'cl:val:o_totalprice', 'draw_id')}) * (({hi} - {lo}) / 10), 4) AS o_totalprice,
+  y AS o_orderstatus, z AS o_orderpriority FROM s"""
 
 
-register("gen_chow_liu", None)(q_chow_liu)
+register("gen_chow_liu", _chow_liu_sql())(q_chow_liu)
 register("gen_privbayes", None)(q_privbayes)
 
 
