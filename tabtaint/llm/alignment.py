@@ -35,7 +35,7 @@ from tabtaint.llm.text import U64, mixed
 
 BATCH_BYTES, CHUNK_BYTES = 3 << 19, 6 << 20
 #: Pieces of text and windows that a task remembers; beyond that it starts anew.
-PIECES_KEPT, WINDOWS_KEPT = 250_000, 120_000
+PIECES_KEPT, WINDOWS_KEPT = 300_000, 150_000
 SPACE = "▁"  # marks a space in a sentencepiece token
 
 
@@ -69,7 +69,9 @@ class Tokenizers:
             self.bytes_a[i], self.space_a[i] = len(t), t[0] == space
         encode_b, self.bytes_b, self.space_b = sentence_pieces(b_path)
         self.pieces = Memory(encode_a, encode_b, limit=PIECES_KEPT)
-        self.names_a, self.names_b = list(map(str, range(size))), list(map(str, range(len(self.bytes_b))))
+        n = self.n_a, self.n_b = size, len(self.bytes_b)
+        # an id as text with what follows it: A's within and at the end of a group, B's also at the end of a window
+        self.written = [f"{i}{c}" for k, marks in zip(n, (",|", ",;\n"), strict=True) for c in marks for i in range(k)]
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """A's and B's ids of all texts in a row, and how many each text has."""
@@ -90,6 +92,28 @@ class Tokenizers:
         at, size = number[at[good]], np.bincount(text[good], minlength=len(size))
         return tuple(x for c in self.pieces.codes for x in (c.of(at), sums_of(c.count[at], size)))
 
+    def align(self, a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray) -> tuple:
+        """Of windows (``n_a`` and ``n_b`` ids each, of the same bytes): the groups as text, the numbers
+        of groups and of links, and all links as ``a << 32 | b``."""
+        end_a, end_b = np.cumsum(self.bytes_a[a]), np.cumsum(self.bytes_b[b])
+        ends = np.union1d(end_a, end_b)                        # a link for each stretch between two ends
+        of_a, of_b = np.searchsorted(end_a, ends), np.searchsorted(end_b, ends)
+        pairs = a[of_a].astype(np.int64) << 32 | b[of_b]
+        last_a = np.cumsum(n_a) - 1
+        close = end_a[last_a]                                  # where windows end
+        shared = (end_a[of_a] == ends) & (end_b[of_b] == ends)
+        links = np.diff(np.searchsorted(ends, close), prepend=-1)
+        groups = np.diff(np.cumsum(shared)[np.searchsorted(ends, close)], prepend=0)
+        stops = ends[shared]
+        closes_a, closes_b = np.isin(end_a, stops, assume_unique=True), np.isin(end_b, stops, assume_unique=True)
+        code_a = a + self.n_a * closes_a
+        code_b = 2 * self.n_a + b + self.n_b * closes_b
+        code_b[np.cumsum(n_b) - 1] += self.n_b
+        group = np.concatenate([2 * np.searchsorted(stops, end_a), 2 * np.searchsorted(stops, end_b) + 1])
+        codes = np.concatenate([code_a, code_b])[np.argsort(group, kind="stable")]
+        text = "".join(map(self.written.__getitem__, codes.tolist())).split("\n")
+        return text[:-1], groups, links, pairs
+
     def _changed(self, number: np.ndarray) -> np.ndarray:
         b = self.pieces.codes[1]
         return b.ids[b.first[number]] < 0 if len(number) else np.zeros(0, bool)
@@ -97,27 +121,6 @@ class Tokenizers:
 
 # ---- windows ------------------------------------------------------------------------------
 
-def align(a: list[int], size_a: list[int], b: list[int], size_b: list[int]) -> tuple[list[int], list[int]]:
-    """Links as ``a << 32 | b``, and the places of those that end a group, of tokens of the same bytes."""
-    i = j = 0
-    end_a, end_b = size_a[0], size_b[0]
-    links, groups = [], []
-    while True:
-        links.append(a[i] << 32 | b[j])
-        if end_a == end_b:
-            groups += i + 1, j + 1
-            i, j = i + 1, j + 1
-            if i == len(a):
-                return links, groups
-            end_a, end_b = end_a + size_a[i], end_b + size_b[j]
-        elif end_a < end_b:
-            i += 1
-            end_a += size_a[i]
-        else:
-            j += 1
-            end_b += size_b[j]
-
-
 class Windows:
     """Alignments of windows, remembered by their id tuples."""
 
@@ -131,6 +134,10 @@ class Windows:
         self.groups, self.links = np.empty(0, np.int64), np.empty(0, np.int64)
         self.first, self.pairs = np.empty(0, np.int64), np.empty(0, np.int64)
 
+    def shrink(self) -> None:
+        if len(self.number) > WINDOWS_KEPT:
+            self.forget()
+
     def of(self, a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the windows of all texts in a row, and how many each text has."""
         if not len(a):
@@ -168,43 +175,28 @@ class Windows:
 
     def _learn(self, a, begin_a, size_a, b, begin_b, size_b) -> np.ndarray:
         """Numbers of distinct windows; new ones are aligned.  A window's key is A's ids, -1 and B's."""
-        a, b = a[spread(begin_a, size_a)], b[spread(begin_b, size_b)]
-        end_a, end_b = np.cumsum(size_a), np.cumsum(size_b)
-        keys = _keys(a, end_a, b, end_b)
-        t, known, names_a, names_b = self.t, self.number, self.t.names_a, self.t.names_b
-        list_a, list_b, bytes_a, bytes_b = a.tolist(), b.tolist(), t.bytes_a[a].tolist(), t.bytes_b[b].tolist()
-        out, groups, links, flat = np.empty(len(size_a), np.int64), [], [], []
-        from_a = from_b = 0
-        for k, (key, to_a, to_b) in enumerate(zip(keys, end_a.tolist(), end_b.tolist(), strict=True)):
-            n = known.get(key)
-            if n is None:
-                n = known[key] = len(known)
-                x, y = list_a[from_a:to_a], list_b[from_b:to_b]
-                pairs, ends = align(x, bytes_a[from_a:to_a], y, bytes_b[from_b:to_b])
-                text, i, j = [], 0, 0
-                for p, q in zip(ends[::2], ends[1::2], strict=True):
-                    text.append(f"{','.join([names_a[z] for z in x[i:p]])}|{','.join([names_b[z] for z in y[j:q]])}")
-                    i, j = p, q
-                self.text.append(";".join(text))
-                groups.append(len(text))
-                links.append(len(pairs))
-                flat += pairs
-            out[k] = n
-            from_a, from_b = to_a, to_b
-        if links:
+        known, keys = self.number, list(_keys(a, begin_a, size_a, b, begin_b, size_b))
+        number = np.fromiter((known.get(k, -1) for k in keys), np.int64, len(keys))
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            number[new] = np.arange(len(known), len(known) + len(new))
+            known.update(zip(map(keys.__getitem__, new.tolist()), number[new].tolist(), strict=True))
+            text, groups, links, pairs = self.t.align(a[spread(begin_a[new], size_a[new])], size_a[new],
+                                                      b[spread(begin_b[new], size_b[new])], size_b[new])
+            self.text += text
             self.groups = np.concatenate([self.groups, groups])
             self.links = np.concatenate([self.links, links])
-            self.pairs = np.concatenate([self.pairs, np.array(flat, np.int64)])
+            self.pairs = np.concatenate([self.pairs, pairs])
             self.first = np.cumsum(self.links) - self.links
-        return out
+        return number
 
 
-def _keys(a: np.ndarray, end_a: np.ndarray, b: np.ndarray, end_b: np.ndarray) -> Iterator[bytes]:
+def _keys(a: np.ndarray, begin_a, size_a, b: np.ndarray, begin_b, size_b) -> Iterator[bytes]:
     """Each window's ids as bytes, A's and B's with -1 between."""
-    data_a, data_b, i, j = a.astype("<i4").tobytes(), b.astype("<i4").tobytes(), 0, 0
-    for p, q in zip((4 * end_a).tolist(), (4 * end_b).tolist(), strict=True):
-        yield data_a[i:p] + b"\xff\xff\xff\xff" + data_b[j:q]
-        i, j = p, q
+    data_a, data_b = a.astype("<i4").tobytes(), b.astype("<i4").tobytes()
+    for p, q, r, s in zip((4 * begin_a).tolist(), (4 * (begin_a + size_a)).tolist(), (4 * begin_b).tolist(),
+                          (4 * (begin_b + size_b)).tolist(), strict=True):
+        yield data_a[p:q] + b"\xff\xff\xff\xff" + data_b[r:s]
 
 
 # ---- Spark --------------------------------------------------------------------------------
@@ -252,7 +244,6 @@ def _align(docs: DataFrame, a_path: str, b_path: str, text: str) -> DataFrame:
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()   # nothing here makes cycles, and walking the remembered pieces takes long
         w, chunk, size, part, open_ = _windows(a_path, b_path), 0, 0, 0, []
-        w.forget()
         for t in _batches(frames, BATCH_BYTES):
             texts, part = column(t, "text"), t["part"][0].as_py()
             a, n_a, b, n_b = w.t.ids(texts)
@@ -266,10 +257,10 @@ def _align(docs: DataFrame, a_path: str, b_path: str, text: str) -> DataFrame:
             if size >= CHUNK_BYTES:
                 yield _chunk(w, part, chunk, open_)
                 chunk, size, open_ = chunk + 1, 0, []
-                if len(w.number) > WINDOWS_KEPT:
-                    w.forget()
+                w.shrink()
         if open_:
             yield _chunk(w, part, chunk, open_)
+            w.shrink()
 
     return stored(d.mapInArrow(run, CHUNKS), "alignments")
 
