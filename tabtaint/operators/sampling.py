@@ -1,12 +1,13 @@
 """Exact, reproducible, partition-independent sampling (RND1-RND10).
 
 The selection rule is always "the k rows with the smallest ``md5(seed:tag:row_key)``".
-Finding the k-th smallest hash never sorts the table: a histogram over the next four hex
-characters of the hash (<= 65,536 buckets per group, map-side combined) locates the bucket
-holding the k-th value; the search recurses into that bucket only, until it holds a few
-thousand rows, which are ranked.  On uniformly distributed md5 values two levels suffice
-even at 10^12 rows.  The result is a threshold string per group, applied as a plain filter
-``h <= T`` — a narrow projection, no join back, no shuffle of the data.
+Finding the k-th smallest hash of each group never sorts the table: a round counts the groups' rows by
+the next hex digits of the hash (map-side combined), and a window along each group's counts finds
+the digits at which the k-th row lies; the next round looks only there, until a few thousand rows are
+left, which are ranked.  On uniformly distributed md5 values two rounds suffice even at 10^12
+rows, and groups of few rows need none.  Thresholds are a table, one row a group, of which only the
+number of open groups reaches the driver; for up to 64 groups they become literals, so the choice is
+a plain filter ``h <= T``: a narrow projection, no join back, no shuffle of the data.
 """
 
 from __future__ import annotations
@@ -17,12 +18,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabtaint.functions.rng import hash_hex, py_hash
+from tabtaint.session import cut_lineage
 
 ALL = "g"   # sorts after every hex digest: selects everything
 NONE = ""   # sorts before every hex digest: selects nothing
 _SMALL = 20_000
-_MAX_GROUPS = 100_000
-BROADCAST_OFFSET_ROWS = 2_000_000
+#: Groups whose thresholds are literals, and those whose threshold rows (some 60 bytes each) are broadcast.
+LITERAL_GROUPS, BROADCAST_GROUPS = 64, 100_000
+#: Offsets that are broadcast (some 40 bytes each), and rows of a bucket that is ranked in one task.
+BROADCAST_OFFSET_ROWS, BUCKET_ROWS = 500_000, 200_000
 
 
 def _width(n_groups: int) -> int:
@@ -33,106 +37,72 @@ def _width(n_groups: int) -> int:
     return 2
 
 
+def _along(table: DataFrame, rows: int) -> DataFrame:
+    """A table of one short row a group, to be joined with all rows: broadcast under a checked bound."""
+    return F.broadcast(table) if rows <= BROADCAST_GROUPS else table
+
+
+def threshold_table(base: DataFrame, quotas: DataFrame) -> DataFrame:
+    """``_g, _t``: the threshold at which exactly ``_k`` of the group's ``_n`` rows have ``_h <= _t``.
+
+    ``base`` has a row's group ``_g`` (text) and hash ``_h`` (hex), ``quotas`` has ``_g, _n, _k``.  Any
+    number of groups will do: each round is one aggregation and a window along each group's counts."""
+    quotas = cut_lineage(quotas.select("_g", "_n", "_k"))
+    closed = quotas.where((F.col("_k") <= 0) | (F.col("_k") >= F.col("_n"))) \
+        .select("_g", F.when(F.col("_k") <= 0, F.lit(NONE)).otherwise(F.lit(ALL)).alias("_t"))
+    # in ``_at``, the digits found so far, ``_n`` rows of the group are left, of which the ``_k``-th is wanted
+    open_ = quotas.where((F.col("_k") > 0) & (F.col("_k") < F.col("_n"))).select("_g", F.lit("").alias("_at"), "_n", "_k")
+    groups = open_.count()
+    inside = F.col("_h").startswith(F.col("_at"))
+    while large := open_.where((F.col("_n") > _SMALL) & (F.length("_at") < 32)).count():
+        width = _width(large)
+        big = open_.where((F.col("_n") > _SMALL) & (F.length("_at") < 32))
+        digits = F.substr(F.col("_h"), F.length("_at") + 1, F.lit(width))
+        counts = base.join(_along(big.select("_g", "_at"), large), "_g").where(inside) \
+            .groupBy("_g", digits.alias("_d")).agg(F.count(F.lit(1)).alias("_c"))
+        upto = Window.partitionBy("_g").orderBy("_d").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        found = counts.withColumn("_s", F.sum("_c").over(upto)).join(big, "_g") \
+            .where((F.col("_s") >= F.col("_k")) & (F.col("_s") - F.col("_c") < F.col("_k"))) \
+            .select("_g", F.concat("_at", "_d").alias("_at"), F.col("_c").alias("_n"), (F.col("_k") - F.col("_s") + F.col("_c")).alias("_k"))
+        rest = open_.where((F.col("_n") <= _SMALL) | (F.length("_at") >= 32))
+        open_ = cut_lineage(rest.unionByName(found))
+    ranked = base.join(_along(open_.select("_g", "_at", "_k"), groups), "_g").where(inside) \
+        .withColumn("_r", F.row_number().over(Window.partitionBy("_g").orderBy("_h"))).where(F.col("_r") == F.col("_k"))
+    return cut_lineage(closed.unionByName(ranked.select("_g", F.col("_h").alias("_t"))))
+
+
+def group_sizes(df: DataFrame, group: Column) -> DataFrame:
+    """``_g, _v, _n``: each group as text (null apart), its value and its number of rows."""
+    return cut_lineage(df.groupBy(_group_text(group).alias("_g")).agg(F.first(group).alias("_v"), F.count(F.lit(1)).alias("_n")))
+
+
 def hash_thresholds(df: DataFrame, h: Column, k: int | Callable[[Mapping], Mapping] | Mapping,
                     group: Column | None = None) -> tuple[dict, dict]:
-    """Per-group threshold T such that exactly ``k[g]`` rows of group g have ``h <= T``.
+    """Per-group threshold T such that exactly ``k[g]`` rows of group g have ``h <= T``, for few groups.
 
-    ``k`` is an int (one group), a mapping group -> k, or a function
-    ``{group: count} -> {group: k}`` evaluated on the counts of the first histogram level
-    (so "10% of n" costs no extra job).  Returns ``(thresholds, counts)``.
+    ``k`` is an int (one group), a mapping group -> k, or a function ``{group: count} -> {group: k}``.
+    Returns ``(thresholds, counts)``.  More than ``LITERAL_GROUPS`` groups are an error: their
+    thresholds stay a table (:func:`threshold_table`).
     """
+    spark = df.sparkSession
     # groups travel as text ("n": null), so that a null is a group like any other
     base = df.select((_group_text(group) if group is not None else F.lit("v0")).alias("_g"),
                      (group if group is not None else F.lit(0)).alias("_v"), h.alias("_h"))
-    value: dict = {}
-    prefix: dict = {}
-    need: dict = {}
-    counts: dict = {}
-    thresholds: dict = {}
-    active: list = []
-    plen = 0
-    while True:
-        if plen == 0:
-            width = 4
-            # one histogram job; <= groups x 65,536 rows fetched as Arrow (columnar, no Row objects)
-            sizes = base.groupBy("_g").agg(F.first("_v").alias("_v"), F.count(F.lit(1)).alias("n")).limit(_MAX_GROUPS + 1).collect()
-            if len(sizes) > _MAX_GROUPS:   # checked before the histogram is fetched
-                raise ValueError(f"more than {_MAX_GROUPS} groups for exact stratified sampling")
-            pdf = base.groupBy("_g", F.substring("_h", 1, width).alias("_b")).count().toArrow().to_pandas()
-            value = {r["_g"]: r["_v"] for r in sizes}
-            counts = {r["_g"]: r["n"] for r in sizes}
-            if callable(k):
-                want = _by_text(value, k({value[t]: n for t, n in counts.items()}))
-            elif isinstance(k, Mapping):
-                want = _by_text(value, k)
-            else:
-                want = {"v0": int(k)}
-            for gv, n in counts.items():
-                kk = int(want.get(gv, 0))
-                if kk <= 0:
-                    thresholds[gv] = NONE
-                elif kk >= n:
-                    thresholds[gv] = ALL
-                else:
-                    need[gv] = kk
-                    prefix[gv] = ""
-            active = list(need)
-            hist = []
-            if active:
-                pdf = pdf.sort_values(["_g", "_b"])
-                pdf["_cum"] = pdf.groupby("_g", sort=False)["count"].cumsum()
-                for gv, sub in pdf.groupby("_g", sort=False):
-                    gv = _py(gv)
-                    if gv not in need:
-                        continue
-                    row = sub[sub["_cum"] >= need[gv]].iloc[0]
-                    hist.append({"_g": gv, "_b": row["_b"], "count": int(row["count"]),
-                                 "_before": int(row["_cum"] - row["count"])})
-        else:
-            width = _width(len(active))
-            keys = F.create_map(*[x for gv in active for x in (F.lit(gv), F.lit(prefix[gv]))])
-            cand = base.filter(F.substring("_h", 1, plen) == F.element_at(keys, F.col("_g")))
-            hist = cand.groupBy("_g", F.substring("_h", plen + 1, width).alias("_b")).count().collect()
-        if not active:
-            break
-        small = True
-        if plen == 0:
-            for r in hist:
-                gv = r["_g"]
-                need[gv] -= r["_before"]
-                prefix[gv] = r["_b"]
-                if r["count"] > _SMALL:
-                    small = False
-        else:
-            by_g: dict = {}
-            for r in hist:
-                if r["_g"] in need:
-                    by_g.setdefault(r["_g"], []).append((r["_b"], r["count"]))
-            for gv in active:
-                cum = 0
-                for b, c in sorted(by_g.get(gv, [])):
-                    if cum + c >= need[gv]:
-                        need[gv] -= cum
-                        prefix[gv] = prefix[gv] + b
-                        if c > _SMALL:
-                            small = False
-                        break
-                    cum += c
-        plen += width
-        if small or plen >= 32:
-            break
-    if active:
-        # rank inside the (small) boundary buckets only
-        keys = F.create_map(*[x for gv in active for x in (F.lit(gv), F.lit(prefix[gv]))])
-        cand = base.filter(F.substring("_h", 1, plen) == F.element_at(keys, F.col("_g")))
-        w = Window.partitionBy("_g").orderBy("_h")
-        needs = F.create_map(*[x for gv in active for x in (F.lit(gv), F.lit(need[gv]))])
-        rows = (cand.withColumn("_rn", F.row_number().over(w))
-                .filter(F.col("_rn") == F.element_at(needs, F.col("_g")))
-                .select("_g", "_h").collect())
-        for r in rows:
-            thresholds[r["_g"]] = r["_h"]
-    return {value[t]: x for t, x in thresholds.items()}, {value[t]: n for t, n in counts.items()}
+    sizes = base.groupBy("_g").agg(F.first("_v").alias("_v"), F.count(F.lit(1)).alias("n")).limit(LITERAL_GROUPS + 1).collect()
+    if len(sizes) > LITERAL_GROUPS:
+        raise ValueError(f"more than {LITERAL_GROUPS} groups: use threshold_table")
+    value = {r["_g"]: r["_v"] for r in sizes}
+    counts = {r["_g"]: r["n"] for r in sizes}
+    if callable(k):
+        want = _by_text(value, k({value[t]: n for t, n in counts.items()}))
+    elif isinstance(k, Mapping):
+        want = _by_text(value, k)
+    else:
+        want = {"v0": int(k)}
+    rows = [(t, n, int(want.get(t, 0))) for t, n in counts.items()]
+    table = threshold_table(base, spark.createDataFrame(rows, "_g string, _n bigint, _k bigint")) if rows else None
+    found = {r["_g"]: r["_t"] for r in table.collect()} if rows else {}
+    return {value[t]: x for t, x in found.items()}, {value[t]: n for t, n in counts.items()}
 
 
 def _group_text(group: Column) -> Column:
@@ -143,11 +113,6 @@ def _by_text(value: Mapping, by_value: Mapping) -> dict:
     return {t: by_value[v] for t, v in value.items() if v in by_value}
 
 
-def _py(v):
-    """numpy scalar -> Python scalar (dictionary keys and Spark literals)."""
-    return v.item() if hasattr(v, "item") else v
-
-
 def threshold_flag(h: Column, thresholds: Mapping, group: Column | None = None) -> Column:
     """Boolean column ``h <= T[group]`` (a literal map lookup: no join)."""
     if group is None:
@@ -199,30 +164,27 @@ def sample_with_replacement(df: DataFrame, key: str, how_many: int, seed, tag: s
 def number_by_hash(df: DataFrame, key: str, seed, tag: str, group: str | None = None):
     """RND6: contiguous 0-based ``_pos`` in hash order (within ``group`` when given).
 
-    Two-phase numbering: rows are bucketed by (group, first 4 hex chars of the hash) — md5
-    makes the buckets even, so a hot group is spread over up to 65,536 buckets.  The bucket
-    histogram (<= groups x 65,536 rows) is prefix-summed by a window and joined back (broadcast
-    under a checked bound); each bucket is ranked by a window partitioned by (group, bucket).  Only the group
-    sizes reach the driver.  Returns ``(df, n)``; with a group, ``n`` is the dict of sizes.
+    Two-phase numbering: rows are bucketed by (group, first hex digits of the hash) — md5 makes
+    the buckets even, so a hot group is spread over them, and the number of digits follows the number of
+    rows.  Bucket counts are summed along by a window and joined back (broadcast under a checked
+    bound); each bucket is ranked by a window partitioned by (group, bucket).  Returns ``(df, n)``;
+    with a group, ``n`` is the table ``_v, _n`` of group sizes.
     """
     h = hash_hex(seed, tag, key)
-    g = F.col(group) if group else F.lit(0)
-    x = df.withColumn("_h", h).withColumn("_bk", F.substring("_h", 1, 4)).withColumn("_g", g)
-    sizes = {r["_g"]: r["count"] for r in x.groupBy("_g").count().collect()}
-    if len(sizes) > _MAX_GROUPS:
-        raise ValueError(f"too many groups for hash numbering: {len(sizes)}")
+    g = _group_text(F.col(group)) if group else F.lit("v0")
+    sizes = group_sizes(df, F.col(group) if group else F.lit(0))
+    total = sizes.agg(F.sum("_n")).first()[0] or 0
+    digits = 1
+    while digits < 8 and total > BUCKET_ROWS * 16 ** digits:
+        digits += 1
+    x = df.withColumn("_h", h).withColumn("_bk", F.substring("_h", 1, digits)).withColumn("_g", g)
     hist = x.groupBy("_g", "_bk").count()
     before = Window.partitionBy("_g").orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
-    offs = hist.select("_g", "_bk", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_off"))
+    offs = cut_lineage(hist.select("_g", "_bk", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_off")))
     w = Window.partitionBy("_g", "_bk").orderBy("_h")
-    # the offset table has sum_g min(size_g, 65,536) rows at most: broadcast only under a bound
-    bound = sum(min(n, 65_536) for n in sizes.values())
-    offs = F.broadcast(offs) if bound <= BROADCAST_OFFSET_ROWS else offs
-    offs = offs.select(F.col("_g").alias("_og"), F.col("_bk").alias("_obk"), "_off")
-    out = (x.join(offs, x["_g"].eqNullSafe(F.col("_og")) & (x["_bk"] == F.col("_obk")))
-           .withColumn("_pos", F.col("_off") + F.row_number().over(w) - 1)
-           .drop("_bk", "_off", "_h", "_g", "_og", "_obk"))
-    return out, (sizes if group else sizes.get(0, 0))
+    offs = F.broadcast(offs) if offs.count() <= BROADCAST_OFFSET_ROWS else offs
+    out = x.join(offs, ["_g", "_bk"]).withColumn("_pos", F.col("_off") + F.row_number().over(w) - 1).drop("_bk", "_off", "_h", "_g")
+    return out, (sizes.select("_v", "_n") if group else total)
 
 
 def py_derangement_order(values, seed, tag: str) -> dict:

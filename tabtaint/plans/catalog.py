@@ -589,6 +589,22 @@ SELECT row_key, c_mktsegment, CASE WHEN rn <= q THEN 'test' ELSE 'train' END AS
     q_split_strat)
 
 
+def q_split_many(spark, sf_dir):
+    """SPL1 by a label with as many classes as there are parts; classes of one row are left out first."""
+    li = keyed(spark, sf_dir, "lineitem").select("row_key", "l_partkey")
+    several = li.groupBy("l_partkey").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("l_partkey")
+    return SP.stratified_split(li.join(several, "l_partkey", "left_semi"), "row_key", "l_partkey", 0.25, seed=SEED) \
+        .groupBy("l_partkey", "split").agg(F.count(F.lit(1)).alias("n"), F.min("row_key").alias("first"))
+
+
+register("split_many_strata", f"""
+WITH x AS (SELECT * FROM {sql_keyed('lineitem')} WHERE l_partkey IN (SELECT l_partkey FROM lineitem GROUP BY 1 HAVING count(*) > 1)),
+b AS (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY {sql_hash(SEED, 'split', 'row_key')}) AS rn FROM x),
+q AS {_sql_lr_quota("SELECT l_partkey AS g, count(*) AS n FROM x GROUP BY 1", "CAST(ceil(0.25::DOUBLE * sum(n)) AS BIGINT)")}
+SELECT l_partkey, CASE WHEN rn <= q THEN 'test' ELSE 'train' END AS split, count(*) AS n, min(row_key) AS first
+FROM b JOIN q ON b.l_partkey = q.g GROUP BY 1, 2""")(q_split_many)
+
+
 def q_split_random(spark, sf_dir):
     return SP.random_split(keyed(spark, sf_dir, "orders"), "row_key", 0.3, seed=SEED).select("row_key", "split")
 
