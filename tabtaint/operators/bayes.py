@@ -110,9 +110,9 @@ def noisy_tables(d: DataFrame, network, seed, scale: float) -> DataFrame:
     out = None
     for i, (parents, child) in enumerate(network):   # as many as columns
         cells = values.where(F.col("s") == number[child]).select(F.lit(i).alias("s"), F.col("v").alias("b"))
-        for p in parents:
-            cells = cells.join(values.where(F.col("s") == number[p]).select(F.lit(i).alias("s"), F.col("v").alias(p)), "s")
-        cells = cells.select("s", _text(parents).alias("a"), "b")
+        for j, p in enumerate(parents):
+            cells = cells.join(values.where(F.col("s") == number[p]).select(F.lit(i).alias("s"), F.col("v").alias(f"p{j}")), "s")
+        cells = cells.select("s", _text([f"p{j}" for j in range(len(parents))]).alias("a"), "b")
         out = cells if out is None else out.unionByName(cells)
     u = uniform(seed, "laplace", F.concat_ws("|", F.col("s").cast("string"), "a", "b")) - 0.5
     noise = -F.lit(scale) * F.signum(u) * F.log(F.greatest(F.lit(1e-300), 1 - 2 * F.abs(u)))
@@ -131,10 +131,10 @@ def sample_network(spark, network, tables: DataFrame, n_samples: int, seed, tag:
     most = totals.agg(F.max("_size")).first()[0] or 1
     out = spark.range(n_samples).withColumnRenamed("id", "draw_id")
     for i, (parents, child) in enumerate(network):
-        mine = intervals.where(F.col("s") == i).select("a", F.col("b").alias(child), "_lo", "_hi")
-        out = out.withColumn("a", _text(parents)).join(totals.where(F.col("s") == i).select("a", "_size"), "a")
+        mine = intervals.where(F.col("s") == i).select(F.col("a").alias("_a"), F.col("b").alias(child), "_lo", "_hi")
+        out = out.withColumn("_a", _text(parents)).join(totals.where(F.col("s") == i).select(F.col("a").alias("_a"), "_size"), "_a")
         place = F.floor(uniform(seed, f"{tag}:{child}", F.col("draw_id")) * F.col("_size")).cast("bigint")
-        out = join_intervals(out.withColumn("_pos", place).drop("_size"), mine, ["a"], most).drop("a", "_pos")
+        out = join_intervals(out.withColumn("_pos", place).drop("_size"), mine, ["_a"], most).drop("_a", "_pos")
     return out
 
 
