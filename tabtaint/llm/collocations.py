@@ -35,7 +35,7 @@ from tabtaint.llm.text import U64, mixed, word_hashes
 SUPPORT, TOP, INSIDE_PERCENT = 10, 2000, 50
 #: One document of so many is in the sample, which proposes what it holds so many times.
 SAMPLE_SHARE, SAMPLE_LEAST = 8, 2
-SLICE_BYTES, CHUNK_BYTES = 4 << 20, 24 << 20
+SLICE_BYTES, CHUNK_BYTES, ROWS = 2 << 20, 10 << 20, 1 << 16
 LEAST_BITS, MOST_BITS, BITS_EACH = 16, 28, 16
 SALTS = 64
 #: The signs that end a piece, and the blanks between words.
@@ -137,14 +137,14 @@ class Chunk:
         if words:
             n = np.bincount(at, minlength=v)
             n[0] = len(at) - n[0]  # all words, in the row of the empty phrase
-            yield _rows(lang, [pc.if_else(pc.equal(names, _BREAK), b"", names)], np.where(np.arange(v) > 0, 1, 0), n)
+            yield from _rows(lang, pc.if_else(pc.equal(names, _BREAK), b"", names), [np.arange(v)], np.where(np.arange(v) > 0, 1, 0), n)
         hashes = _hashes(list(self.number))
         cells = _cells(lang, hashes)
         pair_at = np.flatnonzero((at[:-1] > 0) & (at[1:] > 0))
         pairs, of, n = np.unique(at[pair_at] * v + at[pair_at + 1], return_inverse=True, return_counts=True)
         x, y = pairs // v, pairs % v
         new = _new([p and p[0] for p in passes], cells, (x, y))
-        yield _rows(lang, [names.take(pa.array(x[new])), names.take(pa.array(y[new]))], np.full(int(new.sum()), 2), n[new])
+        yield from _rows(lang, names, [x[new], y[new]], np.full(int(new.sum()), 2), n[new])
         if not triples:
             return
         follow = np.diff(pair_at) == 1
@@ -156,7 +156,7 @@ class Chunk:
         a, z = triple // v, triple % v
         new = _new([p[1] for p in passes], cells, (a, np.searchsorted(pairs, y[a] * v + z)))
         a, z = a[new], z[new]
-        yield _rows(lang, [names.take(pa.array(i)) for i in (x[a], y[a], z)], np.full(len(a), 3), n[new])
+        yield from _rows(lang, names, [x[a], y[a], z], np.full(len(a), 3), n[new])
 
 
 def _new(sets: list[Bits | None], cells: np.ndarray, parts: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -173,10 +173,13 @@ def _new(sets: list[Bits | None], cells: np.ndarray, parts: tuple[np.ndarray, np
     return out
 
 
-def _rows(lang: str, words: list[pa.Array], size: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    phrase = pc.binary_join_element_wise(*words, pa.scalar(b" ", pa.binary())) if len(words) > 1 else words[0]
-    return pa.RecordBatch.from_pydict({"lang": pa.array([lang], pa.string()).take(pa.array(np.zeros(len(n), np.int32))),
-                                       "phrase": phrase.cast(pa.string()), "size": size.astype(np.int32), "n": n.astype(np.int64)})
+def _rows(lang: str, words: pa.Array, at: list[np.ndarray], size: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Phrases made of ``words`` at ``at``, with their counts, in short batches."""
+    for k in range(0, len(n), ROWS):
+        part = [words.take(pa.array(i[k:k + ROWS])) for i in at]
+        phrase = pc.binary_join_element_wise(*part, pa.scalar(b" ", pa.binary())) if len(part) > 1 else part[0]
+        yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(phrase), pa.string()), "phrase": phrase.cast(pa.string()),
+                                          "size": size[k:k + ROWS].astype(np.int32), "n": n[k:k + ROWS].astype(np.int64)})
 
 
 def _counted(docs: DataFrame, passes: list, words: bool, triples: bool = True) -> DataFrame:
