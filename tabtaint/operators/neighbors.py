@@ -24,7 +24,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabtaint.operators.profile import bounded_values
 from tabtaint.session import cut_lineage
 
 #: Memory of a block of reference rows or of visitors in one task.
@@ -315,18 +314,6 @@ def fill_medians(df: DataFrame, numeric) -> DataFrame:
     return df
 
 
-def onehot_features(df: DataFrame, numeric, categorical, vocab: dict | None = None) -> DataFrame:
-    """``_f = [numeric..., one-hot(categorical)...]`` as array<double> (the euclidean input)."""
-    parts = [F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))) for c in numeric]
-    if vocab is None:
-        vocab = {c: sorted(bounded_values(df, F.col(c).cast("string")))
-                 for c in categorical}
-    for c in categorical:
-        for v in vocab[c]:
-            parts.append(F.coalesce((F.col(c).cast("string") == F.lit(v)).cast("double"), F.lit(0.0)))
-    return df.withColumn("_f", F.array(*parts) if parts else F.array().cast("array<double>"))
-
-
 def plain_features(df: DataFrame, numeric, categorical, scale: dict | None = None) -> DataFrame:
     """``_f`` (numbers, divided by ``scale`` where it is positive) and ``_c`` (categories as text)."""
     def number(c):

@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from itertools import combinations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabtaint.functions.rng import py_sample, py_uniform, sql_hash
@@ -1341,6 +1341,41 @@ def q_iforest(spark, sf_dir):
 register("iforest_scores", None)(q_iforest)
 
 
+def q_iforest_sample(spark, sf_dir):
+    """The rows that each of 100 trees is built from: the 256 least hashes of the whole table."""
+    ev = keyed(spark, sf_dir, "events").select("row_key")
+    rows, psi = IF.bottom_rows(ev, "row_key", 100, 256, SEED)
+    least = rows.withColumn("rank", F.row_number().over(Window.partitionBy("tree").orderBy("_h", "row_key"))).where(F.col("rank") <= psi)
+    return least.select("tree", "rank", "row_key")
+
+
+def _iforest_sample_sql():
+    trees = ", ".join(f"({t}, {a}, {b}, {c}, {d})" for t, (a, b, c, d) in enumerate(IF.tree_hashes(SEED, 100).tolist()))
+    h = sql_hash(SEED, "iforest:row", "row_key")
+    return f"""
+WITH x AS (SELECT row_key, CAST('0x' || substr({h}, 1, 8) AS BIGINT) % {IF.PRIME} AS x, CAST('0x' || substr({h}, 9, 8) AS BIGINT) % {IF.PRIME} AS y
+           FROM {sql_keyed('events')}),
+t(tree, a, b, c, d) AS (VALUES {trees}),
+r AS (SELECT tree, row_key, row_number() OVER (PARTITION BY tree ORDER BY (a * x + b) % {IF.PRIME} * 2147483648 + (c * y + d) % {IF.PRIME}, row_key) AS rank
+      FROM x, t)
+SELECT CAST(tree AS INTEGER) AS tree, CAST(rank AS INTEGER) AS rank, row_key FROM r WHERE rank <= 256"""
+
+
+register("iforest_sample", _iforest_sample_sql())(q_iforest_sample)
+
+
+OUTLIER_BATCH = {"supplier": (["s_acctbal"], ["s_nationkey"]), "customer": (["c_acctbal"], ["c_nationkey", "c_mktsegment"]),
+                 "part": (["p_size", "p_retailprice"], ["p_brand"])}
+
+
+def q_outlier_batch(spark, sf_dir):
+    """OUT3 over several tables, a JSON record for each table and method."""
+    return IF.outlier_batch(spark, {t: (keyed(spark, sf_dir, t), num, cat, "row_key") for t, (num, cat) in OUTLIER_BATCH.items()}, SEED)
+
+
+register("outlier_batch", None)(q_outlier_batch)
+
+
 def q_outlier_counts(spark, sf_dir):
     """OUT3: outlier counts of both detectors per dataset, as one report table."""
     sup = keyed(spark, sf_dir, "supplier")
