@@ -2,13 +2,15 @@
 
 Named deviations from the reference's libraries: gradient-boosted trees stand in for
 XGBoost (ML2/ML3); the RBF SVC detector uses random Fourier features (Rahimi & Recht 2007)
-with a linear SVM (DET2); AdaBoost (ML1 binary) is a SAMME loop over weighted MLlib stumps.
+with a linear SVM (DET2); AdaBoost (ML1 binary) is in :mod:`boost`.
 Folds, thresholds and metrics are distributed jobs; only fitted models and a few numbers
 are on the driver.
 """
 
 from __future__ import annotations
 
+
+
 import math
 
 import numpy as np
@@ -24,6 +26,7 @@ from pyspark.sql import functions as F
 from tabtaint.functions.encoders import mllib_features
 from tabtaint.functions.metrics import f1_scores, regression_metrics, roc_auc
 from tabtaint.functions.rng import py_hash
+from tabtaint.operators import boost
 from tabtaint.operators.sampling import number_by_hash
 from tabtaint.session import cut_lineage
 from tabtaint.operators.profile import bounded_values
@@ -108,49 +111,10 @@ def detection(real: DataFrame, syn: DataFrame, numeric, categorical, seed, metho
 
 # ---------------------------------------------------------------- ML1 efficacy
 
-def _adaboost_stumps(train: DataFrame, rounds: int, seed):
-    """SAMME with two classes over weighted depth-1 trees; labels are 0/1 doubles."""
-    data = train.select("features", "label")
-    n = data.count()
-    data = data.withColumn("w", F.lit(1.0 / n)).persist()
-    learners = []
-    for t in range(rounds):
-        stump = DecisionTreeClassifier(maxDepth=1, labelCol="label", weightCol="w", seed=t).fit(data)
-        pred = stump.transform(data)
-        err = pred.agg((F.sum(F.when(F.col("prediction") != F.col("label"), F.col("w")).otherwise(0.0)) /
-                        F.sum("w")).alias("e")).first()["e"]
-        if err is None or err <= 0:
-            learners.append((stump, 1.0))
-            break
-        if err >= 0.5:
-            break
-        alpha = math.log((1 - err) / err)
-        learners.append((stump, alpha))
-        nxt = pred.select("features", "label", (F.col("w") * F.exp(
-            F.when(F.col("prediction") != F.col("label"), F.lit(alpha)).otherwise(0.0))).alias("w"))
-        # weights sum to 1, so the new total is (1 - err) + err * e^alpha: no extra job
-        tot = (1.0 - err) + err * math.exp(alpha)
-        nxt = nxt.withColumn("w", F.col("w") / F.lit(tot))
-        nxt = cut_lineage(nxt) if t % 10 == 9 else nxt.persist()
-        data.unpersist()
-        data = nxt
-    return learners
-
-
-def _adaboost_predict(learners, df: DataFrame) -> DataFrame:
-    out = df.withColumn("_vote", F.lit(0.0))
-    for i, (m, a) in enumerate(learners):
-        p = m.transform(out.select(*[c for c in out.columns])).withColumnRenamed("prediction", f"_p{i}") \
-            .drop("rawPrediction", "probability")
-        out = p.withColumn("_vote", F.col("_vote") + F.lit(a) * F.when(F.col(f"_p{i}") == 1.0, 1.0).otherwise(-1.0)) \
-            .drop(f"_p{i}")
-    return out.withColumn("prediction", F.when(F.col("_vote") > 0, 1.0).otherwise(0.0))
-
-
 def efficacy(syn: DataFrame, real: DataFrame, numeric, categorical, target: str, problem_type: str,
              seed=0, ada_rounds: int = 50) -> DataFrame:
     """ML1: train on synthetic, test on real.  regression -> R^2 (LinearRegression);
-    multiclass -> macro F1 (decision tree); binary -> F1 of AdaBoost stumps."""
+    multiclass -> macro F1 (decision tree); binary -> F1 of boosted stumps (:mod:`boost`)."""
     spark = syn.sparkSession
     if problem_type == "regression":
         ftr, (fte,) = _features(syn.withColumn("label", F.col(target).cast("double")),
@@ -162,12 +126,12 @@ def efficacy(syn: DataFrame, real: DataFrame, numeric, categorical, target: str,
         real.select(F.col(target).cast("string").alias("_t"))), "_t"))
     code = F.create_map(*[x for i, v in enumerate(classes) for x in (F.lit(v), F.lit(float(i)))])
     lab = F.element_at(code, F.col(target).cast("string"))
-    ftr, (fte,) = _features(syn.withColumn("label", lab), [real.withColumn("label", lab)], numeric, categorical)
     if len(classes) <= 2:
-        learners = _adaboost_stumps(ftr, ada_rounds, seed)
-        pred = _adaboost_predict(learners, fte)
+        binned, stumps = boost.fit(syn.withColumn("label", lab), numeric, categorical, ada_rounds)
+        pred = boost.predict(real.withColumn("label", lab), binned, stumps)
         f1 = f1_scores(pred, "label", "prediction", positive="1.0").first()["f1_binary"]
         return spark.createDataFrame([("binary", "f1", f1)], "task string, metric string, score double")
+    ftr, (fte,) = _features(syn.withColumn("label", lab), [real.withColumn("label", lab)], numeric, categorical)
     m = DecisionTreeClassifier(labelCol="label", seed=0).fit(ftr)
     f1 = f1_scores(m.transform(fte), "label", "prediction").first()["f1_macro"]
     return spark.createDataFrame([("multiclass", "f1_macro", f1)], "task string, metric string, score double")

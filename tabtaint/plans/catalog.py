@@ -1419,6 +1419,9 @@ def q_eff_binary(spark, sf_dir):
     return MD.efficacy(syn, real, ["n_chars"], ["lang", "source"], "quality", "classification", SEED, ada_rounds=50)
 
 
+from tabtaint.operators import boost as BO  # noqa: E402
+
+
 def q_eff_multiclass(spark, sf_dir):
     r, s = _halves(spark, sf_dir, "customer")
     syn = G.marginal(s, ["c_nationkey", "c_acctbal", "c_mktsegment"], 700, SEED)
@@ -1431,6 +1434,51 @@ def q_eff_regression(spark, sf_dir):
 
 
 register("ml_efficacy_binary", None)(q_eff_binary)
+
+
+def q_boost_rounds(spark, sf_dir):
+    """The first three boosted stumps for the quality of documents."""
+    d = load(spark, sf_dir, "documents").join(load(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("double").alias("label")), "doc_id")
+    binned, stumps = BO.fit(d.where("label IS NOT NULL"), ["n_chars"], ["lang", "source"], 3)
+    rows = spark.createDataFrame(BO.describe(binned, stumps), "round int, column string, split string, yes double, no double, error double, alpha double")
+    return rows.withColumn("error", r6(F.col("error"))).withColumn("alpha", r6(F.col("alpha")))
+
+
+def _boost_rounds_sql():
+    cols = [("n_chars", True), ("lang", False), ("source", False)]
+
+    def bin_of(c, number):
+        if number:
+            return (f"CAST(least(greatest(floor(({c} - (SELECT min({c}) FROM d)) / CAST((SELECT max({c}) - min({c}) FROM d) AS DOUBLE) * {BO.BINS}), 0), "
+                    f"{BO.BINS - 1}) AS INTEGER)")
+        return f"(SELECT count(DISTINCT coalesce(o.{c}, '∅')) FROM d o WHERE coalesce(o.{c}, '∅') < coalesce(d.{c}, '∅'))"
+
+    ctes = ["d AS (SELECT doc_id, n_chars, lang, source, CAST(quality AS DOUBLE) AS y FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL)",
+            "x AS MATERIALIZED (SELECT doc_id, y, " + ", ".join(f"{bin_of(c, n)} AS b{i}" for i, (c, n) in enumerate(cols)) + " FROM d)",
+            "v AS (" + " UNION ALL ".join(f"SELECT DISTINCT {i} AS c, {bin_of(c, n)} AS s, coalesce({c}, '∅') AS name FROM d"
+                                          for i, (c, n) in enumerate(cols) if not n) + ")",
+            "w0 AS (SELECT doc_id, 1.0::DOUBLE AS w FROM x)"]
+    for k in range(1, 4):
+        long = " UNION ALL ".join(f"SELECT {i} AS c, b{i} AS b, y, w FROM x JOIN w{k - 1} USING (doc_id)" for i in range(len(cols)))
+        ctes += [f"h{k} AS MATERIALIZED (SELECT c, b, sum(w * y) AS p, sum(w * (1 - y)) AS q FROM ({long}) GROUP BY 1, 2)",
+                 f"t{k} AS (SELECT sum(p) AS p, sum(q) AS q FROM h{k} WHERE c = 0)",
+                 f"""e{k} AS (
+  SELECT c, s, yp, yq, t{k}.p - yp AS np, t{k}.q - yq AS nq, (least(yp, yq) + least(t{k}.p - yp, t{k}.q - yq)) / (t{k}.p + t{k}.q) AS e
+  FROM (SELECT 0 AS c, r.s, coalesce(sum(p), 0) AS yp, coalesce(sum(q), 0) AS yq FROM range({BO.BINS - 1}) r(s) LEFT JOIN h{k} ON c = 0 AND b <= r.s GROUP BY r.s
+        UNION ALL SELECT c, b, p, q FROM h{k} WHERE c > 0), t{k})""",
+                 f"s{k} AS MATERIALIZED (SELECT *, CASE WHEN yp > yq THEN 1.0 ELSE 0.0 END AS yes, CASE WHEN np > nq THEN 1.0 ELSE 0.0 END AS no, "
+                 f"ln((1 - e) / e) AS alpha FROM e{k} ORDER BY round(e, {BO.SAME_ERROR}), c, s LIMIT 1)"]
+        side = "CASE s.c " + " ".join(f"WHEN {i} THEN b{i} {'<=' if n else '='} s.s" for i, (_, n) in enumerate(cols)) + " END"
+        ctes.append(f"w{k} AS MATERIALIZED (SELECT doc_id, w * CASE WHEN (CASE WHEN {side} THEN yes ELSE no END) <> y THEN exp(alpha) ELSE 1.0 END AS w "
+                    f"FROM x JOIN w{k - 1} USING (doc_id), s{k} s)")
+    names = "CASE c " + " ".join(f"WHEN {i} THEN '{c}'" for i, (c, _) in enumerate(cols)) + " END"
+    rounds = " UNION ALL ".join(
+        f"SELECT {k} AS round, {names} AS column, CASE WHEN c = 0 THEN 'bin <= ' || s ELSE (SELECT name FROM v WHERE v.c = s{k}.c AND v.s = s{k}.s) END AS split, "
+        f"CAST(yes AS DOUBLE) AS yes, CAST(no AS DOUBLE) AS no, round(e, 6) AS error, round(alpha, 6) AS alpha FROM s{k}" for k in range(1, 4))
+    return f"WITH {', '.join(ctes)} {rounds}"
+
+
+register("boost_rounds", _boost_rounds_sql())(q_boost_rounds)
 register("ml_efficacy_multiclass", None)(q_eff_multiclass)
 register("ml_efficacy_regression", None)(q_eff_regression)
 
