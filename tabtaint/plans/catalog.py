@@ -1931,6 +1931,37 @@ def q_experiment(spark, sf_dir):
 register("experiment_run", None)(q_experiment)
 
 
+def q_experiment_store(spark, sf_dir):
+    """GRD5, GRD8, SNK4: an experiment run into a store, run again by force after its ledger row was lost,
+    run once more (skipped), and compacted: how many rows each table of the store has."""
+    store, df = ST.scratch(spark, "experiment"), keyed(spark, sf_dir, "customer")
+    exp = EX.Experiment("customer", "marginal_distributions", 100, "IMP", "PLC", 0.2)
+    for force in (False, True, False):
+        EX.run_experiment(df, SPECS["customer"], exp, store=store, force=force)
+    for t in GR.LEDGER_KEYS:
+        GR.compact_ledger(spark, store, t)
+    tables = {t: GR.read_ledger(spark, store, t) for t in (*GR.LEDGER_KEYS, "corrupted_rows")}
+    tables |= {"tasks": spark.read.text(f"{store}/tasks"), "synthetic": spark.read.parquet(f"{store}/{EX.synthetic_path(exp)}")}
+    out = None
+    for name, t in tables.items():
+        n = t.agg(F.lit(name).alias("table"), F.count(F.lit(1)).alias("rows"))
+        out = n if out is None else out.unionByName(n)
+    return out
+
+
+def _experiment_store_sql():
+    single = [m for m in GR.QUALITY_METHODS + GR.ML_METHODS if m in GR.SINGULAR_METHODS]
+    dual = [m for m in GR.QUALITY_METHODS + GR.ML_METHODS if m in GR.DUAL_METHODS and m not in GR.REGRESSION_ONLY]
+    every = len(single) * len(GR.SINGULAR_TARGETS) + len(dual) * len(GR.DUAL_TARGETS)
+    repeated = len(single) * 2 + len(dual)   # R and S alone, R with S, at a rate that isn't the first
+    n = "(SELECT count(*) - CAST(ceil(0.5 * count(*)) AS BIGINT) FROM customer)"
+    return f"""SELECT * FROM (VALUES ('experiments', 1), ('errors', 0), ('evaluations', 0), ('skipped_computations', {repeated} + 1),
+  ('corrupted_rows', CAST(floor(greatest(0.2 * {n}, 1)) AS BIGINT)), ('tasks', {every - repeated}), ('synthetic', {n})) t("table", "rows")"""
+
+
+register("experiment_store", _experiment_store_sql())(q_experiment_store)
+
+
 def q_replay(spark, sf_dir):
     """GRD9: replay quality evaluations R-S and R-SH of an experiment from the id strings."""
     eid = "NOR#customer#100#IMP#PLC#20#marginal_distributions"

@@ -143,20 +143,47 @@ def split_real(df: DataFrame, spec: TableSpec, exp: Experiment):
     return s.where("split = 'train'").drop("split"), s.where("split = 'test'").drop("split")
 
 
-def resolve_targets(df: DataFrame, spec: TableSpec, exp: Experiment, n_samples: int | None = None) -> dict:
-    """EV2: lazily planned R, RH, S, SH (+ the validation half and the corruption result)."""
+def stored_synthetic(spark, store: str | None, exp: Experiment) -> DataFrame | None:
+    """The synthetic table that an experiment has left in the store, or None."""
+    from pyspark.errors import AnalysisException
+    if not store:
+        return None
+    try:
+        return spark.read.parquet(f"{store}/{synthetic_path(exp)}")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def resolve_targets(df: DataFrame, spec: TableSpec, exp: Experiment, n_samples: int | None = None,
+                    names=("R", "RH", "S", "SH", "V"), store: str | None = None) -> dict:
+    """EV2: those of R, RH, S, SH and the validation half V that ``names`` asks for (with RH, the corruption
+    result too).
+
+    S and SH are read from the ``store`` where their experiments have left them (S is the perfect
+    counterpart's), and drawn anew otherwise.  The table is split only for what needs a half of it."""
+    perfect = exp if exp.error is None else exp.perfect_counterpart()
+    found = {t: stored_synthetic(df.sparkSession, store, e) for t, e in (("S", perfect), ("SH", exp)) if t in names}
+    out = {t: f for t, f in found.items() if f is not None}
+    wanted = [t for t in names if t not in out and (exp.error or t not in ("RH", "SH"))]
+    if not wanted:
+        return out
     train, valid = split_real(df, spec, exp)
-    out = {"R": train, "V": valid}
-    n = n_samples or train.count()
     gen = GENERATORS[exp.generator]
-    out["S"] = gen(train, spec, n, exp.seed)
-    if exp.error:
+    n = (n_samples or train.count()) if {"S", "SH"} & set(wanted) else None
+    if "R" in wanted:
+        out["R"] = train
+    if "V" in wanted:
+        out["V"] = valid
+    if "S" in wanted:
+        out["S"] = gen(train, spec, n, exp.seed)
+    if {"RH", "SH"} & set(wanted):
         res = C.corrupt(train, spec, exp.error, exp.rate, seed=exp.seed, audit=False)
-        rh = res.df
-        if exp.perfectness == "SEMI":
-            rh = C.drop_corrupted(rh, res.rows, spec.row_key)
+        rh = C.drop_corrupted(res.df, res.rows, spec.row_key) if exp.perfectness == "SEMI" else res.df
         out["RH"], out["corruption"] = rh, res
-        out["SH"] = gen(rh, spec, n, exp.seed)
+        if "SH" in wanted:
+            out["SH"] = gen(rh, spec, n, exp.seed)
     return out
 
 
@@ -171,28 +198,43 @@ def guard(train_rows: int, spec: TableSpec, exp: Experiment) -> str | None:
     return None
 
 
-def run_experiment(df: DataFrame, spec: TableSpec, exp: Experiment, profile: str = "local", store: str | None = None):
+def run_experiment(df: DataFrame, spec: TableSpec, exp: Experiment, profile: str = "local", store: str | None = None,
+                   force: bool = False):
     """GRD8: returns ``(synthetic DataFrame or None, experiments-ledger row DataFrame, reason)``.
 
-    With ``store`` the outcome is kept below that folder: the synthetic table under its object path,
-    the ledger row, the corrupted rows' keys as a table of their own (``corrupted_rows``; the
-    ledger's array stays empty, whatever their number), the evaluation tasks, or the reason of a
-    skipped run.
+    With ``store`` the outcome is kept below that folder: the synthetic table under its object path, the
+    corrupted rows' keys as a table of their own (``corrupted_rows``; the ledger's array stays empty,
+    whatever their number), the evaluation tasks, and last the ledger row, which stands for all of them.
+    Each is a folder of the experiment's that is replaced as a whole: a run that was lost half-way and
+    comes again leaves everything once.  An experiment that any ledger knows is skipped, unless
+    ``force``; the reason is kept.  A failure is kept as an ``errors`` row and returned as the reason.
     """
+    from tabtaint.plans import grid as GR
+    spark = df.sparkSession
+    reason = GR.EXISTS_REASON if store and not force and GR.known_experiment(spark, store, exp.id) else None
+    if reason is None:
+        if not store:
+            return _run_experiment(df, spec, exp, profile, None)
+        done, failure = GR.guarded(spark, exp.id, profile, lambda: _run_experiment(df, spec, exp, profile, store), task=exp.id)
+        if failure is not None:
+            GR.append_ledger(failure, store, "errors", exp.id)
+            return None, None, failure.first()["error_message"]
+        if done[2] is None:
+            return done
+        reason = done[2]
+    GR.append_ledger(GR.ledger_row(spark, "skipped_computations", profile, computation_id=exp.id, reason=reason),
+                     store, "skipped_computations", f"{exp.id}/{reason}")
+    return None, None, reason
+
+
+def _run_experiment(df: DataFrame, spec: TableSpec, exp: Experiment, profile: str, store: str | None):
     import time
 
     from tabtaint.plans import grid as GR
     spark = df.sparkSession
     train, _ = split_real(df, spec, exp)
     n = train.count()
-    reason = guard(n, spec, exp)
-    if store and reason is None and not GR.read_ledger(spark, store, "experiments").where(
-            F.col("experiment_id") == exp.id).isEmpty():
-        reason = GR.EXISTS_REASON
-    if reason:
-        if store:
-            GR.append_ledger(GR.ledger_row(spark, "skipped_computations", profile, computation_id=exp.id, reason=reason),
-                             store, "skipped_computations")
+    if reason := guard(n, spec, exp):
         return None, None, reason
     cols_, rows_, data = [], None, train
     if exp.error:
@@ -214,9 +256,9 @@ def run_experiment(df: DataFrame, spec: TableSpec, exp: Experiment, profile: str
     if store:
         if rows_ is not None:
             GR.append_ledger(rows_.select(F.lit(exp.id).alias("experiment_id"), F.col(spec.row_key).cast("string").alias("row_key")),
-                             store, "corrupted_rows")
-        GR.append_ledger(row, store, "experiments")
-        publish_tasks(row, spec, store, profile)
+                             store, "corrupted_rows", exp.id)
+        publish_tasks(row, spec, store, profile, exp.id)
+        GR.append_ledger(row, store, "experiments", exp.id)   # last: it says that the rest is there
     return syn, row, None
 
 
@@ -225,19 +267,19 @@ def synthetic_path(exp: Experiment) -> str:
     return "synthetic/" + "/".join(p for p in exp.id.split("#") if p != "NULL")
 
 
-def publish_tasks(experiments: DataFrame, spec: TableSpec, store: str, profile: str) -> None:
-    """The evaluation tasks of ledger rows as JSON, one folder an experiment; repeated baselines go to
-    the skipped computations."""
+def publish_tasks(experiments: DataFrame, spec: TableSpec, store: str, profile: str, key: str | None = None) -> None:
+    """The evaluation tasks of ledger rows as JSON, one folder an experiment, replaced as a whole; repeated
+    baselines go to the skipped computations (under ``key``)."""
     from tabtaint.plans import grid as GR
     spark = experiments.sparkSession
     kinds = spark.createDataFrame([(spec.name, spec.problem_type)], "dataset_name string, problem_type string")
     work = experiments.withColumn("error_rate", F.col("error_rate").cast("double") / 100)
     tasks, skipped = GR.evaluation_tasks(work, kinds)
     GR.task_json(tasks).select("experiment_id", F.col("task").alias("value")) \
-        .write.mode("append").partitionBy("experiment_id").text(f"{store}/tasks")
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("experiment_id").text(f"{store}/tasks")
     GR.append_ledger(skipped.select(F.lit(None).cast("long").alias("id"), "computation_id", "reason",
                                     F.lit(profile).alias("execution_profile"), F.current_timestamp().alias("created_at")),
-                     store, "skipped_computations")
+                     store, "skipped_computations", None if key is None else f"{key}/baselines")
 
 
 def evaluate(code: str, targets: list, spec: TableSpec, **params) -> DataFrame:
@@ -257,20 +299,24 @@ def evaluate(code: str, targets: list, spec: TableSpec, **params) -> DataFrame:
                                  "result double, notes string")
 
 
-def replay(evaluation_id: str, experiment_id: str, df: DataFrame, spec: TableSpec, **params) -> DataFrame:
-    """GRD9: recompute one evaluation from its two id strings."""
+#: Methods that score on the validation half as well.
+WITH_VALIDATION = ("APR", "ARC", "AR2")
+
+
+def replay(evaluation_id: str, experiment_id: str, df: DataFrame, spec: TableSpec, store: str | None = None, **params) -> DataFrame:
+    """GRD9: recompute one evaluation from its two id strings; synthetic tables come from the ``store``."""
     code, first, second = evaluation_id.split("#")
     exp = Experiment.from_id(experiment_id)
-    t = resolve_targets(df, spec, exp)
     names = [first] + ([] if second == "NULL" else [second])
     if exp.error is None and any(n in ("RH", "SH") for n in names):
         raise ValueError("RH/SH need a corrupted experiment")
-    out = evaluate(code, [t[n] for n in names], spec, validation=t["V"], seed=exp.seed,
-                   **(default_params(code, spec, t["V"]) | params))
+    t = resolve_targets(df, spec, exp, names=(*names, *(("V",) if code in WITH_VALIDATION else ())), store=store)
+    out = evaluate(code, [t[n] for n in names], spec, validation=t.get("V"), seed=exp.seed,
+                   **(default_params(code, spec, t.get("V")) | params))
     return out.select(F.lit(evaluation_id).alias("evaluation_id"), F.lit(experiment_id).alias("experiment_id"), "*")
 
 
-def default_params(code: str, spec: TableSpec, validation: DataFrame) -> dict:
+def default_params(code: str, spec: TableSpec, validation: DataFrame | None) -> dict:
     """What an evaluator needs beside its tables: the minority label of the validation half, the
     columns an attacker knows and the one they are after."""
     if code in ("APR", "ARC"):
@@ -306,29 +352,29 @@ def run_evaluation(evaluation_id: str, experiment_id: str, df: DataFrame, spec:
     A skipped one leaves its reason, a failed one its message (and no score); ``force`` runs an
     evaluation that the ledger already has."""
     from tabtaint.plans import grid as GR
-    spark, exp = df.sparkSession, Experiment.from_id(experiment_id)
+    spark, exp, task = df.sparkSession, Experiment.from_id(experiment_id), f"{evaluation_id}/{experiment_id}"
     reason = skip_reason(evaluation_id, exp, spec, first_rate)
     if reason is None and not force and not GR.read_ledger(spark, store, "evaluations").where(
             (F.col("evaluation_id") == evaluation_id) & (F.col("experiment_id") == experiment_id)).isEmpty():
         reason = GR.EXISTS_REASON
     if reason:
-        GR.append_ledger(GR.ledger_row(spark, "skipped_computations", profile, reason=reason,
-                                       computation_id=f"{evaluation_id}/{experiment_id}"), store, "skipped_computations")
+        GR.append_ledger(GR.ledger_row(spark, "skipped_computations", profile, reason=reason, computation_id=task), store,
+                         "skipped_computations", f"{task}/{reason}")
         return "skipped"
 
     def run():
-        return GR.timed(lambda: replay(evaluation_id, experiment_id, df, spec, **params).first())
+        return GR.timed(lambda: replay(evaluation_id, experiment_id, df, spec, store, **params).first())
 
-    done, failure = GR.guarded(spark, experiment_id, profile, run)
+    done, failure = GR.guarded(spark, experiment_id, profile, run, task=task)
     if failure is not None:
-        GR.append_ledger(failure, store, "errors")
+        GR.append_ledger(failure, store, "errors", task)
         return "failed"
     result, seconds = done
     _, first, second = evaluation_id.split("#")
     GR.append_ledger(GR.ledger_row(
         spark, "evaluations", profile, evaluation_id=evaluation_id, experiment_id=experiment_id, first_target=first,
         second_target=None if second == "NULL" else second, result=result["result"], notes=result["notes"],
-        execution_time=seconds), store, "evaluations")
+        execution_time=seconds), store, "evaluations", task)
     return "done"
 
 

@@ -8,9 +8,11 @@ the grid minus the ledgers (left anti joins), so a re-run only does what is miss
 
 from __future__ import annotations
 
+import hashlib
 import time
+import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabtaint.functions.strings import evaluation_id, experiment_id
@@ -175,20 +177,61 @@ def ledger_row(spark, table: str, profile: str, **values) -> DataFrame:
     return df.withColumn("created_at", F.coalesce(F.col("created_at"), F.current_timestamp()))
 
 
-def append_ledger(df: DataFrame, path: str, table: str):
-    """SNK4: append to a Parquet ledger table (``<path>/<table>``)."""
-    df.write.mode("append").parquet(f"{path}/{table}")
+#: What tells a ledger's rows apart; of rows with equal values the latest counts.
+LEDGER_KEYS = {"errors": ["experiment_id", "file_path"], "skipped_computations": ["computation_id", "reason"],
+               "evaluations": ["evaluation_id", "experiment_id"], "experiments": ["experiment_id"]}
+
+
+def append_ledger(df: DataFrame, path: str, table: str, key: str | None = None):
+    """SNK4: rows into a Parquet ledger table (``<path>/<table>``).
+
+    Rows written under a ``key`` are a folder of their own that is replaced as a whole, so a retried run
+    leaves them once; without one they get a new folder.  Spark's committer makes a folder's rows
+    visible together."""
+    name = f"k{uuid.uuid4().hex}" if key is None else hashlib.sha1(key.encode()).hexdigest()
+    df.write.mode("overwrite").parquet(f"{path}/{table}/key={name}")
 
 
 def read_ledger(spark, path: str, table: str) -> DataFrame:
-    """The ledger table; one that was never written is empty, any other error is raised."""
+    """The ledger table, the latest row of each key; one that was never written is empty, any other
+    error is raised."""
     from pyspark.errors import AnalysisException
     try:
-        return spark.read.schema(LEDGER_SCHEMAS[table]).parquet(f"{path}/{table}")
+        rows = spark.read.schema(LEDGER_SCHEMAS[table]).option("recursiveFileLookup", "true").parquet(f"{path}/{table}")
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], LEDGER_SCHEMAS[table])
+    if table not in LEDGER_KEYS:
+        return rows
+    w = Window.partitionBy(*LEDGER_KEYS[table]).orderBy(F.desc("created_at"))
+    return rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1).drop("_r")
+
+
+def compact_ledger(spark, path: str, table: str) -> int:
+    """Writes the table's folders as one and drops them; returns how many there were.
+
+    The new folder is renamed into place before the old ones go: if the driver is lost in between, rows
+    are there twice and :func:`read_ledger` counts them once.  Meant for a time without writers."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    root = hadoop.Path(f"{path}/{table}")
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    old = [f.getPath() for f in fs.listStatus(root) if f.getPath().getName().startswith("key=")] if fs.exists(root) else []
+    if len(old) > 1:
+        name = f"c{uuid.uuid4().hex}"
+        staged = hadoop.Path(f"{path}/.staged/{table}-{name}")
+        read_ledger(spark, path, table).coalesce(8).write.parquet(staged.toString())
+        if not fs.rename(staged, hadoop.Path(f"{path}/{table}/key={name}")):
+            raise OSError(f"could not move {staged} into place")
+        for f in old:
+            fs.delete(f, True)
+    return len(old)
+
+
+def known_experiment(spark, path: str, experiment: str) -> bool:
+    """GRD5: whether the experiment is in any of the three ledgers."""
+    return not all(read_ledger(spark, path, t).where(F.col(c) == experiment).isEmpty() for t, c in (
+        ("experiments", "experiment_id"), ("errors", "experiment_id"), ("skipped_computations", "computation_id")))
 
 
 def timed(fn, *args, **kw):
@@ -198,12 +241,13 @@ def timed(fn, *args, **kw):
     return out, round(time.time() - t, 2)
 
 
-def guarded(spark, experiment_id_value: str, profile: str, fn, *args, **kw):
-    """RES5: run a job; on failure return an ``errors`` ledger row instead of raising."""
+def guarded(spark, experiment_id_value: str, profile: str, fn, *args, task: str | None = None, **kw):
+    """RES5: run a job; on failure return an ``errors`` ledger row instead of raising.  ``task`` names
+    what has failed, in the row's ``file_path``."""
     try:
         return fn(*args, **kw), None
     except Exception as e:  # noqa: BLE001 — the failure is recorded, the sweep continues
-        return None, ledger_row(spark, "errors", profile, experiment_id=experiment_id_value, error_message=str(e))
+        return None, ledger_row(spark, "errors", profile, experiment_id=experiment_id_value, file_path=task, error_message=str(e))
 
 
 # ---------------------------------------------------------------- result analytics (RES1-RES3)

@@ -4,8 +4,10 @@ import pytest
 
 from conftest import SF001
 from tabtaint.plans import experiment as EX
+from tabtaint.plans import grid as GR
 from tabtaint.plans.tables import SPECS, keyed
 from tabtaint.streaming import corrupt_stream as CS
+from tabtaint.streaming import tasks as ST
 
 
 def test_experiment_id_round_trip():
@@ -45,3 +47,74 @@ def test_stream_plan_refuses_duplicates(spark):
     plan = CS.fit_plan(df, SPECS["customer"], "DUP", 0.1, 0.5, seed=1)
     with pytest.raises(ValueError):
         CS.apply_plan(df, plan)
+
+
+def _rows(spark, store):
+    out = {t: GR.read_ledger(spark, store, t).count() for t in (*GR.LEDGER_KEYS, "corrupted_rows")}
+    return out | {"tasks": spark.read.text(f"{store}/tasks").count()}
+
+
+def test_lost_run_comes_again(spark, monkeypatch):
+    """The driver is lost before the ledger row is written; the run that follows leaves everything once."""
+    store, df = ST.scratch(spark, "lost"), keyed(spark, SF001, "customer")
+    exp = EX.Experiment("customer", "dummy_sampler", 100, "IMP", "PLC", 0.2)
+    own = GR.append_ledger
+
+    def lost(rows, path, table, key=None):
+        if table == "experiments":
+            raise KeyboardInterrupt
+        own(rows, path, table, key)
+
+    monkeypatch.setattr(GR, "append_ledger", lost)
+    with pytest.raises(KeyboardInterrupt):
+        EX.run_experiment(df, SPECS["customer"], exp, store=store)
+    monkeypatch.setattr(GR, "append_ledger", own)
+    before = _rows(spark, store)
+    assert before["experiments"] == 0 and before["corrupted_rows"] == 150
+    assert EX.run_experiment(df, SPECS["customer"], exp, store=store)[2] is None
+    assert _rows(spark, store) == before | {"experiments": 1}
+    assert EX.run_experiment(df, SPECS["customer"], exp, store=store, force=True)[2] is None
+    assert _rows(spark, store) == before | {"experiments": 1}
+
+
+def test_failed_experiment_is_kept_and_skipped(spark, monkeypatch):
+    store, df = ST.scratch(spark, "failed"), keyed(spark, SF001, "customer")
+    exp = EX.Experiment("customer", "broken", 100)
+
+    def broken(*_):
+        raise RuntimeError("no luck")
+
+    monkeypatch.setitem(EX.GENERATORS, "broken", broken)
+    assert EX.run_experiment(df, SPECS["customer"], exp, store=store)[2] == "no luck"
+    assert EX.run_experiment(df, SPECS["customer"], exp, store=store)[2] == GR.EXISTS_REASON
+    kept = GR.read_ledger(spark, store, "errors").collect()
+    assert [(r["experiment_id"], r["file_path"], r["error_message"]) for r in kept] == [(exp.id, exp.id, "no luck")]
+    assert EX.run_evaluation("QLT#R#S", exp.id, df, SPECS["customer"], store) == "failed"
+    assert f"QLT#R#S/{exp.id}" in {r["file_path"] for r in GR.read_ledger(spark, store, "errors").collect()}
+
+
+def test_targets_come_from_the_store(spark, monkeypatch):
+    store, df = ST.scratch(spark, "targets"), keyed(spark, SF001, "customer")
+    exp = EX.Experiment("customer", "dummy_sampler", 100, "IMP", "PLC", 0.2)
+    for e in (exp, exp.perfect_counterpart()):
+        assert EX.run_experiment(df, SPECS["customer"], e, store=store)[2] is None
+
+    def none(*_):
+        raise AssertionError("drawn again")
+
+    monkeypatch.setitem(EX.GENERATORS, "dummy_sampler", none)
+    t = EX.resolve_targets(df, SPECS["customer"], exp, names=("S", "SH"), store=store)
+    assert set(t) == {"S", "SH"} and t["S"].count() == t["SH"].count() == 750
+    monkeypatch.setattr(EX, "split_real", none)
+    assert EX.run_evaluation("LOF#S#NULL", exp.perfect_counterpart().id, df, SPECS["customer"], store) == "done"
+
+
+def test_compaction_counts_rows_once(spark):
+    store = ST.scratch(spark, "compact")
+    for i in (1, 2, 2, 3):
+        GR.append_ledger(GR.ledger_row(spark, "errors", "local", experiment_id=f"e{i}", error_message=f"m{i}"), store, "errors")
+    assert GR.read_ledger(spark, store, "errors").count() == 3
+    assert GR.compact_ledger(spark, store, "errors") == 4 and GR.compact_ledger(spark, store, "errors") == 1
+    GR.append_ledger(GR.ledger_row(spark, "errors", "local", experiment_id="e1", error_message="later"), store, "errors", "e1")
+    rows = {r["experiment_id"]: r["error_message"] for r in GR.read_ledger(spark, store, "errors").collect()}
+    assert rows == {"e1": "later", "e2": "m2", "e3": "m3"}
