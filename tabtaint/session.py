@@ -66,7 +66,7 @@ def ship_package(spark: SparkSession) -> None:
     with zipfile.ZipFile(path, "w") as z:
         for folder, _, names in os.walk(root):
             for n in names:
-                if n.endswith(".py"):
+                if n.endswith((".py", ".jsonl")):
                     full = os.path.join(folder, n)
                     z.write(full, os.path.relpath(full, os.path.dirname(root)))
     sc.addPyFile(path)
