@@ -1725,6 +1725,7 @@ FROM tk""")(q_task_json)
 
 
 # ---------------------------------------------------------------- streaming (STM1, STM2)
+from tabtaint.streaming import states as SS  # noqa: E402
 from tabtaint.streaming import tasks as ST  # noqa: E402
 from tabtaint.streaming import corrupt_stream as CS  # noqa: E402
 
@@ -1748,6 +1749,28 @@ SELECT DISTINCT evaluation_id, experiment_id, CASE WHEN first_target = 'RH' THEN
 FROM tk""")(q_stream_tasks)
 
 
+def q_stream_states(spark, sf_dir):
+    """STM1: every task is published, and later finished, failed, skipped or left pending, by its hash; some
+    outcomes come before the publication, some twice.  The states are kept by the stream."""
+    tasks = q_tasks(spark, sf_dir).select("evaluation_id", "experiment_id")
+    part = F.pmod(F.conv(F.substring(F.md5(F.concat("evaluation_id", F.lit("/"), "experiment_id")), 1, 8), 16, 10).cast("bigint"), F.lit(8))
+    src = ST.scratch(spark, "event-source")
+    outcome = F.when(part < 2, "finished").when(part == 2, "failed").when(part == 3, "skipped")
+    done = tasks.withColumn("part", part).withColumn("event", outcome).where("event IS NOT NULL")
+    done.where("part % 2 = 0").drop("part").write.json(f"{src}/a")
+    tasks.withColumn("event", F.lit("published")).write.json(f"{src}/b")
+    done.drop("part").write.json(f"{src}/c")
+    out = ST.scratch(spark, "event-sink")
+    SS.run_task_states(spark, f"{src}/*", out, ST.scratch(spark, "event-ckpt"), files_per_batch=9)
+    return SS.current_states(spark, out)
+
+
+register("stream_task_states", f"""WITH tk AS ({_sql_tasks()}),
+p AS (SELECT DISTINCT evaluation_id, experiment_id, CAST('0x' || substr(md5(evaluation_id || '/' || experiment_id), 1, 8) AS BIGINT) % 8 AS part FROM tk)
+SELECT evaluation_id, experiment_id, CASE WHEN part < 2 THEN 'finished' WHEN part = 2 THEN 'failed' WHEN part = 3 THEN 'skipped' ELSE 'pending' END AS state
+FROM p""")(q_stream_states)
+
+
 def q_stream_corrupt(spark, sf_dir):
     """STM2: Gaussian noise on the events stream (rate 0.1) with a plan frozen on the table."""
     spec = SPECS["events"]
