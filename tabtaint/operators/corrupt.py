@@ -11,6 +11,7 @@ aggregation over all chosen columns.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -137,78 +138,142 @@ def _placeholder(dtype, numeric_value, text_value):
     return F.lit(text_value)
 
 
+@dataclass
+class Job:
+    """What a corruptor works on: ``df`` is the table with the rows that are hit marked by ``hit``."""
+    df: DataFrame
+    spec: TableSpec
+    kind: str
+    columns: list
+    hit: Column
+    seed: object
+    params: dict
+
+    def __post_init__(self):
+        self.types = {f.name: f.dataType for f in self.df.schema.fields}
+
+
+#: EXT1: error types by code; see :func:`corruptor`.
+CORRUPTORS: dict[str, Callable[[Job], DataFrame]] = {}
+
+
+def corruptor(*codes: str, applies: str = "any"):
+    """Registers ``fn(job) -> DataFrame`` for some codes: the table with the columns of the rows that are hit
+    changed.  It keeps all other columns, known or not, and may leave numbers in ``job.params``.
+    ``applies`` says which columns a new code is for: any, numeric, categorical or the target."""
+    def deco(fn):
+        for c in codes:
+            CORRUPTORS[c] = fn
+            APPLICABILITY.setdefault(c, applies)
+        return fn
+    return deco
+
+
+@corruptor("PLC", "EMV")
+def _put_placeholders(job: Job) -> DataFrame:
+    out = job.df
+    for c in job.columns:
+        new = F.lit(None).cast(job.types[c])
+        if job.kind == "PLC":
+            if c in job.spec.categorical and not isinstance(job.types[c], T.StringType):
+                out = out.withColumn(c, F.col(c).cast("string"))
+                new = F.lit(CATEGORICAL_PLACEHOLDER)
+            else:
+                new = _placeholder(job.types[c], NUMERIC_PLACEHOLDER, CATEGORICAL_PLACEHOLDER)
+        out = out.withColumn(c, F.when(job.hit, new).otherwise(F.col(c)))
+    return out
+
+
+@corruptor("OUT")
+def _put_outliers(job: Job) -> DataFrame:
+    factors = job.params["factors"] = {c: py_sample(OUTLIER_FACTORS, 1, job.seed, f"out:{c}")[0] for c in job.columns}
+    out = job.df
+    for c in job.columns:
+        x = F.col(c).cast("bigint") if isinstance(job.types[c], INTEGRAL_TYPES) else F.col(c)
+        new = F.try_multiply(x, F.lit(factors[c]).cast(x_type(job.types[c])))
+        out = out.withColumn(c, F.when(job.hit, new).otherwise(x))
+    return out
+
+
+@corruptor("NOI")
+def _put_noise(job: Job) -> DataFrame:
+    sig = job.df.agg(*[F.stddev_pop(c).alias(c) for c in job.columns]).first().asDict()
+    scales = {c: NOISE_SCALE_MIN + py_uniform(job.seed, f"noi-scale:{c}", "") * (NOISE_SCALE_MAX - NOISE_SCALE_MIN)
+              for c in job.columns}
+    job.params.update({"std": sig, "scales": scales})
+    out = job.df
+    for c in job.columns:
+        noise = normal(job.seed, f"noi:{c}", job.spec.row_key) * F.lit(scales[c] * (sig[c] or 0.0))
+        if isinstance(job.types[c], INTEGRAL_TYPES):
+            x = F.col(c).cast("bigint")
+            new = x + F.greatest(noise.cast("bigint"), F.lit(1).cast("bigint"))
+        else:
+            x = F.col(c).cast("double")
+            new = x + noise
+        out = out.withColumn(c, F.when(job.hit, new).otherwise(x))
+    return out
+
+
+@corruptor("SFT", "LER")
+def _swap_values(job: Job) -> DataFrame:
+    out = job.df
+    for c in job.columns:
+        out = _apply_value_map(out, c, derangement_map(job.df, c, job.seed, f"sft:{c}"), job.hit)
+    return out
+
+
+@corruptor("INC")
+def _put_typos(job: Job) -> DataFrame:
+    out = job.df
+    for c in job.columns:
+        x = F.col(c).cast("string")
+        out = out.withColumn(c, F.when(job.hit, typo(x, job.seed, f"inc:{c}")).otherwise(x))
+    return out
+
+
+@corruptor("DUP")
+def _add_duplicates(job: Job) -> DataFrame:
+    """Copies of the rows that are hit, changed and with a key of their own, beside all rows."""
+    key, dup, base = job.spec.row_key, job.df.filter(job.hit), job.df
+    for c in job.columns:
+        if c in job.spec.categorical:
+            dup = dup.withColumn(c, typo(F.col(c), job.seed, f"inc:{c}"))
+            base = base.withColumn(c, F.col(c).cast("string"))
+        else:
+            dup = dup.withColumn(c, _placeholder(job.types[c], NUMERIC_PLACEHOLDER, CATEGORICAL_PLACEHOLDER))
+    dup = dup.withColumn(key, F.concat(F.col(key), F.lit(COPY_MARK)))
+    return base.unionByName(dup.select(*base.columns))
+
+
+COPY_MARK = "#dup"
+
+
 def corrupt(df: DataFrame, spec: TableSpec, kind: str, row_fraction: float,
             column_fraction: float = 0.2, seed=None, audit: bool = True) -> CorruptionResult:
-    """Apply one error type (SFT NOI PLC DUP OUT INC LER EMV) to a fraction of the rows."""
+    """Apply a registered error type (SFT NOI PLC DUP OUT INC LER EMV) to a fraction of the rows.
+
+    The audit log comes from the same projection: it carries each changed column's text from before."""
     _require_seed(seed)
     _validate(row_fraction, column_fraction)
     kind = kind.upper()
-    if kind not in ERROR_CODES:
-        raise ValueError(f"unknown error type {kind}; valid: {sorted(ERROR_CODES)}")
+    if kind not in CORRUPTORS:
+        raise ValueError(f"unknown error type {kind}; valid: {sorted(CORRUPTORS)}")
     hit, k, n = pick_rows(df, spec, row_fraction, seed)
     cols = choose_columns(spec, kind, column_fraction, seed, present=set(df.columns))
     rows = df.filter(hit).select(spec.row_key)
     params: dict = {"k": k, "n": n}
     if not cols:
         return CorruptionResult(df, rows, [], _empty_changes(df), params)
-    schema = {f.name: f.dataType for f in df.schema.fields}
-    out = df
-    if kind in ("PLC", "EMV"):
-        for c in cols:
-            new = F.lit(None).cast(schema[c]) if kind == "EMV" else None
-            if kind == "PLC":
-                if c in spec.categorical and not isinstance(schema[c], T.StringType):
-                    out = out.withColumn(c, F.col(c).cast("string"))
-                    new = F.lit(CATEGORICAL_PLACEHOLDER)
-                else:
-                    new = _placeholder(schema[c], NUMERIC_PLACEHOLDER, CATEGORICAL_PLACEHOLDER)
-            out = out.withColumn(c, F.when(hit, new).otherwise(F.col(c)))
-    elif kind == "OUT":
-        factors = {c: py_sample(OUTLIER_FACTORS, 1, seed, f"out:{c}")[0] for c in cols}
-        params["factors"] = factors
-        for c in cols:
-            x = F.col(c).cast("bigint") if isinstance(schema[c], INTEGRAL_TYPES) else F.col(c)
-            new = F.try_multiply(x, F.lit(factors[c]).cast(x_type(schema[c])))
-            out = out.withColumn(c, F.when(hit, new).otherwise(x))
-    elif kind == "NOI":
-        sig = df.agg(*[F.stddev_pop(c).alias(c) for c in cols]).first().asDict()
-        scales = {c: NOISE_SCALE_MIN + py_uniform(seed, f"noi-scale:{c}", "") * (NOISE_SCALE_MAX - NOISE_SCALE_MIN)
-                  for c in cols}
-        params.update({"std": sig, "scales": scales})
-        for c in cols:
-            noise = normal(seed, f"noi:{c}", spec.row_key) * F.lit(scales[c] * (sig[c] or 0.0))
-            if isinstance(schema[c], INTEGRAL_TYPES):
-                x = F.col(c).cast("bigint")
-                new = x + F.greatest(noise.cast("bigint"), F.lit(1).cast("bigint"))
-            else:
-                x = F.col(c).cast("double")
-                new = x + noise
-            out = out.withColumn(c, F.when(hit, new).otherwise(x))
-    elif kind in ("SFT", "LER"):
-        for c in cols:
-            out = _apply_value_map(out, c, derangement_map(df, c, seed, f"sft:{c}"), hit)
-    elif kind == "INC":
-        for c in cols:
-            x = F.col(c).cast("string")
-            out = out.withColumn(c, F.when(hit, typo(x, seed, f"inc:{c}")).otherwise(x))
-    elif kind == "DUP":
-        dup = df.filter(hit)
-        for c in cols:
-            if c in spec.categorical:
-                dup = dup.withColumn(c, typo(F.col(c), seed, f"inc:{c}"))
-            else:
-                dup = dup.withColumn(c, _placeholder(schema[c], NUMERIC_PLACEHOLDER, CATEGORICAL_PLACEHOLDER))
-        dup = dup.withColumn(spec.row_key, F.concat(F.col(spec.row_key), F.lit("#dup")))
-        base = df
-        for c in cols:
-            if c in spec.categorical:
-                base = base.withColumn(c, F.col(c).cast("string"))
-        out = base.unionByName(dup.select(*base.columns))
-        changes = _changes(df.filter(hit), dup.withColumn(spec.row_key, F.regexp_replace(spec.row_key, "#dup$", "")),
-                           spec, cols) if audit else None
-        return CorruptionResult(out, rows, cols, changes, params)
-    changes = _changes(df.filter(hit), out.filter(hit), spec, cols) if audit else None
-    return CorruptionResult(out, rows, cols, changes, params)
+    old = [f"_before_{i}" for i in range(len(cols))] if audit else []
+    data = df.withColumns({o: F.col(c).cast("string") for o, c in zip(old, cols)}) if audit else df
+    out = CORRUPTORS[kind](Job(data, spec, kind, cols, hit, seed, params))
+    changes = None
+    if audit:
+        key = F.col(spec.row_key)
+        changed = out.filter(key.endswith(COPY_MARK)) if kind == "DUP" else out.filter(hit)
+        changes = _changes(changed.withColumn(spec.row_key, F.regexp_replace(spec.row_key, f"{COPY_MARK}$", "")) if kind == "DUP" else changed,
+                           spec, cols, old)
+    return CorruptionResult(out.drop(*old), rows, cols, changes, params)
 
 
 def x_type(dtype):
@@ -219,15 +284,12 @@ def _empty_changes(df):
     return df.sparkSession.createDataFrame([], "row_key string, column string, old_value string, new_value string")
 
 
-def _changes(before: DataFrame, after: DataFrame, spec: TableSpec, cols) -> DataFrame:
-    """Audit log of changed cells: one row per (row_key, column) whose value changed."""
-    k = spec.row_key
-    b = before.select(k, *[F.col(c).cast("string").alias(f"_o{i}") for i, c in enumerate(cols)])
-    a = after.select(k, *[F.col(c).cast("string").alias(f"_n{i}") for i, c in enumerate(cols)])
-    j = b.join(a, k)   # both sides are the k chosen rows, co-partitioned by the same key
-    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"_o{i}").alias("old_value"),
-                                         F.col(f"_n{i}").alias("new_value")) for i, c in enumerate(cols)]))
-    return (j.select(F.col(k).alias("row_key"), cells.alias("_c"))
+def _changes(changed: DataFrame, spec: TableSpec, cols, old) -> DataFrame:
+    """Audit log of changed cells: one row per (row_key, column) whose value changed, from before and after
+    side by side."""
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(o).alias("old_value"),
+                                         F.col(c).cast("string").alias("new_value")) for o, c in zip(old, cols)]))
+    return (changed.select(F.col(spec.row_key).alias("row_key"), cells.alias("_c"))
             .select("row_key", "_c.column", "_c.old_value", "_c.new_value")
             .where(~F.col("old_value").eqNullSafe(F.col("new_value"))))
 
