@@ -8,9 +8,9 @@ what earlier ones have counted, until no frequent phrase is left whose extension
 sample decides how much work a pass does and how many there are, never the result.
 
 The sets of words and pairs that a pass follows go to the tasks as bitmaps of at most ``2**MOST_BITS``
-bits.  A bitmap may hold phrases too many (they are counted for nothing), but none too few.  Tasks
-number a chunk's words, so phrases are told apart by themselves and not by hashes, and send a
-chunk's distinct phrases with their counts.
+bits.  A bitmap may hold phrases too many (they are counted for nothing), but none too few.  Texts are
+written once as chunks of numbered words, which all passes read; phrases are told apart by these
+numbers and not by hashes.  A task sends a chunk's distinct phrases with their counts.
 
 Defined cases: a null language is ``und``; null and empty texts have no words; rows that share an id
 or a text count each; texts of any length are counted whole; a language without candidates has no
@@ -35,7 +35,7 @@ from tabtaint.llm.text import U64, mixed, word_hashes
 SUPPORT, TOP, INSIDE_PERCENT = 10, 2000, 50
 #: One document of so many is in the sample, which proposes what it holds so many times.
 SAMPLE_SHARE, SAMPLE_LEAST = 8, 2
-SLICE_BYTES, CHUNK_BYTES, ROWS = 2 << 20, 10 << 20, 1 << 16
+SLICE_BYTES, CHUNK_BYTES, ROWS = 2 << 20, 8 << 20, 1 << 16
 LEAST_BITS, MOST_BITS, BITS_EACH = 16, 28, 16
 SALTS = 64
 #: The signs that end a piece, and the blanks between words.
@@ -127,44 +127,74 @@ class Chunk:
         known = self.number
         for w in set(data).difference(known):
             known[w] = len(known)
-        self.parts.append(np.fromiter(map(known.__getitem__, data), np.int64, len(data)))
-
-    def counted(self, lang: str, passes: list[tuple[Bits | None, Bits | None]], words: bool, triples: bool) -> Iterator[pa.RecordBatch]:
-        """Counts of what the last pass follows and no earlier one has counted."""
-        at = np.concatenate(self.parts)
-        v = len(self.number)
-        names = pa.array(list(self.number), pa.binary())
-        if words:
-            n = np.bincount(at, minlength=v)
-            n[0] = len(at) - n[0]  # all words, in the row of the empty phrase
-            yield from _rows(lang, pc.if_else(pc.equal(names, _BREAK), b"", names), [np.arange(v)], np.where(np.arange(v) > 0, 1, 0), n)
-        hashes = _hashes(list(self.number))
-        cells = _cells(lang, hashes)
-        pair_at = np.flatnonzero((at[:-1] > 0) & (at[1:] > 0))
-        pairs, of, n = np.unique(at[pair_at] * v + at[pair_at + 1], return_inverse=True, return_counts=True)
-        x, y = pairs // v, pairs % v
-        new = _new([p and p[0] for p in passes], cells, (x, y))
-        yield from _rows(lang, names, [x[new], y[new]], np.full(int(new.sum()), 2), n[new])
-        if not triples:
-            return
-        follow = np.diff(pair_at) == 1
-        first, second = of[:-1][follow], of[1:][follow]
-        cells = _cells(lang, hashes[x], hashes[y])
-        some = passes[-1][1].holds(cells)
-        some = some[first] & some[second]
-        triple, n = np.unique(first[some] * v + y[second[some]], return_counts=True)
-        a, z = triple // v, triple % v
-        new = _new([p[1] for p in passes], cells, (a, np.searchsorted(pairs, y[a] * v + z)))
-        a, z = a[new], z[new]
-        yield from _rows(lang, names, [x[a], y[a], z], np.full(len(a), 3), n[new])
-
-
-def _new(sets: list[Bits | None], cells: np.ndarray, parts: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        self.parts.append(np.fromiter(map(known.__getitem__, data), np.int32, len(data)))
+
+
+def _joint(v: int, *parts: np.ndarray) -> np.ndarray:
+    """One number for each combination of numbers below ``v``."""
+    out = parts[0].astype(np.int64)
+    for p in parts[1:]:
+        out = out * v + p
+    return out
+
+
+def _counted_phrases(v: int, parts: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct combinations of word numbers with their counts."""
+    if v ** len(parts) < 1 << 63:
+        key, n = np.unique(_joint(v, *parts), return_counts=True)
+        out = []
+        for _ in parts[1:]:
+            out.append(key % v)
+            key = key // v
+        return [key, *out[::-1]], n
+    pairs, of = np.unique(_joint(v, *parts[:2]), return_inverse=True)   # too many words for one number
+    key, n = np.unique(_joint(v, of, parts[2]), return_counts=True)
+    return [pairs[key // v] // v, pairs[key // v] % v, key % v], n
+
+
+def count_chunk(lang: str, names: list[bytes], at: np.ndarray, passes: list[tuple[Bits | None, Bits | None]], words: bool,
+                triples: bool) -> Iterator[pa.RecordBatch]:
+    """Counts of what the last pass follows and no earlier one has counted, over the word numbers ``at``."""
+    v, table = len(names), pa.array(names, pa.binary())
+    if words:
+        n = np.bincount(at, minlength=v)
+        n[0] = len(at) - n[0]  # all words, in the row of the empty phrase
+        yield from _rows(lang, pc.if_else(pc.equal(table, _BREAK), b"", table), [np.arange(v)], np.where(np.arange(v) > 0, 1, 0), n)
+    hashes = _hashes(names)
+    cells = _cells(lang, hashes)
+    first = np.flatnonzero((at[:-1] > 0) & (at[1:] > 0))
+    new = _new([p and p[0] for p in passes], lambda s: s.holds(cells), (at[first], at[first + 1]))
+    parts, n = _counted_phrases(v, [at[first[new]], at[first[new] + 1]])
+    yield from _rows(lang, table, parts, np.full(len(n), 2), n)
+    if not triples:
+        return
+    begins = np.flatnonzero(np.diff(first) == 1)                 # pairs that the next pair overlaps
+    pair_cells = _cells_at(lang, hashes, at, first)
+    held = passes[-1][1].holds(pair_cells)
+    begins = begins[held[begins] & held[begins + 1]]
+    for _, earlier in passes[:-1]:
+        begins = begins[~(earlier.holds(pair_cells[begins]) & earlier.holds(pair_cells[begins + 1]))]
+    x = first[begins]
+    parts, n = _counted_phrases(v, [at[x], at[x + 1], at[x + 2]])
+    yield from _rows(lang, table, parts, np.full(len(n), 3), n)
+
+
+def _cells_at(lang: str, hashes: np.ndarray, at: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Cells of the pairs at some places, in steps that keep the arrays short."""
+    out = np.empty(len(first), U64)
+    head = _cells(lang, hashes)
+    for k in range(0, len(first), 1 << 18):
+        some = first[k:k + (1 << 18)]
+        out[k:k + len(some)] = mixed(head[at[some]] + hashes[at[some + 1]], 7)
+    return out
+
+
+def _new(sets: list[Bits | None], cells, parts: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """Whether both parts are in the last set, and not both in an earlier one; no set holds all."""
     def both(s: Bits | None) -> np.ndarray:
         if s is None:
             return np.ones(len(parts[0]), bool)
-        inside = s.holds(cells)
+        inside = cells(s)
         return inside[parts[0]] & inside[parts[1]]
 
     out = both(sets[-1])
@@ -182,9 +212,17 @@ def _rows(lang: str, words: pa.Array, at: list[np.ndarray], size: np.ndarray, n:
                                           "size": size[k:k + ROWS].astype(np.int32), "n": n[k:k + ROWS].astype(np.int64)})
 
 
-def _counted(docs: DataFrame, passes: list, words: bool, triples: bool = True) -> DataFrame:
-    """Counts over ``docs``; the words' total of a language is its row of size 0."""
-    sent = docs.sparkSession.sparkContext.broadcast(passes)
+CHUNKS = "lang string, words binary, ends binary, numbers binary"
+
+
+def _chunks(docs: DataFrame, name: str) -> DataFrame:
+    """The texts as numbered words, written once: each row has a chunk's texts of a language."""
+    def row(lang: str, c: Chunk) -> pa.RecordBatch:
+        words = list(c.number)
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words))).astype("<i4")
+        return pa.RecordBatch.from_pydict({"lang": pa.array([lang], pa.string()), "words": pa.array([b"".join(words)], pa.binary()),
+                                           "ends": pa.array([ends.tobytes()], pa.binary()),
+                                           "numbers": pa.array([np.concatenate(c.parts).astype("<i4").tobytes()], pa.binary())})
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunks: dict[str, Chunk] = {}
@@ -195,13 +233,26 @@ def _counted(docs: DataFrame, passes: list, words: bool, triples: bool = True) -
                 chunks.setdefault(code, Chunk()).add(text.filter(pc.equal(lang, code)).to_pylist())
             size += t.nbytes
             if size >= CHUNK_BYTES:
-                for code, c in chunks.items():
-                    yield from c.counted(code, sent.value, words, triples)
+                yield from map(row, chunks, chunks.values())
                 chunks, size = {}, 0
-        for code, c in chunks.items():
-            yield from c.counted(code, sent.value, words, triples)
+        yield from map(row, chunks, chunks.values())
+
+    return stored(docs.select("lang", "text").mapInArrow(run, CHUNKS), name)
+
+
+def _counted(chunks: DataFrame, passes: list, words: bool, triples: bool = True) -> DataFrame:
+    """Counts over all chunks; the words' total of a language is its row of size 0."""
+    sent = chunks.sparkSession.sparkContext.broadcast(passes)
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for f in frames:
+            for i in range(f.num_rows):
+                lang, data, ends, numbers = (f[c][i].as_py() for c in ("lang", "words", "ends", "numbers"))
+                bounds = [0, *np.frombuffer(ends, "<i4").tolist()]
+                names = [data[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                yield from count_chunk(lang, names, np.frombuffer(numbers, "<i4"), sent.value, words, triples)
 
-    return docs.mapInArrow(run, COUNTED).groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n"))
+    return chunks.mapInArrow(run, COUNTED).groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n"))
 
 
 def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id",
@@ -212,8 +263,8 @@ def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", do
     d = docs.select(F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit("und")).alias("lang"),
                     F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"),
                     F.col(f"`{doc_id}`").alias("id"))
-    sample = d.where(F.pmod(F.xxhash64("id", "text"), F.lit(SAMPLE_SHARE)) == 0).select("lang", "text")
-    d = d.select("lang", "text")
+    sample = _chunks(d.where(F.pmod(F.xxhash64("id", "text"), F.lit(SAMPLE_SHARE)) == 0), "sample")
+    d = _chunks(d, "chunks")
     proposed = stored(_counted(sample, [(None, None)], words=True, triples=False).where(F.col("n") >= SAMPLE_LEAST), "proposed")
     passes = [tuple(bits_of(proposed.where(F.col("size") == k)) for k in (1, 2))]
     found = stored(_counted(d, passes, words=True).where((F.col("n") >= support) | (F.col("size") == 0)), "phrases")
