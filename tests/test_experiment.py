@@ -118,3 +118,24 @@ def test_compaction_counts_rows_once(spark):
     GR.append_ledger(GR.ledger_row(spark, "errors", "local", experiment_id="e1", error_message="later"), store, "errors", "e1")
     rows = {r["experiment_id"]: r["error_message"] for r in GR.read_ledger(spark, store, "errors").collect()}
     assert rows == {"e1": "later", "e2": "m2", "e3": "m3"}
+
+
+def test_corruptors_are_registered(spark, monkeypatch):
+    """A new error type needs a function and a code; the audit log knows its changes."""
+    from pyspark.sql import functions as F
+
+    from tabtaint.operators import corrupt as C
+    monkeypatch.setattr(C, "CORRUPTORS", dict(C.CORRUPTORS))
+    monkeypatch.setattr(C, "APPLICABILITY", dict(C.APPLICABILITY))
+
+    @C.corruptor("NEG", applies="numeric")
+    def negate(job):
+        return job.df.withColumns({c: F.when(job.hit, -F.col(c)).otherwise(F.col(c)) for c in job.columns})
+
+    df = keyed(spark, SF001, "customer")
+    out = C.corrupt(df, SPECS["customer"], "NEG", 0.1, 1.0, seed=1)
+    assert out.columns == ["c_acctbal"] and out.df.columns == df.columns
+    rows = out.changes.collect()
+    assert len(rows) == out.rows.count() == 150 and all(float(r["old_value"]) == -float(r["new_value"]) for r in rows)
+    with pytest.raises(ValueError):
+        C.corrupt(df, SPECS["customer"], "NEW", 0.1, seed=1)
