@@ -2080,6 +2080,50 @@ register("curate_batch_pairing", """SELECT r_name AS stem, true AS has_data, r_r
   r_regionkey % 2 = 0 AS complete FROM region""")(q_pairing)
 
 
+from tabtaint.plans import curation as CB  # noqa: E402
+
+
+def _curated_batch(spark, sf_dir):
+    """Three datasets with metadata, data without metadata, and metadata without data."""
+    root, out = ST.scratch(spark, "raw-datasets"), ST.scratch(spark, "curated")
+    tables = {"customer": nully_customer(spark, sf_dir), **{t: load(spark, sf_dir, t) for t in ("part", "supplier", "nation")}}
+    for name, df in tables.items():
+        df.write.option("header", True).csv(f"{root}/{name}.csv")
+    meta = {"customer": "name: Customer\nproblem_type: classification\ntarget_feature: c_mktsegment\ncategorical_features: [c_nationkey, c_mktsegment]",
+            "part": "name: The Part\nproblem_type: regression\ntarget_feature: p_retailprice\ncategorical_features: [p_name, p_brand, p_type]",
+            "supplier": "name: supplier\ncategorical_features: s_nationkey", "region": "name: region"}
+    for name, text in meta.items():
+        spark.createDataFrame([(text,)], "v string").coalesce(1).write.text(f"{root}/{name}.yaml")
+    return CB.curate_batch(spark, _list_dir(spark, root), out), out
+
+
+def q_curate_batch(spark, sf_dir):
+    """CUR5: all complete datasets of a folder, curated and reported."""
+    return _curated_batch(spark, sf_dir)[0]
+
+
+register("curate_batch", f"""
+SELECT 'customer' AS dataset, (SELECT count(*) FROM customer) AS initial_rows, 5 AS initial_columns,
+  (SELECT count(*) FROM {_NULLY_CUSTOMER_SQL} t WHERE c_acctbal IS NOT NULL AND c_mktsegment IS NOT NULL) AS final_rows,
+  4 AS final_columns, 'c_name' AS dropped_columns, NULL AS error
+UNION ALL SELECT 'part', count(*), 6, count(*), 6, '', NULL FROM part
+UNION ALL SELECT 'supplier', count(*), 4, count(*), 4, '', NULL FROM supplier""")(q_curate_batch)
+
+
+def q_curate_roles(spark, sf_dir):
+    """SRC1, SRC5, SNK6, PRJ5, PRJ7: the column roles of the curated datasets, read back from their metadata."""
+    return CB.roles(spark, _curated_batch(spark, sf_dir)[1])
+
+
+register("curate_roles", """SELECT * FROM (VALUES
+  ('customer', 'c_custkey', 'numerical'), ('customer', 'c_acctbal', 'numerical'), ('customer', 'c_nationkey', 'categorical'),
+  ('customer', 'c_mktsegment', 'categorical'), ('part', 'p_partkey', 'numerical'), ('part', 'p_size', 'numerical'),
+  ('part', 'p_retailprice', 'numerical'), ('part', 'p_name', 'categorical'), ('part', 'p_brand', 'categorical'),
+  ('part', 'p_type', 'categorical'), ('supplier', 's_suppkey', 'numerical'), ('supplier', 's_name', 'numerical'),
+  ('supplier', 's_acctbal', 'numerical'), ('supplier', 's_nationkey', 'categorical')) t(dataset, "column", sdtype)
+WHERE (SELECT count(*) FROM customer) > 0""")(q_curate_roles)
+
+
 def q_fd_records(spark, sf_dir):
     """JSN2: FD records of the part table written as JSON lines (plus a malformed line and a
     record of another type), parsed back."""
