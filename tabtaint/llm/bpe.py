@@ -190,10 +190,12 @@ def _slices(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
         yield part
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", with_ids: bool = False) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", with_ids: bool = False,
+           with_decoded: bool | None = None) -> DataFrame:
     """Per document: ``doc_id, n_tokens, ids_sha256, decoded_sha256`` and, if asked for, ``ids``
-    and ``decoded`` (the decoded bytes)."""
+    and ``decoded`` (the decoded bytes; with the ids unless told otherwise)."""
     ready(docs)
+    with_decoded = with_ids if with_decoded is None else with_decoded
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = codec(path, pattern)
@@ -201,15 +203,19 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", with_id
             for part in _slices(batch):
                 cut = [pieces(t or "") for t in part["text"]]
                 found = c.code({p for ps in cut for p in ps})
-                coded = [_joined([found[p] for p in ps]) for ps in cut]
-                out = {"doc_id": part["doc_id"], "no_id": part["no_id"], "n_tokens": [n for n, _, _ in coded],
-                       "ids_sha256": [hashlib.sha256(ids.encode()).hexdigest() for _, ids, _ in coded],
-                       "decoded_sha256": [hashlib.sha256(b).hexdigest() for _, _, b in coded]}
-                if with_ids:
-                    out |= {"ids": [np.array(ids.split(" ") if ids else [], np.int32) for _, ids, _ in coded],
-                            "decoded": [b for _, _, b in coded]}
-                yield pd.DataFrame(out)
+                out: dict[str, list] = {k: [] for k in ("n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded")}
+                for ps in cut:   # a document's ids as text and its bytes are held one at a time
+                    n, ids, decoded = _joined([found[p] for p in ps])
+                    out["n_tokens"].append(n)
+                    out["ids_sha256"].append(hashlib.sha256(ids.encode()).hexdigest())
+                    out["decoded_sha256"].append(hashlib.sha256(decoded).hexdigest())
+                    if with_ids:
+                        out["ids"].append(np.fromstring(ids, np.int32, sep=" ") if ids else np.empty(0, np.int32))
+                    if with_decoded:
+                        out["decoded"].append(decoded)
+                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "no_id": part["no_id"].to_numpy(),
+                                    **{k: v for k, v in out.items() if v or k[-6:] == "sha256" or k == "n_tokens"}})
 
     schema = "doc_id bigint, no_id boolean, n_tokens bigint, ids_sha256 string, decoded_sha256 string" \
-        + ", ids array<int>, decoded binary" * with_ids
+        + ", ids array<int>" * with_ids + ", decoded binary" * with_decoded
     return join_id(docs.select(*split_id(), F.col(f"`{text}`").alias("text")).mapInPandas(run, schema))
