@@ -42,7 +42,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Per document its token ids, their digest, and the digest of what they decode to."""
     import public_tokenizers
     return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN,
-                      with_ids=True).drop("decoded")
+                      with_ids=True, with_decoded=False)
 
 
 STAGES = [
