@@ -252,7 +252,9 @@ def _counted(chunks: DataFrame, passes: list, words: bool, triples: bool = True)
                 names = [data[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
                 yield from count_chunk(lang, names, np.frombuffer(numbers, "<i4"), sent.value, words, triples)
 
-    return chunks.mapInArrow(run, COUNTED).groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n"))
+    # dealt out before they are added up: a task's chunks have few phrases in common, so that adding them up on the
+    # way would fill its memory for little
+    return chunks.mapInArrow(run, COUNTED).repartition("lang", "phrase").groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n"))
 
 
 def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id",
