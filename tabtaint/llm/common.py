@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 import uuid
 from collections.abc import Callable
@@ -96,6 +97,18 @@ def bounded(df: DataFrame, name: str, limit_bytes: int = 32 << 20) -> DataFrame:
     return F.broadcast(kept) if size <= limit_bytes else kept
 
 
+def own_columns(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """For a filter ``f(docs, ..., text=...)`` that returns rows of ``docs``: whatever names the other columns
+    have, they meet none of the filter's own."""
+    @functools.wraps(f)
+    def run(docs: DataFrame, *args, text: str = "text", **more) -> DataFrame:
+        names = docs.columns
+        inside = [c if c in ("doc_id", text) and names.index(c) == i else f"column_{i}" for i, c in enumerate(names)]
+        return f(docs.toDF(*inside), *args, text=text, **more).toDF(*names)
+
+    return run
+
+
 def row_key(text: str = "text") -> Column:
     """With the document id, what tells rows apart: rows that share an id keep their own results."""
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))

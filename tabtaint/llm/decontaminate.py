@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabtaint.llm.common import NOT_ALNUM, bounded, count_alnum_words, lower_ascii, row_key, split_words, stored
+from tabtaint.llm.common import NOT_ALNUM, bounded, count_alnum_words, lower_ascii, own_columns, row_key, split_words, stored
 
 WINDOW = 10
 
@@ -78,6 +78,7 @@ def mark(docs: DataFrame, items: DataFrame, width: int = WINDOW, text: str = "te
                     F.col("n_hit").isNotNull().alias("contaminated"))
 
 
+@own_columns
 def drop_contaminated(docs: DataFrame, items: DataFrame, width: int = WINDOW, text: str = "text") -> DataFrame:
     """The rows of ``docs`` without any benchmark window, with their own columns only."""
     bad = occurrences(docs, items, width, text).select(F.col("doc_id").alias("__id"), F.col("row").alias("__row")) \

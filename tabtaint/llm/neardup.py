@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabtaint.llm.common import bounded, join_id, ready, row_key, sized, split_id, stored
+from tabtaint.llm.common import bounded, join_id, own_columns, ready, row_key, sized, split_id, stored
 from tabtaint.llm.graph import components
 from tabtaint.llm.text import U64, Words, mixed
 
@@ -286,6 +286,7 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     return join_id(_judged(docs, text)).select("doc_id", "n_shingles", "component_id", "kept", "n_links")
 
 
+@own_columns
 def keep_first_of_group(docs: DataFrame, text: str = "text") -> DataFrame:
     """One row of each group, the one of the least id (of equal rows any one), with the columns of ``docs`` only."""
     dropped = stored(join_id(_judged(docs, text).where("NOT kept").select(*ROW, "first_row").distinct()), "near-duplicates")

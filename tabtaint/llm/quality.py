@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabtaint.llm.common import let, split_words, stored, window_hashes
+from tabtaint.llm.common import let, own_columns, split_words, stored, window_hashes
 
 WINDOW = 8
 #: The characters counted as symbols, and those seldom seen in prose.
@@ -218,6 +218,7 @@ def judge(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFr
         .withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= threshold))
 
 
+@own_columns
 def keep_quality(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with their own columns only.
 

@@ -47,3 +47,21 @@ def test_empty_table(spark):
     for name, stage in corpus_pipeline.STAGES:
         docs = stored(stage(spark, docs, SF), name)
         assert docs.count() == 0
+
+
+def test_filters_with_clashing_names(spark):
+    """Columns named like the filters' own, or like others in another case, come through unchanged."""
+    from pyspark.sql import functions as F
+
+    from tabtaint.llm import decontaminate, neardup, quality
+    text = " ".join(f"word{i}" for i in range(40))
+    names = ["doc_id", "text", "__quality", "__key", "__id", "__row", "row", "first_row", "kept", "component_id", "TEXT"]
+    rows = [(i, text if i < 3 else f"{text} {i} " + " ".join(f"own{i}x{k}" for k in range(60)), *range(9)) for i in (0, 1, 1, 4, 5)]
+    docs = spark.createDataFrame(rows, ", ".join(f"c{k} {'string' if k == 1 else 'bigint'}" for k in range(11))).toDF(*names)
+    items = spark.createDataFrame([(1, " ".join(f"own4x{k}" for k in range(12)))], "item_id bigint, text string")
+    for kept, want in ((neardup.keep_first_of_group(docs), {0, 4, 5}), (decontaminate.drop_contaminated(docs, items), {0, 1, 5}),
+                       (quality.keep_quality(docs), None)):
+        assert kept.columns == names
+        got = kept.toDF(*[f"c{k}" for k in range(11)]).select(F.col("c0"), F.array(*[f"c{k}" for k in range(2, 11)]).alias("v")).collect()
+        assert all(r["v"] == list(range(9)) for r in got)
+        assert want is None or {r["c0"] for r in got} == want
