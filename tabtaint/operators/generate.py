@@ -99,10 +99,12 @@ def bootstrap(df: DataFrame, columns, n_samples: int, seed, key: str = "row_key"
 
 def per_class(df: DataFrame, columns, target: str, n_samples: int, seed, key: str = "row_key") -> DataFrame:
     """GEN6: ``max(2, n_samples // #classes)`` rows per class, each column drawn from its
-    empirical distribution within the class, label re-attached.  A null label is a class.
+    empirical distribution within the class, label re-attached.  A null label is no class: rows
+    without a label generate nothing.
 
     Classes are a numbered table, joined to the draws by their number: any number of them will do."""
     spark, columns = df.sparkSession, list(columns)
+    df = df.where(F.col(target).isNotNull())
     sizes = df.groupBy(F.col(target).alias("_label")).agg(F.count(F.lit(1)).alias("_size")) \
         .withColumn("_g", _group(F.col("_label"))) \
         .withColumn("_h", F.concat(hash_hex(seed, "gen6:classes", F.coalesce(F.col("_label").cast("string"), F.lit(MISSING))), "_g"))

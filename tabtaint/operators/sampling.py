@@ -168,7 +168,7 @@ def number_by_hash(df: DataFrame, key: str, seed, tag: str, group: str | None =
     the buckets even, so a hot group is spread over them, and the number of digits follows the number of
     rows.  Bucket counts are summed along by a window and joined back (broadcast under a checked
     bound); each bucket is ranked by a window partitioned by (group, bucket).  Returns ``(df, n)``;
-    with a group, ``n`` is the table ``_v, _n`` of group sizes.
+    with a group, ``n`` is the dict of group sizes, or for very many groups a table ``_v, _n``.
     """
     h = hash_hex(seed, tag, key)
     g = _group_text(F.col(group)) if group else F.lit("v0")
@@ -184,7 +184,11 @@ def number_by_hash(df: DataFrame, key: str, seed, tag: str, group: str | None =
     w = Window.partitionBy("_g", "_bk").orderBy("_h")
     offs = F.broadcast(offs) if offs.count() <= BROADCAST_OFFSET_ROWS else offs
     out = x.join(offs, ["_g", "_bk"]).withColumn("_pos", F.col("_off") + F.row_number().over(w) - 1).drop("_bk", "_off", "_h", "_g")
-    return out, (sizes.select("_v", "_n") if group else total)
+    if not group:
+        return out, total
+    if sizes.count() > BROADCAST_GROUPS:
+        return out, sizes.select("_v", "_n")
+    return out, {r["_v"]: r["_n"] for r in sizes.collect()}
 
 
 def py_derangement_order(values, seed, tag: str) -> dict:
