@@ -109,3 +109,16 @@ def test_visits_go_to_groups_of_cells():
     cells = NB.Cells(p, "euclidean", None, NB.distances(p, p, "euclidean"), np.full(100, 50))
     cells.deal(1000)
     assert len(set(cells.groups.tolist())) == 5
+
+
+def test_repeated_and_null_keys_in_a_task():
+    """Rows that share the visitor's key aren't its neighbours, however many there are."""
+    r = np.random.default_rng(2)
+    n = 300
+    points = NB.Points(r.normal(0, 1, (n, 1)).repeat(3, axis=0), [])
+    names = np.array([None if i % 7 == 0 else f"{i:04}" for i in range(n)], object).repeat(3)
+    i, j, d = NB._local(points, names, np.full(len(names), np.inf), points, names, 4, True, "euclidean", None)
+    plain = NB.distances(points, points, "euclidean")
+    plain[names[:, None] == names[None, :]] = np.inf
+    x, y = NB.nearest(plain, 4)
+    assert sorted(zip(i.tolist(), d.tolist())) == sorted(zip(x.tolist(), plain[x, y].tolist()))
