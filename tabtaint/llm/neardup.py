@@ -8,8 +8,8 @@ an unbiased estimate of the Jaccard similarity with Chernoff-type concentration,
 shingles costs O(n + t log t) hash steps, not O(n t).  Sets with J >= 0.75 share a band with
 probability of at least 1 - (1 - 0.75 ** 7) ** 72 > 0.99996.
 
-Candidates never become all pairs.  Equal sets are one class.  In a bucket each class is compared
-with the bucket's least one; verified links give components.  After that only members outside the
+Candidates never become all pairs.  Equal sets are one class.  Each class is compared with the least ones of its
+buckets, one a round and only while they lie in different components; verified links give components.  After that only members outside the
 bucket's largest component are compared with the members of other components: directly where they
 are few; in a crowded bucket, as sets that share a passage fill it, by their sketches first, in one
 task as long as the bucket has at most ``GROUP`` members; a larger one is split by second bands before.
@@ -47,6 +47,8 @@ SLICE_BYTES = 2 << 20
 #: one task compares by sketches; further bands in the key of a larger one.
 DIRECT, GROUP, REFINEMENTS = 8, 2000, 2
 AGREEMENT = 0.6
+#: Rounds in which a member is compared with one of its buckets' least nodes.
+CENTER_ROUNDS = 2
 #: What tells rows apart, in the order in which they are preferred.
 ROW = ("no_id", "doc_id", "a", "b")
 
@@ -206,6 +208,28 @@ def _alike(opened: DataFrame, sets: DataFrame, n: int) -> DataFrame:
         .applyInPandas(_alike_in, "u bigint, v bigint")
 
 
+def _center_links(pairs: DataFrame, sets: DataFrame, r: int) -> tuple[DataFrame, DataFrame]:
+    """Verified links among the pairs (``u, v, k``) of a bucket's least node and a member, ``k`` buckets having
+    them, and the components.  A member is compared with the one it shares most buckets with; in the next round with
+    another, if that one is in another component; in the last with all such.  So the members of a large
+    group cost a comparison each, and any two nodes of a similar pair end in one component."""
+    links = label = None
+    for step in range(CENTER_ROUNDS + 1):
+        if links is not None:
+            at = {x: label.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}")) for x in "uv"}
+            pairs = stored(sized(pairs.join(tried, ["u", "v"], "left_anti").join(at["u"], "u", "left").join(at["v"], "v", "left")
+                                 .where(F.coalesce("c_u", "u") != F.coalesce("c_v", "v")).select("u", "v", "k"), r), "centers")
+            if pairs.isEmpty():
+                break
+        best = F.max_by("u", F.struct("k", -F.col("u"))).alias("u")
+        tried = pairs.select("u", "v") if step == CENTER_ROUNDS else \
+            stored(sized(pairs.groupBy("v").agg(best).select("u", "v"), r), "tried")
+        found = _verified(sized(tried, r), sets, "links")
+        links = found if links is None else links.unionByName(found)
+        label = stored(components(links), "components")
+    return links, label
+
+
 def link_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """Verified links (``u``, ``v``) that connect the classes (``node, first, n, bands``), ``first``
     being the row of ``docs`` that stands for the class.
@@ -222,9 +246,8 @@ def link_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
     if sets.count() > nodes.count():  # equal rows
         sets = stored(sets.dropDuplicates(["node"]), "shingle-sets")
     pairs = members.where((F.col("node") != F.col("center")) & _similar_size("n", "center_n")) \
-        .select(F.col("center").alias("u"), F.col("node").alias("v")).distinct()
-    links = _verified(sized(pairs, r), sets, "links")
-    label = components(links)
+        .groupBy(F.col("center").alias("u"), F.col("node").alias("v")).agg(F.count("*").alias("k"))
+    links, label = _center_links(stored(sized(pairs, r), "centers"), sets, r)
     m = sized(members.select("h", "node", "n").join(label, "node", "left"), r) \
         .withColumn("component", F.coalesce("component", "node"))
     more = []
