@@ -11,9 +11,10 @@ probability of at least 1 - (1 - 0.75 ** 7) ** 72 > 0.99996.
 Candidates never become all pairs.  Equal sets are one class.  Each class is compared with the least ones of its
 buckets, one a round and only while they lie in different components; verified links give components.  After that only members outside the
 bucket's largest component are compared with the members of other components: directly where they
-are few; in a crowded bucket, as sets that share a passage fill it, by their sketches first, in one
-task as long as the bucket has at most ``GROUP`` members; a larger one is split by second bands before.
-By the concentration bound a pair with J >= 0.75 has fewer than 60 % equal coordinates with
+are few; in a crowded bucket, as sets that share a passage fill it, in one task that holds the bucket's
+full sets, so that only links leave it, as long as it has at most ``GROUP`` members; a larger one is split by
+second bands before.  Sets of over ``GROUP_SHINGLES`` shingles together are compared by their sketches
+first: by the concentration bound a pair with J >= 0.75 has fewer than 60 % equal coordinates with
 probability below 1e-9.  Links are confirmed on the full sets.
 
 A class is known by a number of its own, given in the order of its first row by (id, text hash), so
@@ -44,8 +45,10 @@ ROWS, BANDS = 7, 72
 BINS = ROWS * BANDS
 SLICE_BYTES = 2 << 20
 #: Members outside a bucket's largest component that are compared directly; members of a bucket that
-#: one task compares by sketches; further bands in the key of a larger one.
+#: one task compares; further bands in the key of a larger one.
 DIRECT, GROUP, REFINEMENTS = 8, 2000, 2
+#: Shingles of a bucket's sets that one task holds (8 bytes each).
+GROUP_SHINGLES = 4 << 20
 AGREEMENT = 0.6
 #: Rounds in which a member is compared with one of its buckets' least nodes.
 CENTER_ROUNDS = 2
@@ -165,10 +168,11 @@ def _buckets(rows: DataFrame) -> DataFrame:
 
 def _open(members: DataFrame, n: int) -> DataFrame:
     """Members (``h, node, n, component``) of buckets that hold several components, with the bucket's
-    largest component and the number of members ``outside`` it."""
-    parts = sized(members.groupBy("h", "component").agg(F.count("*").alias("k")), n)
+    largest component, the number of members ``outside`` it and the ``shingles`` of all."""
+    parts = sized(members.groupBy("h", "component").agg(F.count("*").alias("k"), F.sum("n").alias("total")), n)
     by = parts.groupBy("h").agg(F.max_by("component", F.struct("k", "component")).alias("largest"),
-                                F.count("*").alias("parts"), F.sum("k").alias("size"), (F.sum("k") - F.max("k")).alias("outside")).where("parts > 1")
+                                F.count("*").alias("parts"), F.sum("k").alias("size"), (F.sum("k") - F.max("k")).alias("outside"),
+                                F.sum("total").alias("shingles")).where("parts > 1")
     return stored(sized(members.join(sized(by, n).drop("parts"), "h"), n), "open-buckets")
 
 
@@ -201,9 +205,36 @@ def _alike_in(bucket: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(np.unique(np.concatenate(out), axis=0), columns=["u", "v"])
 
 
+def _linked_in(bucket: pd.DataFrame) -> pd.DataFrame:
+    """Links between a bucket's members in different components, by their full sets."""
+    sets = [np.frombuffer(x, "<u8") for x in bucket["set"]]
+    n = np.array([len(x) for x in sets])
+    start = np.cumsum(n) - n
+    values, at = np.unique(np.concatenate(sets), return_inverse=True)
+    component, node = bucket["component"].to_numpy(), bucket["node"].to_numpy()
+    out = [np.empty((0, 2), np.int64)]
+    for i in np.flatnonzero(component != bucket["largest"].to_numpy()):
+        own = np.zeros(len(values), bool)
+        own[at[start[i]:start[i] + n[i]]] = True
+        same = np.add.reduceat(own[at], start, dtype=np.int64)
+        good = (component != component[i]) & (100 * same >= 75 * (n + n[i] - same))
+        out.append(np.stack([np.minimum(node[i], node[good]), np.maximum(node[i], node[good])], axis=1))
+    return pd.DataFrame(np.unique(np.concatenate(out), axis=0), columns=["u", "v"])
+
+
+def _sets_of(opened: DataFrame, sets: DataFrame, n: int) -> DataFrame:
+    return sets.join(bounded(sized(opened.select("node").distinct(), n), "crowded-nodes"), "node")
+
+
+def _linked(opened: DataFrame, sets: DataFrame, n: int) -> DataFrame:
+    own = _sets_of(opened, sets, n).select("node", F.col("shingles").alias("set"))
+    found = opened.select("h", "node", "component", "largest").join(own, "node").groupBy("h") \
+        .applyInPandas(_linked_in, "u bigint, v bigint")
+    return stored(sized(found.distinct(), n), "links")
+
+
 def _alike(opened: DataFrame, sets: DataFrame, n: int) -> DataFrame:
-    nodes = bounded(sized(opened.select("node").distinct(), n), "crowded-nodes")
-    codes = sets.join(nodes, "node").mapInPandas(_codes, "node bigint, code binary")
+    codes = _sets_of(opened, sets, n).mapInPandas(_codes, "node bigint, code binary")
     return opened.select("h", "node", "component", "largest").join(codes, "node").groupBy("h") \
         .applyInPandas(_alike_in, "u bigint, v bigint")
 
@@ -250,13 +281,16 @@ def link_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
     links, label = _center_links(stored(sized(pairs, r), "centers"), sets, r)
     m = sized(members.select("h", "node", "n").join(label, "node", "left"), r) \
         .withColumn("component", F.coalesce("component", "node"))
-    more = []
+    more, inside = [], []
     for step in range(REFINEMENTS + 1):
         opened = _open(m, r)
         crowded = F.col("outside") > DIRECT
         huge = crowded & (F.col("size") > GROUP)
         more.append(_across(opened.where(~crowded if step < REFINEMENTS else ~crowded | huge)))
-        grouped = opened.where(crowded & ~huge)
+        small = F.col("shingles") <= GROUP_SHINGLES
+        held, grouped = opened.where(crowded & ~huge & small), opened.where(crowded & ~huge & ~small)
+        if not held.isEmpty():
+            inside.append(_linked(held, sets, r))
         if not grouped.isEmpty():
             more.append(_alike(grouped, sets, r))
         if step == REFINEMENTS or opened.where(huge).isEmpty():
@@ -269,7 +303,11 @@ def link_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
         m = stored(_buckets(m).select("h", "node", "n", "component"), "buckets")
         r = m.count()
     more = stored(sized(reduce(DataFrame.unionByName, more).distinct(), r), "pairs")
-    return links if more.isEmpty() else links.unionByName(_verified(more, sets, "links"))
+    if not more.isEmpty():
+        inside.append(_verified(more, sets, "links"))
+    if not inside:
+        return links
+    return links.unionByName(stored(sized(reduce(DataFrame.unionByName, inside).distinct(), r), "links"))
 
 
 def _judged(docs: DataFrame, text: str) -> DataFrame:

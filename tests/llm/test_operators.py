@@ -190,6 +190,24 @@ def test_near_crowded_buckets(spark, monkeypatch, group):
 
 
 def test_sketch_estimates_similarity():
+def test_near_crowded_bucket_gives_links_only(spark, monkeypatch):
+    """Sets that share most of a passage, but are no links, leave their bucket's task in no pairs."""
+    r = random.Random(5)
+    passage = [f"p{k}" for k in range(120)]
+    rows = [(i, " ".join(passage + [f"x{r.randrange(10 ** 6)}" for _ in range(25)])) for i in range(160)]
+    rows += [(1000 + i, t + " end") for i, (_, t) in enumerate(rows[:5])]
+    seen, verified = [], neardup._verified
+
+    def counted(pairs, sets, name):
+        seen.append(pairs.count())
+        return verified(pairs, sets, name)
+
+    monkeypatch.setattr(neardup, "_verified", counted)
+    d = spark.createDataFrame([(*x, None, None, 0, "", 0, 0) for x in rows], SCHEMA)
+    assert got(neardup.near_duplicates(d), *NEAR) == wanted(brute.near(rows))
+    assert sum(seen) < 20 * len(rows)
+
+
     import numpy as np
     r = np.random.default_rng(3)
     x = r.integers(0, 1 << 62, 900).astype(np.uint64)
