@@ -15,18 +15,17 @@ shard and an empty result.
 from __future__ import annotations
 
 import math
-import os
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tabtaint.llm.codes import Memory, byte_level, cut, sums_of
 from tabtaint.llm.common import bounded, join_id, ready, scratch_path, split_id
-from tabtaint.llm.pieces import pieces
 
 END = 2
 SHARD_IDS = 2 << 20
@@ -35,7 +34,6 @@ RULES_PER_ROUND, LEAST_COUNT = 4096, 32
 HASH_BITS = 18
 #: Pieces that a task remembers; beyond that it starts anew.
 MEMORY = 1_000_000
-ROW_PIECES = 4096
 
 SCHEMA = ("part int, chunk int, n_ids bigint, docs binary, no_id binary, counts binary, firsts binary, "
           "first_rule int, rules binary, lengths binary, width int, symbols binary")
@@ -47,61 +45,16 @@ class Encoder:
     """Ids of texts as one array; pieces already seen by the task are looked up."""
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer, encode = byte_level(path)
         self.size = self.tokenizer.get_vocab_size()
-        self.bytes = np.zeros(self.size, np.int64)   # a token's string has a character for each byte
-        for token, i in self.tokenizer.get_vocab().items():
-            self.bytes[i] = len(token)
-        self.forget()
-
-    def forget(self) -> None:
-        self.number: dict[str, int] = {}
-        self.first, self.count = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        self.ids, self.total = [np.empty(0, np.int32)], 0
-
-    def _learn(self, new: list[str]) -> None:
-        """Numbers and encodes new pieces.  Those between two words are encoded in long rows, as no
-        token crosses from one to the next; the tokens' lengths tell where each piece ends."""
-        plain = [p for p in new if len(p) > 1 and p[0] == " " and not p[1].isspace() and not p[-1].isspace()]
-        rest = sorted(set(new) - set(plain))
-        rows = ["".join(plain[k:k + ROW_PIECES]) for k in range(0, len(plain), ROW_PIECES)]
-        found = [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(rows + rest, add_special_tokens=False)]
-        ids = np.concatenate([np.empty(0, np.int32), *found])
-        ends = np.cumsum(self.bytes[np.concatenate([np.empty(0, np.int32), *found[:len(rows)]])])
-        want = np.cumsum(np.array(list(map(len, map(str.encode, plain))), np.int64))
-        at = np.searchsorted(ends, want)
-        if len(plain) and (at[-1] != len(ends) - 1 or (ends[at] != want).any()):
-            raise ValueError("a token crosses from one piece of text to the next")
-        count = np.concatenate([np.diff(at, prepend=-1), np.array([len(x) for x in found[len(rows):]], np.int64)])
-        for p in (*plain, *rest):
-            self.number[p] = len(self.number)
-        self.first.append(self.total + np.cumsum(count) - count)
-        self.count.append(count)
-        self.ids.append(ids)
-        self.total += len(ids)
-        for x in (self.first, self.count, self.ids):
-            x[:] = [np.concatenate(x)]
+        self.memory = Memory(encode, limit=MEMORY)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, each text closed by ``END``, and the number of ids of each text."""
-        if len(self.number) > MEMORY:
-            self.forget()
-        cut = [pieces(t or "") for t in texts]
-        known = self.number
-        new = list(set(chain.from_iterable(cut)).difference(known))
-        if new:
-            self._learn(new)
-        n = np.fromiter(map(len, cut), np.int64, len(cut))
-        at = np.array(list(map(known.__getitem__, chain.from_iterable(cut))), np.int64)
-        each = self.count[0][at]
-        bounds = np.concatenate([[0], np.cumsum(n)])
-        sums = np.concatenate([[0], np.cumsum(each)])
-        per_text = sums[bounds[1:]] - sums[bounds[:-1]]
-        body = self.ids[0][np.repeat(self.first[0][at] - sums[:-1], each) + np.arange(int(sums[-1]))]
-        return np.insert(body, np.cumsum(per_text), END), per_text + 1
+        at, distinct, size = cut(pa.array([t or "" for t in texts], pa.large_string()), runs=True)
+        at, codes = self.memory.numbers(distinct)[at], self.memory.codes[0]
+        per_text = sums_of(codes.count[at], size)
+        return np.insert(codes.of(at), np.cumsum(per_text), END), per_text + 1
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -122,19 +75,23 @@ def compress(ids: np.ndarray, ends: np.ndarray, first_rule: int) -> tuple[np.nda
     last = np.zeros(len(seq), bool)
     last[ends] = True
     rules: list[np.ndarray] = []
-    made = first_rule
+    made, open_ = first_rule, np.ones(max(len(seq) - 1, 0), bool)  # where a pair may still be frequent: later, if it is new or was left over
     while len(seq) > 1:
-        pair = (seq[:-1] << 32) | seq[1:]
+        at = np.flatnonzero(open_ & ~last[:-1])
+        pair = (seq[at] << 32) | seq[at + 1]
         bucket = (pair.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - HASH_BITS)).astype(np.int64)
-        often = np.bincount(bucket, minlength=1 << HASH_BITS) >= LEAST_COUNT
-        at = np.flatnonzero(often[bucket] & ~last[:-1])
-        values, count = np.unique(pair[at], return_counts=True)
+        often = (np.bincount(bucket, minlength=1 << HASH_BITS) >= LEAST_COUNT)[bucket]
+        at, pair = at[often], pair[often]
+        values, of, count = np.unique(pair, return_inverse=True, return_counts=True)
         top = np.argsort(-count, kind="stable")[:RULES_PER_ROUND]
-        chosen = np.sort(values[top[count[top] >= LEAST_COUNT]])
-        if not len(chosen):
+        top = np.sort(top[count[top] >= LEAST_COUNT])
+        if not len(top):
             break
-        spot = np.minimum(np.searchsorted(chosen, pair[at]), len(chosen) - 1)
-        hit = chosen[spot] == pair[at]
+        chosen, place = values[top], np.full(len(values), -1)
+        place[top] = np.arange(len(top))
+        spot = place[of]
+        hit = spot >= 0
+        left = at[~hit & (count >= LEAST_COUNT)[of]]
         at, spot = at[hit], spot[hit]
         begins = np.concatenate([[True], np.diff(at) > 1])
         run = np.flatnonzero(begins)[np.cumsum(begins) - 1]
@@ -144,9 +101,13 @@ def compress(ids: np.ndarray, ends: np.ndarray, first_rule: int) -> tuple[np.nda
         rules.append(chosen)
         seq[at] = made + spot
         last[at] |= last[at + 1]
+        open_ = np.zeros(len(seq), bool)
+        open_[left] = True
+        open_[at] = True
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
-        seq, last = seq[keep], last[keep]
+        seq, last, open_ = seq[keep], last[keep], open_[keep]
+        open_ = open_[:-1] | (seq[1:] >= made)
         made += len(chosen)
     flat = np.concatenate(rules) if rules else np.empty(0, np.int64)
     return seq, np.stack([flat >> 32, flat & 0xFFFFFFFF], axis=1), np.flatnonzero(last)
