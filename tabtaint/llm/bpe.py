@@ -17,6 +17,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from itertools import islice
 
 import duckdb
 import numpy as np
@@ -26,8 +27,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabtaint.llm.codes import cut, sums_of
 from tabtaint.llm.common import join_id, ready, split_id
-from tabtaint.llm.pieces import pieces
 
 LONG = 64
 #: Pieces of each of the two generations that a task remembers; bytes of words encoded at a time.
@@ -155,18 +156,19 @@ class Codec:
     def _short(self, batch: list[tuple[str, bytes]]) -> Iterator[tuple[str, Coded]]:
         return zip([w for w, _ in batch], self._encode([b for _, b in batch], SHORT), strict=True)
 
-    def code(self, pieces: set[str]) -> dict[str, Coded]:
-        """All of ``pieces``; those seen lately are remembered."""
-        out = {p: c for p in pieces if (c := self.new.get(p) or self.old.get(p))}
-        split = {p: self.words.findall(p) for p in pieces - out.keys()}
+    def code(self, pieces: list[str]) -> dict[str, Coded]:
+        """All of ``pieces`` (distinct and non-empty); those seen lately are remembered."""
+        new, old = self.new, self.old
+        out = {p: c for p in pieces if (c := new.get(p) or old.get(p))}
+        split = {p: self.words.findall(p) for p in pieces if p not in out}
         known = self._words({w for ws in split.values() for w in ws})
         out.update((p, known[ws[0]] if len(ws) == 1 else _joined([known[w] for w in ws])) for p, ws in split.items())
         if len(self.new) + len(out) > MEMORY:
             self.old, self.new = self.new, {}
-        for p in out:
-            if len(self.new) >= MEMORY:
-                break
-            self.new[p] = out[p]
+        if len(self.new) + len(out) <= MEMORY:
+            self.new.update(out)
+        else:
+            self.new.update(islice(out.items(), MEMORY - len(self.new)))
         return out
 
 
@@ -201,12 +203,16 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", with_id
         c = codec(path, pattern)
         for batch in batches:
             for part in _slices(batch):
-                cut = [pieces(t or "") for t in part["text"]]
-                found = c.code({p for ps in cut for p in ps})
+                at, distinct, size = cut(pa.array([t or "" for t in part["text"]], pa.large_string()), runs=True)
+                found = c.code(distinct)
+                coded = [found[p] for p in distinct]
+                ids_of, bytes_of = [x for _, x, _ in coded], [x for _, _, x in coded]
                 out: dict[str, list] = {k: [] for k in ("n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded")}
-                for ps in cut:   # a document's ids as text and its bytes are held one at a time
-                    n, ids, decoded = _joined([found[p] for p in ps])
-                    out["n_tokens"].append(n)
+                out["n_tokens"] = sums_of(np.array([n for n, _, _ in coded], np.int64)[at], size).tolist()
+                ends = np.cumsum(size)
+                for a, b in zip((ends - size).tolist(), ends.tolist(), strict=True):   # a document's ids as text and its bytes are held one at a time
+                    own = at[a:b].tolist()
+                    ids, decoded = " ".join(map(ids_of.__getitem__, own)), b"".join(map(bytes_of.__getitem__, own))
                     out["ids_sha256"].append(hashlib.sha256(ids.encode()).hexdigest())
                     out["decoded_sha256"].append(hashlib.sha256(decoded).hexdigest())
                     if with_ids:

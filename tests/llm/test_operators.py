@@ -1,6 +1,7 @@
 """Every operator against brute force: the given tables, and a fixture of awkward rows."""
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -189,7 +190,6 @@ def test_near_crowded_buckets(spark, monkeypatch, group):
     assert got(neardup.near_duplicates(d), *NEAR) == wanted(brute.near(rows))
 
 
-def test_sketch_estimates_similarity():
 def test_near_crowded_bucket_gives_links_only(spark, monkeypatch):
     """Sets that share most of a passage, but are no links, leave their bucket's task in no pairs."""
     r = random.Random(5)
@@ -208,6 +208,7 @@ def test_near_crowded_bucket_gives_links_only(spark, monkeypatch):
     assert sum(seen) < 20 * len(rows)
 
 
+def test_sketch_estimates_similarity():
     import numpy as np
     r = np.random.default_rng(3)
     x = r.integers(0, 1 << 62, 900).astype(np.uint64)
@@ -376,6 +377,58 @@ def check_lm(out, rows):
     assert sorted(round(r["base_score"], 6) for r in out.collect()) == pytest.approx(sorted(r[5] for r in want), rel=1e-9, abs=1e-5)
 
 
+def test_rounds_look_again_only_where_a_pair_is_new(monkeypatch):
+    """The same rules and symbols as by counting all pairs each round, looking at few of them."""
+    import numpy as np
+    r = np.random.default_rng(3)
+    phrases = [r.integers(0, 300, r.integers(2, 9)) for _ in range(400)]
+    ids = np.concatenate([phrases[min(int(k), 399)] for k in r.zipf(1.3, 12000)] + [np.full(500, 7)])
+    ends = np.unique(np.append(np.flatnonzero(r.random(len(ids)) < 0.01), len(ids) - 1))
+    looked, bincount = [], np.bincount
+
+    def counted(x, *a, **k):
+        looked.append(len(x))
+        return bincount(x, *a, **k)
+
+    monkeypatch.setattr(np, "bincount", counted)
+    seq, rules, last = tokenfiles.compress(ids, ends, 300)
+    monkeypatch.undo()
+    wanted_, marks, want_rules = ids.astype(np.int64), np.isin(np.arange(len(ids)), ends), []
+    while True:
+        pairs_ = list(zip(wanted_[:-1].tolist(), wanted_[1:].tolist(), strict=True))
+        count = Counter(p for p, m in zip(pairs_, marks, strict=False) if not m)
+        top = sorted(sorted(p for p in count if count[p] >= tokenfiles.LEAST_COUNT), key=lambda p: -count[p])[:tokenfiles.RULES_PER_ROUND]
+        out, out_marks, k, used = [], [], 0, set()
+        chosen = set(top)
+        while k < len(wanted_):
+            if k < len(pairs_) and not marks[k] and pairs_[k] in chosen:
+                used.add(pairs_[k])
+                out.append(pairs_[k])
+                out_marks.append(bool(marks[k + 1]))
+                k += 2
+            else:
+                out.append(int(wanted_[k]))
+                out_marks.append(bool(marks[k]))
+                k += 1
+        if not top:
+            break
+        number = {p: 300 + len(want_rules) + j for j, p in enumerate(sorted(used))}
+        want_rules += sorted(used)
+        wanted_ = np.array([number[x] if isinstance(x, tuple) else x for x in out])
+        marks = np.array(out_marks)
+    assert seq.tolist() == wanted_.tolist() and [tuple(x) for x in rules.tolist()] == want_rules
+    assert last.tolist() == np.flatnonzero(marks).tolist()
+    assert sum(looked) < 2 * len(ids)
+
+
+def test_pieces_end_with_a_run_of_letters():
+    """A word before different marks is one piece, so it is split and remembered once."""
+    import pyarrow as pa
+    at, distinct, size = bpe.cut(pa.array(["so, so. so; so! so", ""], pa.large_string()), runs=True)
+    assert sorted(distinct) == [" so", "!", ",", ".", ";", "so"]
+    assert size.tolist() == [9, 0] and "".join(distinct[k] for k in at) == "so, so. so; so! so"
+
+
 def test_lm_query(spark):
     out = E.queries()["op8_maxent_scores"](spark, SF).cache()
     check_lm(out, given(spark))
