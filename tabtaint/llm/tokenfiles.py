@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tabtaint.llm.codes import Memory, byte_level, cut, sums_of
+from tabtaint.llm.codes import Codes, Pieces, byte_level, numbered_pieces, sums_of
 from tabtaint.llm.common import bounded, join_id, ready, scratch_path, split_id
 
 END = 2
@@ -32,6 +32,8 @@ SHARD_IDS = 2 << 20
 PARTITION_BYTES = 8 << 20
 RULES_PER_ROUND, LEAST_COUNT = 4096, 32
 HASH_BITS = 18
+#: Characters after which a shard may close, and how many such steps are cut into pieces at once.
+STEP_CHARS, CUT_STEPS = 1 << 20, 4
 #: Pieces that a task remembers; beyond that it starts anew.
 MEMORY = 1_000_000
 
@@ -47,12 +49,12 @@ class Encoder:
     def __init__(self, path: str):
         self.tokenizer, encode = byte_level(path)
         self.size = self.tokenizer.get_vocab_size()
-        self.memory = Memory(encode, limit=MEMORY)
+        self.memory = Pieces(encode, limit=MEMORY)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, each text closed by ``END``, and the number of ids of each text."""
-        at, distinct, size = cut(pa.array([t or "" for t in texts], pa.large_string()), runs=True)
-        at, codes = self.memory.numbers(distinct)[at], self.memory.codes[0]
+        at, distinct, size = numbered_pieces(pa.array([t or "" for t in texts], pa.large_string()), runs=True)
+        at, codes = self.memory.numbers(distinct)[at], self.memory.codes
         per_text = sums_of(codes.count[at], size)
         return np.insert(codes.of(at), np.cumsum(per_text), END), per_text + 1
 
@@ -80,24 +82,29 @@ def compress(ids: np.ndarray, ends: np.ndarray, first_rule: int) -> tuple[np.nda
         at = np.flatnonzero(open_ & ~last[:-1])
         pair = (seq[at] << 32) | seq[at + 1]
         bucket = (pair.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - HASH_BITS)).astype(np.int64)
-        often = (np.bincount(bucket, minlength=1 << HASH_BITS) >= LEAST_COUNT)[bucket]
+        often = np.flatnonzero((np.bincount(bucket, minlength=1 << HASH_BITS) >= LEAST_COUNT)[bucket])
         at, pair = at[often], pair[often]
-        values, of, count = np.unique(pair, return_inverse=True, return_counts=True)
-        top = np.argsort(-count, kind="stable")[:RULES_PER_ROUND]
-        top = np.sort(top[count[top] >= LEAST_COUNT])
+        of, values = pd.factorize(pair)
+        count = np.zeros(len(values), np.int64)
+        np.add.at(count, of, 1)
+        top = np.flatnonzero(count >= LEAST_COUNT)
+        top = top[np.lexsort((values[top], -count[top]))][:RULES_PER_ROUND]
+        top = top[np.argsort(values[top])]
         if not len(top):
             break
         chosen, place = values[top], np.full(len(values), -1)
         place[top] = np.arange(len(top))
         spot = place[of]
-        hit = spot >= 0
-        left = at[~hit & (count >= LEAST_COUNT)[of]]
+        left = at[(spot < 0) & (count >= LEAST_COUNT)[of]]
+        hit = np.flatnonzero(spot >= 0)
         at, spot = at[hit], spot[hit]
         begins = np.concatenate([[True], np.diff(at) > 1])
         run = np.flatnonzero(begins)[np.cumsum(begins) - 1]
-        take = (np.arange(len(at)) - run) % 2 == 0
-        used, spot = np.unique(spot[take], return_inverse=True)
-        at, chosen = at[take], chosen[used]
+        take = np.flatnonzero((np.arange(len(at)) - run) & 1 == 0)
+        at, spot = at[take], spot[take]
+        used = np.zeros(len(chosen), bool)
+        used[spot] = True
+        chosen, spot = chosen[used], (np.cumsum(used) - 1)[spot]
         rules.append(chosen)
         seq[at] = made + spot
         last[at] |= last[at + 1]
@@ -106,6 +113,7 @@ def compress(ids: np.ndarray, ends: np.ndarray, first_rule: int) -> tuple[np.nda
         open_[at] = True
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
+        keep = np.flatnonzero(keep)
         seq, last, open_ = seq[keep], last[keep], open_[keep]
         open_ = open_[:-1] | (seq[1:] >= made)
         made += len(chosen)
@@ -115,27 +123,15 @@ def compress(ids: np.ndarray, ends: np.ndarray, first_rule: int) -> tuple[np.nda
 
 def expansions(rules: np.ndarray, first_rule: int) -> list[np.ndarray]:
     """The ids that each rule's symbol stands for."""
-    out: list[np.ndarray] = []
+    ids, out = np.arange(first_rule, dtype="<i4").tobytes(), []
     for left, right in rules.tolist():
-        out.append(np.concatenate([np.array([x], np.int32) if x < first_rule else out[x - first_rule]
-                                   for x in (left, right)]))
-    return out
+        out.append(b"".join([ids[4 * x:4 * x + 4] if x < first_rule else out[x - first_rule] for x in (left, right)]))
+    return [np.frombuffer(x, "<i4") for x in out]
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, first_rule: int) -> np.ndarray:
-    table = expansions(rules, first_rule)
-    flat = np.concatenate([np.empty(0, np.int32), *table])
-    first = np.cumsum(lengths) - lengths
-    rule = symbols >= first_rule
-    each = np.ones(len(symbols), np.int64)
-    each[rule] = lengths[symbols[rule] - first_rule]
-    begin = np.cumsum(each) - each
-    out = np.empty(int(each.sum()), np.int32)
-    out[begin[~rule]] = symbols[~rule]
-    which = symbols[rule] - first_rule
-    inside = np.arange(int(each[rule].sum())) - np.repeat(np.cumsum(each[rule]) - each[rule], each[rule])
-    out[np.repeat(begin[rule], each[rule]) + inside] = flat[np.repeat(first[which], each[rule]) + inside]
-    return out
+    flat = np.concatenate([np.arange(first_rule, dtype=np.int32), *expansions(rules, first_rule)])
+    return Codes(flat, np.concatenate([np.ones(first_rule, np.int64), lengths])).of(symbols)
 
 
 def pack(symbols: np.ndarray, width: int) -> bytes:
@@ -211,14 +207,17 @@ def write(docs: DataFrame, path: str, tokenizer: str, text: str = "text") -> Non
         part = 0
         for batch in batches:
             part = int(batch["part"].iloc[0]) if len(batch) else part
-            limit = batch["text"].map(lambda t: len(t or "") + 64).cumsum() // (1 << 20)
-            for _, some in batch.groupby(limit, sort=False):
+            step = batch["text"].map(lambda t: len(t or "") + 64).cumsum() // STEP_CHARS
+            for _, some in batch.groupby(step // CUT_STEPS, sort=False):
                 ids, counts = e.encode(list(some["text"]))
-                open_.append((some["doc_id"].to_numpy(), some["no_id"].to_numpy(bool), ids, counts))
-                size += len(ids)
-                if size >= SHARD_IDS:
-                    yield closed()
-                    open_, size, chunk = [], 0, chunk + 1
+                cuts = np.flatnonzero(np.diff(step[some.index])) + 1
+                parts = (some["doc_id"].to_numpy(), some["no_id"].to_numpy(bool), counts)
+                for docs_, no_id, n, x in zip(*(np.split(p, cuts) for p in parts), np.split(ids, np.cumsum(counts)[cuts - 1]), strict=True):
+                    open_.append((docs_, no_id, x, n))
+                    size += len(x)
+                    if size >= SHARD_IDS:
+                        yield closed()
+                        open_, size, chunk = [], 0, chunk + 1
         if open_:
             yield closed()
 

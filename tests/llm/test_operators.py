@@ -421,6 +421,43 @@ def test_rounds_look_again_only_where_a_pair_is_new(monkeypatch):
     assert sum(looked) < 2 * len(ids)
 
 
+def test_known_pieces_stay_in_arrow():
+    """A task's known pieces never become Python strings, and new ones are encoded once."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+    e = tokenfiles.Encoder(tokenizer("byte_bpe_50k.json"))
+    plain, handed = Tokenizer.from_file(tokenizer("byte_bpe_50k.json")), []
+    plain.encode_special_tokens = True
+    encode = e.memory.encode
+    e.memory.encode = lambda new: (handed.append(new), encode(new))[1]
+    texts = ["so, so. so; don't", None, "", " a\x0b b \x0b", "a\u00a0b \u00a0c  d ", "x\n y\tz <|endoftext|> é è,\x00", " \n", "Œuvre 12 345"]
+    for again in range(3):
+        ids, counts = e.encode(texts)
+        want = [plain.encode(t or "", add_special_tokens=False).ids + [tokenfiles.END] for t in texts]
+        assert ids.tolist() == [x for w in want for x in w] and counts.tolist() == [len(w) for w in want]
+        texts.append(texts[again] or "new")
+    assert all(isinstance(new, pa.Array) for new in handed)
+    assert [len(new) for new in handed[1:]] == [1]
+    small = tokenfiles.Pieces(encode, limit=2)
+    for x in (["a", "b", "c"], ["c", " d"], ["a", "c"]):
+        at = small.numbers(pa.array(x, pa.large_string()))
+        assert small.codes.of(at).tolist() == [i for p in x for i in plain.encode(p, add_special_tokens=False).ids]
+
+
+def test_rounds_sort_only_frequent_pairs(monkeypatch):
+    """Re-Pair counts pairs without sorting them all each round."""
+    import numpy as np
+    ids, sorted_, lexsort, argsort, unique = np.random.default_rng(1).integers(0, 20, 50_000), [], np.lexsort, np.argsort, np.unique
+    monkeypatch.setattr(np, "lexsort", lambda x, *a, **k: (sorted_.append(len(x[0])), lexsort(x, *a, **k))[1])
+    monkeypatch.setattr(np, "argsort", lambda x, *a, **k: (sorted_.append(len(x)), argsort(x, *a, **k))[1])
+    monkeypatch.setattr(np, "unique", lambda x, *a, **k: (sorted_.append(len(x)), unique(x, *a, **k))[1])
+    seq, rules, _ = tokenfiles.compress(ids, np.array([len(ids) - 1]), 20)
+    monkeypatch.undo()
+    lengths = np.array([len(x) for x in tokenfiles.expansions(rules, 20)])
+    assert tokenfiles.expand(seq, rules, lengths, 20).tolist() == ids.tolist()
+    assert len(rules) and max(sorted_) <= 10_000
+
+
 def test_pieces_end_with_a_run_of_letters():
     """A word before different marks is one piece, so it is split and remembered once."""
     import pyarrow as pa
