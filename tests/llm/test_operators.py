@@ -487,6 +487,60 @@ def test_lm_factors_are_distributions(spark):
     assert np.allclose(np.exp(w.members(np.arange(maxent.CLASSES))).sum(axis=-1), 1)
 
 
+def test_lm_word_features_against_a_dense_model():
+    """Gradient steps and sums over whole cells, context by context."""
+    import numpy as np
+    r, words, rows = np.random.default_rng(4), 14, 500
+    cell, count = np.sort(r.integers(0, 3, words)), r.integers(1, 30, words)
+    word, one, two, n = r.integers(0, words, rows), r.integers(0, 5, rows), r.integers(0, 5, rows), r.integers(0, 3, rows)
+    q = [(count[w] + 0.1) / sum(count[u] + 0.1 for u in range(words) if cell[u] == cell[w]) for w in range(words)]
+    seen, total, weight = Counter(), Counter(), Counter()
+    events = list(zip(word.tolist(), one.tolist(), two.tolist(), n.tolist(), strict=True))
+
+    def features(w, a, b):
+        return (1, a, w), (2, b, w), (a, b, w, 3)
+
+    def share(a, b, c):
+        x = {w: q[w] * np.exp(sum(weight[f] for f in features(w, a, b))) for w in range(words) if cell[w] == c}
+        return {w: y / sum(x.values()) for w, y in x.items()}
+
+    for w, a, b, k in events:
+        total[a, b, cell[w]] += k
+        for f in features(w, a, b):
+            seen[f] += k
+    for _ in range(4):
+        wanted = Counter()
+        for (a, b, c), k in total.items():
+            for w, p in share(a, b, c).items():
+                for f in features(w, a, b):
+                    wanted[f] += k * p
+        for f in seen:
+            weight[f] += 2 * (seen[f] - wanted[f]) / (seen[f] + wanted[f] + maxent.EVENT_PRIOR) / 3 if seen[f] else 0
+    want = [np.log(share(a, b, cell[w])[w] / q[w]) for w, a, b, _ in events]
+    assert maxent.fit(word, one << maxent.CONTEXT_BITS | two, n, count, cell, steps=4) == pytest.approx(want, abs=1e-9)
+
+
+def test_lm_sees_words_behind_their_classes(spark):
+    """Histories of one class, and rivals of one class, member and count: only the words tell them apart."""
+    import numpy as np
+    import pandas as pd
+
+    def bucket(words):
+        t = maxent.Tokens(pd.DataFrame({"text": [" ".join(words).encode()], "doc_id": 1, "no_id": False}))
+        return dict(zip(words, t.bucket[:-1].tolist(), strict=True))
+
+    at = bucket([f"{k}xyz" for k in range(200)])
+    c, d = next((a, b) for a in at for b in at if a < b and at[a] == at[b])
+    train = [k for k in range(1, 400) if not maxent.held_out(k)]
+    held = [k for k in range(1, 400) if maxent.held_out(k)][:6]
+    rows = [(k, f"oneing {c}" if k % 2 else f"twoing {d}") for k in train] + [(k + 1000, f"thr{k % 9} by {c}" if k % 2 else f"fou{k % 9} by {d}") for k in train]
+    asked = [f"oneing {c}", f"oneing {d}", f"twoing {d}", f"twoing {c}"]
+    out = maxent.score(spark.createDataFrame(rows + list(zip(held, asked, strict=False)), "doc_id bigint, text string"))
+    score = {r["doc_id"]: r["score"] for r in out.collect()}
+    assert score[held[0]] > score[held[1]] + 0.1 and score[held[2]] > score[held[3]] + 0.1
+    assert np.isfinite(list(score.values())).all()
+
+
 # ---- 9 ------------------------------------------------------------------------------------
 
 def test_quality_query(spark):
