@@ -659,3 +659,51 @@ def test_pii_query_whole_table(spark):
     for r in rows:
         new, found = p.text(texts[r["doc_id"]])
         assert (r["text"], r["n_replaced"], r["text_sha256"]) == (new, sum(found.values()), brute.sha(new))
+
+
+def test_pieces_are_slices_of_the_texts(monkeypatch):
+    """Rows that are cut on the texts' bytes and those that :func:`pieces` cuts, of short and long pieces."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    from tabtaint.llm import codes
+    texts = [None, "", " ", "a", " so, so.\nSo; éé, über-abcdefgh abcdefgh abcdefg a\x00", "a  b, c\t d ", "seven77 seven77\x00",
+             "seven77", "seven77 ", "1,2 c.d", "zz zz.zz", " , x!"]
+    for runs in (False, True):
+        at, distinct, size = codes.numbered_pieces(pa.array(texts).slice(1, 10), runs)
+        own = [[distinct[int(k)].as_py() for k in x] for x in np.split(at, np.cumsum(size)[:-1])]
+        assert len(set(distinct.to_pylist())) == len(distinct) and "" not in distinct.to_pylist()
+        for text, got_ in zip(texts[1:11], own, strict=True):
+            some = [y for x in codes.pieces(text) for y in (codes._RUN_END.split(x) if runs else [x])]
+            assert got_ == [x for x in some if x]
+    monkeypatch.setattr(pc, "replace_substring_regex", None)  # no text is copied with marks in it
+    monkeypatch.setattr(pc, "split_pattern", None)
+    assert codes.numbered_pieces(pa.array(["a b.", None]), True)[2].tolist() == [3, 0]
+
+
+def test_known_pieces_are_found_without_an_index_of_all(monkeypatch):
+    """Also when pieces share a hash, and after the memory was cleared."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    from tabtaint.llm import codes
+    asked = []
+
+    def encode(new):
+        asked.append(new.to_pylist())
+        return np.array([len(x) for x in asked[-1]], np.int32), np.ones(len(new), np.int64)
+
+    monkeypatch.setattr(pc, "index_in", None)
+    for collide in (False, True):
+        if collide:
+            monkeypatch.setattr(codes, "word_hashes", lambda data, a, b: (b - a).astype(np.uint64) // np.uint64(2))
+        memory = codes.Pieces(encode, limit=12)
+        for some in (["a", "bb", "ccc"], ["bb", "d" * 9, "a"], [], ["ccc", "e" * 5], [str(k) * 3 for k in range(9)], ["bb", "a"]):
+            at = memory.numbers(pa.array(some, pa.large_string()))
+            assert memory.codes.of(at).tolist() == [len(x) for x in some]
+            assert memory.known.take(pa.array(at)).to_pylist() == some
+            assert (np.diff(memory.hashes.astype(np.int64)) >= 0).all() or not collide
+        if not collide:
+            assert [len(x) for x in asked] == [3, 1, 1, 9, 2]
