@@ -16,24 +16,24 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
-from itertools import islice
+from collections.abc import Collection, Iterator
 
 import duckdb
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabtaint.llm.codes import cut, sums_of
+from tabtaint.llm.codes import cut, numbered_pieces, places, sums_of  # noqa: F401
 from tabtaint.llm.common import join_id, ready, split_id
 
 LONG = 64
-#: Pieces of each of the two generations that a task remembers; bytes of words encoded at a time.
+#: Pieces of each of the two generations that a task remembers; pieces and bytes of words encoded at a time.
 MEMORY = 250_000
-BATCH_BYTES = 1 << 20
+BATCH_PIECES, BATCH_BYTES = 1 << 14, 1 << 20
 SLICE_CHARS = 4 << 20
 
 #: One contraction a word and round: the least of rank * 256 + position names the pair.
@@ -82,6 +82,8 @@ GROUP BY word ORDER BY word
 
 #: What a piece of text becomes: number of tokens, their ids as text, the decoded bytes.
 Coded = tuple[int, str, bytes]
+#: The same in Arrow, where a piece takes a few bytes beside its contents; a blank follows each id.
+CODED = pa.schema([("piece", pa.large_string()), ("n", pa.int64()), ("ids", pa.large_string()), ("decoded", pa.large_binary())])
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -104,8 +106,7 @@ class Codec:
         self._table("merges", a=pa.array(a, pa.int32()), b=pa.array(b, pa.int32()), id=pa.array(r, pa.int32()))
         self._table("vocabulary", id=pa.array(self.ranks.values(), pa.int32()),
                     bytes=pa.array([t.hex() for t in self.ranks]))
-        self.new: dict[str, Coded] = {}
-        self.old: dict[str, Coded] = {}
+        self.new, self.old = CODED.empty_table(), CODED.empty_table()
 
     def _table(self, table: str, **columns: pa.Array) -> None:
         data = pa.table(columns)
@@ -156,21 +157,36 @@ class Codec:
     def _short(self, batch: list[tuple[str, bytes]]) -> Iterator[tuple[str, Coded]]:
         return zip([w for w, _ in batch], self._encode([b for _, b in batch], SHORT), strict=True)
 
-    def code(self, pieces: list[str]) -> dict[str, Coded]:
-        """All of ``pieces`` (distinct and non-empty); those seen lately are remembered."""
-        new, old = self.new, self.old
-        out = {p: c for p in pieces if (c := new.get(p) or old.get(p))}
-        split = {p: self.words.findall(p) for p in pieces if p not in out}
-        known = self._words({w for ws in split.values() for w in ws})
-        out.update((p, known[ws[0]] if len(ws) == 1 else _joined([known[w] for w in ws])) for p, ws in split.items())
-        if len(self.new) + len(out) > MEMORY:
-            self.old, self.new = self.new, {}
-        if len(self.new) + len(out) <= MEMORY:
-            self.new.update(out)
-        else:
-            self.new.update(islice(out.items(), MEMORY - len(self.new)))
+    def _fresh(self, pieces: pa.Array) -> pa.Table:
+        """Pieces that aren't remembered, some at a time: only their texts and tokens are Python objects."""
+        parts = [CODED.empty_table()]
+        for k in range(0, len(pieces), BATCH_PIECES):
+            some = pieces[k:k + BATCH_PIECES].to_pylist()
+            split = [self.words.findall(p) for p in some]
+            known = self._words({w for ws in split for w in ws})
+            n, ids, decoded = zip(*(known[ws[0]] if len(ws) == 1 else _joined([known[w] for w in ws]) for ws in split), strict=True)
+            parts.append(pa.table([some, n, [x and x + " " for x in ids], decoded], schema=CODED))
+        return pa.concat_tables(parts)
+
+    def coded(self, distinct: pa.Array) -> pa.Table:
+        """A row for each of some distinct, non-empty pieces; those seen lately are remembered."""
+        known = pa.concat_tables([self.new, self.old]).combine_chunks()
+        at = pc.index_in(distinct, value_set=known["piece"].combine_chunks())
+        at = pc.fill_null(at, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        missing = np.flatnonzero(at < 0)
+        at[missing] = len(known) + np.arange(len(missing))
+        out = pa.concat_tables([known, self._fresh(distinct.take(pa.array(missing)))]).take(pa.array(at)).combine_chunks()
+        added = out.filter(pa.array(at >= len(self.new)))
+        if len(self.new) + len(added) > MEMORY:
+            self.old, self.new, added = self.new, CODED.empty_table(), out
+        self.new = pa.concat_tables([self.new, added[:MEMORY - len(self.new)]]).combine_chunks()
         return out
 
+    def code(self, pieces: Collection[str]) -> dict[str, Coded]:
+        """:meth:`coded` by piece, as Python objects."""
+        rows = self.coded(pa.array(list(pieces), pa.large_string())).to_pylist()
+        return {r["piece"]: (r["n"], r["ids"][:-1], r["decoded"]) for r in rows}
+
 
 def _joined(parts: list[Coded]) -> Coded:
     return sum(n for n, _, _ in parts), " ".join([ids for _, ids, _ in parts]), b"".join([b for _, _, b in parts])
@@ -203,24 +219,27 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", with_id
         c = codec(path, pattern)
         for batch in batches:
             for part in _slices(batch):
-                at, distinct, size = cut(pa.array([t or "" for t in part["text"]], pa.large_string()), runs=True)
-                found = c.code(distinct)
-                coded = [found[p] for p in distinct]
-                ids_of, bytes_of = [x for _, x, _ in coded], [x for _, _, x in coded]
+                at, distinct, size = numbered_pieces(pa.array([t or "" for t in part["text"]], pa.large_string()), runs=True)
+                coded = c.coded(distinct)
                 out: dict[str, list] = {k: [] for k in ("n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded")}
-                out["n_tokens"] = sums_of(np.array([n for n, _, _ in coded], np.int64)[at], size).tolist()
-                ends = np.cumsum(size)
-                for a, b in zip((ends - size).tolist(), ends.tolist(), strict=True):   # a document's ids as text and its bytes are held one at a time
-                    own = at[a:b].tolist()
-                    ids, decoded = " ".join(map(ids_of.__getitem__, own)), b"".join(map(bytes_of.__getitem__, own))
-                    out["ids_sha256"].append(hashlib.sha256(ids.encode()).hexdigest())
-                    out["decoded_sha256"].append(hashlib.sha256(decoded).hexdigest())
-                    if with_ids:
-                        out["ids"].append(np.fromstring(ids, np.int32, sep=" ") if ids else np.empty(0, np.int32))
-                    if with_decoded:
-                        out["decoded"].append(decoded)
+                out["n_tokens"] = sums_of(coded["n"].to_numpy()[at], size).tolist()
+                for name in ("ids", "decoded"):   # all documents' ids as text, then their bytes: each document's are a slice
+                    start, data = places(coded[name].combine_chunks().take(pa.array(at)))
+                    ends = np.cumsum(size)
+                    first, end = start[ends - size], start[ends]
+                    if name == "ids":
+                        end = np.maximum(first, end - 1)
+                    view = memoryview(data)
+                    for a, b in zip(first.tolist(), end.tolist(), strict=True):
+                        out[f"{name}_sha256"].append(hashlib.sha256(view[a:b]).hexdigest())
+                        if name == "ids" and with_ids:
+                            out["ids"].append(np.array(bytes(view[a:b]).split(), np.int32))
+                        if name == "decoded" and with_decoded:
+                            out["decoded"].append(bytes(view[a:b]))
                 yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "no_id": part["no_id"].to_numpy(),
                                     **{k: v for k, v in out.items() if v or k[-6:] == "sha256" or k == "n_tokens"}})
+                del coded, start, data, view
+        pa.default_memory_pool().release_unused()   # the worker waits for other tasks beside the JVM
 
     schema = "doc_id bigint, no_id boolean, n_tokens bigint, ids_sha256 string, decoded_sha256 string" \
         + ", ids array<int>" * with_ids + ", decoded binary" * with_decoded

@@ -661,6 +661,19 @@ def test_pii_query_whole_table(spark):
         assert (r["text"], r["n_replaced"], r["text_sha256"]) == (new, sum(found.values()), brute.sha(new))
 
 
+def test_coded_pieces_are_small(monkeypatch):
+    """A worker that waits beside the JVM holds no Python objects for each piece it remembers."""
+    import public_tokenizers
+    import pyarrow as pa
+    c = bpe.Codec(tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    monkeypatch.setattr(bpe, "BATCH_PIECES", 700)
+    pieces = [f" word{k}é" for k in range(2000)] + ["\x00", "  "]
+    out = c.coded(pa.array(pieces, pa.large_string()))
+    assert out["piece"].to_pylist() == pieces and [x.decode() for x in out["decoded"].to_pylist()] == pieces
+    assert out["n"].to_pylist() == [len(x.split()) for x in out["ids"].to_pylist()]
+    assert isinstance(c.new, pa.Table) and len(c.new) == 2002 and c.new.nbytes < 100 * len(c.new)
+
+
 def test_pieces_are_slices_of_the_texts(monkeypatch):
     """Rows that are cut on the texts' bytes and those that :func:`pieces` cuts, of short and long pieces."""
     import numpy as np
